@@ -36,7 +36,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def partitions_for(spark: SparkSession, df: DataFrame, bytes_each: int) -> int:
     """As many partitions as keep each near bytes_each, from the size that the optimizer knows of df's files; never under the session's setting."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(100_000, -(-size // bytes_each)))
 
