@@ -173,10 +173,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     def encode(batches):
         import pyarrow as pa
         from pyspark import TaskContext
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
-        schema = to_arrow_schema(StructType.fromDDL(FILE))
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+        schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in FILE.split(", ")])
         e, shard = encoder(model), TaskContext.get().partitionId()
         wide, block, keys, raws, held = 2 if max(e.size, end_id + 1) <= 1 << 16 else 4, 0, [], [], 0
         row = lambda: pa.RecordBatch.from_pylist([block_row(shard, block, keys, raws, wide)], schema=schema)
