@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planar.llm import mixing, quality, rules, token_files
+from planar.llm import mixing, quality, rules, simhash, token_files
 from planar.llm.common import table
 
 MIX_SQL = r"""
@@ -52,6 +52,10 @@ def op6_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     entries = rules.ledger(table(spark, sf_dir, "documents"))
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", (~rules.passes(1)).alias("base_failed"), rules.passes().alias("kept"))
@@ -64,6 +68,7 @@ def op10_source_mixing(spark, sf_dir):
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op6_token_files": op6_token_files,
+    "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mixing": op10_source_mixing,
 }
