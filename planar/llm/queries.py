@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from planar.llm import mixing, quality, rules, simhash, token_files
-from planar.llm.common import table
+from pyspark.sql import functions as F
+
+from planar.llm import chat, mixing, quality, rules, simhash, token_files
+from planar.llm.common import stored, table
 
 MIX_SQL = r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -30,6 +32,23 @@ SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(v.taken, 0)::BIGINT A
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN v USING (r)
 """
 
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+  SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
+  length(text) + (length(text) - length(replace(text, '\', ''))) + len(regexp_extract_all(text, '<\||</s>|\[INST\]|\[/INST\]')) AS body,
+  length(role) + len(regexp_extract_all(role, '\||\\|</s>|\[INST\]|\[/INST\]')) + 8 AS around FROM c),
+o AS (SELECT *, row_number() OVER w - 1 AS ordinal, sum(tokens) OVER w - tokens AS s0 FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, ordinal = 0 AND role = 'system' AS sys, CASE WHEN ordinal = 0 AND role = 'system' THEN 0 ELSE s0 // 2048 END AS win FROM o),
+b AS (SELECT conv_id, win, min(s0) AS b0 FROM p GROUP BY conv_id, win),
+h AS (SELECT p.conv_id, sum(body + around) AS chars FROM p JOIN b ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND b.win = p.win + 1 WHERE NOT sys AND b0 - s0 <= 512 GROUP BY p.conv_id),
+y AS (SELECT p.conv_id, sum(body + around) AS chars FROM p JOIN b ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND b.win > 0 WHERE sys GROUP BY p.conv_id),
+g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ordinal)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY ordinal) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(body + around) AS chars FROM p GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, (g.chars + coalesce(h.chars, 0) + coalesce(y.chars, 0))::BIGINT AS formatted_chars
+FROM g LEFT JOIN h ON g.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN y ON g.conv_id IS NOT DISTINCT FROM y.conv_id
+"""
+
 RULES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 b AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8),
@@ -44,6 +63,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+def op4_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.read_back(stored(chat.windows(rows.unionByName(own)), "chat"))
+
+
 def op2_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,6 +93,7 @@ def op10_source_mixing(spark, sf_dir):
 
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_chat_format": op4_chat_format,
     "op6_token_files": op6_token_files,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
@@ -74,6 +101,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_chat_format": CHAT_SQL,
     "op9_quality_rules": RULES_SQL,
     "op10_source_mixing": MIX_SQL,
 }
