@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planar.llm import chat, mixing, quality, rules, simhash, token_files
+from planar.llm import chat, mixing, quality, rules, simhash, token_files, toxicity
 from planar.llm.common import stored, table
 
 MIX_SQL = r"""
@@ -70,6 +70,10 @@ def op4_chat_format(spark, sf_dir):
     return chat.read_back(stored(chat.windows(rows.unionByName(own)), "chat"))
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,6 +96,7 @@ def op10_source_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_chat_format": op4_chat_format,
     "op6_token_files": op6_token_files,
