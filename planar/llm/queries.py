@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planar.llm import chat, mixing, quality, rules, simhash, token_files, toxicity
+from planar.llm import chat, lm, mixing, quality, rules, simhash, token_files, toxicity
 from planar.llm.common import stored, table
 
 MIX_SQL = r"""
@@ -63,6 +63,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+def op3_lm_scores(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -98,6 +102,7 @@ def op10_source_mixing(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_lm_scores": op3_lm_scores,
     "op4_chat_format": op4_chat_format,
     "op6_token_files": op6_token_files,
     "op8_simhash": op8_simhash,
