@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planar.llm import chat, lm, mixing, quality, rules, simhash, token_files, toxicity
+from planar.llm import chat, lm, mixing, quality, rules, simhash, suffixes, token_files, toxicity
 from planar.llm.common import stored, table
 
 MIX_SQL = r"""
@@ -82,6 +82,10 @@ def op2_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffixes.removal(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
@@ -104,6 +108,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_lm_scores": op3_lm_scores,
     "op4_chat_format": op4_chat_format,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_files": op6_token_files,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from planar.llm.common import partitions_for, shared_folder, stored, text_bytes
 
 END_ID = 1
-BLOCK_BYTES, SHARD_BYTES, CACHE_WORDS = 4 << 20, 16 << 20, 800_000
+BLOCK_BYTES, SHARD_BYTES, CACHE_WORDS, LEARN_BYTES = 4 << 20, 16 << 20, 1_200_000, 1 << 20
 FILE = "shard int, block int, n_docs long, n_tokens long, width int, payload binary, ends binary, keys array<long>, seeds binary, prints binary, places binary, counts binary"
 _state: dict = {}
 
@@ -57,36 +58,60 @@ class Encoder:
         return [self.np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
-        """Words of letters are one token run each, so many go to the tokenizer as one text and are cut at word ends."""
-        names = [(w, w.decode("utf-8", "replace")) for w in words]
-        letters, rest = [x for x in names if x[1].isalpha()], [x for x in names if not x[1].isalpha()]
+        """Words of letters are one token run each, so many go to the tokenizer as one text and are cut at word ends. ASCII marks
+        behind letters are a run of their own."""
+        marked, letters, rest = [], {}, {}
+        for w in words:
+            name = w.decode("utf-8", "replace")
+            if name.isalpha():
+                letters[w] = name
+                continue
+            core = name.rstrip(punctuation)
+            if core.isalpha():
+                own = core.encode()
+                tail = w[len(own) :]
+                marked.append((w, own, tail))
+                if own not in self.words:
+                    letters[own] = core
+                if tail not in self.words:
+                    rest[tail] = tail.decode()
+            else:
+                rest[w] = name
+        letters, rest = list(letters.items()), list(rest.items())
         for at in range(0, len(letters), 2000):
             part = letters[at : at + 2000]
-            ids = self.np.array(self.tok.encode_batch_fast([" ".join(n for _, n in part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = self.np.array(self.tok.encode_batch_fast([" ".join([n for _, n in part])], add_special_tokens=False)[0].ids, "<u4")
             cut = self.np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(part) or cut[-1] != len(ids):
                 rest += part
                 continue
             raw, last = ids.tobytes(), 0
-            for (w, _), c in zip(part, cut.tolist(), strict=True):
-                self.words[w] = raw[4 * last : 4 * c]
+            for (w, _), c in zip(part, (4 * cut).tolist(), strict=True):
+                self.words[w] = raw[last:c]
                 last = c
         for (w, _), ids in zip(rest, self.whole([n for _, n in rest]), strict=True):
             self.words[w] = ids
+        for w, core, tail in marked:
+            self.words[w] = self.words[core] + self.words[tail]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        for t in texts:
-            if any(c in t for c in self.controls):
-                yield self.whole([t.decode("utf-8", "replace")])[0]
-                continue
-            w = t.lower().split()  # the tokenizer lower-cases too
-            try:
-                yield b"".join([self.words[x] for x in w])
-            except KeyError:
-                if len(self.words) > CACHE_WORDS:
-                    self.words.clear()
-                self.learn([x for x in dict.fromkeys(w) if x not in self.words])
-                yield b"".join([self.words[x] for x in w])
+        """The ids of each text; new words are learned for runs of texts of LEARN_BYTES."""
+        at = 0
+        while at < len(texts):
+            split, held = [], 0
+            while at < len(texts) and held < LEARN_BYTES:
+                t = texts[at]
+                whole = any(c in t for c in self.controls)
+                split.append(t if whole else t.lower().split())  # the tokenizer lower-cases too
+                held, at = held + len(t), at + 1
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
+            new = set().union(*[w for w in split if isinstance(w, list)]).difference(self.words)
+            if new:
+                self.learn(list(new))
+            get = self.words.__getitem__
+            for w in split:
+                yield b"".join(map(get, w)) if isinstance(w, list) else self.whole([w.decode("utf-8", "replace")])[0]
 
 
 def encoder(path: str) -> Encoder:
