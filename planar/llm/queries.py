@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planar.llm import chat, lm, mixing, quality, rules, simhash, suffixes, token_files, toxicity
+from planar.llm import chat, decontamination, lm, mixing, quality, rules, simhash, suffixes, token_files, toxicity
 from planar.llm.common import stored, table
 
 MIX_SQL = r"""
@@ -90,6 +90,10 @@ def op6_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -110,6 +114,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_files": op6_token_files,
+    "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_source_mixing": op10_source_mixing,
