@@ -89,21 +89,25 @@ def fit(rows: DataFrame):
     return {"share": n[1] / n.sum(), "mean": mean, "factor": np.array(factors), "logdet": np.array(logdet), "odds": float(np.log(n[1] / n[0]))}
 
 
+def logistic(x, model: dict):
+    """Scores of rows of statistics."""
+    import numpy as np
+
+    if "mean" not in model:
+        return np.full(len(x), float(model["share"]))
+    density = [-0.5 * (np.square((x - model["mean"][c]) @ model["factor"][c].T).sum(1) + model["logdet"][c]) for c in (0, 1)]
+    return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / TEMPERATURE + model["odds"], -40, 40)))
+
+
 def apply(statistics_rows: DataFrame, model: dict) -> DataFrame:
     """doc_id and score of each row of with_statistics()."""
 
     def score(batches):
-        import numpy as np
         import pyarrow as pa
 
         for b in batches:
             x = b.column(1).flatten().to_numpy().reshape(-1, len(STATISTICS))
-            if "mean" in model:
-                density = [-0.5 * (np.square((x - model["mean"][c]) @ model["factor"][c].T).sum(1) + model["logdet"][c]) for c in (0, 1)]
-                s = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / TEMPERATURE + model["odds"], -40, 40)))
-            else:
-                s = np.full(len(x), model["share"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(logistic(x, model))], names=["doc_id", "score"])
 
     return statistics_rows.mapInArrow(score, f"doc_id {dict(statistics_rows.dtypes)['doc_id']}, score double")
 
@@ -114,6 +118,26 @@ def train_labels(labels: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("label"))
 
 
+def trained(docs: DataFrame, labels: DataFrame) -> dict:
+    """The model of the training labels, from the statistics of the labelled documents only."""
+    wanted = train_labels(labels, "quality")
+    x = with_statistics(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"))
+    return fit(x.join(wanted, "doc_id").select("x", "label"))
+
+
+def kept(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs, all columns, whose predicted label is 1; one pass without a shuffle."""
+
+    def keep(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            text = b.column(b.schema.get_field_index("text"))
+            yield b.filter(pa.array(logistic(statistics(text_bytes(text)), model) >= THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each document."""
     x = stored(with_statistics(docs), "quality")
