@@ -7,7 +7,8 @@ a 32-bit fingerprint and the place of the key's first document; a lookup is two
 Blocks are bounded in bytes, and Spark commits the files, so a lost executor costs its own tasks only.
 
 The vocabulary's tokens never cross ASCII white space, so a text is encoded word by word, through a bounded cache of words;
-texts with the control strings of the tokenizer are encoded as a whole.
+new words are learned
+for a run of texts at a time, letters and the marks behind them apart. Texts with the control strings of the tokenizer are encoded as a whole.
 
 Defined results: null and empty texts have the end id only; a null doc_id comes first and has no key in the index;
 documents with the same doc_id lie side by side, the key's slot has their number; ties are ordered by the hash of the text;
