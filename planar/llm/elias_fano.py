@@ -76,17 +76,21 @@ class EliasFano:
         if not self.n or not len(x):
             return out
         top, low = (x >> np.uint64(self.l)).astype(np.int64), x & np.uint64((1 << self.l) - 1)
-        at = np.where(top > 0, self._zeros.select(np.maximum(top - 1, 0)) + 1, 0)
-        i, open_ = at - top, np.arange(len(x))
-        while len(open_):
-            inside = (self.high[at[open_] >> 3] >> (at[open_] & 7).astype(np.uint8)) & 1 == 1
-            open_ = open_[inside]
-            v = self.lows(i[open_])
-            hit = v == low[open_]
-            out[open_[hit]] = i[open_[hit]]
-            open_ = open_[v < low[open_]]
-            i[open_] += 1
-            at[open_] += 1
+        first = np.where(top > 0, self._zeros.select(np.maximum(top - 1, 0)) + 1 - top, 0)
+        last = self._zeros.select(top) - top
+        open_ = np.flatnonzero(first < last)
+        first, last, low = first[open_], last[open_], low[open_]
+        ends = last.copy()
+        live = np.arange(len(open_))
+        while len(live):  # halves the bucket of each query
+            mid = (first[live] + last[live]) >> 1
+            less = self.lows(mid) < low[live]
+            first[live[less]] = mid[less] + 1
+            last[live[~less]] = mid[~less]
+            live = live[first[live] < last[live]]
+        inside = np.flatnonzero(first < ends)
+        hit = inside[self.lows(first[inside]) == low[inside]]
+        out[open_[hit]] = first[hit]
         return out
 
     def parts(self) -> list:

@@ -150,7 +150,8 @@ class Bigrams:
             where = (where ^ (where >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         self.shard = ((where >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
         self.h = h
-        self.order = np.lexsort((self.w, self.u, self.shard))
+        # The bigrams are in order of context and word already; small integers are sorted by radix.
+        self.order = np.argsort(self.shard.astype(np.uint16) if shards <= 1 << 16 else self.shard, kind="stable")
         self.cuts = np.searchsorted(self.shard[self.order], np.arange(shards + 1))
 
     def part(self, s: int):
