@@ -5,7 +5,7 @@ are one node, so copies never meet in pairs. A BK-tree keys the children of a no
 search follows only the edges within the radius; over random 64-bit values the distances crowd around 32 and a
 single tree would be read almost whole. So the trees are sharded by exact blocks: 64 bits are cut into radius + 2 blocks, fingerprints
 within the radius agree in two blocks at least, and each pair of blocks gives a shard key. A shard's tree links what
-is within the radius; the links kept are a spanning forest of the shard, so that their number is bounded by its rows. A shard over
+is within the radius, and up to LEAF fingerprints are a leaf, compared directly; the links kept of a tree are a spanning forest of the shard, so that their number is bounded by its rows. A shard over
 `split_over` fingerprints is dealt on by pairs of blocks of its other bits, again without a loss, before a tree is built.
 
 Components are found by alternating rounds over links, each node towards the least doc_id it sees, checkpointed in the shared folder.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from planar.llm.common import stored, text_bytes
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-SPLIT_OVER = 4096
+SPLIT_OVER, LEAF = 4096, 8
 
 
 def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> list[int]:
@@ -172,17 +172,18 @@ def links(nodes: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER)
         held: list = [np.zeros(0, np.int64)] * 3
 
         def done(shard, ids, f):
+            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
+            size = np.diff(cuts)
+            leaf = np.repeat(size <= LEAF, size)
             a, b = [], []
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
-                if hi - lo == 2:
-                    if (int(f[lo]) ^ int(f[lo + 1])).bit_count() <= radius:
-                        a.append(ids[lo])
-                        b.append(ids[lo + 1])
-                elif hi - lo > 2:
-                    for x, y in forest(f[lo:hi], radius):
-                        a.append(ids[lo + x])
-                        b.append(ids[lo + y])
+            for k in range(1, LEAF):  # shards of a leaf's size: rows k apart, all shards at once
+                near = leaf[k:] & (shard[k:] == shard[:-k]) & (np.bitwise_count(f[k:] ^ f[:-k]) <= radius)
+                a += ids[:-k][near].tolist()
+                b += ids[k:][near].tolist()
+            for lo, hi in zip(cuts[:-1][size > LEAF].tolist(), cuts[1:][size > LEAF].tolist()):
+                for x, y in forest(f[lo:hi], radius):
+                    a.append(ids[lo + x])
+                    b.append(ids[lo + y])
             return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
 
         for batch in it:  # rows come sorted by shard; the last shard of a batch waits for the next
