@@ -65,10 +65,10 @@ def words(spark: SparkSession, sf_dir: str, role: str = "board") -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of a lattice of 40 x 40 nodes for each customer group; group_key is the order's priority."""
+    """Unit edges of a lattice of 8 x 8 nodes for each customer group; group_key is the order's priority."""
     o = table(spark, sf_dir, "orders")
-    a, b = F.col("o_orderkey") % 40, F.floor(F.col("o_totalprice")).cast("long") % 40
-    along = F.floor(F.col("o_totalprice")).cast("long") % 2 == 0
+    a, b = F.col("o_orderkey") % 8, F.floor(F.col("o_totalprice")).cast("long") % 8
+    along = F.floor(F.col("o_orderkey") / 8) % 2 == 0
     return o.select(F.floor(F.col("o_custkey") / 50).alias("doc_id"), F.col("o_orderkey").alias("seg_ord"), F.concat(F.lit("s"), F.col("o_orderkey")).alias("segment_id"), F.col("o_orderpriority").alias("group_key"),
                     a.cast("double").alias("x1"), b.cast("double").alias("y1"), F.when(along, a + 1).otherwise(a).cast("double").alias("x2"), F.when(along, b).otherwise(b + 1).cast("double").alias("y2"))
 
@@ -95,5 +95,5 @@ def sql_words(role: str = "board", name: str = "words") -> str:
 {name} AS (SELECT file, (n // 200 + 1)::INT AS page, n, text, (n % 10) * 50e0 AS "left", (n // 10) * 12e0 AS bottom, length(text)::DOUBLE AS width, 10e0 AS height FROM {name}_u)"""
 
 
-SQL_SEGMENTS = """g0 AS (SELECT o_custkey // 50 AS doc_id, o_orderkey AS seg_ord, 's' || o_orderkey AS segment_id, o_orderpriority AS group_key, o_orderkey % 40 AS a, floor(o_totalprice)::BIGINT % 40 AS b, floor(o_totalprice)::BIGINT % 2 = 0 AS along FROM orders),
+SQL_SEGMENTS = """g0 AS (SELECT o_custkey // 50 AS doc_id, o_orderkey AS seg_ord, 's' || o_orderkey AS segment_id, o_orderpriority AS group_key, o_orderkey % 8 AS a, floor(o_totalprice)::BIGINT % 8 AS b, (o_orderkey // 8) % 2 = 0 AS along FROM orders),
 segments AS (SELECT doc_id, seg_ord, segment_id, group_key, a::DOUBLE AS x1, b::DOUBLE AS y1, (CASE WHEN along THEN a + 1 ELSE a END)::DOUBLE AS x2, (CASE WHEN along THEN b ELSE b + 1 END)::DOUBLE AS y2 FROM g0)"""
