@@ -6,8 +6,8 @@ multinomial draw whose totals are exact. Slot j takes block perm(j mod blocks) o
 permutation with multiplier and offset drawn for the source and the pass, and slots and blocks meet in a join on index.
 
 Defined results: null text has no words; a null source is a source of its own, after all others; documents without
-words get taken 0; an empty table gives an empty result; repeated rows count as documents of their own; ties in doc_id
-keep any fixed order. A pass is one full permutation, and a target is at most twice a source's size, so that no block
+words get taken 0; an empty table gives an empty result; repeated rows count as documents of their own; rows with one doc_id
+are ordered by the hash of their text. A pass is one full permutation, and a target is at most twice a source's size, so that no block
 is taken more than twice.
 """
 
@@ -21,7 +21,7 @@ from planar.llm.common import WORD, stored
 #: Multipliers of the permutations: primes, so that each is coprime with any number of blocks that it doesn't divide.
 PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121)
 WEIGHTS = (3, 1, 2)
-SHARE, CEILING, BLOCK_WORDS, STREAM_WORDS = 1.5, 2, 64, 4_194_304
+SHARE, CEILING, BLOCK_WORDS, STREAM_WORDS = 1.5, 2, 64, 262_144
 
 
 def drawn(key, *more):
@@ -32,7 +32,8 @@ def drawn(key, *more):
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source and size (words) of each row under a row number; written, as several jobs read it."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
+    row = F.col("planar_mix_row") if "planar_mix_row" in docs.columns else F.monotonically_increasing_id()
+    return stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), F.xxhash64("text").alias("tie"), row.alias("row")), "mix-sizes")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float =
     stream = stream.withColumn("base", F.sum("blocks").over(along) - F.col("blocks"))
     slots_of = stream.groupBy("key").agg(F.sum("blocks").alias("blocks")).join(per, "key")
     slots_of = slots_of.withColumn("slots", F.least(F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5), F.col("blocks") * int(ceiling)))
-    within = Window.partitionBy("key", "stream").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("key", "stream").orderBy("doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = full.withColumn("start", F.sum("size").over(within) - F.col("size")).join(stream.select("key", "stream", "base"), ["key", "stream"])
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     placed = placed.select("key", "row", "base", "start", "size", F.explode(F.sequence(first, last)).alias("at"))
@@ -88,7 +89,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float =
     # Slot numbers in two steps, so that no task makes all the slots of a source.
     run = 16_384
     runs = slots_of.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / run))))
-    slots = runs.repartition("key", "run").withColumn("slot", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("slots")) - 1)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, as the few rows would else be joined into one task
+    slots = runs.repartition(parts, "key", "run").withColumn("slot", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("slots")) - 1)))
     slots = slots.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")))
     primes = F.array(*[F.lit(p).cast("long") for p in PRIMES])
     pick = lambda shift: F.element_at(primes, ((drawn(F.col("key"), F.lit(seed), F.col("pass")) + shift) % len(PRIMES) + 1).cast("int"))
@@ -102,8 +104,9 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of each row."""
     m = mix(docs, **options)
     times = m["slots"].groupBy("key", "block").agg(F.count(F.lit(1)).alias("times"))
-    got = m["places"].join(times, ["key", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = m["sizes"].join(m["per"].select("key", "source_size", "target"), "key").join(got, "row", "left")
+    # Spark takes exploded slots for as small as the few rows they come from; the hints keep them from being broadcast.
+    got = m["places"].join(times.hint("merge"), ["key", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    out = m["sizes"].join(m["per"].select("key", "source_size", "target"), "key").join(got.hint("merge"), "row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
@@ -114,11 +117,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     names = docs.columns
     numbered = stored(docs.withColumn("planar_mix_row", F.monotonically_increasing_id()), "mix-rows")
-    plain = numbered.select(F.col("planar_mix_row").alias("doc_id"), "source", "text")
-    m = mix(plain, **options)
-    spans = m["places"].join(m["slots"].select("key", "block", "pass"), ["key", "block"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pass", "first", "words"))).alias("spans"))
-    spans = spans.join(m["sizes"].select("row", F.col("doc_id").alias("planar_mix_row")), "row").drop("row")
-    pieces = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    m = mix(numbered, **options)
+    spans = m["places"].join(m["slots"].select("key", "block", "pass").hint("merge"), ["key", "block"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pass", "first", "words"))).alias("spans"))
+    # A text without white space at its end gets some while pieces are joined, so that its last word stays a word.
+    bare = ~F.col("text").rlike(r"[\x20\x09-\x0D]\z")
+    pieces = F.regexp_extract_all(F.when(bare, F.concat("text", F.lit("\n"))).otherwise(F.col("text")), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
     text = F.array_join(F.transform("planar_spans", lambda s: F.array_join(F.slice("planar_pieces", (s["first"] + 1).cast("int"), s["words"].cast("int")), "")), "")
-    out = numbered.join(spans.withColumnRenamed("spans", "planar_spans"), "planar_mix_row").withColumn("planar_pieces", pieces).withColumn("text", text)
+    text = F.when(bare, F.regexp_replace(text, r"\n\z", "")).otherwise(text)
+    spans = spans.withColumnsRenamed({"spans": "planar_spans", "row": "planar_mix_row"})
+    out = numbered.join(spans.hint("merge"), "planar_mix_row").withColumn("planar_pieces", pieces).withColumn("text", text)
     return out.select(*names)

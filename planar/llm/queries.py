@@ -16,7 +16,7 @@ l AS (SELECT *, row_number() OVER f AS place,
   / ((sum(weight) OVER ())::DOUBLE - coalesce(sum(weight) OVER (ORDER BY top / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) AS lv
   FROM w WINDOW f AS (ORDER BY top / weight, rank)),
 o AS (SELECT *, (SELECT arg_min(lv, place) FROM l WHERE top > weight * lv) AS level FROM l),
-t AS (SELECT source, coalesce('s' || source, 'n') AS key, source_size, CASE WHEN level IS NULL THEN top ELSE least(weight * level, top) END AS target, greatest(1, ceil(source_size / 4194304))::BIGINT AS streams FROM o),
+t AS (SELECT source, coalesce('s' || source, 'n') AS key, source_size, CASE WHEN level IS NULL THEN top ELSE least(weight * level, top) END AS target, greatest(1, ceil(source_size / 262144))::BIGINT AS streams FROM o),
 f AS (SELECT d.*, t.key, coalesce(((doc_id % streams) + streams) % streams, 0) AS stream FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0),
 g AS (SELECT key, stream, ceil(sum(size) / 64)::BIGINT AS blocks FROM f GROUP BY key, stream),
 h AS (SELECT *, sum(blocks) OVER (PARTITION BY key ORDER BY stream) - blocks AS base FROM g),
