@@ -51,8 +51,9 @@ FROM g LEFT JOIN h ON g.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN y ON g.
 
 RULES_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
-b AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8),
-g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+7], ' ')) AS n FROM b),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i, len(w) AS total FROM d WHERE len(w) >= 8),
+b AS (SELECT doc_id, i, total, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS gram FROM u),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM b WHERE i <= total - 7),
 r AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM g, range(8) AS t(k) WHERE n > 1 GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines
