@@ -199,8 +199,22 @@ def q_reject_histogram(spark, d):
 
 
 SQL_PADS = f"""{SQL_JUDGED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, w * h, cy, cx, layer_id, top, "left", element_ord) AS rk FROM judged WHERE reason = 'None'),
-edges AS (SELECT a.doc_id, a.rk AS a, b.rk AS b FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND b.rk < a.rk AND sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) <= greatest(0.005e0, least(a.w, b.w) * 0.18e0) AND (least(a.w, b.w) / greatest(a.w, b.w)) * (least(a.h, b.h) / greatest(a.h, b.h)) >= 0.78e0),
-kept(doc_id, rk, keep) AS (SELECT doc_id, rk, true FROM ranked WHERE (doc_id, rk) NOT IN (SELECT doc_id, a FROM edges))"""
+rivals AS (SELECT a.doc_id, a.rk, list(b.rk) AS better FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND b.rk < a.rk AND sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)) <= greatest(0.005e0, least(a.w, b.w) * 0.18e0)
+  AND (least(a.w, b.w) / greatest(a.w, b.w)) * (least(a.h, b.h) / greatest(a.h, b.h)) >= 0.78e0 GROUP BY a.doc_id, a.rk),
+total AS (SELECT doc_id, max(rk) AS n FROM ranked GROUP BY doc_id),
+steps AS (SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM total UNION ALL SELECT s.doc_id, s.k + 1, CASE WHEN r.better IS NOT NULL AND list_has_any(s.kept, r.better) THEN s.kept ELSE list_append(s.kept, s.k + 1) END
+  FROM steps s JOIN total t ON t.doc_id = s.doc_id AND s.k < t.n LEFT JOIN rivals r ON r.doc_id = s.doc_id AND r.rk = s.k + 1),
+kept AS (SELECT doc_id, unnest(l) AS rk FROM (SELECT doc_id, arg_max(kept, k) AS l FROM steps GROUP BY doc_id)),
+pads AS (SELECT ranked.*, (row_number() OVER (PARTITION BY doc_id ORDER BY cy, cx, element_ord))::INT AS pad_no FROM ranked JOIN kept USING (doc_id, rk)),
+circles AS (SELECT *, greatest(w, h) AS size, (row_number() OVER (PARTITION BY doc_id ORDER BY greatest(w, h), pad_no))::INT AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM pads WHERE shape = 'Circle'),
+cuts AS (SELECT *, greatest(max(w) FILTER (rn = 1) OVER (PARTITION BY doc_id), max(size) FILTER (rn = n // 3 + 1) OVER (PARTITION BY doc_id)) AS cut FROM circles WHERE n >= 3),
+vias AS (SELECT doc_id, element_ord, element_id, rn AS via_no, size AS diameter, least(0.92e0, confidence) AS confidence FROM cuts WHERE size <= cut * 1.08e0),
+holes AS (SELECT doc_id, element_ord, element_id, w AS diameter, 1e0 AS confidence FROM elements WHERE kind = 'DrillHole' UNION ALL SELECT e.doc_id, e.element_ord, e.element_id, greatest(e.w, e.h), 0.74e0 FROM elements e JOIN lims USING (doc_id)
+  WHERE kind = 'Ellipse' AND NOT is_filled AND e.element_ord NOT IN (SELECT element_ord FROM pads) AND greatest(e.w, e.h) / least(e.w, e.h) <= 1.15e0 AND greatest(e.w, e.h) BETWEEN lo AND hi * 2)"""
+SQL_MEANING = f"""{SQL_PADS}, {SQL_LAYERS}, m AS (SELECT e.*, e.element_ord IN (SELECT element_ord FROM holes) OR kind = 'DrillHole' AS is_hole, e.element_ord IN (SELECT element_ord FROM vias) OR kind = 'Via' AS is_via, e.element_ord IN (SELECT element_ord FROM pads) OR kind = 'Pad' AS is_pad,
+  c.conductive, c.confidence AS pc, layer_type, e.w * e.h / greatest(0.000001e0, doc_w * doc_h) AS share FROM elements e LEFT JOIN cls c ON c.element_ord = e.element_ord LEFT JOIN layers y ON y.layer_id = e.layer_id JOIN lims ON lims.doc_id = e.doc_id),
+t AS (SELECT *, CASE WHEN is_hole THEN 1 WHEN is_via THEN 2 WHEN is_pad THEN 3 WHEN kind = 'Text' THEN 4 WHEN layer_type IN ('Copper', 'Silkscreen', 'Mechanical') THEN 5 WHEN is_closed AND share >= 0.35e0 THEN 6 WHEN kind = 'Track' THEN 7 WHEN conductive AND greatest(w, h) <= 20 THEN 8
+  WHEN is_closed AND share >= 0.00008e0 AND kind IN ('Rectangle', 'Polygon', 'Polyline') THEN 9 WHEN kind IN ('Line', 'Polyline', 'Bezier', 'Arc') THEN 10 WHEN kind = 'RasterImage' THEN 11 ELSE 12 END AS k FROM m)"""
 
 
 def pads(spark, d):
@@ -208,24 +222,26 @@ def pads(spark, d):
     return e, limits, j, graph.written(classify.distinct_pads(j.where("reason = 'None'")), "pads")
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_PADS} SELECT doc_id, element_id, pad_no, round(confidence, 6) AS confidence FROM pads")
 def q_distinct_pads(spark, d):
-    """Greedy, so without SQL; tests compare it with a plain loop."""
+    """Greedy; the SQL goes through the pads of a document one by one."""
     return pads(spark, d)[3].select("doc_id", "element_id", "pad_no", W6("confidence").alias("confidence"))
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_PADS} SELECT doc_id, element_id, via_no, diameter, round(confidence, 6) AS confidence FROM vias")
 def q_vias(spark, d):
     return classify.vias(pads(spark, d)[3]).select("doc_id", "element_id", "via_no", "diameter", W6("confidence").alias("confidence"))
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_PADS} SELECT doc_id, element_id, diameter, confidence FROM holes")
 def q_holes(spark, d):
     e, limits, _, p = pads(spark, d)
     return classify.holes(e, p, limits).select("doc_id", "element_id", "diameter", "confidence")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_MEANING} SELECT doc_id, element_id, kind, CASE WHEN k = 5 THEN layer_type ELSE ['Hole', 'Via', 'Pad', 'Text', '', 'BoardOutline', 'Copper', 'Pad', 'ComponentBody', 'Silkscreen', 'Mechanical', 'Unknown'][k] END AS semantic,
+round(CASE WHEN k = 8 THEN greatest(0.55e0, pc) ELSE [1e0, 0.98e0, 0.98e0, 1e0, 0.92e0, 0.9e0, 0.95e0, 0e0, 0.68e0, 0.52e0, 0.4e0, 0.2e0][k] END, 6) AS confidence,
+CASE WHEN k = 5 THEN 'Layer:' || layer_type ELSE ['ExplicitOrRecognizedHole', 'ExplicitOrRecognizedVia', 'ExplicitOrRecognizedPad', 'TextPrimitive', '', 'ClosedLargeDocumentBoundary', 'ExplicitTrack', 'ConductiveGeometryCandidate', 'ClosedMediumScaleBody', 'DocumentStroke', 'RasterReference', 'InsufficientEvidence'][k] END AS rule FROM t""")
 def q_semantic(spark, d):
     e, limits, j, p = pads(spark, d)
     return semantic.semantics(e, data.layers(spark), p, classify.vias(p), classify.holes(e, p, limits), j).select("doc_id", "element_id", "kind", "semantic", W6("confidence").alias("confidence"), "rule")
