@@ -75,6 +75,31 @@ def test_near_duplicates(spark, split_over):
     assert simhash.near_duplicates(docs(spark, rows).where("false")).count() == 0
 
 
+def test_similar_groups_reach_080(spark):
+    """Pairs planted at a Jaccard similarity of 0.80 to 0.90, and under 0.8, against exact sets."""
+    rnd = random.Random(21)
+    rows, edits = list(EDGES), {100: 2, 200: 4, 300: 6, 1000: 19}
+    for k in range(80):
+        n = (100, 200, 300, 1000)[k % 4]
+        text = prose(rnd, n)
+        rows += [(10 * k, text), (10 * k + 1, edited(rnd, text, edits[n] + k % 3 * (n // 100)))]
+    hub = prose(rnd, 150)
+    rows += [(5000 + k, edited(rnd, hub, 1 + k % 3)) for k in range(60)] + [(5100, hub), (5100, prose(rnd, 30))]
+    sets = [set(zip(*[t[k:] for k in range(5)])) or {tuple(t)} - {()} for t in ((x or "").encode().lower().split() for _, x in rows)]
+    alike = lambda i, j: sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    planted = [len(a & b) / len(a | b) for a, b in zip(sets[len(EDGES) :: 2], sets[len(EDGES) + 1 :: 2])][:80]
+    assert sum(0.8 <= x <= 0.9 for x in planted) > 20 and sum(x < 0.8 for x in planted) > 20
+    ids = [i for i, _ in rows]
+    label = components(ids, lambda i, j: alike(i, j) or ids[i] is not None and ids[i] == ids[j])
+    want = collections.Counter()
+    for k, i in enumerate(ids):
+        want[i, min((ids[j] for j in range(len(ids)) if label[j] == label[k] and ids[j] is not None), default=None)] += 1
+    got = simhash.similar_groups(docs(spark, rows), corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SIMILAR).collect()
+    assert collections.Counter((r.doc_id, r.component_id) for r in got) == want
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs(spark, rows), "").select("doc_id").collect()}
+    assert kept == {least if i is not None else None for i, least in want}
+
+
 def test_a_chain_is_one_component(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long")
     got = {r.id: r.component for r in simhash.components(links).collect()}
