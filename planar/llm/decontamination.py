@@ -2,35 +2,39 @@
 
 Documents are turned once into word ids of the benchmark's vocabulary (0: another word). Inverse document frequencies come
 from all their 16-word blocks. The benchmark's TF-IDF passages (32 words, every 16) are decomposed by a randomised SVD whose
-products A'(A X) Spark sums over the passages' partitions. Every 32-word window of every document is projected into the latent space and compared with all passages by cosine; what
-has a share of a passage's rare words and reaches the threshold is checked against the whole item: the longest common subsequence of words around the window, and for paraphrases the item's answer, its last
+products A'(A X) Spark sums over the passages' partitions; hits carry the cosine of their window to the item's passages in that latent space.
+No cosine decides what is found. A hit needs 60 % of the item's words in their order within a stretch of STRETCH times the item, so at most 40 % of them are missing, and of the item's rarest RAREST share
+all but that many must be near: a window of blocks with fewer can't hold a hit. Every window of every document is counted against every item, and all windows that pass
+are checked: the longest common subsequence of words in every stretch that starts there, and for paraphrases the item's answer, its last
 words unless there is an `answer` column. Items are taken in blocks of ITEMS, which bounds vocabulary, space and broadcast; every block meets all documents.
 
 Defined results: null and empty texts and items match nothing; repeated items are reported by each id; repeated rows are searched one by
-one and reported once for a doc_id; items of less than two words that are rare in the corpus are not sought; ties don't matter, as every hit is checked; an empty table gives an
+one and reported once for a doc_id; every item with a word is sought, however common or few its words are; ties don't matter, as every hit is checked; an empty table gives an
 empty result; other columns than doc_id, text, item_id, text and answer are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planar.llm import toxicity
 from planar.llm.common import stored, text_bytes
 from planar.llm.lm import packed, unpacked
 
 STEP, RANK, OVERSAMPLE, POWER = 16, 128, 16, 2
-COMMON, COSINE, LEAST_TERMS, TERM_SHARE, TIERS = 0.003, 0.5, 2, 0.4, 8
+RAREST, SLAB_ITEMS, SLAB_WORDS = 0.7, 256, 65_536
 SUBSEQUENCE, PARAPHRASE, ANSWER_WORDS, STRETCH = 0.8, 0.6, 5, 1.25
 ITEMS, CHUNK_WORDS = 20_000, 1_000_000
+_PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def words(text: bytes) -> list[bytes]:
     """Words of letters in lower case, accented ones too."""
-    return toxicity.words(text if text.isascii() else text.decode("utf-8", "replace").lower().encode())
+    text = text if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    return text.lower().translate(_PLAIN).split()
 
 
 def encoded(docs: DataFrame, vocabulary: dict) -> DataFrame:
@@ -162,18 +166,46 @@ def subsequence(item: list[int], region: list[int]) -> int:
     return len(item) - v.bit_count()
 
 
-def check(item: list[int], answer: list[int], doc: list[int], lo: int, hi: int) -> tuple[float, bool]:
-    """The greatest share of the item that is a subsequence of a stretch of its own size around words lo..hi, and whether the answer is there."""
-    size = int(len(item) * STRETCH) + 2
-    best, found = 0, False
-    low, high = max(0, lo - len(item)), min(len(doc), hi + len(item))
-    for a in range(low, max(low + 1, high - size + 1), max(1, len(item) // 8)):
-        best = max(best, subsequence(item, doc[a : a + size]))
-        if best == len(item):
-            break
-    if answer:
-        found = any(doc[a : a + len(answer)] == answer for a in range(low, high - len(answer) + 1))
-    return best / len(item), found
+def least_common(size: int) -> int:
+    """The words of an item of this size that a hit has in common at least."""
+    return next(n for n in range(1, size + 1) if n / size >= PARAPHRASE)
+
+
+def stretch(size: int) -> int:
+    return int(size * STRETCH) + 2
+
+
+def bounds(items: list[list[int]], df) -> tuple:
+    """For each item its rarest words, how many of a window's words must be among them for a hit, and the blocks that hold every stretch starting in the first."""
+    import numpy as np
+
+    rare, need, wide = [], [], []
+    for w in items:
+        some = sorted(w, key=lambda x: (df[x], x))[: -int(-RAREST * len(w) // 1)]
+        missing = len(w) - least_common(len(w))
+        some = some if len(some) > missing else w
+        rare.append(sorted(set(some)))
+        need.append(len(some) - missing)
+        wide.append(-(-(stretch(len(w)) + STEP - 1) // STEP))
+    return rare, np.array(need), np.array(wide)
+
+
+def check(item: list[int], answer: list[int], doc: list[int], lo: int) -> tuple[float, bool]:
+    """The greatest share of the item that is a subsequence of a stretch starting in the block at word lo (0 if too small for a hit), and whether the answer is near."""
+    size, n = stretch(len(item)), len(item)
+    best = least_common(n) - 1
+    a, end, hit = lo, min(lo + STEP, len(doc)), False
+    while a < end:
+        v = subsequence(item, doc[a : a + size])
+        if v > best:
+            best, hit = v, True
+            if v == n:
+                break
+        a += best - v + 1  # a stretch k words on has at most k more in common
+    if not hit:
+        return 0.0, False
+    low, high = max(0, lo - 2 * STEP - n), min(len(doc), lo + 3 * STEP + 2 * n)
+    return best / n, bool(answer) and any(doc[a : a + len(answer)] == answer for a in range(low, high - len(answer) + 1))
 
 
 def search(docs: DataFrame, items: list[tuple[int, list[bytes], list[bytes]]]) -> DataFrame:
@@ -190,73 +222,70 @@ def search(docs: DataFrame, items: list[tuple[int, list[bytes], list[bytes]]]) -
     chunks = stored(encoded(docs, vocabulary), "decontamination-words")
     blocks, df = block_frequencies(chunks, len(vocabulary))
     idf = np.log((blocks + 1) / (df + 1.0))
-    idf[df > COMMON * max(blocks, 1)] = 0.0
     idf[0] = 0.0
     owners, parts = zip(*passages_of(coded))
     space = latent_space(spark, [list(p) for p in parts], idf)
     latent = np.stack([(idf[p][:, None] * space[p]).sum(0) for p in map(np.array, parts)]).astype(np.float32)
-    length = np.sqrt(np.square(latent).sum(1))
-    usable = np.array([(idf[np.array(w)] > 0).sum() >= LEAST_TERMS for w in coded])
-    keep = np.flatnonzero((length > 1e-9) & usable[list(owners)])
-    rare_terms = np.array([(idf[np.array(p)] > 0).sum() for p in parts])
-    keep = keep[np.argsort(rare_terms[keep], kind="stable")]
-    latent, owners = latent[keep] / length[keep, None], np.array(owners)[keep]
-    # A window that covers most of a passage has a share of its rare words. (least words of a window, passages from, to)
-    cuts = np.linspace(0, len(keep), TIERS + 1).astype(int)
-    tiers = [(max(LEAST_TERMS, int(np.ceil(TERM_SHARE * rare_terms[keep[a]]))), int(a), int(b)) for a, b in zip(cuts, cuts[1:]) if a < b]
+    latent /= np.maximum(np.sqrt(np.square(latent).sum(1)), 1e-9)[:, None]
+    first_part = np.searchsorted(owners, np.arange(len(coded) + 1))
+    rare, need, wide = bounds(coded, df)
     weighted = (idf[:, None] * space).astype(np.float32)
     item_ids = [i for i, _, _ in items]
 
+    def near(c: Blocks):
+        """(block, item) of the windows that hold as many of the item's rarest words as a hit needs."""
+        total = int(c.count.sum())
+        last = (c.first + c.count)[c.doc_of]  # the end of each block's document
+        for lo in range(0, len(coded), SLAB_ITEMS):
+            hi = min(lo + SLAB_ITEMS, len(coded))
+            member = np.zeros((len(vocabulary) + 1, hi - lo), np.uint8)
+            for k in range(lo, hi):
+                member[rare[k], k - lo] = 1
+            on = member.any(1)[c.words[c.at]]
+            t, block = c.words[c.at][on], c.block[on]
+            sums = np.zeros((total + 1, hi - lo), np.int32)
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(t) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(t))
+            for i in range(0, len(starts), SLAB_WORDS // STEP):
+                j = min(i + SLAB_WORDS // STEP, len(starts))
+                sums[block[starts[i:j]] + 1] = np.add.reduceat(member[t[starts[i] : ends[j - 1]]], starts[i:j] - starts[i], axis=0)  # at most STEP, which a byte holds
+            np.cumsum(sums, axis=0, out=sums)
+            for w in np.unique(wide[lo:hi]).tolist():
+                own = np.flatnonzero(wide[lo:hi] == w)
+                upto = np.minimum(np.arange(total) + w, last)
+                for i in range(0, total, SLAB_WORDS // STEP):
+                    z = slice(i, i + SLAB_WORDS // STEP)
+                    b, k = np.nonzero(sums[upto[z]][:, own] - sums[:-1][z][:, own] >= need[lo + own])
+                    yield from zip((b + i).tolist(), (lo + own[k]).tolist())
+
+    def cosine(window, item: int) -> float:
+        z = weighted[window].sum(0)
+        return float((latent[first_part[item] : first_part[item + 1]] @ z).max() / max(float(np.sqrt(np.square(z).sum())), 1e-9))
+
+    bags = [Counter(w) for w in coded]
+
     def hits(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             for row in b.to_pylist():
                 c = Blocks(row)
-                t = c.words[c.at]
-                on = idf[t] > 0
-                block, t = c.block[on], t[on]
-                if not len(t) or not tiers:
-                    continue
-                starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-                some = block[starts]
-                sums = np.concatenate([np.add.reduceat(weighted[t[a:z]], starts[i:j] - a) for i in range(0, len(starts), 20_000) for j in [min(i + 20_000, len(starts))] for a in [starts[i]] for z in [starts[j] if j < len(starts) else len(t)]])
-                n = np.diff(np.concatenate([starts, [len(t)]]))
-                total = int(c.count.sum())
-                where = np.full(total + 1, -1)
-                where[some] = np.arange(len(some))
-                # A window is a block and the next one of its document; every window with a term has its first or second block in `some`.
-                first = np.unique(np.concatenate([some, some[(some > 0) & (c.doc_of[np.maximum(some - 1, 0)] == c.doc_of[some])] - 1]))
-                second = np.where((first + 1 < total) & (c.doc_of[np.minimum(first + 1, total - 1)] == c.doc_of[first]), first + 1, total)
-                terms = np.where(where[first] >= 0, n[where[first]], 0) + np.where(where[second] >= 0, n[where[second]], 0)
-                first, second, terms = (x[terms >= tiers[0][0]] for x in (first, second, terms))
-                pairs = []
-                for k in range(0, len(first), 4096):
-                    f, s = where[first[k : k + 4096]], where[second[k : k + 4096]]
-                    z = np.where((f >= 0)[:, None], sums[f], 0) + np.where((s >= 0)[:, None], sums[s], 0)
-                    z /= np.maximum(np.sqrt(np.square(z).sum(1)), 1e-9)[:, None]
-                    for need, lo, hi in tiers:  # passages with more terms meet windows with more terms only
-                        rows = np.flatnonzero(terms[k : k + 4096] >= need)
-                        if not len(rows):
-                            break
-                        like = z[rows] @ latent[lo:hi].T
-                        w, p = np.nonzero(like >= COSINE)
-                        pairs += zip(like[w, p].tolist(), first[k + rows[w]].tolist(), owners[lo + p].tolist())
                 found: dict = {}
-                for cosine, blk, item in sorted(pairs, reverse=True):
+                held, at = [], -1
+                for blk, item in sorted(near(c)):
                     doc = int(c.doc_of[blk])
-                    if (doc, item) in found:
+                    if found.get((doc, item), (0, 0, 0, 0))[3] == 1:
                         continue
-                    lo = (blk - int(c.first[doc])) * STEP
-                    start = int(c.starts[doc])
-                    own = c.words[start : start + int(c.sizes[doc])][max(0, lo - 3 * len(coded[item])) : lo + 2 * STEP + 3 * len(coded[item])]
-                    rare = {x for x in coded[item] if idf[x] > 0}
-                    if 2 * len(rare.intersection(own.tolist())) < len(rare):
+                    if doc != at:
+                        at, start = doc, int(c.starts[doc])
+                        held = c.words[start : start + int(c.sizes[doc])].tolist()
+                    lo, own = (blk - int(c.first[doc])) * STEP, bags[item]
+                    there = Counter(held[lo : lo + STEP - 1 + stretch(len(coded[item]))])
+                    if sum(min(n, there[x]) for x, n in own.items()) < least_common(len(coded[item])):
                         continue
-                    offset = max(0, lo - 3 * len(coded[item]))
-                    share, answered = check(coded[item], answers[item], own.tolist(), lo - offset, lo - offset + 2 * STEP)
-                    if share >= SUBSEQUENCE or share >= PARAPHRASE and answered:
-                        found[doc, item] = (row["doc_ids"][doc], item_ids[item], cosine, share, answered)
+                    share, answered = check(coded[item], answers[item], held, lo)
+                    if (share >= SUBSEQUENCE or share >= PARAPHRASE and answered) and share > found.get((doc, item), (0, 0, 0, 0))[3]:
+                        found[doc, item] = (row["doc_ids"][doc], item_ids[item], cosine(held[lo : lo + 2 * STEP], item), share, answered)
                 out = list(zip(*found.values())) or [[]] * 5
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["doc_id", "item_id", "cosine", "subsequence", "answered"])

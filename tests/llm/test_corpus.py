@@ -249,6 +249,41 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs(spark, rows), b.where("false")).count() == 0
 
 
+def whole_search(rows, items):
+    """(doc_id, item_id) by the longest common subsequence with every stretch of every document."""
+    found = set()
+    for i, text in rows:
+        doc = decontamination.words((text or "").encode())
+        for k, x in items:
+            w = decontamination.words(x.encode())
+            size = decontamination.stretch(len(w))
+            best = max((decontamination.subsequence(w, doc[a : a + size]) for a in range(len(doc))), default=0) / len(w)
+            answered = any(doc[a : a + 5] == w[-5:] for a in range(len(doc)))
+            if best >= 0.8 or best >= 0.6 and answered:
+                found.add((i, k))
+    return found
+
+
+def test_paraphrases_with_their_rare_words_replaced(spark):
+    rnd = random.Random(31)
+    common = [prose(rnd, 1) for _ in range(60)]
+    rows = [(k, " ".join(rnd.choice(common) for _ in range(rnd.randint(20, 90)))) for k in range(120)]
+    items, planted = [], set()
+    for k in range(20):
+        m = rnd.choice([16, 24, 40])
+        w = [rnd.choice(common) if j % 2 or j >= m - 5 else prose(rnd, 1) for j in range(m)]
+        items.append((k, " ".join(w)))
+        kept = -(-m * 6 // 10)
+        gone = set([j for j in range(0, m - 5, 2)][: m - kept])
+        text = [prose(rnd, 1) if j in gone else x for j, x in enumerate(w)]
+        rows.append((1000 + k, " ".join([prose(rnd, 8 + k), *text, prose(rnd, 20)])))
+        planted.add((1000 + k, k))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = whole_search(rows, items)
+    assert planted <= want
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, rows), b).collect()} == want
+
+
 def test_subsequence_equals_the_table():
     rnd = random.Random(12)
     for _ in range(50):
