@@ -9,12 +9,13 @@ are checked: the longest common subsequence of words in every stretch that start
 words unless there is an `answer` column. Items are taken in blocks of ITEMS, which bounds vocabulary, space and broadcast; every block meets all documents.
 
 Defined results: null and empty texts and items match nothing; repeated items are reported by each id; repeated rows are searched one by
-one and reported once for a doc_id; every item with a word is sought, however common or few its words are; ties don't matter, as every hit is checked; an empty table gives an
+one and reported once for a doc_id; every item with a word is sought, however common or few its words are; a word is a run of letters or one of digits; ties don't matter, as every hit is checked; an empty table gives an
 empty result; other columns than doc_id, text, item_id, text and answer are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,16 +26,17 @@ from planar.llm.common import stored, text_bytes
 from planar.llm.lm import packed, unpacked
 
 STEP, RANK, OVERSAMPLE, POWER = 16, 128, 16, 2
-RAREST, SLAB_ITEMS, SLAB_WORDS = 0.7, 256, 65_536
+RAREST, LEAST_IDF, SLAB_ITEMS, SLAB_WORDS = 0.7, 0.01, 256, 65_536
 SUBSEQUENCE, PARAPHRASE, ANSWER_WORDS, STRETCH = 0.8, 0.6, 5, 1.25
 ITEMS, CHUNK_WORDS = 20_000, 1_000_000
-_PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+_PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_DIGITS = re.compile(rb"[0-9]+")
 
 
 def words(text: bytes) -> list[bytes]:
-    """Words of letters in lower case, accented ones too."""
+    """Words of letters in lower case, accented ones too, and numbers, which are words of their own beside letters."""
     text = text if text.isascii() else text.decode("utf-8", "replace").lower().encode()
-    return text.lower().translate(_PLAIN).split()
+    return _DIGITS.sub(rb" \g<0> ", text.lower().translate(_PLAIN)).split()
 
 
 def encoded(docs: DataFrame, vocabulary: dict) -> DataFrame:
@@ -221,7 +223,7 @@ def search(docs: DataFrame, items: list[tuple[int, list[bytes], list[bytes]]]) -
     answers = [[vocabulary[x] for x in a] for _, _, a in items]
     chunks = stored(encoded(docs, vocabulary), "decontamination-words")
     blocks, df = block_frequencies(chunks, len(vocabulary))
-    idf = np.log((blocks + 1) / (df + 1.0))
+    idf = np.maximum(np.log((blocks + 1) / (df + 1.0)), LEAST_IDF)
     idf[0] = 0.0
     owners, parts = zip(*passages_of(coded))
     space = latent_space(spark, [list(p) for p in parts], idf)

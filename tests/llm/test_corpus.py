@@ -284,6 +284,18 @@ def test_paraphrases_with_their_rare_words_replaced(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, rows), b).collect()} == want
 
 
+def test_widespread_numeric_and_common_items(spark):
+    rnd = random.Random(32)
+    spread, few = prose(rnd, 30), prose(rnd, 3)
+    items = [(1, spread), (2, "What is 17 times 23 plus 4096 minus 58? It is 4429"), (3, " ".join(few.split() * 6)), (4, "the of " * 9)]
+    rows = [(k, prose(rnd, 60) + (" " + spread if k % 3 == 0 else "") + " " + few + " the of " + prose(rnd, 20)) for k in range(120)]
+    rows += [(200, "so " + items[1][1].lower()), (201, "what is 18 times 24 plus 5096 minus 59 it is 5429"), (202, prose(rnd, 20) + " " + items[2][1]), (203, prose(rnd, 9) + " the of" * 9)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = whole_search(rows, items)
+    assert {(k, 1) for k in range(0, 120, 3)} | {(200, 2), (202, 3), (203, 4)} <= want and (201, 2) not in want
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, rows), b).collect()} == want
+
+
 def test_subsequence_equals_the_table():
     rnd = random.Random(12)
     for _ in range(50):
