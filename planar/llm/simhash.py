@@ -364,6 +364,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     both = beside(beside(pairs, ends.select("id", F.col("prints").alias("p")), "a"), ends.select("id", F.col("prints").alias("q")), "b")
     apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     pairs = stored(both.where(apart <= ALL_BITS).select("a", "b"), "near-pairs")
+    left = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    ends = ends.join(left, "id", "left_semi")  # sets only for what the fingerprints leave
     text = F.col("text").cast("string")
     texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text")).join(ends.select("row", "id"), "row").dropDuplicates(["id"]).select("id", "text")
 
