@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than the ASCII white space 0x20, 0x09-0x0D.
@@ -34,11 +34,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(spark: SparkSession, df: DataFrame, bytes_each: int) -> int:
-    """As many partitions as keep each near bytes_each, from the size that the optimizer knows of df's files; never under the session's setting."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(100_000, -(-size // bytes_each)))
+def partitions_for(docs: DataFrame, bytes_each: int) -> int:
+    """As many partitions as keep the texts of each near bytes_each, never under the session's setting; it reads the texts' sizes once."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
+
+
+def prefix_sums(rows: DataFrame, order: str, value: str, name: str, run: int = 4096) -> DataFrame:
+    """rows (one for each value of `order`, integers from 0) with the sum of `value` before each: within runs of `run`, and over the runs."""
+    rows = rows.withColumn("planar_run", F.floor(F.col(order) / run))
+    before = lambda w: F.coalesce(F.sum("planar_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = rows.groupBy("planar_run").agg(F.sum(value).alias("planar_n")).withColumn("planar_base", before(Window.orderBy("planar_run"))).drop("planar_n")
+    inner = rows.withColumn("planar_n", F.col(value)).withColumn("planar_inner", before(Window.partitionBy("planar_run").orderBy(order)))
+    return inner.join(runs, "planar_run").withColumn(name, F.col("planar_base") + F.col("planar_inner")).drop("planar_run", "planar_n", "planar_base", "planar_inner")
 
 
 def held_out(key: Column, of: int) -> Column:

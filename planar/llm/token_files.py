@@ -3,12 +3,13 @@
 Documents are sorted by doc_id over range partitions and encoded; a shard is a sequence of blocks, each a row of the
 file: the ids of its documents as raw little-endian integers (16 bits if the vocabulary allows it, else 32), the ends of the documents,
 their keys, and a minimal perfect hash of the distinct keys. The hash (hash and displace) maps a key to a slot that holds
-a 32-bit fingerprint and the place of the key's first document; a lookup is two hashes, a comparison and one slice.
-Blocks are bounded in bytes, and Spark commits the files, so a lost executor costs its own tasks only.
+a 32-bit fingerprint and the place of the key's first document. A directory of the same kind, dealt to buckets of
+DIRECTORY_KEYS keys by a hash, maps a key to its shard and block. So a lookup hashes twice, compares fingerprints and takes one slice,
+and all its joins are on equality. Blocks are bounded in bytes, and Spark commits the files, so a lost executor costs its own tasks only.
 
-The vocabulary's tokens never cross ASCII white space, so a text is encoded word by word, through a bounded cache of words;
-new words are learned
-for a run of texts at a time, letters and the marks behind them apart. Texts with the control strings of the tokenizer are encoded as a whole.
+The vocabulary's tokens never cross ASCII white space, so a text is encoded word by word, through a bounded table of words;
+new words are learned for a run of texts at a time, letters and the marks behind them apart. Texts with the control strings of
+the tokenizer are encoded as a whole.
 
 Defined results: null and empty texts have the end id only; a null doc_id comes first and has no key in the index;
 documents with the same doc_id lie side by side, the key's slot has their number; ties are ordered by the hash of the text;
@@ -18,17 +19,20 @@ an empty table gives files without rows. Other columns are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from string import punctuation
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planar.llm.common import partitions_for, shared_folder, stored, text_bytes
+from planar.llm.common import partitions_for, prefix_sums, shared_folder, stored, text_bytes
 
 END_ID = 1
-BLOCK_BYTES, SHARD_BYTES, CACHE_WORDS, LEARN_BYTES = 4 << 20, 16 << 20, 1_200_000, 1 << 20
+BLOCK_BYTES, SHARD_BYTES, TABLE_WORDS, RUN_BYTES = 4 << 20, 16 << 20, 2_000_000, 8 << 20
 FILE = "shard int, block int, n_docs long, n_tokens long, width int, payload binary, ends binary, keys array<long>, seeds binary, prints binary, places binary, counts binary"
+DIRECTORY_KEYS = 1 << 16
+DIRECTORY = "bucket long, of long, seeds binary, prints binary, starts binary, shards binary, blocks binary"
 _state: dict = {}
 
 
@@ -39,7 +43,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers, through a cache of words."""
+    """Ids of texts as little-endian 32-bit integers, through a table of known words."""
 
     def __init__(self, path: str):
         import os
@@ -48,71 +52,102 @@ class Encoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work; one thread a task
-        self.np, self.tok, self.words = np, Tokenizer.from_file(path), {}
+        self.np, self.tok = np, Tokenizer.from_file(path)
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.controls = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table: words -> place, and by place the end of a word's ids."""
+        self.words, self.ids, self.upto = {}, self.np.zeros(0, "<u4"), self.np.zeros(1, self.np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> None:
-        """Words of letters are one token run each, so many go to the tokenizer as one text and are cut at word ends. ASCII marks
-        behind letters are a run of their own."""
-        marked, letters, rest = [], {}, {}
+    def word_ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word. Words of letters are one token run each: ASCII ones go to the tokenizer's model, which sees them as they
+        are; many others go to the tokenizer as one text that is cut at word ends. ASCII marks behind letters are a run of their own, if
+        the letters stay letters in lower case (U+0130 does not)."""
+        letters, marks, rest, made = {}, {}, {}, []
         for w in words:
             name = w.decode("utf-8", "replace")
-            if name.isalpha():
-                letters[w] = name
-                continue
-            core = name.rstrip(punctuation)
-            if core.isalpha():
-                own = core.encode()
-                tail = w[len(own) :]
-                marked.append((w, own, tail))
-                if own not in self.words:
-                    letters[own] = core
-                if tail not in self.words:
-                    rest[tail] = tail.decode()
+            core = name if name.isalpha() else name.rstrip(punctuation)
+            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
+                letters[core] = marks[name[len(core) :]] = None
+                made.append((core, name[len(core) :]))
             else:
-                rest[w] = name
-        letters, rest = list(letters.items()), list(rest.items())
-        for at in range(0, len(letters), 2000):
-            part = letters[at : at + 2000]
-            ids = self.np.array(self.tok.encode_batch_fast([" ".join([n for _, n in part])], add_special_tokens=False)[0].ids, "<u4")
+                rest[name] = None
+                made.append((name, ""))
+        marks.pop("", None)
+        for name in letters:
+            if name.isascii():
+                letters[name] = array("I", [x.id for x in self.tok.model.tokenize(name)]).tobytes()
+        named = [name for name, ids in letters.items() if ids is None]
+        for at in range(0, len(named), 2000):
+            part = named[at : at + 2000]
+            ids = self.np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = self.np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(part) or cut[-1] != len(ids):
-                rest += part
+                rest |= dict.fromkeys(part)
                 continue
             raw, last = ids.tobytes(), 0
-            for (w, _), c in zip(part, (4 * cut).tolist(), strict=True):
-                self.words[w] = raw[last:c]
+            for name, c in zip(part, (4 * cut).tolist(), strict=True):
+                letters[name] = raw[last:c]
                 last = c
-        for (w, _), ids in zip(rest, self.whole([n for _, n in rest]), strict=True):
-            self.words[w] = ids
-        for w, core, tail in marked:
-            self.words[w] = self.words[core] + self.words[tail]
+        for group in (rest, marks):
+            group |= zip(group, self.whole(list(group)), strict=True)
+        known, marks[""] = {k: v for k, v in letters.items() if v is not None} | rest, b""
+        return [known[core] + marks[tail] for core, tail in made]
+
+    def learn(self, words: list[bytes]) -> None:
+        found = self.word_ids(words)
+        ends = self.upto[-1] + self.np.cumsum(self.np.fromiter(map(len, found), self.np.int64, len(found)) // 4)
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
+        self.ids, self.upto = self.np.concatenate([self.ids, self.np.frombuffer(b"".join(found), "<u4")]), self.np.concatenate([self.upto, ends])
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text; new words are learned for runs of texts of LEARN_BYTES."""
+        """The ids of each text, for runs of texts of RUN_BYTES: split, numbered by distinct word, and looked up in the table."""
         at = 0
         while at < len(texts):
-            split, held = [], 0
-            while at < len(texts) and held < LEARN_BYTES:
-                t = texts[at]
-                whole = any(c in t for c in self.controls)
-                split.append(t if whole else t.lower().split())  # the tokenizer lower-cases too
-                held, at = held + len(t), at + 1
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
-            new = set().union(*[w for w in split if isinstance(w, list)]).difference(self.words)
-            if new:
-                self.learn(list(new))
-            get = self.words.__getitem__
-            for w in split:
-                yield b"".join(map(get, w)) if isinstance(w, list) else self.whole([w.decode("utf-8", "replace")])[0]
+            last, held = at, 0
+            while last < len(texts) and held < RUN_BYTES:
+                held, last = held + len(texts[last]), last + 1
+            yield from self.encode_run(texts[at:last])
+            at = last
+
+    def encode_run(self, texts: list[bytes]) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        np = self.np
+        apart = {k for k, t in enumerate(texts) if any(c in t for c in self.controls)}
+        # The tokenizer lower-cases too; only ASCII white space parts words, so that bytes can be taken as strings unchecked.
+        low = pa.array([b"" if k in apart else t.lower() for k, t in enumerate(texts)], pa.large_binary()).view(pa.large_string())
+        split = pc.ascii_split_whitespace(low)
+        words = pc.filter(split.values, pc.greater(pc.binary_length(split.values), 0))
+        full = np.concatenate([[0], np.cumsum(pc.binary_length(split.values).to_numpy() > 0)])
+        bounds = full[split.offsets.to_numpy()]
+        coded = words.view(pa.large_binary()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.words) > TABLE_WORDS:
+            self.forget()
+        new = [w for w in distinct if w not in self.words]
+        if new:
+            self.learn(new)
+        # The ids of the run's distinct words side by side, so that what each word gathers from is small.
+        place = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        first, size = self.upto[place], self.upto[place + 1] - self.upto[place]
+        near = np.cumsum(size) - size
+        ids = self.ids[np.repeat(first - near, size) + np.arange(size.sum())]
+        which = coded.indices.to_numpy()
+        size = size[which] if len(which) else size
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = ids[np.repeat((near[which] if len(which) else near) - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[bounds]).tolist()
+        return [self.whole([t.decode("utf-8", "replace")])[0] if k in apart else raw[cuts[k] : cuts[k + 1]] for k, t in enumerate(texts)]
 
 
 def encoder(path: str) -> Encoder:
@@ -192,7 +227,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     """The token files of docs under path."""
     spark, model = docs.sparkSession, tokenizer or tokenizer_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    shards = partitions_for(spark, docs, SHARD_BYTES)
+    shards = partitions_for(docs, SHARD_BYTES)
     dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
     end = end_id.to_bytes(4, "little")
 
@@ -216,11 +251,36 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         if keys:
             yield row()
 
-    dealt.mapInArrow(encode, FILE).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(encode, FILE).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    directory(spark, path).write.parquet(f"{path}/directory")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FILE).parquet(path)
+    return spark.read.schema(FILE).parquet(f"{path}/blocks")
+
+
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    """The directory of the files: a row for each bucket of keys, with a perfect hash from key to the blocks that hold it."""
+    held = read(spark, path).select("shard", "block", F.explode(F.array_distinct("keys")).alias("key")).where("key IS NOT NULL")
+    of = max(1, -(-held.count() // DIRECTORY_KEYS))
+
+    def index(group):
+        import numpy as np
+        import pyarrow as pa
+
+        keys, shard, block = (group.column(c).to_numpy() for c in ("key", "shard", "block"))
+        own, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+        seeds = perfect_hash(own)
+        at = slots(own, seeds, len(own))
+        order = np.lexsort((block, shard, at[which]))
+        starts, marks = np.zeros(len(own) + 1, "<u4"), np.zeros(len(own), "<u4")
+        starts[at + 1], marks[at] = times, prints(own)
+        row = [seeds.astype("<u4"), marks, np.cumsum(starts, dtype="<u4"), shard[order].astype("<u4"), block[order].astype("<u4")]
+        names = [c.split()[0] for c in DIRECTORY.split(", ")]
+        return pa.table([group.column("bucket")[:1], pa.array([of], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in row)], names=names)
+
+    dealt = held.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(of)))
+    return dealt.groupBy("bucket").applyInArrow(index, DIRECTORY)
 
 
 def find(row: dict, keys) -> tuple:
@@ -237,10 +297,29 @@ def find(row: dict, keys) -> tuple:
 
 
 def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """doc_id and ids of the documents whose keys are in wanted (doc_id), each through the index of the block whose key range holds it."""
-    bounds = read(spark, path).select("shard", "block", F.array_min("keys").alias("low"), F.array_max("keys").alias("high"))
+    """doc_id and ids of the documents whose keys are in wanted (doc_id): the directory gives the block, the block's index the place."""
+    buckets = spark.read.schema(DIRECTORY).parquet(f"{path}/directory")
+    first = buckets.select("of").first()
+    of = first["of"] if first else 1
     asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    routed = asked.join(bounds, (F.col("doc_id") >= F.col("low")) & (F.col("doc_id") <= F.col("high"))).groupBy("shard", "block").agg(F.collect_list("doc_id").alias("asked"))
+    asked = asked.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(of)).alias("bucket")).agg(F.collect_list("doc_id").alias("asked"))
+
+    def resolve(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for row in b.to_pylist():
+                keys, marks, starts = np.array(row["asked"], np.int64), np.frombuffer(row["prints"], "<u4"), np.frombuffer(row["starts"], "<u4").astype(np.int64)
+                at = slots(keys, np.frombuffer(row["seeds"], "<u4"), len(marks))
+                keys, at = keys[marks[at] == prints(keys)], at[marks[at] == prints(keys)]
+                n = starts[at + 1] - starts[at]
+                where = np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shard, block = (np.frombuffer(row[c], "<u4")[where].astype(np.int32) for c in ("shards", "blocks"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, n)), pa.array(shard), pa.array(block)], names=["doc_id", "shard", "block"])
+
+    found = buckets.join(asked, "bucket").mapInArrow(resolve, "doc_id long, shard int, block int")
+    routed = found.groupBy("shard", "block").agg(F.collect_list("doc_id").alias("asked"))
 
     def get(batches):
         import numpy as np
@@ -260,9 +339,7 @@ def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read from the files by key."""
     totals = read(spark, path).select("shard", "block", "n_tokens")
-    by_shard = totals.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    along = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    by_shard = by_shard.select("shard", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    by_shard = prefix_sums(totals.groupBy("shard").agg(F.sum("n_tokens").alias("n")), "shard", "n", "before")
     inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(by_shard, "shard").select("shard", "block", (F.col("before") + F.col("inside")).alias("base"))
 

@@ -227,6 +227,19 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_files.token_files(d.where("false")).count() == 0
 
 
+def test_words_equal_the_tokenizer():
+    """Random texts with letters that change their kind or length in lower case, marks, controls and white space of all sorts."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(10)
+    odd = ["\u0130", "\u0130.", "\u0301", "\u0307", "\u00df", "\u1e9e", "\ufb01", "\u03a3", "\u03c2", "\u00a0", "\u2028", "\U0001f600", "\u0345", "\u01f0", "\u0149", "\u2167", "\u00aa", "\u0663", "\u212a", "\x00", "\x1f", "\x85", "<|endoftext|>"]
+    pool = list("abcXYZ .,;!?'\"$-\n\t\x0b0123") + odd
+    any_ = lambda: chr(rnd.choice([rnd.randrange(32, 128), rnd.randrange(32, 0x600), rnd.randrange(32, 0xD7FF), rnd.randrange(0x10000, 0x1FFFF)]))
+    texts = ["ADI\u0307! KADIN\u0130, eve", ""] + ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + ["".join(any_() for _ in range(rnd.randint(1, 20))) for _ in range(3000)]
+    want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(token_files.tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+    assert list(token_files.Encoder(token_files.tokenizer_path()).encode([t.encode() for t in texts])) == want
+
+
 def test_the_hash_is_perfect():
     keys = np.unique(np.random.default_rng(3).integers(-(2**62), 2**62, 5000))
     seeds = token_files.perfect_hash(keys)
