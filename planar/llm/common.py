@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,21 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets one of our own (tests), a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='planar-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder, below one folder for each application, which may go when the application ends."""
+    return f"{shared_folder(spark)}/planar-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: its lineage ends there, and a lost executor loses none of it."""
-    path = f"{shared_folder(df.sparkSession)}/planar-{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def integer_key(docs: DataFrame, name: str = "doc_id") -> Column:
+    """The column as a long; keys of another kind than integers would lose their values, so they are an error."""
+    kind = dict(docs.dtypes)[name]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{name} must be an integer column, not {kind}")
+    return F.col(name).cast("long").alias(name)
+
+
 def partitions_for(docs: DataFrame, bytes_each: int) -> int:
     """As many partitions as keep the texts of each near bytes_each, never under the session's setting; it reads the texts' sizes once."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]

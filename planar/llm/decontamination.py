@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planar.llm.common import stored, text_bytes
+from planar.llm.common import integer_key, stored, text_bytes
 from planar.llm.lm import packed, unpacked
 
 STEP, RANK, OVERSAMPLE, POWER = 16, 128, 16, 2
@@ -41,7 +41,7 @@ def words(text: bytes) -> list[bytes]:
 
 def encoded(docs: DataFrame, vocabulary: dict) -> DataFrame:
     """Chunks of documents as word ids."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(integer_key(docs), F.col("text").cast("string").alias("text"))
 
     def encode(batches: Iterator) -> Iterator:
         import numpy as np

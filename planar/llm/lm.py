@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planar.llm.common import held_out, stored, text_bytes
+from planar.llm.common import held_out, integer_key, stored, text_bytes
 from planar.llm.elias_fano import EliasFano
 
 CHUNK_TOKENS, SHARD_TOKENS, HOT = 2_000_000, 4_000_000, 1024
@@ -64,7 +64,7 @@ def unpacked(blob: bytes) -> list:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """Documents tokenised into chunks: local ids of tokens, and the hashes of the local words (the end token is the hash of no bytes)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~held_out(F.col("doc_id"), 7)).alias("train"))
+    rows = docs.select(integer_key(docs), F.col("text").cast("string").alias("text"), (~held_out(F.col("doc_id"), 7)).alias("train"))
 
     def cut(batches: Iterator) -> Iterator:
         import numpy as np

@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planar.llm.common import stored, text_bytes
+from planar.llm.common import integer_key, stored, text_bytes
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 SPLIT_OVER, LEAF = 4096, 8
@@ -84,7 +84,7 @@ def seeded_fingerprints(hashes, count: int):
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fingerprint (the 64 bits as a signed long)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(integer_key(docs), F.col("text").cast("string").alias("text"))
 
     def batches(it: Iterator) -> Iterator:
         import numpy as np
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def with_prints(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, row (a hash of id and text), node (a hash of the set of shingles) and prints (PRINTS fingerprints of the set)."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"))
+    rows = docs.select(integer_key(docs), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"))
 
     def batches(it: Iterator) -> Iterator:
         import numpy as np

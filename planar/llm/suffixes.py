@@ -1,21 +1,26 @@
 """Suffix-array deduplication of long byte strings, by a difference cover and one suffix bucket at a time.
 
-Every byte covered by a LENGTH-byte string that also starts anywhere else is removed. Only the order of suffixes up to LENGTH
-matters, and of that only which ones tie, so suffixes are named by fingerprints and sorted by name.
+Every byte covered by a LENGTH-byte string that also starts anywhere else is removed. Only which suffixes tie over LENGTH bytes
+matters, so a bucket sorts names of suffixes, not the suffixes: 56 bits for the cover sample, NAME_BITS of the XXH3 hash of
+all LENGTH bytes for the rest.
 
 1. Texts are packed into chunks of bounded size, bucketed by chunk, so that later passes move notes about chunks, not texts.
    Of exact copies one stands for all.
 2. Cover sample: positions p with p mod V in a perfect difference set. Any two positions have a common shift below V to two sample
    positions, so two equal LENGTH-byte strings hold two equal sample strings of LENGTH - V + 1 bytes. The sample
-   suffixes are sorted bucket by bucket, and those that tie are marked.
-3. Only suffixes with a marked sample position less than V further can tie over LENGTH bytes. They are dealt to buckets by the range of their 56-bit name; a task sorts
-   one bucket at a time and marks ties. Names are made distinct within a chunk first, so a passage that fills
-   the corpus adds one entry per chunk.
+   suffixes are sorted bucket by bucket, and those that tie are marked. A false tie here adds a candidate and changes no result.
+3. Only suffixes with a marked sample position less than V further can tie over LENGTH bytes. They are dealt to buckets by the range
+   of their name; a task sorts one bucket at a time and marks ties. Names are made distinct within a chunk first, so a passage
+   that fills the corpus adds one entry per chunk.
 4. Each chunk turns its marked starts into removed bytes.
 
-Defined results: null and empty texts have 0 bytes and nothing removed; texts under LENGTH bytes keep all; repeated rows are copies of each other, so each is
-removed whole if it has LENGTH bytes; overlapping repeats within one text count; a null doc_id stays null; an empty table gives an empty result; other
-columns are not read. Two different strings tie wrongly with a chance of 2^-56 a pair.
+A bucket holds the names of about BUCKET_BYTES bytes of text, plus one entry per chunk for names that fill the corpus. Rows between
+chunks and buckets are at most the candidates, and no step loops over chunks times buckets.
+
+Defined results: null and empty texts have 0 bytes and nothing removed; texts under LENGTH bytes keep all; repeated rows are copies
+of each other, so each is removed whole if it has LENGTH bytes; overlapping repeats within one text count; a null doc_id stays null;
+an empty table gives an empty result; other columns are not read. Two different strings tie wrongly with a chance of 2^-96 a pair: for the
+5e27 pairs of 1e14 positions that makes 0.06 in expectation over the whole corpus.
 """
 
 from __future__ import annotations
@@ -25,12 +30,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planar.llm.common import stored, text_bytes
+from planar.llm.common import integer_key, stored, text_bytes
 from planar.llm.lm import packed, unpacked
 
 LENGTH, ORDER = 400, 17
-CHUNK_BYTES, BUCKET_BYTES, BLOCK_BYTES = 8 << 20, 24 << 20, 1 << 20
-SAMPLE_BITS, NAME_BITS = 40, 56
+CHUNK_BYTES, BUCKET_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20, 1 << 20
+SAMPLE_BITS, NAME_BITS = 56, 96
 CHUNK = "chunk long, doc_ids array<long>, sizes array<int>, names array<binary>, texts binary"
 NOTE = "chunk long, level int, bucket int, blob binary"
 
@@ -52,7 +57,7 @@ def difference_set(q: int = ORDER) -> list[int]:
 
 
 class Names:
-    """Fingerprints of windows of byte arrays: polynomial hashes modulo 2^64 over random values of the bytes."""
+    """Fingerprints of the cover sample's windows: polynomial hashes modulo 2^64 over random values of the bytes."""
 
     def __init__(self):
         import numpy as np
@@ -92,7 +97,7 @@ def names() -> Names:
 
 
 def pack_chunks(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(integer_key(docs), F.col("text").cast("string").alias("text"))
 
     def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -121,32 +126,83 @@ def pack_chunks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(pack, CHUNK)
 
 
-def bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    """df written as a table bucketed by chunk: joins on chunk then read it in place."""
+def bucketed(df: DataFrame, buckets: int) -> tuple[str, DataFrame]:
+    """df written as a table bucketed by chunk, and its name: joins on chunk then read it in place."""
     import uuid
 
     name = f"planar_chunks_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, "chunk").format("parquet").saveAsTable(name)
-    return df.sparkSession.table(name)
+    return name, df.sparkSession.table(name)
 
 
 def copies(chunks: DataFrame) -> DataFrame:
-    """Notes of level 0: the places of a chunk's texts that have an exact copy, and whether another one stands for it."""
-    each = chunks.select("chunk", F.posexplode("names").alias("place", "name"))
-    twice = each.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("chunk", "place")).alias("first")).where("n > 1").drop("n")
-    found = each.join(twice, "name").select("chunk", "place", (F.struct("chunk", "place") != F.col("first")).alias("other"))
-    per = found.groupBy("chunk").agg(F.collect_list(F.struct("place", "other")).alias("found"))
+    """Notes of level 0: the places of a chunk's texts that have an exact copy, and whether another one stands for it.
+
+    Names are distinct within a chunk before they meet, so a text that fills the corpus adds one row per chunk."""
+    each = chunks.select("chunk", F.explode(F.array_distinct("names")).alias("name"))
+    first = each.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("chunk").alias("first")).where("n > 1")
+    shared = each.join(first.select("name", "first"), "name").groupBy("chunk").agg(F.collect_list(F.struct("name", (F.col("chunk") == F.col("first")).alias("own"))).alias("shared"))
+    found = chunks.select("chunk", "names").join(shared, "chunk", "left")
 
     def note(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
+            out = []
             for row in b.to_pylist():
-                blob = packed(np.array([x["place"] for x in row["found"]], np.uint64), np.array([x["other"] for x in row["found"]], np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], names=["chunk", "level", "bucket", "blob"])
+                stands = {bytes(x["name"]): x["own"] for x in row["shared"] or ()}  # whether this chunk has the copy that stands for all
+                seen: dict = {}
+                for k, name in enumerate(row["names"]):
+                    seen.setdefault(name, []).append(k)
+                pairs = [(k, not (j == 0 and stands.get(name, True))) for name, places in seen.items() if len(places) > 1 or name in stands for j, k in enumerate(places)]
+                if pairs:
+                    out.append((row["chunk"], 0, 0, packed(*(np.array(x, np.uint64) for x in zip(*sorted(pairs))))))
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "level", "bucket", "blob"])
+
+    return found.mapInArrow(note, NOTE)
 
-    return per.mapInArrow(note, NOTE)
+
+class Sorted:
+    """Names of suffixes in order, which of them begin a run of equal ones, and the bucket of each run by ranges of names.
+
+    A name is `high`, and `low` where 64 bits are not enough."""
+
+    def __init__(self, high, low, buckets: int):
+        import numpy as np
+
+        self.order = np.argsort(high)
+        self.high, self.low = high[self.order], low[self.order] if low is not None else None
+        same = self.high[1:] == self.high[:-1]
+        if low is not None and (same & (self.low[1:] != self.low[:-1])).any():
+            self.order = np.lexsort((low, high))
+            self.high, self.low = high[self.order], low[self.order]
+            same = (self.high[1:] == self.high[:-1]) & (self.low[1:] == self.low[:-1])
+        self.new = np.concatenate([[True], ~same]) if len(high) else np.zeros(0, bool)
+        self.first = np.flatnonzero(self.new)
+        self.bucket = ((self.high[self.first] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+        self.cuts = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1], [True]])) if len(self.first) else np.zeros(1, np.int64)
+
+    def parts(self) -> Iterator:
+        """(bucket, blob of its distinct names and which of them occur twice)."""
+        import numpy as np
+
+        key, twice = self.high[self.first], np.diff(np.append(self.first, len(self.high))) > 1
+        low = self.low[self.first] if self.low is not None else np.zeros(0, np.uint64)
+        for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist()):
+            yield int(self.bucket[a]), packed(np.diff(key[a:b], prepend=np.uint64(0)), low[a:b] if len(low) else low, np.packbits(twice[a:b]))
+
+    def spread(self, flags: dict):
+        """The buckets' flags for each name in the order given."""
+        import numpy as np
+
+        if not len(self.order):
+            return np.zeros(0, bool)
+        own = [np.unpackbits(unpacked(flags[int(self.bucket[a])])[0].astype(np.uint8), count=int(b - a)) for a, b in zip(self.cuts[:-1], self.cuts[1:])]
+        out = np.zeros(len(self.order), bool)
+        out[self.order] = np.concatenate(own)[np.cumsum(self.new) - 1] > 0
+        return out
 
 
 class Chunk:
@@ -167,7 +223,8 @@ class Chunk:
                 self.flags[n["level"]][n["bucket"]] = n["blob"]
             else:
                 place, other = unpacked(n["blob"])
-                self.copied[place.astype(np.int64)], self.other[place.astype(np.int64)] = True, other > 0
+                place = place.astype(np.int64)
+                self.copied[place], self.other[place] = True, other > 0
 
     def blocks(self):
         """Runs of texts that are compared (long enough, not stood for): (first byte, last byte, texts)."""
@@ -203,22 +260,23 @@ class Chunk:
             prints.append(n.at(sums, at, size))
         return np.concatenate(places), np.concatenate(prints)
 
-    def marked(self, level: int, prints, bits: int, buckets: int):
-        """For each fingerprint, whether its bucket marked it."""
+    def sample_names(self, buckets: int):
+        """Places of the cover sample and its names in order."""
         import numpy as np
 
-        key, _, bucket = distinct(prints, bits, buckets)
-        flags = [np.unpackbits(unpacked(self.flags[level][b])[0].astype(np.uint8), count=int(n)) for b, n in zip(*np.unique(bucket, return_counts=True))]
-        return np.concatenate(flags)[np.searchsorted(key, prints >> np.uint64(64 - bits))] > 0 if len(prints) else np.zeros(0, bool)
+        places, prints = self.samples()
+        return places, Sorted(prints >> np.uint64(64 - SAMPLE_BITS) << np.uint64(64 - SAMPLE_BITS), None, buckets)
 
     def candidates(self, buckets: int):
         """Starts that may tie over LENGTH bytes, and their names."""
         import numpy as np
 
-        v, n = ORDER * ORDER + ORDER + 1, names()
-        places, prints = self.samples()
-        places = places[self.marked(1, prints, SAMPLE_BITS, buckets)]
-        out, named = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        from xxhash import xxh3_128_digest
+
+        v = ORDER * ORDER + ORDER + 1
+        places, sample = self.sample_names(buckets)
+        places = places[sample.spread(self.flags[1])]
+        out, named, text = [np.zeros(0, np.int64)], [], memoryview(self.data)
         for lo, hi, texts in self.blocks():
             near = places[np.searchsorted(places, lo) : np.searchsorted(places, hi)] - lo
             if not len(near):
@@ -231,51 +289,40 @@ class Chunk:
             allowed = np.zeros(hi - lo + 1, np.int8)
             np.add.at(allowed, self.starts[texts] - lo, 1)
             np.add.at(allowed, self.starts[texts] + self.sizes[texts] - LENGTH + 1 - lo, -1)
-            at = np.flatnonzero(open_ & (np.cumsum(allowed[: hi - lo]) > 0))
-            out.append(at + lo)
-            named.append(n.at(n.sums(self.data[lo:hi]), at, LENGTH))
-        return np.concatenate(out), np.concatenate(named)
-
-
-def distinct(prints, bits: int, buckets: int):
-    """Distinct names in order, how often each occurs, and the bucket of each by ranges of names."""
-    import numpy as np
-
-    key, n = np.unique(prints >> np.uint64(64 - bits), return_counts=True)
-    return key, n, ((key >> np.uint64(bits - 24)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+            at = np.flatnonzero(open_ & (np.cumsum(allowed[: hi - lo]) > 0)) + lo
+            out.append(at)
+            named.append(b"".join([xxh3_128_digest(text[k : k + LENGTH]) for k in at.tolist()]))
+        name = np.frombuffer(b"".join(named), "<u8").reshape(-1, 2)
+        return np.concatenate(out), Sorted(name[:, 0].copy(), name[:, 1] >> np.uint64(128 - NAME_BITS), buckets)
 
 
 def rounds(left: DataFrame, notes: DataFrame, level: int, buckets: int) -> DataFrame:
     """Each chunk sends the distinct names of its suffixes (1: cover sample, 2: candidates) to their buckets; a bucket sorts them and notes which tie."""
 
     def ask(chunk, note):
-        import numpy as np
         import pyarrow as pa
 
         row = chunk.to_pylist()[0]
         c = Chunk(row, note.to_pylist())
-        prints, bits = (c.samples()[1], SAMPLE_BITS) if level == 1 else (c.candidates(buckets)[1], NAME_BITS)
-        key, n, bucket = distinct(prints, bits, buckets)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        out = [(b, packed(np.diff(key[cuts[b] : cuts[b + 1]], prepend=np.uint64(0)), np.packbits(n[cuts[b] : cuts[b + 1]] > 1))) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        _, own = c.sample_names(buckets) if level == 1 else c.candidates(buckets)
+        out = list(own.parts())
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "chunk": pa.array([row["chunk"]] * len(out), pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     def tie(group):
         import numpy as np
         import pyarrow as pa
 
-        chunks, keys, twice = group.column("chunk").to_pylist(), [], []
+        chunks, keys, lows, twice = group.column("chunk").to_pylist(), [], [], []
         for x in group.column("blob").to_pylist():
-            key, more = unpacked(x)
+            key, low, more = unpacked(x)
             keys.append(np.cumsum(key, dtype=np.uint64))
+            lows.append(low)
             twice.append(np.unpackbits(more.astype(np.uint8), count=len(key)) > 0)
-        every = np.concatenate(keys)
-        order = np.argsort(every)
-        ordered = every[order]
-        same = ordered[1:] == ordered[:-1]
-        mark = np.zeros(len(every), bool)
-        mark[order[1:][same]] = True
-        mark[order[:-1][same]] = True
+        low = np.concatenate(lows)
+        own = Sorted(np.concatenate(keys), low if len(low) else None, 1)
+        run = np.cumsum(own.new) - 1
+        mark = np.zeros(len(own.order), bool)
+        mark[own.order] = np.bincount(run)[run] > 1 if len(run) else False
         mark |= np.concatenate(twice)
         parts = np.split(mark, np.cumsum([len(k) for k in keys])[:-1])
         bucket = group.column("bucket")[0].as_py()
@@ -289,7 +336,7 @@ def removal(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
     spark = docs.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = bucketed(pack_chunks(docs), shuffle)
+    name, table = bucketed(pack_chunks(docs), shuffle)
     size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     total = table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     buckets = max(shuffle, -(-total // BUCKET_BYTES))
@@ -305,8 +352,8 @@ def removal(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         c = Chunk(chunk.to_pylist()[0], note.to_pylist())
-        places, prints = c.candidates(buckets)
-        places = places[c.marked(2, prints, NAME_BITS, buckets)]
+        places, own = c.candidates(buckets)
+        places = places[own.spread(c.flags[2])]
         out = []
         for k, (key, size, start) in enumerate(zip(c.ids, c.sizes.tolist(), c.starts.tolist())):
             data = c.data[start : start + size]
@@ -327,4 +374,7 @@ def removal(docs: DataFrame) -> DataFrame:
         kinds = [pa.int64()] * 4 + [pa.string()]
         return pa.table({n: pa.array(v, k) for n, v, k in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), columns, kinds)})
 
-    return left.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = left.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = stored(out, "suffix-removal")
+    spark.sql(f"DROP TABLE {name}")
+    return out

@@ -26,7 +26,7 @@ from string import punctuation
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planar.llm.common import partitions_for, prefix_sums, shared_folder, stored, text_bytes
+from planar.llm.common import integer_key, new_path, partitions_for, prefix_sums, stored, text_bytes
 
 END_ID = 1
 BLOCK_BYTES, SHARD_BYTES, TABLE_WORDS, RUN_BYTES = 4 << 20, 16 << 20, 2_000_000, 8 << 20
@@ -226,7 +226,7 @@ def block_row(shard: int, block: int, keys: list, raws: list[bytes], wide: int)
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """The token files of docs under path."""
     spark, model = docs.sparkSession, tokenizer or tokenizer_path()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(integer_key(docs), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     shards = partitions_for(docs, SHARD_BYTES)
     dealt = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
     end = end_id.to_bytes(4, "little")
@@ -369,8 +369,6 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 def token_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes the files to the shared folder and reads them back as digests."""
-    import uuid
-
-    path = f"{shared_folder(docs.sparkSession)}/planar-tokens-{uuid.uuid4().hex}"
+    path = new_path(docs.sparkSession, "tokens")
     write(docs, path, tokenizer)
     return stored(digests(docs.sparkSession, path), "token-digests")
