@@ -32,6 +32,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low, high):
         self.n, self.l, self.low, self.high = n, low_bits, low, high
+        self.tops = 8 * len(high) - n  # clear bits, each the end of a run of values with the same high bits
         self._ones = self._zeros = None
 
     @staticmethod
@@ -68,18 +69,25 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._ones.select(i) - i).astype(np.uint64) << np.uint64(self.l)) | self.lows(i)
 
-    def find(self, x):
-        """The place of each x, or -1: the successor of x is sought among the values with its high bits."""
+    def find(self, x, first=None, last=None):
+        """The place of each x among all values, or among those at places first to last (exclusive); -1 if it isn't there.
+
+        The successor of x is sought among the values with its high bits that lie within the range."""
         self._zeros = self._zeros or Bits(self.high, 0)
         x = np.asarray(x, np.uint64)
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
         top, low = (x >> np.uint64(self.l)).astype(np.int64), x & np.uint64((1 << self.l) - 1)
-        first = np.where(top > 0, self._zeros.select(np.maximum(top - 1, 0)) + 1 - top, 0)
-        last = self._zeros.select(top) - top
-        open_ = np.flatnonzero(first < last)
-        first, last, low = first[open_], last[open_], low[open_]
+        begin, end = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        inside = np.flatnonzero(top < self.tops)
+        own = top[inside]
+        begin[inside] = np.where(own > 0, self._zeros.select(np.maximum(own - 1, 0)) + 1 - own, 0)
+        end[inside] = self._zeros.select(own) - own
+        if first is not None:
+            begin, end = np.maximum(begin, first), np.minimum(end, last)
+        open_ = np.flatnonzero(begin < end)
+        first, last, low = begin[open_], end[open_], low[open_]
         ends = last.copy()
         live = np.arange(len(open_))
         while len(live):  # halves the bucket of each query

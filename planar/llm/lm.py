@@ -2,9 +2,11 @@
 
 The model is a bigram model with absolute discounting over add-one unigrams. Its trie is dealt to shards by a hash of the context, hot
 contexts (a share of 1 / HOT of all tokens or more, so at most HOT of them) by a hash of context and word. A shard has two levels: contexts,
-an Elias-Fano sequence of word hashes with exact counts, and successors. A monotone Elias-Fano sequence of pointers gives each context's successors; these
-are numbered within the shard, made monotone by adding context * vocabulary, and found by a successor search relative to the
-context. A successor has a 16-bit code of its discounted probability. Levels are written to one file and memory-mapped for the queries.
+an Elias-Fano sequence of word hashes with exact counts, and successors. A monotone Elias-Fano sequence of pointers gives the places of each
+context's successors. A successor is the rank of its word among the shard's words plus the last value of the context before, which keeps
+the sequence monotone but not unique: a word is found only by a successor search between the two pointers of its context, relative to the value
+before the first. A successor has a 16-bit code of its discounted probability. Levels are written to one file and memory-mapped for
+the queries.
 
 Texts are cut into chunks of whole documents, tokenised once. Each chunk asks the shards for its distinct bigrams and
 brings its training counts with them, so that one exchange both trains the shards and asks them; the codes go back to the chunk, which sums its documents' scores. Chunks
@@ -152,13 +154,17 @@ class Bigrams:
         self.h = h
         # The bigrams are in order of context and word already; small integers are sorted by radix.
         self.order = np.argsort(self.shard.astype(np.uint16) if shards <= 1 << 16 else self.shard, kind="stable")
-        self.cuts = np.searchsorted(self.shard[self.order], np.arange(shards + 1))
+        own = self.shard[self.order]
+        self.cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+        self.shards = own[self.cuts[:-1]].tolist()  # those that this chunk has bigrams of
+        self.place = {s: k for k, s in enumerate(self.shards)}
 
     def part(self, s: int):
         """Places of shard s's bigrams, their distinct contexts (local ids) and the number of bigrams of each."""
         import numpy as np
 
-        at = self.order[self.cuts[s] : self.cuts[s + 1]]
+        k = self.place[s]
+        at = self.order[self.cuts[k] : self.cuts[k + 1]]
         u = self.u[at]
         first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
         return at, u[first], np.diff(np.concatenate([first, [len(u)]]))
@@ -186,13 +192,15 @@ class Levels:
         contexts, c = np.unique(u, return_inverse=True)
         words, r = np.unique(w, return_inverse=True)
         universe = max(len(words), 1)
-        value = c.astype(np.uint64) * np.uint64(universe) + r.astype(np.uint64)
-        order = np.argsort(value)
-        value, n = value[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.zeros(0, np.int64)
-        value, n = value[first], np.add.reduceat(n, first) if len(first) else n
-        own = (value // np.uint64(universe)).astype(np.int64)
+        key = c.astype(np.uint64) * np.uint64(universe) + r.astype(np.uint64)
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        key, n = key[first], np.add.reduceat(n, first) if len(first) else n
+        own, rank = (key // np.uint64(universe)).astype(np.int64), key % np.uint64(universe)
         pointers = np.searchsorted(own, np.arange(len(contexts) + 1))
+        tops = rank[pointers[1:] - 1]  # the greatest rank of each context, which begins the next one's values
+        value = rank + (np.cumsum(tops) - tops)[own] if len(own) else rank
         total = np.bincount(own, weights=n, minlength=len(contexts)).astype(np.int64)
         for k in np.flatnonzero(np.isin(contexts, np.fromiter(hot, np.uint64, len(hot)))).tolist():
             total[k] = hot[int(contexts[k])]
@@ -200,7 +208,7 @@ class Levels:
         codes = np.clip(np.rint(-np.log2(p) * STEPS), 1, 65535).astype("<u2")
         parts = {
             "contexts": EliasFano.encode(contexts, 1 << 64), "pointers": EliasFano.encode(pointers, len(value) + 1),
-            "words": EliasFano.encode(words, 1 << 40), "successors": EliasFano.encode(value, len(contexts) * universe + 1),
+            "words": EliasFano.encode(words, 1 << 40), "successors": EliasFano.encode(value, int(value[-1]) + 1 if len(value) else 1),
         }
         return Levels(parts, universe, total, np.diff(pointers), codes)
 
@@ -240,15 +248,25 @@ class Levels:
 
     def range(self, c):
         """First and last + 1 successor of each context, by the pointers."""
-        return self.parts["pointers"].access(c), self.parts["pointers"].access(c + 1)
+        import numpy as np
+
+        return self.parts["pointers"].access(c).astype(np.int64), self.parts["pointers"].access(c + 1).astype(np.int64)
 
-    def code(self, c, w):
-        """Codes of the successors w (short hashes) of contexts at places c; 0 if unknown."""
+    def code(self, c, runs, w):
+        """Codes of the successors w (short hashes) of contexts at places c, `runs` of them for each; 0 if unknown."""
         import numpy as np
 
+        first, last = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+        on = c >= 0
+        first[on], last[on] = self.range(c[on])
+        base = np.zeros(len(c), np.uint64)
+        later = first > 0
+        base[later] = self.parts["successors"].access(first[later] - 1)
         r = self.parts["words"].find(w)
-        known = np.flatnonzero((c >= 0) & (r >= 0))
-        at = self.parts["successors"].find(c[known].astype(np.uint64) * np.uint64(self.universe) + r[known].astype(np.uint64))
+        of = np.repeat(np.arange(len(c)), runs)
+        known = np.flatnonzero((r >= 0) & on[of])
+        of = of[known]
+        at = self.parts["successors"].find(base[of] + r[known].astype(np.uint64), first[of], last[of])
         out = np.zeros(len(w), np.uint16)
         out[known[at >= 0]] = self.codes[at[at >= 0]]
         return out
@@ -282,11 +300,10 @@ def scores(docs: DataFrame) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 _, g = planned(row)
-                for s in range(shards):
+                for s in g.shards:
                     at, u, runs = g.part(s)
-                    if len(at):
-                        blob = packed(g.h[u], runs.astype(np.uint64), short(g.h[g.w[at]]), g.count[at].astype(np.uint64))
-                        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "chunk", "blob"])
+                    blob = packed(g.h[u], runs.astype(np.uint64), short(g.h[g.w[at]]), g.count[at].astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "chunk", "blob"])
 
     def answer(group):
         """Builds a shard's levels from what all chunks bring, and answers each chunk from the mapped file."""
@@ -311,7 +328,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 known = np.maximum(c, 0)
                 some = mapped.counts if len(mapped.counts) else np.zeros(1, np.int64)
                 kinds = mapped.types if len(mapped.types) else np.zeros(1, np.int64)
-                codes = mapped.code(np.repeat(c, runs.astype(np.int64)), w)
+                codes = mapped.code(c, runs.astype(np.int64), w)
                 out.append((chunk, packed(np.where(c >= 0, some[known], 0).astype(np.uint64), np.where(c >= 0, kinds[known], 0).astype(np.uint64), codes.astype(np.uint64))))
             del mapped
         shard = group.column("shard")[0].as_py()

@@ -1,9 +1,10 @@
 """Quality classifier: a regularised quadratic discriminant.
 
-One pass turns each whole text into transformed statistics. The class means and covariances come from Spark sums of
-products over the labelled training rows, two rows on the driver. Each class covariance is shrunk towards the pooled one and
-then towards its diagonal; the Cholesky factors are computed once and sent with the tasks. A score is the logistic of
-the difference of the classes' Gaussian log densities plus the log prior odds, divided by a temperature.
+One pass turns each whole text into transformed statistics. The class means and centred covariances are Spark aggregates
+over the labelled training rows, two rows on the driver, rounded so that the order of the tasks doesn't show. Each class covariance is
+shrunk towards the pooled one and then towards its diagonal; the Cholesky factors are computed once and sent with the tasks. A score is
+the logistic of the difference of the classes' Gaussian log densities over TEMPERATURE, plus the log prior odds. The temperature
+tempers densities that are too sure, since the statistics are no Gaussians; it doesn't change which density is the greater.
 
 Defined results: null and empty texts have the statistics of zero words and are scored like any other; repeated rows are
 scored one by one; several labels of a document count as their mean, of at least a half for label 1; null labels don't
@@ -66,18 +67,18 @@ def fit(rows: DataFrame):
 
     d = len(STATISTICS)
     x = F.col("x")
-    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(d)]
-    products = [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i + 1)]
+    sums = [F.round(F.avg(x[i]), 11).alias(f"s{i}") for i in range(d)]
+    products = [F.round(F.covar_pop(x[i], x[j]), 11).alias(f"p{i}_{j}") for i in range(d) for j in range(i + 1)]
     found = {r["label"]: r for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *sums, *products).collect()}  # two rows
     n = np.array([found[c]["n"] if c in found else 0 for c in (0, 1)], float)
     if n.min() < 2:
         return {"share": (n[1] / n.sum()) if n.sum() else 0.5}
     mean, cov = np.zeros((2, d)), np.zeros((2, d, d))
     for c in (0, 1):
-        mean[c] = [found[c][f"s{i}"] / n[c] for i in range(d)]
+        mean[c] = [found[c][f"s{i}"] for i in range(d)]
         for i in range(d):
             for j in range(i + 1):
-                cov[c, i, j] = cov[c, j, i] = found[c][f"p{i}_{j}"] / n[c] - mean[c, i] * mean[c, j]
+                cov[c, i, j] = cov[c, j, i] = found[c][f"p{i}_{j}"]
     pooled = (n[:, None, None] * cov).sum(0) / n.sum()
     factors, logdet = [], []
     for c in (0, 1):

@@ -2,11 +2,11 @@
 
 A fingerprint has bit b set if over half of the text's shingle hashes (XXH64, seed 42) have it. Texts with one fingerprint
 are one node, so copies never meet in pairs. A BK-tree keys the children of a node by their integer Hamming distance to it, and a
-search follows only the edges within the radius; over random 64-bit values the distances crowd around 32 and a
-single tree would be read almost whole. So the trees are sharded by exact blocks: 64 bits are cut into radius + 2 blocks, fingerprints
-within the radius agree in two blocks at least, and each pair of blocks gives a shard key. A shard's tree links what
-is within the radius, and up to LEAF fingerprints are a leaf, compared directly; the links kept of a tree are a spanning forest of the shard, so that their number is bounded by its rows. A shard over
-`split_over` fingerprints is dealt on by pairs of blocks of its other bits, again without a loss, before a tree is built.
+search follows only the edges within the radius. A tree of all fingerprints would grow with the corpus and can't be broadcast, so
+fingerprints are sharded by exact blocks: 64 bits are cut into radius + 1 blocks, two fingerprints within the radius agree in one of them, and each
+block is a shard key. Every shard with two members or more has a BK-tree in the task that holds it; the links kept of it are a spanning
+forest of the shard, so that their number is bounded by its rows. A shard over `split_over` fingerprints is dealt on by pairs of radius + 2 blocks
+of the bits turned, again without a loss, before a tree is built.
 
 similar_groups, the pipeline's stage, takes several fingerprints of a text's set of shingles through such shards and verifies what they bring together by exact Jaccard similarity.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from planar.llm.common import integer_key, stored, text_bytes
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-SPLIT_OVER, LEAF = 4096, 8
+SPLIT_OVER = 4096
 #: similar_groups: texts at a Jaccard similarity of 0.8 differ in 15 % of the bits (9.7 of 64, deviation 2.9). One fingerprint's shards (2 of 8 blocks) bring such a pair
 #: together in 68 % of cases, PRINTS of them in over 99 %. Bounds: bits of one fingerprint, of two, of all; they lie over three deviations above the mean.
 PRINTS, BLOCK_RADIUS, OWN_BITS, PAIR_BITS, ALL_BITS, DEAL = 5, 6, 22, 38, 100, 8
@@ -179,47 +179,60 @@ def shard_keys(value, radius: int, agree: int, level: int = 0):
     return F.array(*[F.xxhash64(F.lit(100 * level + k), *[part[i] for i in own]) for k, own in enumerate(combinations(range(len(cut)), agree))])
 
 
+def shards(batches: Iterator, columns: int) -> Iterator:
+    """The columns of each shard with two rows or more; rows come sorted by their first column, the shard."""
+    import numpy as np
+
+    held: list = [np.zeros(0, np.int64)] * columns
+    for batch in (*batches, None):
+        cols = held if batch is None else [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
+        if not len(cols[0]):
+            continue
+        last = len(cols[0]) if batch is None else int(np.searchsorted(cols[0], cols[0][-1]))  # the last shard waits for the next batch
+        shard = cols[0][:last]
+        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if last else np.zeros(1, np.int64)
+        big = np.flatnonzero(np.diff(cuts) > 1)
+        for lo, hi in zip(cuts[big].tolist(), cuts[big + 1].tolist()):
+            yield [c[lo:hi] for c in cols[1:]]
+        held = [c[last:] for c in cols]
+
+
+def pair_batches(pairs: Iterator, rows: int = 100_000) -> Iterator:
+    """(a, b) arrays as Arrow batches of about `rows`."""
+    import numpy as np
+    import pyarrow as pa
+
+    a, b, n = [], [], 0
+    for x, y in pairs:
+        a.append(x)
+        b.append(y)
+        n += len(x)
+        if n >= rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            a, b, n = [], [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
     """Links (a, b) between ids of nodes (id, fingerprint; fingerprints distinct) that give the components of distance <= radius."""
-    count = nodes.count()
-    agree = 2 if count < 1 << 22 else 3 if count < 1 << 28 else 4  # longer keys for more nodes keep the shards small
-    dealt = nodes.select("id", "fingerprint", F.explode(shard_keys(F.col("fingerprint"), radius, agree)).alias("shard"))
+    dealt = nodes.select("id", "fingerprint", F.explode(shard_keys(F.col("fingerprint"), radius, 1)).alias("shard"))
     sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     many = stored(dealt.join(sizes, "shard"), "fingerprint-shards")
     small = many.where(F.col("n") <= split_over).select("shard", "id", "fingerprint")
     # Large shards go on by the other cut's choices: what is within the radius agrees there too.
-    large = many.where(F.col("n") > split_over).select("id", "fingerprint", F.explode(shard_keys(F.col("fingerprint"), radius, agree, 1)).alias("second"), "shard")
+    large = many.where(F.col("n") > split_over).select("id", "fingerprint", F.explode(shard_keys(F.col("fingerprint"), radius, 2, 1)).alias("second"), "shard")
     large = large.select(F.xxhash64("shard", "second").alias("shard"), "id", "fingerprint")
 
-    def trees(it: Iterator) -> Iterator:
+    def trees(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
-        held: list = [np.zeros(0, np.int64)] * 3
-
-        def done(shard, ids, f):
-            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
-            size = np.diff(cuts)
-            leaf = np.repeat(size <= LEAF, size)
-            a, b = [], []
-            for k in range(1, LEAF):  # shards of a leaf's size: rows k apart, all shards at once
-                near = leaf[k:] & (shard[k:] == shard[:-k]) & (np.bitwise_count(f[k:] ^ f[:-k]) <= radius)
-                a += ids[:-k][near].tolist()
-                b += ids[k:][near].tolist()
-            for lo, hi in zip(cuts[:-1][size > LEAF].tolist(), cuts[1:][size > LEAF].tolist()):
-                for x, y in forest(f[lo:hi], radius):
-                    a.append(ids[lo + x])
-                    b.append(ids[lo + y])
-            return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
-
-        for batch in it:  # rows come sorted by shard; the last shard of a batch waits for the next
-            cols = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-            if not len(cols[0]):
-                continue
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            yield done(cols[0][:last], cols[1][:last], cols[2][:last].view(np.uint64))
-            held = [c[last:] for c in cols]
-        yield done(held[0], held[1], held[2].view(np.uint64))
+        def linked():
+            for ids, prints in shards(batches, 3):
+                found = np.array(forest(prints.view(np.uint64), radius), np.int64).reshape(-1, 2)
+                yield ids[found[:, 0]], ids[found[:, 1]]
+
+        yield from pair_batches(linked())
 
     return small.unionByName(large).repartition("shard").sortWithinPartitions("shard").mapInArrow(trees, "a long, b long").distinct()
 
@@ -290,13 +303,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
     keys = F.flatten(F.array(*[dealt_by(k) for k in range(PRINTS)]))
     dealt = nodes.select("id", *(["component"] if every else []), F.explode(keys).alias("k")).select("k.shard", "id", "k.one", "k.two", *(["component"] if every else []))
 
-    def compared(it: Iterator) -> Iterator:
+    def compared(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
-        held: list = [np.zeros(0, np.int64)] * (5 if every else 4)
-
-        def shard_pairs(ids, one, two):
+        def near(ids, one, two):
             """Places (x, y) of a shard's members within the bounds, by its tree: every pair, or each member and the least that is near it."""
             values, which, times = np.unique(one, return_inverse=True, return_counts=True)
             tree, members, first = BKTree(values), np.argsort(which, kind="stable"), np.cumsum(times) - times
@@ -314,37 +324,15 @@ def candidates(nodes: DataFrame) -> DataFrame:
                 x, at = np.unique(x[order], return_index=True)
                 yield x, y[order][at]
 
-        def done(cols):
-            shard, ids, one, two = cols[0], cols[1], cols[2].view(np.uint64), cols[3].view(np.uint64)
-            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
-            size = np.diff(cuts)
-            leaf = np.repeat(size <= LEAF, size)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        def found():
+            for ids, one, two, *component in shards(batches, 5 if every else 4):
+                for x, y in near(ids, one.view(np.uint64), two.view(np.uint64)):
+                    if every:
+                        unlike = component[0][x] != component[0][y]
+                        x, y = x[unlike], y[unlike]
+                    yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
 
-            def keep(x, y):
-                if every:
-                    unlike = cols[4][x] != cols[4][y]
-                    x, y = x[unlike], y[unlike]
-                a.append(np.minimum(ids[x], ids[y]))
-                b.append(np.maximum(ids[x], ids[y]))
-
-            for k in range(1, LEAF):  # shards of a leaf's size: rows k apart, all shards at once
-                own = np.bitwise_count(one[k:] ^ one[:-k])
-                x = np.flatnonzero(leaf[k:] & (shard[k:] == shard[:-k]) & (own <= OWN_BITS) & (own + np.bitwise_count(two[k:] ^ two[:-k]) <= PAIR_BITS))
-                keep(x, x + k)
-            for lo, hi in zip(cuts[:-1][size > LEAF].tolist(), cuts[1:][size > LEAF].tolist()):
-                for x, y in shard_pairs(ids[lo:hi], one[lo:hi], two[lo:hi]):
-                    keep(x + lo, y + lo)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-        for batch in it:  # rows come sorted by shard; the last shard of a batch waits for the next
-            cols = [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
-            if not len(cols[0]):
-                continue
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            yield done([c[:last] for c in cols])
-            held = [c[last:] for c in cols]
-        yield done(held)
+        yield from pair_batches(found())
 
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(compared, "a long, b long").distinct()
 

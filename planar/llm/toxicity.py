@@ -1,16 +1,17 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Features are words and word beginnings (4 and 5 bytes) that the labels select by chi-squared. The examples are a bounded
-sample of the labelled training rows, up to EXAMPLES of each label. Their TF-IDF vectors form an inverted index whose
-postings lie in blocks of examples; a term keeps the greatest weight of each block. A query adds these into an upper
-bound for each block, scores blocks in descending order of the bound and stops when no block can reach the k-th neighbour, so
-the neighbours are those of a full scan. Votes are weighted by similarity and by how many rows an example of its label stands
-for; a prior vote of documents without any feature calibrates weak evidence.
-
-Defined results: null and empty texts, and texts without a feature, have no neighbours and get the share of label 1 among training rows without
-features; ties in similarity go to the example first in the index; repeated rows are scored one by one; labels of a document count as their mean, of at
-least a half for label 1; without examples of both labels every score is the share of label 1 (0 without labels); an empty table gives an empty
-result; columns other than doc_id and text are not read.
+Features are words and word beginnings (4 and 5 bytes). The examples are a bounded sample of the labelled training rows, up to EXAMPLES of each label, and every
+feature that at least LEAST_EXAMPLES of them have is indexed. A feature's weight is its idf times FLOOR plus the log odds ratio by which it
+leans to either label, as far as that exceeds ERRORS standard errors; features that lean by less than LEAST_LEAN and are in over COMMON of the
+examples have weight 0. The inverted index keeps postings by feature and block of examples, with the greatest weight of each. A query adds these into an
+upper bound for each block, scores the blocks with the greatest bounds, then all whose bound reaches the k-th neighbour found, so
+the neighbours are those of a full scan. Votes are weighted by squared similarity and by how many rows an example of its label stands
+for; a prior vote of the share of label 1 calibrates weak evidence.
+
+Defined results: null and empty texts, and texts without an indexed feature, have no neighbours and get the share of label 1 among
+training rows; ties in similarity go to the example first in the index; repeated rows are scored one by one; labels of a document count as
+their mean, of at least a half for label 1; without examples of both labels every score is the share of label 1 (0 without labels); an
+empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from planar.llm.common import held_out, stored, text_bytes
 from planar.llm.quality import train_labels
 
-EXAMPLES, FEATURES, LEAST_CHI2, NEIGHBOURS, BLOCK, PRIOR_VOTE = 4096, 384, 25.0, 15, 64, 0.05
-THRESHOLD = 0.3
+EXAMPLES, LEAST_EXAMPLES, COMMON, LEAST_LEAN, ERRORS, FLOOR = 2048, 2, 0.03, 1.0, 2.5, 0.03
+NEIGHBOURS, BLOCK, PRIOR_VOTE = 15, 64, 0.05
+FIRST_BLOCKS, THRESHOLD = 4, 0.3
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -33,14 +35,16 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().translate(_PLAIN).split()
 
 
-def features(text: bytes) -> Counter:
+def features(text: bytes) -> dict[bytes, int]:
     """Counts of words and of their beginnings, the latter marked by ^ and their length."""
-    w = Counter(words(text))
-    found = Counter(w)
-    for x, n in w.items():
-        for size in (4, 5):
-            if len(x) > size:
-                found[b"^%d" % size + x[:size]] += n
+    found = dict(Counter(words(text)))
+    for x, n in list(found.items()):
+        if len(x) > 4:
+            f = b"^4" + x[:4]
+            found[f] = found.get(f, 0) + n
+            if len(x) > 5:
+                f = b"^5" + x[:5]
+                found[f] = found.get(f, 0) + n
     return found
 
 
@@ -56,62 +60,68 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(texts.select("doc_id", "text", "label", "weight"), "toxic-sample")
 
 
-def chosen(examples: DataFrame) -> list[bytes]:
-    """The features whose presence goes with label 1 most, by chi-squared over the examples."""
+def leaning(n0, n1, m0: int, m1: int):
+    """By how many units the log odds ratio of features in n0 of m0 and n1 of m1 examples exceeds ERRORS standard errors."""
+    import numpy as np
 
-    def seen(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    cells = [n1 + 0.5, m1 - n1 + 0.5, n0 + 0.5, m0 - n0 + 0.5]
+    ratio = np.log(cells[0] * cells[3] / (cells[1] * cells[2]))
+    return np.maximum(np.abs(ratio) - ERRORS * np.sqrt(sum(1 / x for x in cells)), 0)
 
-        for b in batches:
-            n: dict = {}
-            for t, label in zip(text_bytes(b.column(0)), b.column(1).to_pylist()):
-                for f in features(t):
-                    n.setdefault(f, [0, 0])[label] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())], names=["f", "n0", "n1"])
-
-    total = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
-    m0, m1 = total.get(0, 0), total.get(1, 0)
-    if not m0 or not m1:
-        return []
-    counted = examples.select("text", "label").mapInArrow(seen, "f binary, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
-    n = float(m0 + m1)
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi2 = n * F.pow(b * (m0 - a) - a * (m1 - b), 2) / (m0 * m1 * (a + b) * (n - a - b + 1e-9))
-    kept = counted.withColumn("chi2", chi2).where((F.col("b") / m1 > 2 * F.col("a") / m0) & (F.col("chi2") >= LEAST_CHI2) & (F.col("b") >= 3))
-    return [bytes(r["f"]) for r in kept.orderBy(F.desc("chi2"), "f").limit(FEATURES).collect()]
+
+def spans(first, size):
+    """The places of runs that begin at `first` and have `size` members, one run after the other."""
+    import numpy as np
+
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 class Index:
-    """The block-max inverted index of the examples."""
+    """The block-max inverted index of examples (doc_id, counts of features, label, weight)."""
 
-    def __init__(self, rows: list[tuple[int, dict, int, float]], terms: list[bytes]):
+    def __init__(self, rows: list[tuple]):
         import numpy as np
 
-        self.place = {f: k for k, f in enumerate(terms)}
-        rows = [r for r in rows if r[1]]
-        df = Counter(f for _, v, _, _ in rows for f in v)
-        self.idf = np.array([1 + np.log((len(rows) + 1) / (df[f] + 1)) for f in terms])
-        vectors = [self.vector(v) for _, v, _, _ in rows]
-        order = sorted(range(len(rows)), key=lambda k: (int(vectors[k][0][np.argmax(vectors[k][1])]), k))  # alike examples share blocks
-        self.ids = [rows[k][0] for k in order]
-        self.labels = np.array([rows[k][2] for k in order], float)
-        self.weights = np.array([rows[k][3] for k in order], float)
+        seen: dict = {}
+        for _, counts, label, _ in rows:
+            for f in counts:
+                seen.setdefault(f, [0, 0])[label] += 1
+        m1 = sum(label for _, _, label, _ in rows)
+        some = {f: n for f, n in seen.items() if sum(n) >= LEAST_EXAMPLES}
+        n0, n1 = np.array(list(some.values()) or [[0, 0]], float).T[:, : len(some)]
+        lean = leaning(n0, n1, len(rows) - m1, m1)
+        weight = np.log((len(rows) + 1) / (n0 + n1 + 1)) * (lean + FLOOR)
+        weight[(lean < LEAST_LEAN) & (n0 + n1 > COMMON * len(rows))] = 0
+        names = sorted(f for f, x in zip(some, weight.tolist()) if x > 0)
+        self.place, all_ = {f: k for k, f in enumerate(names)}, dict(zip(some, weight.tolist()))
+        self.weight = np.array([all_[f] for f in names])
+        vectors = [self.vector(counts) for _, counts, _, _ in rows]
+        top = [int(t[np.argmax(x)]) if len(t) else -1 for t, x in vectors]
+        order = sorted((k for k in range(len(rows)) if len(vectors[k][0])), key=lambda k: (rows[k][2], top[k], k))  # alike examples share blocks
+        self.ids, self.labels, self.weights = [rows[k][0] for k in order], np.array([rows[k][2] for k in order], float), np.array([rows[k][3] for k in order], float)
         self.blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((len(terms), self.blocks))
-        lists: list = [[] for _ in terms]
-        for n, k in enumerate(order):
-            for t, x in zip(*vectors[k]):
-                lists[t].append((n, x))
-                self.most[t, n // BLOCK] = max(self.most[t, n // BLOCK], x)
-        self.docs = [np.array([n for n, _ in p], np.int64) for p in lists]
-        self.parts = [np.array([x for _, x in p]) for p in lists]
-        self.starts = [np.searchsorted(d, np.arange(self.blocks + 1) * BLOCK) for d in self.docs]
+        term = np.concatenate([np.zeros(0, np.int64)] + [vectors[k][0] for k in order])
+        part = np.concatenate([np.zeros(0)] + [vectors[k][1] for k in order])
+        doc = np.repeat(np.arange(len(order)), [len(vectors[k][0]) for k in order])
+        by = np.lexsort((doc, term))
+        term, self.docs, self.parts = term[by], doc[by].astype(np.int32), part[by]
+        # Runs of postings of one feature in one block: the block, the first posting, the greatest weight; and the runs of each feature.
+        run = term * max(self.blocks, 1) + self.docs // BLOCK
+        self.run_first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+        self.run_block = (self.docs[self.run_first] // BLOCK).astype(np.int32)
+        self.run_most = np.maximum.reduceat(self.parts, self.run_first) if len(run) else np.zeros(0)
+        self.run_size = np.diff(np.append(self.run_first, len(run)))
+        self.term_runs = np.searchsorted(term[self.run_first], np.arange(len(names) + 1))
 
     def vector(self, counts: dict):
+        """Places of the indexed features and their weights in a unit vector."""
         import numpy as np
 
-        t = np.array([self.place[f] for f in counts], np.int64)
-        x = (1 + np.log(np.array(list(counts.values()), float))) * self.idf[t]
+        own = [(self.place[f], n) for f, n in counts.items() if f in self.place]
+        if not own:
+            return np.zeros(0, np.int64), np.zeros(0)
+        t, n = np.array(own, np.int64).T
+        x = (1 + np.log(n)) * self.weight[t]
         return t, x / np.sqrt(np.square(x).sum())
 
     def nearest(self, counts: dict, k: int = NEIGHBOURS):
@@ -119,21 +129,33 @@ class Index:
         import numpy as np
 
         terms, x = self.vector(counts)
-        bound = x @ self.most[terms]
-        best, similar, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < least - 1e-12:
-                break
-            own = np.zeros(BLOCK)
-            for t, q in zip(terms.tolist(), x.tolist()):
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                own[self.docs[t][lo:hi] - b * BLOCK] += q * self.parts[t][lo:hi]
-            hit = np.flatnonzero(own)
-            best, similar = np.concatenate([best, hit + b * BLOCK]), np.concatenate([similar, own[hit]])
-            top = np.lexsort((best, -np.round(similar, 12)))[:k]
-            best, similar = best[top], similar[top]
-            least = similar[-1] if len(best) == k else 0.0
-        return best, similar
+        if not len(terms) or not self.blocks:
+            return np.zeros(0, np.int64), np.zeros(0)
+        n = self.term_runs[terms + 1] - self.term_runs[terms]
+        runs, own = spans(self.term_runs[terms], n), np.repeat(x, n)
+        bound = np.bincount(self.run_block[runs], own * self.run_most[runs], self.blocks)
+        similar = np.zeros(self.blocks * BLOCK)
+
+        def add(blocks):
+            chosen = np.zeros(self.blocks, bool)
+            chosen[blocks] = True
+            on = chosen[self.run_block[runs]]
+            size = self.run_size[runs[on]]
+            at = spans(self.run_first[runs[on]], size)
+            similar[:] += np.bincount(self.docs[at], np.repeat(own[on], size) * self.parts[at], len(similar))
+
+        first = np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else np.arange(self.blocks)
+        add(first)
+        least = np.partition(similar, -k)[-k] if len(similar) >= k else 0.0
+        bound[first] = -1.0
+        rest = np.flatnonzero(bound >= max(least - 1e-12, 1e-300))
+        if len(rest):
+            add(rest)
+        found = np.flatnonzero(similar)
+        if len(found) > k:
+            found = found[similar[found] >= np.partition(similar[found], -k)[-k] - 1e-12]
+        best = found[np.lexsort((found, -np.round(similar[found], 12)))[:k]]
+        return best, similar[best]
 
 
 def vote(index: Index, none: float, counts: dict):
@@ -146,55 +168,19 @@ def vote(index: Index, none: float, counts: dict):
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence of each document."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     examples = sample(docs, labels)
-    terms = chosen(examples)
-    wanted = frozenset(terms)
-
-    def vectors(texts: list[bytes]) -> Iterator[dict]:
-        for t in texts:
-            w = words(t)
-            own = set(w)
-            hit = {x for x in own if x in wanted or b"^4" + x[:4] in wanted or b"^5" + x[:5] in wanted}
-            n: dict = {}
-            for x in w if hit else ():
-                if x in hit:
-                    for f in (x, b"^4" + x[:4] if len(x) > 4 else b"", b"^5" + x[:5] if len(x) > 5 else b""):
-                        if f in wanted:
-                            n[f] = n.get(f, 0) + 1
-            yield n
-
-    def encoded(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for b in batches:
-            v = list(vectors(text_bytes(b.column(1))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(x) for x in v], pa.list_(pa.binary())), pa.array([list(x.values()) for x in v], pa.list_(pa.int64())), b.column(2), b.column(3)], names=["doc_id", "f", "n", "label", "weight"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    held = examples.mapInArrow(encoded, f"doc_id {kind}, f array<binary>, n array<long>, label int, weight double").collect()  # at most 2 * EXAMPLES rows of chosen features
-    index = Index([(r["doc_id"], {bytes(f): n for f, n in zip(r["f"], r["n"])}, r["label"], r["weight"]) for r in sorted(held, key=lambda r: r["doc_id"])], terms)
-    bare = [0.0, 0.0]
-    for r in held:
-        if not r["f"]:
-            bare[r["label"]] += r["weight"]
-    none = bare[1] / sum(bare) if sum(bare) else 0.0
+    held = sorted(examples.collect(), key=lambda r: r["doc_id"])  # at most 2 * EXAMPLES texts
+    weights = [sum(r["weight"] for r in held if r["label"] == c) for c in (0, 1)]
+    none = weights[1] / sum(weights) if sum(weights) else 0.0
+    index = Index([(r["doc_id"], features((r["text"] or "").encode("utf-8", "replace")), r["label"], r["weight"]) for r in held] if all(weights) else [])
+    sent = spark.sparkContext.broadcast(index)  # bounded by the examples' texts
 
     def scored(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known: dict = {}
         for b in batches:
-            out = []
-            for n in vectors(text_bytes(b.column(1))):
-                if not n or not index.blocks:
-                    out.append((none, []))
-                    continue
-                key = tuple(sorted(n.items()))
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[key] = vote(index, none, n)
-                out.append(known[key])
+            out = [vote(sent.value, none, features(t)) for t in text_bytes(b.column(1))]
             evidence = pa.array([e for _, e in out], pa.list_(pa.struct([("doc_id", b.column(0).type), ("similarity", pa.float64()), ("toxic", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in out], pa.float64()), evidence], names=["doc_id", "score", "evidence"])
 

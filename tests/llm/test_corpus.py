@@ -156,10 +156,29 @@ def test_levels_survive_the_file(tmp_path):
     c = got.context(np.array([4, 9, 5], np.uint64))
     assert c.tolist() == [0, 1, -1] and got.counts.tolist() == [5, 4] and got.types.tolist() == [1, 2]
     assert [x.tolist() for x in got.range(c[:2])] == [[0, 1], [1, 3]]
-    code = got.code(c[[1, 1, 0, 2]], np.array([3, 2, 3, 3], np.uint64))
+    code = got.code(c[[1, 0, 2]], np.array([2, 1, 1]), np.array([3, 2, 3, 3], np.uint64))
     assert code.tolist()[1:] == [0, int(code[2]), 0] and 2 ** (-float(code[0]) / lm.STEPS) == pytest.approx(2.25 / 4, rel=1e-3)
 
 
+def test_successors_are_found_by_the_pointers_only():
+    """Against a dictionary; and other pointers find other words, so the search does depend on them."""
+    rnd = np.random.default_rng(5)
+    u, w = rnd.integers(0, 40, 900, dtype=np.uint64), rnd.integers(0, 60, 900, dtype=np.uint64)
+    n = rnd.integers(1, 5, 900)
+    levels = lm.Levels.build(u, w, n, {})
+    asked = np.arange(62, dtype=np.uint64)
+    c = levels.context(np.arange(42, dtype=np.uint64))
+    code = levels.code(c, np.full(42, 62), np.tile(asked, 42)).reshape(42, 62)
+    count = np.zeros((42, 62))
+    np.add.at(count, (u.astype(int), w.astype(int)), n)
+    assert ((code > 0) == (count > 0)).all()
+    p = np.exp2(-code.astype(float) / lm.STEPS)[count > 0]
+    assert p == pytest.approx(((count - lm.DISCOUNT) / np.maximum(count.sum(1), 1)[:, None])[count > 0], rel=1e-3)
+    shifted = levels.parts["pointers"].access(np.arange(41)).astype(np.int64) + 1
+    levels.parts["pointers"] = EliasFano.encode(np.minimum(shifted, len(levels.codes)), len(levels.codes) + 1)
+    assert ((levels.code(c, np.full(42, 62), np.tile(asked, 42)).reshape(42, 62) > 0) != (count > 0)).any()
+
+
 @pytest.mark.parametrize("hot", [lm.HOT, 8])
 def test_scores(spark, monkeypatch, hot):
     monkeypatch.setattr(lm, "HOT", hot)
@@ -195,7 +214,7 @@ def test_the_model_sums_to_one(spark):
     u = np.array([9] * len(w), np.uint64)
     levels = lm.Levels.build(u, np.array(w, np.uint64), np.ones(len(w), np.int64), {})
     c = levels.context(np.array([9] * 3, np.uint64))
-    alpha = np.exp2(-levels.code(c, np.array([1, 2, 3], np.uint64)).astype(float) / lm.STEPS)
+    alpha = np.exp2(-levels.code(c[:1], np.array([3]), np.array([1, 2, 3], np.uint64)).astype(float) / lm.STEPS)
     assert alpha.sum() + lm.DISCOUNT * levels.types[0] / levels.counts[0] == pytest.approx(1, rel=1e-3)
 
 

@@ -1,7 +1,9 @@
 """Rules, quality, toxicity, mixing: edge cases, ties, empty tables, clashing columns."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def test_quality_separates_and_handles_edges(spark):
     rnd = random.Random(2)
     rows = [(k, prose(rnd, rnd.randint(30, 300), ("repeat", "symbols")[k % 2] if k % 4 == 0 else None), "s") for k in range(400)]
     labels = spark.createDataFrame([(k, 0 if k % 4 == 0 else 1, 0) for k in range(400)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
-    d = docs(spark, rows + [(1000, None, None), (1001, "", "x"), (None, "a", "x"), (3, rows[3][1], "s")])
+    d = docs(spark, rows + [(1000, None, None), (1001, "", "x"), (None, "a b. " * 60_000, "x"), (3, rows[3][1], "s")])
     got = quality.classify(d, labels).collect()
     assert len(got) == 404 and all(0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.held_out and r.doc_id < 400]
@@ -74,20 +76,69 @@ def test_quality_separates_and_handles_edges(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect() if r.doc_id and r.doc_id < 400} == {r.doc_id for r in got if r.predicted and r.doc_id and r.doc_id < 400}
 
 
-def test_nearest_examples_equal_a_full_scan():
+def test_quality_equals_the_gaussians(spark):
+    """The score from the definition: shrunk covariances by hand, densities by inverse and determinant."""
+    rnd = random.Random(12)
+    rows = [(k, prose(rnd, rnd.randint(5, 200), ("repeat", "symbols", None)[k % 3]) + "\n" * (k % 4) + prose(rnd, 3), "s") for k in range(150)]
+    labels = [(k, int(k % 5 > 1), 0) for k in range(150)]
+    got = {r.doc_id: r.score for r in quality.classify(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    x = quality.statistics([t.encode() for _, t, _ in rows])
+    train = np.array([zlib.crc32(str(k).encode()) % 4 != 2 for k in range(150)])
+    y = np.array([q for _, q, _ in labels])
+    parts = [x[train & (y == c)] for c in (0, 1)]
+    cov = [np.cov(p.T, bias=True) for p in parts]
+    pooled = sum(len(p) * c for p, c in zip(parts, cov)) / train.sum()
+    density = []
+    for p, c in zip(parts, cov):
+        s = (1 - quality.DIAGONAL) * ((1 - quality.SHRINK) * c + quality.SHRINK * pooled) + quality.DIAGONAL * np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(c))
+        z = x - p.mean(0)
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z) + np.linalg.slogdet(s)[1]))
+    odds = np.log(len(parts[1]) / len(parts[0]))
+    want = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / quality.TEMPERATURE + odds, -40, 40)))
+    assert [got[k] for k in range(150)] == pytest.approx(want.tolist(), rel=1e-6, abs=1e-9)
+
+
+def test_nearest_examples_equal_a_full_scan(monkeypatch):
+    """Through texts, features and weights: cosines of all examples, ties to the first; and the vote from its definition."""
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
     rnd = random.Random(4)
-    terms = [b"t%d" % k for k in range(12)]
-    rows = [(k, {t: rnd.randint(1, 4) for t in rnd.sample(terms, rnd.randint(1, 5))}, k % 2, 1.0) for k in range(400)]
-    index = toxicity.Index(rows, terms)
-    full = {}
-    for place, i in enumerate(index.ids):
-        full[place] = dict(zip(*[x.tolist() for x in index.vector(rows[i][1])]))
+    names = [prose(rnd, 1).strip(".") for _ in range(300)]
+    text = lambda: " ".join(rnd.choice(names[: rnd.choice([5, 60, 300])]) for _ in range(rnd.randint(0, 25))).encode()
+    rows = [(k, toxicity.features(text()), int(k % 3 == 0), 1.0 + k % 2) for k in range(400)]
+    rows += [(500 + k, dict(rows[k][1]), rows[k][2], 1.0) for k in range(20)]
+    index = toxicity.Index(rows)
+    some = {f for f in {f for r in rows for f in r[1]} if sum(f in r[1] for r in rows) >= toxicity.LEAST_EXAMPLES}
+    assert set(index.place) <= some and index.blocks > 40
+    assert all(sum(f in r[1] for r in rows) > toxicity.COMMON * len(rows) for f in some - set(index.place))
+    by = {r[0]: r for r in rows}
+    full = {p: dict(zip(*[x.tolist() for x in index.vector(by[i][1])])) for p, i in enumerate(index.ids)}
     for _ in range(60):
-        q = {t: rnd.randint(1, 3) for t in rnd.sample(terms, rnd.randint(1, 6))}
+        q = toxicity.features(text())
         own = dict(zip(*[x.tolist() for x in index.vector(q)]))
-        scored = sorted(((-round(sum(x * v.get(t, 0) for t, x in own.items()), 12), p) for p, v in full.items()))[:15]
+        scored = [x for x in sorted((-round(sum(x * v.get(t, 0) for t, x in own.items()), 12), p) for p, v in full.items()) if x[0] < 0][:15]
         best, similar = index.nearest(q)
-        assert best.tolist() == [p for s, p in scored if s < 0] and similar.tolist() == pytest.approx([-s for s, _ in scored if s < 0])
+        assert best.tolist() == [p for _, p in scored] and similar.tolist() == pytest.approx([-s for s, _ in scored])
+        votes = [(by[index.ids[p]][3] * s * s, by[index.ids[p]][2]) for s, p in scored]
+        want = (sum(w for w, y in votes if y) + toxicity.PRIOR_VOTE * 0.1) / (sum(w for w, _ in votes) + toxicity.PRIOR_VOTE)
+        assert toxicity.vote(index, 0.1, q)[0] == pytest.approx(want)
+
+
+def test_scores_are_calibrated(spark):
+    """Where labels are noisy, the mean score of held-out documents in a band is near their share of label 1, and no lean is one-sided."""
+    rnd = random.Random(14)
+    rows, labels = [], []
+    for k in range(1500):
+        kind = k % 3  # bad words: toxic in 9 of 10; doubtful ones: in 3 of 10; kind ones: in 1 of 30
+        mark = (["moron", "scum"], ["sucks", "darn"], ["thanks", "please"])[kind]
+        rows.append((k, prose(rnd, 20) + " " + " ".join(mark) + " " + prose(rnd, 10), "s"))
+        labels.append((k, 1, int(rnd.random() < (0.9, 0.3, 0.03)[kind])))
+    got = toxicity.scores(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    truth = {k: y for k, _, y in labels}
+    for kind in range(3):
+        own = [r for r in got if r.doc_id % 3 == kind]
+        assert abs(sum(r.score for r in own) - sum(truth[r.doc_id] for r in own)) < 0.15 * len(own)
+    means = [sum(r.score for r in got if r.doc_id % 3 == kind) for kind in range(3)]
+    assert means[0] > means[1] > means[2]
 
 
 def test_toxicity(spark):
@@ -100,7 +151,7 @@ def test_toxicity(spark):
     by = {r.doc_id: r for r in got}
     held = [r for r in got if r.held_out and r.doc_id < 500]
     assert all(r.predicted == (r.doc_id % 5 == 0) for r in held) and len(held) > 50
-    assert by[900].score < 0.1 and by[901].predicted == 1 and by[None].predicted == 1
+    assert by[900].score < 0.3 and by[901].predicted == 1 and by[None].predicted == 1
     assert by[5].evidence and by[5].evidence[0].toxic == 1
     assert toxicity.scores(d, labels.where("false")).where("score <> 0").count() == 0
     assert toxicity.scores(d.where("false"), labels).count() == 0
