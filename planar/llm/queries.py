@@ -8,23 +8,27 @@ from planar.llm import chat, decontamination, lm, mixing, quality, rules, simhas
 from planar.llm.common import stored, table
 
 MIX_SQL = r"""
-WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, source, md5(coalesce(text, '')) AS tie,
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, 2e0 * source_size AS top, CASE (row_number() OVER (ORDER BY source NULLS LAST)) % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
+w AS (SELECT *, 2e0 * source_size AS top, CASE (row_number() OVER (ORDER BY source NULLS LAST)) % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS weight,
+  row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
 l AS (SELECT *, row_number() OVER f AS place,
   (1.5e0 * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(top) OVER (ORDER BY top / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
   / ((sum(weight) OVER ())::DOUBLE - coalesce(sum(weight) OVER (ORDER BY top / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) AS lv
   FROM w WINDOW f AS (ORDER BY top / weight, rank)),
 o AS (SELECT *, (SELECT arg_min(lv, place) FROM l WHERE top > weight * lv) AS level FROM l),
-t AS (SELECT source, coalesce('s' || source, 'n') AS key, source_size, CASE WHEN level IS NULL THEN top ELSE least(weight * level, top) END AS target, greatest(1, ceil(source_size / 262144))::BIGINT AS streams FROM o),
-f AS (SELECT d.*, t.key, coalesce(((doc_id % streams) + streams) % streams, 0) AS stream FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0),
+t AS (SELECT source, coalesce('s' || source, 'n') AS key, source_size, CASE WHEN level IS NULL THEN top ELSE least(weight * level, top) END AS target,
+  greatest(1, ceil(source_size / 262144))::BIGINT AS streams FROM o),
+f AS (SELECT d.*, t.key, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'none') || '/' || tie), 1, 8))::BIGINT % streams AS stream
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0),
 g AS (SELECT key, stream, ceil(sum(size) / 64)::BIGINT AS blocks FROM f GROUP BY key, stream),
 h AS (SELECT *, sum(blocks) OVER (PARTITION BY key ORDER BY stream) - blocks AS base FROM g),
-n AS (SELECT t.key, b.blocks, least(floor(target * b.blocks / source_size + 0.5e0), b.blocks * 2)::BIGINT AS slots FROM t JOIN (SELECT key, sum(blocks)::BIGINT AS blocks FROM g GROUP BY key) b USING (key)),
-x AS (SELECT key, blocks, j AS slot, j // blocks AS pass FROM (SELECT key, blocks, unnest(range(slots)) AS j FROM n)),
-p AS (SELECT *, ('0x' || substr(md5(key || '/1/' || pass), 1, 8))::BIGINT AS u, ('0x' || substr(md5(key || '/1/' || pass || '/offset'), 1, 8))::BIGINT AS c FROM x),
-q AS (SELECT *, [1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121][u % 8 + 1] AS a0, [1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121][(u + 1) % 8 + 1] AS a1 FROM p),
-k AS (SELECT key, ((CASE WHEN blocks % a0 = 0 THEN a1 ELSE a0 END) * (slot % blocks) + c) % blocks AS block, count(*) AS times FROM q GROUP BY ALL),
+n AS (SELECT t.key, b.blocks, least(floor(target * b.blocks / source_size + 0.5e0), b.blocks * 2)::BIGINT AS slots
+  FROM t JOIN (SELECT key, sum(blocks)::BIGINT AS blocks FROM g GROUP BY key) b USING (key)),
+p AS (SELECT key, slots - pass * blocks AS reach, pass, unnest(range(blocks)) AS block FROM (SELECT *, unnest([0, 1]) AS pass FROM n)),
+q AS (SELECT key, block, reach, row_number() OVER (PARTITION BY key, pass ORDER BY ('0x' || substr(md5(key || '/1/' || pass || '/' || block), 1, 8))::BIGINT, block) AS place FROM p WHERE reach > 0),
+k AS (SELECT key, block, count(*) AS times FROM q WHERE place <= reach GROUP BY ALL),
 y AS (SELECT f.r, f.key, f.size, h.base, sum(size) OVER (PARTITION BY f.key, f.stream ORDER BY doc_id, r ROWS UNBOUNDED PRECEDING) - size AS s0 FROM f JOIN h ON f.key = h.key AND f.stream = h.stream),
 e AS (SELECT r, key, base, s0, size, unnest(range((s0 // 64)::BIGINT, ((s0 + size - 1) // 64)::BIGINT + 1)) AS b0 FROM y),
 v AS (SELECT e.r, sum((least(s0 + size, (b0 + 1) * 64) - greatest(s0, b0 * 64)) * times)::BIGINT AS taken FROM e JOIN k ON e.key = k.key AND k.block = e.base + e.b0 GROUP BY e.r)

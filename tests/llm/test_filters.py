@@ -1,5 +1,6 @@
 """Rules, quality, toxicity, mixing: edge cases, ties, empty tables, clashing columns."""
 
+import collections
 import random
 import zlib
 
@@ -205,6 +206,37 @@ def test_mixed_documents_hold_what_is_taken(spark):
     assert all(w.startswith(f"d{k}w") for k, v in got.items() for w in v)
 
 
+def test_the_draw_decides_what_is_taken(spark, monkeypatch):
+    """Shard counts add up to the sources' slots and vary as a draw does; passes are permutations; blocks by shard hold what taken() reports; and another draw takes otherwise."""
+    rnd = random.Random(16)
+    d = docs(spark, [(k if k % 7 else None, " ".join(f"d{k}w{j}" for j in range(rnd.choice([0, 1, 70, 4000]))), f"s{k % 3}") for k in range(60)] + [(None, None, None), (5, "é " * 30_000, "s1")])
+    m = mixing.mix(d, shard_words=4000)
+    draw = {(r.key, r.shard): (r["count"], r.first) for r in m["draw"].collect()}
+    slots = m["slots"].collect()
+    assert len(slots) == sum(n for n, _ in draw.values()) and len({s for _, s in draw}) > 10
+    for key in {k for k, _ in draw}:
+        own = sorted(r.slot for r in slots if r.key == key)
+        assert own == list(range(len(own)))
+        blocks = [r.block for r in sorted((r for r in slots if r.key == key), key=lambda r: r.slot)]
+        n = max(blocks) + 1
+        assert sorted(blocks[:n]) == list(range(n))[: len(blocks)] or len(blocks) < n and len(set(blocks)) == len(blocks)
+        assert blocks[:n] != sorted(blocks[:n]) or n < 3
+        share = len(own) / len({s for _, s in draw})
+        counts = [draw.get((key, s), (0, 0))[0] for s in {s for _, s in draw}]
+        assert len(own) < 100 or 0.2 < np.var(counts) / share < 3
+    assert {(k, s): sum(r.key == k and r.shard == s for r in slots) for k, s in draw} == {x: n for x, (n, _) in draw.items()}
+    words = collections.Counter()
+    for r in mixing.mixed_blocks(d, shard_words=4000).collect():
+        words[r.doc_id] += len(r.text.split())
+    total = collections.Counter()
+    for r in mixing.taken(d, shard_words=4000).collect():
+        total[r.doc_id] += r.taken
+    assert +words == +total
+    half = mixing.draws
+    monkeypatch.setattr(mixing, "draws", lambda *a: half(*a).withColumn("count", F.floor(F.col("count") / 2)))
+    assert mixing.taken(d, shard_words=4000).agg(F.sum("taken")).first()[0] < 0.7 * sum(total.values())
+
+
 def test_mixing_plan_is_native(spark):
     d = docs(spark, [(1, "a b", "s")])
     for df in (mixing.taken(d), mixing.mixed_documents(d)):
