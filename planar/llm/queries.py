@@ -36,6 +36,8 @@ SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(v.taken, 0)::BIGINT A
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN v USING (r)
 """
 
+#: The driver's conversations have some hundred words each: budgets under which windows, history and masks act on them.
+CHAT_BUDGET, CHAT_HISTORY = 256, 64
 CHAT_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
   SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
@@ -43,14 +45,20 @@ e AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens
   length(text) + (length(text) - length(replace(text, '\', ''))) + len(regexp_extract_all(text, '<\||</s>|\[INST\]|\[/INST\]')) AS body,
   length(role) + len(regexp_extract_all(role, '\||\\|</s>|\[INST\]|\[/INST\]')) + 8 AS around FROM c),
 o AS (SELECT *, row_number() OVER w - 1 AS ordinal, sum(tokens) OVER w - tokens AS s0 FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
-p AS (SELECT *, ordinal = 0 AND role = 'system' AS sys, CASE WHEN ordinal = 0 AND role = 'system' THEN 0 ELSE s0 // 2048 END AS win FROM o),
-b AS (SELECT conv_id, win, min(s0) AS b0 FROM p GROUP BY conv_id, win),
-h AS (SELECT p.conv_id, sum(body + around) AS chars FROM p JOIN b ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND b.win = p.win + 1 WHERE NOT sys AND b0 - s0 <= 512 GROUP BY p.conv_id),
-y AS (SELECT p.conv_id, sum(body + around) AS chars FROM p JOIN b ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND b.win > 0 WHERE sys GROUP BY p.conv_id),
+s AS (SELECT *, ordinal = 0 AND role = 'system' AS sys FROM o),
+k AS (SELECT conv_id, coalesce(sum(tokens) FILTER (sys), 0) AS st, coalesce(max(tokens) FILTER (NOT sys), 0) AS longest FROM s GROUP BY conv_id),
+m AS (SELECT *, greatest(1, greatest(0, 256 - st) - least(64, greatest(0, 256 - st) // 2)) AS room FROM k),
+p AS (SELECT s.*, st, CASE WHEN sys THEN 0 ELSE s0 - st END AS start, greatest(1, room - least(longest, room // 2)) AS step, NOT sys AND tokens > room // 2 AS big FROM s JOIN m ON s.conv_id IS NOT DISTINCT FROM m.conv_id),
+q AS (SELECT *, start // step AS cell, 2 * (sum(big::INT) OVER (PARTITION BY conv_id, start // step ORDER BY ordinal) - big::INT) + big::INT AS part0 FROM p),
+r AS (SELECT *, CASE WHEN sys THEN coalesce(lead(part0) OVER (PARTITION BY conv_id, cell ORDER BY ordinal), 0) ELSE part0 END AS part FROM q),
+v AS (SELECT conv_id, cell, part, min(ordinal) AS win, min(start) FILTER (NOT sys) AS b0, bool_or(sys) AS has, greatest(0, least(64, 256 - any_value(st) - coalesce(sum(tokens) FILTER (NOT sys), 0))) AS allowed FROM r GROUP BY conv_id, cell, part),
+h AS (SELECT r.conv_id, sum(body + around) AS chars FROM r JOIN v ON r.conv_id IS NOT DISTINCT FROM v.conv_id WHERE NOT sys AND ordinal < win AND b0 - start <= allowed GROUP BY r.conv_id),
+y AS (SELECT r.conv_id, sum(body + around) AS chars FROM r JOIN v ON r.conv_id IS NOT DISTINCT FROM v.conv_id WHERE sys AND NOT has GROUP BY r.conv_id),
 g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ordinal)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY ordinal) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(body + around) AS chars FROM p GROUP BY conv_id)
-SELECT g.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, (g.chars + coalesce(h.chars, 0) + coalesce(y.chars, 0))::BIGINT AS formatted_chars
-FROM g LEFT JOIN h ON g.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN y ON g.conv_id IS NOT DISTINCT FROM y.conv_id
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY ordinal) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(body + around) AS chars FROM p GROUP BY conv_id),
+n AS (SELECT conv_id, count(*)::BIGINT AS n_windows FROM v GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, (g.chars + coalesce(h.chars, 0) + coalesce(y.chars, 0))::BIGINT AS formatted_chars, n_windows
+FROM g JOIN n ON g.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN h ON g.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN y ON g.conv_id IS NOT DISTINCT FROM y.conv_id
 """
 
 RULES_SQL = r"""
@@ -76,7 +84,7 @@ def op4_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.read_back(stored(chat.windows(rows.unionByName(own)), "chat"))
+    return chat.read_back(stored(chat.windows(rows.unionByName(own), CHAT_BUDGET, CHAT_HISTORY), "chat"))
 
 
 def op1_toxicity(spark, sf_dir):

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from planar.llm.common import stored
 from planar.llm import chat, decontamination, lm, simhash, suffixes, token_files
 from planar.llm.elias_fano import EliasFano
 
@@ -355,20 +357,32 @@ def test_chat_windows(spark):
             rows.append((c, k, ("user", "assistant", "to|ol")[k % 3], rnd.choice(odd) if k % 4 == 0 else prose(rnd, rnd.randint(0, 30))))
     rows += [(4, 0, "system", "only"), (5, 0, None, "x"), (5, 0, None, "x"), (6, None, "assistant", "w " * 3000)]
     turns = spark.createDataFrame([(c, t, r, x, 1, 2) for c, t, r, x in rows], "conv_id long, turn long, role string, text string, window int, key int")
-    made = chat.windows(turns, budget=60, history=25, block_turns=7)
+    turns = turns.unionByName(turns.where("conv_id IS NULL").withColumn("conv_id", F.lit(7).cast("long")))
+    rows += [(7, t, r, x) for c, t, r, x in rows if c is None]
+    made = stored(chat.windows(turns, budget=60, history=25, block_turns=7), "chat")
     w = made.collect()
     assert any(r.repeated > 1 for r in w) and all("</s>" in r.formatted for r in w)
     long_ = [r for r in w if r.conv_id == 1]
     assert len(long_) > 3 and all(r.formatted.startswith("<|system|>Be <\\|brief|>.</s>") for r in long_)
+    for r in w:  # the budget holds for system turn, history and fresh turns together, unless one turn exceeds its room by itself
+        parts = re.findall(chat.TURN, r.formatted)
+        tokens = [len(re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"(?s)\\(.)", r"\1", x))) + chat.TURN_TOKENS for _, x in parts]
+        assert sum(tokens) <= 60 or len(parts) - r.repeated == 1
+        first = int(parts[0][0] == "system") if r.repeated or len(parts) > 1 else 0
+        assert sum(tokens[first : r.repeated]) <= 25
+    tight = [r.formatted for r in chat.windows(turns.where("conv_id = 1"), budget=5, history=4, block_turns=7).collect()]
+    assert len(tight) == 40 and all(x.startswith("<|system|>") for x in tight)
+    huge = chat.windows(turns, budget=10**6, history=10**5).collect()
+    assert all(r.repeated == 0 for r in huge) and len(huge) == 8
     got = {r.conv_id: r for r in chat.read_back(made).collect()}
-    for c in (1, 2, 3, None, 4, 5, 6):
+    for c in (1, 2, 3, None, 4, 5, 6, 7):
         own = sorted(((t, r or "", x or "") for i, t, r, x in rows if i == c), key=lambda z: (z[0] is not None, z[0] or 0, z[1], z[2]))
         said = "".join(f"{r}\n{x}\n" for _, r, x in own)
         under = "".join(x for _, r, x in own if r == "assistant")
         g = got[c]
         assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest(), len(under), hashlib.sha256(under.encode()).hexdigest())
     assert chat.windows(turns.where("false")).count() == 0
-    assert "Python" not in made._jdf.queryExecution().toString()
+    assert "Python" not in chat.windows(turns)._jdf.queryExecution().toString() and "Arrow" not in chat.read_back(made)._jdf.queryExecution().toString()
 
 
 # Pipeline
