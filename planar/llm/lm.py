@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from planar.llm.common import held_out, integer_key, stored, text_bytes
 from planar.llm.elias_fano import EliasFano
 
-CHUNK_TOKENS, SHARD_TOKENS, HOT = 2_000_000, 4_000_000, 1024
+CHUNK_TOKENS, SHARD_TOKENS, HOT = 1_000_000, 2_000_000, 1024
 DISCOUNT = 0.75
 SEED, START = 7, 1  # the hash of words, and the hash that stands for the start of a document
 STEPS = 2048  # quantisation steps for a factor of two
