@@ -38,15 +38,36 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", (F.col("cx") - F.col("w") / 2).alias("left"), (F.col("cy") - F.col("h") / 2).alias("top"), (F.col("cx") + F.col("w") / 2).alias("right"), (F.col("cy") + F.col("h") / 2).alias("bottom"))
 
 
-def layers(spark: SparkSession) -> DataFrame:
-    """Five rows."""
-    return spark.createDataFrame([(k, *v) for k, v in LAYERS.items()], "layer_id string, layer_type string, side string, ord int, layer_visible boolean")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 8).alias("doc_id")).distinct()
+
+
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layers of each document: one of the five is missing in four of five documents, another one each time; document 4 has none."""
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("layer_id", "layer_type", "side", "ord", "layer_visible", "place"), (k, *v, at))]) for at, (k, v) in enumerate(LAYERS.items())])
+    each = documents(spark, sf_dir).where("doc_id <> 4").select("doc_id", F.explode(rows).alias("l")).select("doc_id", "l.*")
+    return each.where(F.col("doc_id") % 5 != F.col("place") + 1).drop("place")
 
 
 def nets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nets of even users only, so that elements refer to missing nets."""
+    """Nets of even users only, so that elements refer to missing nets; their names occur in many documents, and some twice in one."""
     users = table(spark, sf_dir, "events").select("user_id").distinct().where(F.col("user_id") % 2 == 0)
-    return users.select(F.concat(F.lit("n"), F.col("user_id")).alias("net_id"), F.concat(F.lit("NET_"), F.col("user_id")).alias("name"))
+    return users.select(F.floor(F.col("user_id") / 8).alias("doc_id"), F.concat(F.lit("n"), F.col("user_id")).alias("net_id"), F.concat(F.lit("NET_"), F.col("user_id") % 6).alias("name"))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of each document with their elements; every third component lists one that does not exist."""
+    e = elements(spark, sf_dir).where("component_id IS NOT NULL")
+    per = e.groupBy("doc_id", "component_id").agg(F.min("element_ord").alias("ord"), F.sort_array(F.collect_list("element_id")).alias("element_ids"))
+    gone = F.when(F.col("ord") % 3 == 0, F.array(F.concat("component_id", F.lit("-gone")))).otherwise(F.array().cast("array<string>"))
+    return per.withColumn("element_ids", F.concat("element_ids", gone))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages for each document with the five layers; the second one of every third document is empty."""
+    ids = F.array(*[F.lit(k) for k in LAYERS])
+    p = documents(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("number"))
+    return p.select("doc_id", "number", F.lit(100.0).alias("width"), F.when((F.col("number") == 2) & (F.col("doc_id") % 3 == 0), 0.0).otherwise(50.0).alias("height"), ids.alias("layer_ids"))
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +76,14 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str, role: str = "board") -> DataFrame:
-    """file, page, pos, text and box of the words of documents (board) or conversations (schematic), 200 to a page, laid out in lines of ten."""
+    """file, page, pos, text and box of the words of documents (board) or conversations (schematic), 200 to a page, in justified lines of ten; a wide gap follows every fourth word, so that
+    fragments join within the runs between."""
     if role == "board":
         texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
     else:
         texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("file"), "text")
     w = texts.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("n", "text"))
-    return w.select("file", (F.floor(F.col("n") / 200) + 1).cast("int").alias("page"), "n", "text", ((F.col("n") % 10) * 50.0).alias("left"), (F.floor(F.col("n") / 10) * 12.0).alias("bottom"), F.length("text").cast("double").alias("width"), F.lit(10.0).alias("height"))
+    return w.select("file", (F.floor(F.col("n") / 200) + 1).cast("int").alias("page"), "n", "text", ((F.col("n") % 10) * 100.0).alias("left"), (F.floor(F.col("n") / 10) * 12.0).alias("bottom"), F.when(F.col("n") % 4 == 3, 75.0).otherwise(95.0).alias("width"), F.lit(10.0).alias("height"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +105,9 @@ e1 AS (SELECT user_id // 8 AS doc_id, event_id AS element_ord, 'e' || event_id A
   kind IN ('Rectangle', 'Ellipse', 'Polygon') AND event_id % 2 = 0 AS is_filled, kind IN ('Pad', 'Via', 'DrillHole', 'Rectangle', 'Ellipse', 'Polygon') OR (kind = 'Polyline' AND event_id % 4 < 2) AS is_closed,
   CASE WHEN kind = 'Pad' THEN {_list(SHAPES)}[event_id % 5 + 1] END AS shape, CASE WHEN kind = 'Text' THEN (CASE event_id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'note ' ELSE 'U' END) || event_id END AS text FROM e0),
 elements AS (SELECT *, cx - w / 2 AS "left", cy - h / 2 AS top, cx + w / 2 AS "right", cy + h / 2 AS bottom FROM e1)"""
-SQL_LAYERS = "layers(layer_id, layer_type, side, ord, layer_visible) AS (VALUES " + ", ".join(f"('{k}', '{v[0]}', '{v[1]}', {v[2]}, {v[3]})" for k, v in LAYERS.items()) + ")"
-SQL_NETS = "nets AS (SELECT DISTINCT 'n' || user_id AS net_id, 'NET_' || user_id AS name FROM events WHERE user_id % 2 = 0)"
+SQL_LAYERS = f"""five(layer_id, layer_type, side, ord, layer_visible, place) AS (VALUES {", ".join(f"('{k}', '{v[0]}', '{v[1]}', {v[2]}, {v[3]}, {at})" for at, (k, v) in enumerate(LAYERS.items()))}),
+layers AS (SELECT doc_id, layer_id, layer_type, side, ord, layer_visible FROM (SELECT DISTINCT user_id // 8 AS doc_id FROM events), five WHERE doc_id <> 4 AND doc_id % 5 <> place + 1)"""
+SQL_NETS = "nets AS (SELECT DISTINCT user_id // 8 AS doc_id, 'n' || user_id AS net_id, 'NET_' || user_id % 6 AS name FROM events WHERE user_id % 2 = 0)"
 SQL_COMPONENTS = "components AS (SELECT 'c' || p_partkey AS component_id, 'U' || p_partkey AS reference, p_name AS value, p_size::DOUBLE AS x, p_retailprice AS y, (p_partkey * 75 - 400)::DOUBLE AS rotation FROM part)"
 
 
@@ -92,7 +115,7 @@ def sql_words(role: str = "board", name: str = "words") -> str:
     source = "SELECT doc_id AS file, text FROM documents" if role == "board" else "SELECT conv_id * 1000 + turn AS file, text FROM conversations"
     return rf"""{name}_t AS (SELECT file, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS l FROM ({source})),
 {name}_u AS (SELECT file, unnest(l) AS text, unnest(range(len(l))) AS n FROM {name}_t),
-{name} AS (SELECT file, (n // 200 + 1)::INT AS page, n, text, (n % 10) * 50e0 AS "left", (n // 10) * 12e0 AS bottom, length(text)::DOUBLE AS width, 10e0 AS height FROM {name}_u)"""
+{name} AS (SELECT file, (n // 200 + 1)::INT AS page, n, text, (n % 10) * 100e0 AS "left", (n // 10) * 12e0 AS bottom, CASE WHEN n % 4 = 3 THEN 75e0 ELSE 95e0 END AS width, 10e0 AS height FROM {name}_u)"""
 
 
 SQL_SEGMENTS = """g0 AS (SELECT o_custkey // 50 AS doc_id, o_orderkey AS seg_ord, 's' || o_orderkey AS segment_id, o_orderpriority AS group_key, o_orderkey % 8 AS a, floor(o_totalprice)::BIGINT % 8 AS b, (o_orderkey // 8) % 2 = 0 AS along FROM orders),

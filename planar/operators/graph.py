@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,15 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df through Parquet in the folder of spark.checkpoint.dir, which cuts its lineage."""
+    """df through Parquet in the folder of spark.checkpoint.dir, which cuts its lineage; all that an application writes there is in one folder."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='planar-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/planar-{label}-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/planar-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,6 +39,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         e = written(down.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(down.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
-            break
+            return e.union(e.select("v", "v").distinct()).select(F.col("u").alias("id"), F.col("v").alias("component"))
         last = now
-    return e.union(e.select("v", "v").distinct()).select(F.col("u").alias("id"), F.col("v").alias("component"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

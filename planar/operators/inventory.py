@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planar.data import KINDS
 from planar.functions import geometry as g
 
+#: What an element can mean.
+MEANINGS = ("Unknown", "BoardOutline", "Copper", "Pad", "Via", "Hole", "Silkscreen", "Mechanical", "Text", "ComponentBody")
+
 
 def geometry_database(elements: DataFrame) -> DataFrame:
     """One row for each element, with its measures; ordered by layer, top, left within a document by `entry`-making consumers."""
@@ -46,9 +49,55 @@ def element_bounds(geometry: DataFrame) -> DataFrame:
     return geometry.withColumns({"left": left, "top": top, "right": right, "bottom": bottom})
 
 
-def document_report(database: DataFrame, semantics: DataFrame) -> DataFrame:
-    """A JSON report of each document: totals by kind and by meaning."""
-    counts = lambda df, key: df.groupBy("doc_id", key).count().groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "count")))).alias(f"by_{key}"))
-    total = database.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
-    both = total.join(counts(database, "kind"), "doc_id").join(counts(semantics, "semantic"), "doc_id", "left")
-    return both.select("doc_id", F.to_json(F.struct(F.struct(F.col("total"), F.col("by_kind").alias("byKind")).alias("database"), F.struct(F.col("by_semantic").alias("bySemantic")).alias("semantic"))).alias("report"))
+def counts_by(rows: DataFrame, key: str, values) -> DataFrame:
+    """doc_id and a map from every value to its number of rows, zero where a document has none."""
+    each = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*[F.count_if(F.col(key) == v) for v in values]))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), each.alias("counts"))
+
+
+def grouped_digits(number) -> Column:
+    return F.format_number(number, 0)
+
+
+def summary(*parts) -> Column:
+    """`12 pads · 1,024 vias`: numbers with their names."""
+    return F.concat_ws(" · ", *[F.concat_ws(" ", grouped_digits(n), F.lit(name)) for n, name in parts])
+
+
+def database_summary(counts: DataFrame) -> DataFrame:
+    """A line for each document of counts_by(kind)."""
+    of = lambda k: F.col("counts")[k]
+    parts = [(F.col("total"), "records"), (of("Rectangle"), "rectangles"), (of("Ellipse"), "ellipses"), (of("Polyline"), "polylines"), (of("Line"), "lines"), (of("Text"), "texts")]
+    return counts.select("doc_id", summary(*parts).alias("summary"))
+
+
+def semantic_summary(counts: DataFrame) -> DataFrame:
+    of = lambda k: F.col("counts")[k]
+    parts = [(of("Pad"), "pads"), (of("Via"), "vias"), (of("Hole"), "holes"), (of("ComponentBody"), "bodies"), (of("BoardOutline"), "outlines"), (of("Unknown"), "unknown")]
+    return counts.select("doc_id", summary(*parts).alias("summary"))
+
+
+def inspector_report(database: DataFrame, classified: DataFrame, semantics: DataFrame, candidates: DataFrame, pads: DataFrame, footprints: DataFrame) -> DataFrame:
+    """The JSON report of each document: database, classification, meaning and recognition, with the kinds that it has none of.
+
+    A report is one row, as it is one file; its entries are in the order of the database."""
+    listed = lambda df, name, *columns: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    counted = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    kinds, meanings = counts_by(database, "kind", KINDS), counts_by(semantics, "semantic", MEANINGS)
+    parts = [
+        kinds.join(database_summary(kinds), "doc_id").select("doc_id", F.col("counts").alias("kinds"), F.col("summary").alias("kind_summary")),
+        listed(database, "entries", "layer_id", "top", "left", "element_ord", "kind"), listed(classified, "primitives", "element_ord", "primitive", "confidence"),
+        meanings.join(semantic_summary(meanings), "doc_id").select("doc_id", F.col("counts").alias("meanings"), F.col("summary").alias("meaning_summary")),
+        listed(semantics, "labels", "element_ord", "semantic", "confidence"),
+        candidates.groupBy("doc_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("reason") == "None").alias("accepted")), counted(pads, "pads"), counted(footprints, "footprints"),
+    ]
+    all_ = parts[0]
+    for p in parts[1:]:
+        all_ = all_.join(p, "doc_id", "left")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    report = F.struct(
+        F.struct(F.col("kind_summary").alias("summary"), F.col("kinds").alias("counts"), "entries").alias("database"), F.coalesce("primitives", F.array()).alias("classification"),
+        F.struct(F.col("meaning_summary").alias("summary"), F.col("meanings").alias("counts"), F.col("labels").alias("primitives")).alias("semantic"),
+        F.struct(number("candidates").alias("candidateCount"), number("accepted").alias("acceptedBeforeDeduplication"), number("pads").alias("padCount"), number("footprints").alias("footprintCount")).alias("recognition"),
+    )
+    return all_.select("doc_id", F.to_json(report).alias("report"))

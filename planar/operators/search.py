@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planar.functions import geometry as g
+from planar.operators import graph
 
 #: The most fragments that are joined to one reference.
 FRAGMENTS = 8
@@ -41,35 +42,65 @@ def substring(words: DataFrame, term: str, pages: int = 8) -> DataFrame:
     return per.select("file", "occurrences", "pages", F.slice("all", 1, pages).alias("first_pages"))
 
 
-def references(words: DataFrame, queries: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
-    """Occurrences of each query reference (query) by file and page.
-
-    A word matches if it is the reference, a `_E` at the end of either aside. Else up to `fragments` neighbouring fragments are joined while they
-    stay close on a line; the joins are equalities on a word's key and, for fragments, on the start of the query, so no word meets
-    every query. Overlapping matches count once, the first from the left.
-    """
-    q = queries.select("query", g.reference(F.col("query")).alias("wanted")).where("wanted <> ''").withColumn("key", g.without_side(F.col("wanted"))).distinct()
+def fragments_of(words: DataFrame) -> DataFrame:
+    """Words as file, page, pos (from 1), norm, and whether each lies close behind the one before it on a line."""
     order = Window.partitionBy("file", "page").orderBy("n")
-    w = words.withColumn("norm", g.reference(F.col("text"))).where("text IS NOT NULL")
+    w = words.where("text IS NOT NULL")
     middle = F.col("bottom") + F.col("height") / 2
     last = lambda c: F.lag(c).over(order)
     tall = F.greatest(F.lit(0.5), F.greatest(F.col("height"), last("height")))
     gap = F.col("left") - (last("left") + last("width"))
     close = (F.abs(middle - last(middle)) <= tall * 0.65) & (gap >= -(tall * 0.35)) & (gap <= tall * 1.75)
-    w = w.withColumn("joined", F.coalesce(close, F.lit(False)))
-    # The fragments from a word on, as far as they stay adjacent.
-    ahead = order.rowsBetween(Window.currentRow, fragments - 1)
-    w = w.withColumn("run", F.collect_list(F.struct("norm", "joined")).over(ahead))
-    ends = F.transform(F.sequence(F.lit(1), F.size("run")), lambda k: F.struct(k.alias("size"), F.array_join(F.transform(F.slice("run", 1, k), lambda r: r["norm"]), "").alias("all"), F.forall(F.slice("run", 2, F.greatest(k - 1, F.lit(0))), lambda r: r["joined"]).alias("tied")))
-    spans = w.select("file", "page", "n", F.explode(F.filter(ends, lambda e: e["tied"] & (F.length(e["all"]) > 0))).alias("e")).select("file", "page", "n", "e.size", F.col("e.all").alias("all"), g.without_side(F.col("e.all")).alias("key"))
-    hits = spans.join(q, "key").groupBy("file", "page", "query", "n").agg(F.min("size").alias("size"))
+    return w.select("file", "page", F.row_number().over(order).alias("pos"), g.reference(F.col("text")).alias("norm"), F.coalesce(close, F.lit(False)).alias("joined"))
+
+
+def references(words: DataFrame, queries: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+    """Occurrences of each query reference (query) by file and page.
+
+    A word matches if it is the reference, a `_E` at the end of either aside. Else up to `fragments` neighbouring fragments are joined while they
+    stay close on a line and what they give begins the reference. All joins are equalities: words on the reference, two fragments on the
+    beginnings of references, and only what begins one on the fragments that follow it. Overlapping matches count once, the first from the left.
+    """
+    q = queries.select("query", g.reference(F.col("query")).alias("wanted")).where("wanted <> ''").distinct().withColumn("key", g.without_side(F.col("wanted")))
+    w = graph.written(fragments_of(words), "fragments")
+    single = w.where("norm <> ''").select("file", "page", "pos", g.without_side(F.col("norm")).alias("key")).join(q, "key").select("file", "page", "query", "pos", F.lit(1).alias("size"))
+    order = Window.partitionBy("file", "page").orderBy("pos")
+    two = w.withColumn("next", F.lead(F.struct("norm", "joined")).over(order)).where("norm <> '' AND next.joined").select("file", "page", "pos", F.concat("norm", "next.norm").alias("both"))
+    # What two fragments may give: a beginning of the reference, or the whole of it with or without its side.
+    begins = F.transform(F.sequence(F.lit(1), F.length("wanted")), lambda k: F.substring("wanted", 1, k))
+    starts = q.select("query", "wanted", "key", F.explode(F.array_distinct(F.concat(begins, F.array(F.concat("key", F.lit("_E")))))).alias("both"))
+    pairs = graph.written(two.join(starts, "both"), "fragment-pairs")
+    whole = g.without_side(F.col("both")) == F.col("key")
+    joined = pairs.where(whole).select("file", "page", "query", "pos", F.lit(2).alias("size"))
+    more = pairs.where(~whole).withColumn("offset", F.explode(F.sequence(F.lit(2), F.lit(fragments - 1))))
+    more = more.withColumn("start", F.col("pos")).withColumn("pos", F.col("pos") + F.col("offset")).join(w, ["file", "page", "pos"])
+    along = more.groupBy("file", "page", "query", "start", "both", "wanted", "key").agg(F.array_sort(F.collect_list(F.struct("offset", "norm", "joined"))).alias("ahead"))
+    begun = F.struct(F.col("both").alias("all"), F.lit(2).alias("size"), F.lit(True).alias("open"), F.lit(False).alias("found"))
+
+    def extend(s, f):
+        text = F.concat(s["all"], f["norm"])
+        goes = s["open"] & f["joined"] & (f["offset"] == s["size"])
+        hit = goes & (g.without_side(text) == F.col("key"))
+        return F.struct(
+            F.when(goes, text).otherwise(s["all"]).alias("all"), F.when(goes, s["size"] + 1).otherwise(s["size"]).alias("size"),
+            (goes & ~hit & F.startswith(F.col("wanted"), text)).alias("open"), (s["found"] | hit).alias("found"),
+        )
+
+    longer = along.withColumn("s", F.aggregate("ahead", begun, extend)).where("s.found").select("file", "page", "query", F.col("start").alias("pos"), "s.size")
+    hits = single.unionByName(joined).unionByName(longer).groupBy("file", "page", "query", "pos").agg(F.min("size").alias("size"))
     # Non-overlapping from the left, over the few hits of a page.
-    per = hits.groupBy("file", "page", "query").agg(F.array_sort(F.collect_list(F.struct("n", "size"))).alias("hits"))
+    per = hits.groupBy("file", "page", "query").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("hits"))
     start = F.struct(F.lit(0).cast("long").alias("count"), F.lit(-1).cast("long").alias("free"))
-    step = lambda s, h: F.when(h["n"] >= s["free"], F.struct((s["count"] + 1).alias("count"), (h["n"] + h["size"]).cast("long").alias("free"))).otherwise(s)
+    step = lambda s, h: F.when(h["pos"] >= s["free"], F.struct((s["count"] + 1).alias("count"), (h["pos"] + h["size"]).cast("long").alias("free"))).otherwise(s)
     return per.select("file", "page", "query", F.aggregate("hits", start, step)["count"].alias("occurrences"))
 
 
+def grouped(results: DataFrame, roles: tuple[str, ...] = ("board", "schematic")) -> DataFrame:
+    """Search results (role, page and more) in the order of roles and pages, with the number of results of their role."""
+    rank = F.array_position(F.array(*map(F.lit, roles)), F.col("role"))
+    return results.withColumn("in_role", F.count(F.lit(1)).over(Window.partitionBy("role"))).orderBy(rank, "page")
+
+
 def cross_probe(board: DataFrame, schematic: DataFrame) -> DataFrame:
     """Both roles' occurrences of each query: totals, first pages and where it was found."""
     total = lambda df, role: df.groupBy("query").agg(F.sum("occurrences").alias(f"{role}_occurrences"), F.min("page").alias(f"{role}_page"))

@@ -13,13 +13,13 @@ BY_LAYER = {"Copper": "Copper", "Silkscreen": "Silkscreen", "Outline": "BoardOut
 
 
 def semantics(elements: DataFrame, layers: DataFrame, pads: DataFrame, vias: DataFrame, holes: DataFrame, classified: DataFrame) -> DataFrame:
-    """doc_id, element_ord, kind, semantic, confidence and rule of every element."""
+    """doc_id, element_ord, kind, semantic, confidence and rule of every element; layers are those of its own document."""
     key = ["doc_id", "element_ord"]
     flag = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(True))
     first = classified.groupBy(*key).agg(F.first("conductive").alias("conductive"), F.first("confidence").alias("p_confidence"))
     size = elements.where(~g.is_empty()).groupBy("doc_id").agg(F.greatest(F.lit(0.000001), (F.max("right") - F.min("left")) * (F.max("bottom") - F.min("top"))).alias("doc_area"))
     e = elements.join(flag(pads, "is_pad"), key, "left").join(flag(vias, "is_via"), key, "left").join(flag(holes, "is_hole"), key, "left").join(first, key, "left")
-    e = e.join(F.broadcast(layers.select("layer_id", "layer_type")), "layer_id", "left").join(size, "doc_id", "left")
+    e = e.join(layers.select("doc_id", "layer_id", "layer_type"), ["doc_id", "layer_id"], "left").join(size, "doc_id", "left")
     kind, share = F.col("kind"), F.greatest(F.lit(0.0), g.area()) / F.coalesce("doc_area", F.lit(0.000001))
     said = lambda name, conf, rule: F.struct(F.lit(name).alias("semantic"), (F.lit(conf) if isinstance(conf, float) else conf).alias("confidence"), (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"))
     layer = F.coalesce("layer_type", F.lit("Unknown"))

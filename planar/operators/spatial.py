@@ -30,26 +30,43 @@ def window(elements: DataFrame, left: float, top: float, right: float, bottom: f
     return found if predicate is None else found.where(predicate)
 
 
+def document(elements: DataFrame, doc_id) -> DataFrame:
+    """The elements of one document, for the queries below."""
+    return elements.where(F.col("doc_id") == doc_id)
+
+
+def first_of_each(rows: DataFrame, most: int, *order) -> DataFrame:
+    """The first `most` rows of each document."""
+    ranked = Window.partitionBy("doc_id").orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= most)
+
+
 def near(elements: DataFrame, x: float, y: float, radius: float, most: int | None = None) -> DataFrame:
-    """Elements whose box is within the radius, nearest first, ties by id."""
+    """Elements of each document whose box is within the radius, the nearest `most` under `place`, ties by id."""
     boxed = window(elements, x - radius, y - radius, x + radius, y + radius)
-    found = boxed.withColumn("distance", g.distance_to_box(F.lit(x), F.lit(y))).where(F.col("distance") <= radius).orderBy("distance", "element_id")
-    return found if most is None else found.limit(most)
+    found = boxed.withColumn("distance", g.distance_to_box(F.lit(x), F.lit(y))).where(F.col("distance") <= radius)
+    return found if most is None else first_of_each(found, most, "distance", "element_id")
 
 
 def hit_test(elements: DataFrame, x: float, y: float, tolerance: float = 0.25, most: int = 128) -> DataFrame:
-    return near(elements, x, y, tolerance, most).withColumn("area", g.area()).orderBy("area", "element_id")
+    """The nearest elements of each document with their area, by which they are ordered."""
+    return near(elements, x, y, tolerance, most).drop("place").withColumn("area", g.area()).orderBy("doc_id", "area", "element_id")
 
 
 def click_select(elements: DataFrame, layers: DataFrame, x: float, y: float, scale: float, most: int = 32) -> DataFrame:
-    """The nearest element within six pixels; of equally near ones that of the highest layer."""
-    hits = near(elements, x, y, 6 / scale, most).join(F.broadcast(layers), "layer_id")
-    return hits.orderBy("distance", F.desc("ord"), "element_ord").limit(1)
+    """The nearest element of each document within six pixels; of equally near ones that of the highest layer."""
+    hits = near(elements, x, y, 6 / scale, most).drop("place").join(layers, ["doc_id", "layer_id"])
+    return first_of_each(hits, 1, "distance", F.desc("ord"), "element_ord").drop("place")
 
 
 def visible_objects(elements: DataFrame, layers: DataFrame, left: float, top: float, right: float, bottom: float) -> DataFrame:
-    shown = F.broadcast(layers.where("layer_visible"))
-    return window(elements, left, top, right, bottom, F.col("is_visible")).join(shown, "layer_id").orderBy("ord", "element_id")
+    shown = layers.where("layer_visible")
+    return window(elements, left, top, right, bottom, F.col("is_visible")).join(shown, ["doc_id", "layer_id"]).orderBy("doc_id", "ord", "element_id")
+
+
+def set_visible(rows: DataFrame, layer_id: str, visible: bool, column: str = "is_visible") -> DataFrame:
+    """Layers or elements with the visibility of one layer set."""
+    return rows.withColumn(column, F.when(F.col("layer_id") == layer_id, F.lit(visible)).otherwise(F.col(column)))
 
 
 def cells(left, top, right, bottom, size: float = CELL) -> tuple[Column, Column]:
@@ -109,26 +126,56 @@ def index_statistics(elements: DataFrame, left: float, top: float, right: float,
     return items.join(per, "doc_id").join(hits, "doc_id", "left").na.fill(0, ["candidates", "hits"])
 
 
+def expanded_log(log: DataFrame) -> DataFrame:
+    """A log in which clear (without an element) removes every element that an operation before it names."""
+    named, clears = log.where("op <> 'clear'"), log.where("op = 'clear'").select("doc_id", F.col("seq").alias("at"))
+    first = named.groupBy("doc_id", "element_id").agg(F.min("seq").alias("first"))
+    gone = first.join(clears, "doc_id").where("first < at").select("doc_id", F.col("at").alias("seq"), F.lit("clear").alias("op"), "element_id")
+    return named.unionByName(gone, allowMissingColumns=True)
+
+
 def mutation_fold(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The state after a log (doc_id, seq, op add/update/remove, element_id, box) and each document's version.
+    """The state after a log (doc_id, seq, op, element_id, box) and each document's version.
 
-    An add of a present id and a removal or update of an absent one have no effect; nor has an update to the same box.
+    op is add, update, remove or clear. An add of a present id and a removal or update of an absent one have no effect; nor has an update to
+    the same box. A clear counts one version if it finds an element.
     """
-    order = Window.partitionBy("doc_id", "element_id").orderBy("seq")
+    log = expanded_log(log)
     box = F.struct("left", "top", "right", "bottom")
     step = log.withColumn("row", F.struct("seq", "op", box.alias("box")))
     folded = step.groupBy("doc_id", "element_id").agg(F.array_sort(F.collect_list("row")).alias("ops"))
     none = F.lit(None).cast("struct<left:double,top:double,right:double,bottom:double>")
-    start = F.struct(none.alias("box"), F.lit(0).cast("long").alias("changes"))
+    start = F.struct(none.alias("box"), F.lit(0).cast("long").alias("changes"), F.array().cast("array<long>").alias("cleared"))
 
     def apply(state, r):
-        effective = F.when(r["op"] == "add", state["box"].isNull()).when(r["op"] == "remove", state["box"].isNotNull()).otherwise(state["box"].isNotNull() & (state["box"] != r["box"]))
-        after = F.when(~effective, state["box"]).when(r["op"] == "remove", none).otherwise(r["box"])
-        return F.struct(after.alias("box"), (state["changes"] + F.when(effective, 1).otherwise(0)).alias("changes"))
+        effective = F.when(r["op"] == "add", state["box"].isNull()).when(r["op"].isin("remove", "clear"), state["box"].isNotNull()).otherwise(state["box"].isNotNull() & (state["box"] != r["box"]))
+        after = F.when(~effective, state["box"]).when(r["op"].isin("remove", "clear"), none).otherwise(r["box"])
+        cleared = F.when(effective & (r["op"] == "clear"), F.array_append(state["cleared"], r["seq"])).otherwise(state["cleared"])
+        own = F.when(effective & (r["op"] != "clear"), 1).otherwise(0)
+        return F.struct(after.alias("box"), (state["changes"] + own).alias("changes"), cleared.alias("cleared"))
 
     done = folded.withColumn("s", F.aggregate("ops", start, apply))
     state = done.where("s.box IS NOT NULL").select("doc_id", "element_id", "s.box.*")
-    return state, done.groupBy("doc_id").agg(F.sum("s.changes").alias("version"), F.count_if(F.col("s.box").isNotNull()).alias("items"))
+    clears = done.select("doc_id", F.explode("s.cleared").alias("seq")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("clears"))
+    per = done.groupBy("doc_id").agg(F.sum("s.changes").alias("changes"), F.count_if(F.col("s.box").isNotNull()).alias("items"))
+    per = per.join(clears, "doc_id", "left").select("doc_id", (F.col("changes") + F.coalesce("clears", F.lit(0))).alias("version"), "items")
+    return state, per
+
+
+def add_range(state: DataFrame, versions: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """State and versions after a batch (doc_id, element_id, box) for each document: all of it and one version, or an error as `problem`.
+
+    A batch with an id twice, or with one that the document has already, is refused as a whole."""
+    keys = ["doc_id", "element_id"]
+    twice = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+    known = batch.join(state.select(*keys), keys, "left_semi").select("doc_id").distinct().withColumn("known", F.lit(True))
+    problem = F.when(F.col("n") > 1, "duplicates in the batch").when(F.col("known"), "already indexed")
+    judged = twice.join(known, "doc_id", "left").select("doc_id", problem.alias("problem"))
+    taken = batch.join(judged.where("problem IS NULL"), "doc_id", "left_semi")
+    after = versions.join(judged, "doc_id", "full_outer").withColumn("n", F.when(F.col("problem").isNull() & F.col("doc_id").isNotNull(), 1))
+    added = taken.groupBy("doc_id").agg(F.count(F.lit(1)).alias("added"))
+    after = after.join(added, "doc_id", "left").select("doc_id", (F.coalesce("version", F.lit(0)) + F.when(F.col("added") > 0, 1).otherwise(0)).alias("version"), (F.coalesce("items", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("items"), "problem")
+    return state.unionByName(taken.select(*state.columns)), after
 
 
 def visible_tiles(views: DataFrame, tile: int = 512) -> DataFrame:

@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Window  # noqa: F401
 from pyspark.sql import functions as F
 
 from planar import data
 from planar.data import SQL_COMPONENTS, SQL_ELEMENTS, SQL_LAYERS, SQL_NETS, SQL_SEGMENTS, sql_words, table
 from planar.functions import geometry as g
 from planar.operators import classify, graph, history, inventory, quality, recognize, search, semantic, spatial, topology
+from planar.registry import ORACLES, QUERIES, query
 from planar.sources import boards
 
-QUERIES, ORACLES = {}, {}
+__all__ = ["ORACLES", "QUERIES"]
+
 BOX = "left", "top", "right", "bottom"
 W6 = lambda c: F.round(c, 6)
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 HIT = '"left" <= 60 AND "right" >= 40 AND top <= 240 AND bottom >= 100'
 
 
@@ -35,10 +27,14 @@ def q_window(spark, d):
     return found.groupBy("layer_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("element_ord").alias("first_ord"))
 
 
-@query(f"""WITH {SQL_ELEMENTS}, f AS (SELECT element_id, sqrt(power(greatest("left" - 50e0, 0e0, 50e0 - "right"), 2) + power(greatest(top - 100e0, 0e0, 100e0 - bottom), 2)) AS distance FROM elements)
-SELECT element_id, round(distance, 6) AS distance FROM f WHERE distance <= 20 ORDER BY f.distance, element_id LIMIT 25""")
+def sql_near(x: int, y: int, radius: float) -> str:
+    away = f'sqrt(power(greatest("left" - {x}e0, 0e0, {x}e0 - "right"), 2) + power(greatest(top - {y}e0, 0e0, {y}e0 - bottom), 2))'
+    return f"""near AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, element_id)::INT AS place FROM (SELECT *, {away} AS distance FROM elements) WHERE distance <= {radius})"""
+
+
+@query(f"""WITH {SQL_ELEMENTS}, {sql_near(50, 100, 20)} SELECT doc_id, place, element_id, round(distance, 6) AS distance FROM near WHERE place <= 5""")
 def q_near_topk(spark, d):
-    return spatial.near(data.elements(spark, d), 50.0, 100.0, 20.0, 25).select("element_id", W6("distance").alias("distance"))
+    return spatial.near(data.elements(spark, d), 50.0, 100.0, 20.0, 5).select("doc_id", "place", "element_id", W6("distance").alias("distance"))
 
 
 @query(f"""WITH {SQL_ELEMENTS} SELECT element_id, layer_id, net_id, component_id, kind FROM elements WHERE is_visible AND layer_id IN ('view', 'error') AND net_id IN ('n1', 'n2', 'n3', 'n4', 'n5', 'n6') AND kind IN ('DrillHole', 'Pad')""")
@@ -78,21 +74,20 @@ def q_pad_neighbors(spark, d):
     return near.groupBy("element_ord").agg(F.count(F.lit(1)).alias("neighbors"), F.min("b_element_ord").alias("first_neighbor"))
 
 
-@query(f"""WITH {SQL_ELEMENTS}, f AS (SELECT *, sqrt(power(greatest("left" - 30e0, 0e0, 30e0 - "right"), 2) + power(greatest(top - 60e0, 0e0, 60e0 - bottom), 2)) AS distance FROM elements)
-SELECT element_id, w * h AS area FROM (SELECT * FROM f WHERE distance <= 2.5 ORDER BY distance, element_id LIMIT 128)""")
+@query(f"""WITH {SQL_ELEMENTS}, {sql_near(30, 60, 12.5)} SELECT doc_id, element_id, w * h AS area FROM near WHERE place <= 4""")
 def q_hit_test(spark, d):
-    return spatial.hit_test(data.elements(spark, d), 30.0, 60.0, 2.5).select("element_id", (F.col("w") * F.col("h")).alias("area"))
+    return spatial.hit_test(data.elements(spark, d), 30.0, 60.0, 12.5, 4).select("doc_id", "element_id", (F.col("w") * F.col("h")).alias("area"))
 
 
-@query(f"""WITH {SQL_ELEMENTS}, {SQL_LAYERS}, f AS (SELECT *, sqrt(power(greatest("left" - 30e0, 0e0, 30e0 - "right"), 2) + power(greatest(top - 60e0, 0e0, 60e0 - bottom), 2)) AS distance FROM elements)
-SELECT element_id, layer_id FROM (SELECT * FROM f WHERE distance <= 3 ORDER BY distance, element_id LIMIT 32) JOIN layers USING (layer_id) ORDER BY distance, ord DESC, element_ord LIMIT 1""")
+@query(f"""WITH {SQL_ELEMENTS}, {SQL_LAYERS}, {sql_near(30, 60, 12)}, hits AS (SELECT n.*, ord FROM near n JOIN layers USING (doc_id, layer_id) WHERE place <= 32),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, ord DESC, element_ord) AS k FROM hits) SELECT doc_id, element_id, layer_id FROM best WHERE k = 1""")
 def q_click_select(spark, d):
-    return spatial.click_select(data.elements(spark, d), data.layers(spark), 30.0, 60.0, 2.0).select("element_id", "layer_id")
+    return spatial.click_select(data.elements(spark, d), data.layers(spark, d), 30.0, 60.0, 0.5).select("doc_id", "element_id", "layer_id")
 
 
-@query(f"""WITH {SQL_ELEMENTS}, {SQL_LAYERS} SELECT ord, element_id FROM elements JOIN layers USING (layer_id) WHERE {HIT} AND is_visible AND layer_visible""")
+@query(f"""WITH {SQL_ELEMENTS}, {SQL_LAYERS} SELECT doc_id, ord, element_id FROM elements JOIN layers USING (doc_id, layer_id) WHERE {HIT} AND is_visible AND layer_visible""")
 def q_visible_objects(spark, d):
-    return spatial.visible_objects(data.elements(spark, d), data.layers(spark), 40.0, 100.0, 60.0, 240.0).select("ord", "element_id")
+    return spatial.visible_objects(data.elements(spark, d), data.layers(spark, d), 40.0, 100.0, 60.0, 240.0).select("doc_id", "ord", "element_id")
 
 
 @query(f"""WITH {SQL_ELEMENTS}, c AS (SELECT *, unnest(range(floor("left" / 10)::BIGINT, floor("right" / 10)::BIGINT + 1)) AS x FROM elements), k AS (SELECT *, unnest(range(floor(top / 10)::BIGINT, floor(bottom / 10)::BIGINT + 1)) AS y FROM c),
@@ -107,15 +102,22 @@ def mutations(spark, d):
     e = table(spark, d, "events")
     op = data.pick(("add", "update", "remove", "update"), F.col("event_id") % 4)
     x = (F.col("event_id") % 3).cast("double")
+    op = F.when(F.col("event_id") % 97 == 0, "clear").otherwise(op)
     return e.select(F.floor(F.col("user_id") / 8).alias("doc_id"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("e"), F.col("user_id"), F.lit("-"), F.col("event_id") % 5).alias("element_id"), x.alias("left"), x.alias("top"), (x + 1).alias("right"), (x + 1).alias("bottom"))
 
 
-@query("""WITH RECURSIVE m AS (SELECT user_id // 8 AS doc_id, 'e' || user_id || '-' || (event_id % 5) AS element_id, ['add', 'update', 'remove', 'update'][event_id % 4 + 1] AS op, event_id % 3 AS x, row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY event_id) AS k FROM events),
-f AS (SELECT doc_id, element_id, k, CASE WHEN op = 'add' THEN x END AS box, (op = 'add')::INT AS changes FROM m WHERE k = 1
-UNION ALL SELECT m.doc_id, m.element_id, m.k, CASE WHEN m.op = 'add' THEN coalesce(f.box, m.x) WHEN m.op = 'remove' THEN NULL WHEN f.box IS NULL THEN NULL ELSE m.x END,
-f.changes + (CASE WHEN m.op = 'add' THEN f.box IS NULL WHEN m.op = 'remove' THEN f.box IS NOT NULL ELSE f.box IS NOT NULL AND f.box <> m.x END)::INT FROM f JOIN m ON m.element_id = f.element_id AND m.doc_id = f.doc_id AND m.k = f.k + 1),
-l AS (SELECT doc_id, element_id, arg_max(box, k) AS b0, max(changes) AS changes, max(k) AS k FROM f GROUP BY doc_id, element_id), z AS (SELECT l.doc_id, l.changes, f.box FROM l JOIN f ON l.doc_id = f.doc_id AND l.element_id = f.element_id AND l.k = f.k)
-SELECT doc_id, sum(changes)::BIGINT AS version, count(box) AS items FROM z GROUP BY doc_id""")
+SQL_MUTATIONS = """l0 AS (SELECT user_id // 8 AS doc_id, event_id AS seq, 'e' || user_id || '-' || (event_id % 5) AS element_id,
+CASE WHEN event_id % 97 = 0 THEN 'clear' ELSE ['add', 'update', 'remove', 'update'][event_id % 4 + 1] END AS op, event_id % 3 AS x FROM events),
+l1 AS (SELECT doc_id, seq, element_id, op, x FROM l0 WHERE op <> 'clear' UNION ALL SELECT c.doc_id, c.seq, f.element_id, 'clear', NULL FROM l0 c
+  JOIN (SELECT doc_id, element_id, min(seq) AS first FROM l0 WHERE op <> 'clear' GROUP BY doc_id, element_id) f ON f.doc_id = c.doc_id AND f.first < c.seq WHERE c.op = 'clear'),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, element_id ORDER BY seq) AS k FROM l1),
+f AS (SELECT doc_id, element_id, seq, k, op, CASE WHEN op = 'add' THEN x END AS box, op = 'add' AS done FROM m WHERE k = 1
+UNION ALL SELECT m.doc_id, m.element_id, m.seq, m.k, m.op, CASE WHEN m.op = 'add' THEN coalesce(f.box, m.x) WHEN m.op IN ('remove', 'clear') OR f.box IS NULL THEN NULL ELSE m.x END,
+CASE WHEN m.op = 'add' THEN f.box IS NULL WHEN m.op IN ('remove', 'clear') THEN f.box IS NOT NULL ELSE f.box IS NOT NULL AND f.box <> m.x END FROM f JOIN m ON m.element_id = f.element_id AND m.doc_id = f.doc_id AND m.k = f.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_MUTATIONS}, v AS (SELECT doc_id, count(*) FILTER (done AND op <> 'clear') + count(DISTINCT seq) FILTER (done AND op = 'clear') AS version FROM f GROUP BY doc_id),
+z AS (SELECT doc_id, element_id, arg_max(box IS NOT NULL, k) AS there FROM f GROUP BY doc_id, element_id) SELECT doc_id, any_value(version) AS version, count(*) FILTER (there) AS items FROM z JOIN v USING (doc_id) GROUP BY doc_id""")
 def q_mutation_fold(spark, d):
     return spatial.mutation_fold(mutations(spark, d))[1]
 
@@ -212,7 +214,7 @@ vias AS (SELECT doc_id, element_ord, element_id, rn AS via_no, size AS diameter,
 holes AS (SELECT doc_id, element_ord, element_id, w AS diameter, 1e0 AS confidence FROM elements WHERE kind = 'DrillHole' UNION ALL SELECT e.doc_id, e.element_ord, e.element_id, greatest(e.w, e.h), 0.74e0 FROM elements e JOIN lims USING (doc_id)
   WHERE kind = 'Ellipse' AND NOT is_filled AND e.element_ord NOT IN (SELECT element_ord FROM pads) AND greatest(e.w, e.h) / least(e.w, e.h) <= 1.15e0 AND greatest(e.w, e.h) BETWEEN lo AND hi * 2)"""
 SQL_MEANING = f"""{SQL_PADS}, {SQL_LAYERS}, m AS (SELECT e.*, e.element_ord IN (SELECT element_ord FROM holes) OR kind = 'DrillHole' AS is_hole, e.element_ord IN (SELECT element_ord FROM vias) OR kind = 'Via' AS is_via, e.element_ord IN (SELECT element_ord FROM pads) OR kind = 'Pad' AS is_pad,
-  c.conductive, c.confidence AS pc, layer_type, e.w * e.h / greatest(0.000001e0, doc_w * doc_h) AS share FROM elements e LEFT JOIN cls c ON c.element_ord = e.element_ord LEFT JOIN layers y ON y.layer_id = e.layer_id JOIN lims ON lims.doc_id = e.doc_id),
+  c.conductive, c.confidence AS pc, layer_type, e.w * e.h / greatest(0.000001e0, doc_w * doc_h) AS share FROM elements e LEFT JOIN cls c ON c.element_ord = e.element_ord LEFT JOIN layers y ON y.layer_id = e.layer_id AND y.doc_id = e.doc_id JOIN lims ON lims.doc_id = e.doc_id),
 t AS (SELECT *, CASE WHEN is_hole THEN 1 WHEN is_via THEN 2 WHEN is_pad THEN 3 WHEN kind = 'Text' THEN 4 WHEN layer_type IN ('Copper', 'Silkscreen', 'Mechanical') THEN 5 WHEN is_closed AND share >= 0.35e0 THEN 6 WHEN kind = 'Track' THEN 7 WHEN conductive AND greatest(w, h) <= 20 THEN 8
   WHEN is_closed AND share >= 0.00008e0 AND kind IN ('Rectangle', 'Polygon', 'Polyline') THEN 9 WHEN kind IN ('Line', 'Polyline', 'Bezier', 'Arc') THEN 10 WHEN kind = 'RasterImage' THEN 11 ELSE 12 END AS k FROM m)"""
 
@@ -244,7 +246,7 @@ round(CASE WHEN k = 8 THEN greatest(0.55e0, pc) ELSE [1e0, 0.98e0, 0.98e0, 1e0,
 CASE WHEN k = 5 THEN 'Layer:' || layer_type ELSE ['ExplicitOrRecognizedHole', 'ExplicitOrRecognizedVia', 'ExplicitOrRecognizedPad', 'TextPrimitive', '', 'ClosedLargeDocumentBoundary', 'ExplicitTrack', 'ConductiveGeometryCandidate', 'ClosedMediumScaleBody', 'DocumentStroke', 'RasterReference', 'InsufficientEvidence'][k] END AS rule FROM t""")
 def q_semantic(spark, d):
     e, limits, j, p = pads(spark, d)
-    return semantic.semantics(e, data.layers(spark), p, classify.vias(p), classify.holes(e, p, limits), j).select("doc_id", "element_id", "kind", "semantic", W6("confidence").alias("confidence"), "rule")
+    return semantic.semantics(e, data.layers(spark, d), p, classify.vias(p), classify.holes(e, p, limits), j).select("doc_id", "element_id", "kind", "semantic", W6("confidence").alias("confidence"), "rule")
 
 
 @query(f"""WITH RECURSIVE {SQL_ELEMENTS}, p AS (SELECT *, greatest(w, h) AS size FROM elements WHERE {PADS}), r AS (SELECT doc_id, least(3.5e0, greatest(median(size) * 4.5e0, median(size) * 1.5e0)) AS radius FROM p GROUP BY doc_id),
@@ -284,7 +286,7 @@ def q_low_level_footprints(spark, d):
 UNION ALL SELECT 'Net', net_id, name, 90 FROM nets WHERE contains(upper(name), 'E1') UNION ALL SELECT 'Layer', layer_id, layer_id, 80 FROM layers WHERE contains(upper(layer_id), 'E1')
 UNION ALL SELECT 'Element', element_id, element_id, CASE WHEN "left" <= 50 AND "right" >= 50 AND top <= 100 AND bottom >= 100 THEN 110 ELSE 70 END FROM elements WHERE contains(upper(element_id), 'E1') OR ("left" <= 50 AND "right" >= 50 AND top <= 100 AND bottom >= 100)""")
 def q_keyword_search(spark, d):
-    return search.keyword(data.components(spark, d), data.nets(spark, d), data.layers(spark), data.elements(spark, d), "e1", at=(50.0, 100.0))
+    return search.keyword(data.components(spark, d), data.nets(spark, d), data.layers(spark, d), data.elements(spark, d), "e1", at=(50.0, 100.0))
 
 
 @query(f"""WITH {sql_words()}, f AS (SELECT file, page, count(*) AS n FROM words WHERE contains(upper(text), 'TION') GROUP BY file, page) SELECT file, sum(n)::BIGINT AS occurrences, count(*) AS pages, array_to_string(list_sort(list(page))[1:8], ',') AS first_pages FROM f GROUP BY file""")
@@ -293,50 +295,81 @@ def q_substring_search(spark, d):
 
 
 def wanted(spark, d):
-    """References to look for: the items' longer words and some split ones."""
-    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("query"))
-    return words.where(F.length("query") > 6).distinct()
+    """References to look for: the items' words, and pairs of neighbouring words put together, which only joined fragments can give."""
+    w = table(spark, d, "benchmark").select(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w")).where("w IS NOT NULL")
+    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat(a, b))
+    return w.select(F.explode(F.concat("w", F.filter(pairs, lambda p: p.isNotNull()))).alias("query")).distinct()
 
 
 SQL_NORM = r"upper(regexp_replace(trim({0}), '[^\p{{L}}\p{{Nd}}_]', '', 'g'))"
+SQL_WANTED = rf"""bw AS (SELECT regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
+wanted AS (SELECT query, q, regexp_replace(q, '_E$', '') AS k FROM (SELECT query, {SQL_NORM.format("query")} AS q FROM (SELECT DISTINCT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1])) AS query FROM bw)) WHERE q <> ''),
+starts AS (SELECT DISTINCT query, q, k, unnest(list_transform(range(1, length(q) + 1), lambda i: q[1:i]) || [k || '_E']) AS two FROM wanted)"""
 
 
 def sql_references(role: str, name: str) -> str:
-    """Whole-word matches; on these layouts, gaps of 50 or more keep fragments apart unless the words are long."""
-    return rf"""{sql_words(role, name)}, {name}_h AS (SELECT w.file, w.page, q.query, w.n, 1 AS size FROM (SELECT *, {SQL_NORM.format("text")} AS k FROM {name}) w JOIN wanted q ON q.k = w.k WHERE w.k <> ''),
-{name}_r AS (SELECT file, page, query, count(*) AS occurrences FROM {name}_h GROUP BY file, page, query)"""
-
-
-SQL_WANTED = rf"""wanted AS (SELECT query, {SQL_NORM.format("query")} AS k FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS query FROM benchmark) WHERE length(query) > 6)"""
-
-
-@query(f"WITH {SQL_WANTED}, {sql_references('board', 'words')} SELECT * FROM words_r")
+    """Words by themselves; runs of each size whose first two fragments begin or are a reference, whose fragments are tied and of which all that
+    begins them begins it. Then from the left."""
+    text = lambda k: "norm" + "".join(f" || n{j}" for j in range(1, k))
+    tied = lambda k: "".join(f" AND j{j}" for j in range(2, k))
+    begins = lambda k: "".join(f" AND starts_with(q, {text(j)})" for j in range(2, k))
+    runs = " UNION ALL ".join(f"SELECT file, page, query, pos, {k} AS size FROM {name}_c WHERE regexp_replace({text(k)}, '_E$', '') = k{tied(k)}{begins(k)}" for k in range(2, 9))
+    leads = ", ".join(f"lead(norm, {k}) OVER w AS n{k}, coalesce(lead(joined, {k}) OVER w, false) AS j{k}" for k in range(1, 8))
+    return rf"""{sql_words(role, name)}, {name}_j AS (SELECT file, page, row_number() OVER w AS pos, {SQL_NORM.format("text")} AS norm,
+coalesce(abs(bottom - lag(bottom) OVER w) <= 6.5e0 AND "left" - lag("left" + width) OVER w BETWEEN -3.5e0 AND 17.5e0, false) AS joined FROM {name} WINDOW w AS (PARTITION BY file, page ORDER BY n)),
+{name}_l AS (SELECT file, page, pos, norm, {leads} FROM {name}_j WINDOW w AS (PARTITION BY file, page ORDER BY pos)),
+{name}_c AS (SELECT l.*, query, q, k FROM (SELECT * FROM {name}_l WHERE norm <> '' AND j1) l JOIN starts ON two = norm || n1),
+{name}_a AS (SELECT file, page, query, pos, 1 AS size FROM (SELECT *, regexp_replace(norm, '_E$', '') AS bare FROM {name}_l WHERE norm <> '') JOIN wanted ON bare = k UNION ALL {runs}),
+{name}_h AS (SELECT file, page, query, pos, min(size) AS size, row_number() OVER (PARTITION BY file, page, query ORDER BY pos) AS i FROM {name}_a GROUP BY file, page, query, pos),
+{name}_g AS (SELECT file, page, query, i, pos + size AS free, 1::BIGINT AS n FROM {name}_h WHERE i = 1 UNION ALL
+  SELECT g.file, g.page, g.query, h.i, CASE WHEN h.pos >= g.free THEN h.pos + h.size ELSE g.free END, g.n + (h.pos >= g.free)::BIGINT FROM {name}_g g JOIN {name}_h h ON h.file = g.file AND h.page = g.page AND h.query = g.query AND h.i = g.i + 1),
+{name}_r AS (SELECT file, page, query, max(n) AS occurrences FROM {name}_g GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {SQL_WANTED}, {sql_references('board', 'words')} SELECT * FROM words_r")
 def q_reference_search(spark, d):
-    """Words of this layout are over a line's reach apart, so single words match; tests cover joined fragments."""
-    return search.references(spread(data.words(spark, d)), wanted(spark, d))
-
-
-def spread(words):
-    return words.withColumn("left", F.col("left") * 100)
+    return search.references(data.words(spark, d), wanted(spark, d))
 
 
-@query(f"""WITH {SQL_WANTED}, {sql_references('board', 'b')}, {sql_references('schematic', 's')}, x AS (SELECT query, sum(occurrences)::BIGINT AS n, min(page) AS p FROM b_r GROUP BY query), y AS (SELECT query, sum(occurrences)::BIGINT AS n, min(page) AS p FROM s_r GROUP BY query)
+@query(f"""WITH RECURSIVE {SQL_WANTED}, {sql_references('board', 'b')}, {sql_references('schematic', 's')}, x AS (SELECT query, sum(occurrences)::BIGINT AS n, min(page) AS p FROM b_r GROUP BY query),
+y AS (SELECT query, sum(occurrences)::BIGINT AS n, min(page) AS p FROM s_r GROUP BY query)
 SELECT query, coalesce(x.n, 0) AS board_occurrences, x.p AS board_page, coalesce(y.n, 0) AS schematic_occurrences, y.p AS schematic_page, CASE WHEN x.n IS NOT NULL AND y.n IS NOT NULL THEN 'both' WHEN x.n IS NOT NULL THEN 'board' ELSE 'schematic' END AS status FROM x FULL JOIN y USING (query)""")
 def q_cross_probe(spark, d):
     q = wanted(spark, d)
-    return search.cross_probe(search.references(spread(data.words(spark, d)), q), search.references(spread(data.words(spark, d, "schematic")), q))
+    return search.cross_probe(search.references(data.words(spark, d), q), search.references(data.words(spark, d, "schematic"), q))
+
+
+SQL_ISSUES = f"""{SQL_ELEMENTS}, {SQL_LAYERS}, {SQL_NETS}, docs AS (SELECT DISTINCT user_id // 8 AS doc_id FROM events),
+pages AS (SELECT doc_id, unnest([1, 2]) AS number FROM docs), on_pages AS (SELECT doc_id, number, unnest([{", ".join(f"'{k}'" for k in data.LAYERS)}]) AS layer_id, unnest(range({len(data.LAYERS)})) AS "at" FROM pages),
+members AS (SELECT doc_id, component_id, min(element_ord) AS ord, count(*) AS n FROM elements WHERE component_id IS NOT NULL GROUP BY doc_id, component_id),
+issues AS (SELECT doc_id, 'Error' AS severity, 'CORE001' AS code, NULL::VARCHAR AS subject, 0 AS part, 0::BIGINT AS row, 0 AS rule, 0::BIGINT AS "at" FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM layers)
+UNION ALL SELECT doc_id, 'Error', 'CORE006', number::VARCHAR, 1, number, 0, 0 FROM pages WHERE number = 2 AND doc_id % 3 = 0
+UNION ALL SELECT doc_id, 'Error', 'CORE007', number::VARCHAR, 1, number, 1, "at" FROM on_pages p WHERE NOT EXISTS (FROM layers l WHERE l.doc_id = p.doc_id AND l.layer_id = p.layer_id)
+UNION ALL SELECT doc_id, 'Warning', 'CORE002', element_id, 2, element_ord, 0, 0 FROM elements WHERE w <= 0 OR h <= 0
+UNION ALL SELECT doc_id, 'Error', 'CORE003', element_id, 2, element_ord, 1, 0 FROM elements e WHERE NOT EXISTS (FROM layers l WHERE l.doc_id = e.doc_id AND l.layer_id = e.layer_id)
+UNION ALL SELECT doc_id, 'Error', 'CORE004', element_id, 2, element_ord, 2, 0 FROM elements e WHERE net_id IS NOT NULL AND NOT EXISTS (FROM nets n WHERE n.doc_id = e.doc_id AND n.net_id = e.net_id)
+UNION ALL SELECT doc_id, 'Error', 'CORE005', component_id, 3, ord, 0, n FROM members WHERE ord % 3 = 0)"""
 
 
-@query(f"""WITH {SQL_ELEMENTS}, {SQL_LAYERS}, {SQL_NETS}, {SQL_COMPONENTS}, half AS (SELECT component_id FROM components WHERE substr(component_id, 2)::BIGINT % 2 = 0) SELECT doc_id, 'Error' AS severity, 'CORE003' AS code, element_id AS subject FROM elements WHERE layer_id NOT IN (SELECT layer_id FROM layers WHERE layer_visible)
-UNION ALL SELECT doc_id, 'Error', 'CORE004', element_id FROM elements WHERE net_id IS NOT NULL AND net_id NOT IN (SELECT net_id FROM nets) UNION ALL SELECT DISTINCT doc_id, 'Error', 'CORE005', component_id FROM elements WHERE component_id IS NOT NULL AND component_id NOT IN (SELECT component_id FROM half)""")
+@query(f"""WITH {SQL_ISSUES} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, row, rule, "at", subject))::INT AS issue_ord, severity, code, subject FROM issues""")
 def q_validate(spark, d):
-    half = data.components(spark, d).where(F.substring("component_id", 2, 20).cast("long") % 2 == 0)
-    return quality.validate(data.elements(spark, d), data.layers(spark).where("layer_visible"), data.nets(spark, d), half)
+    return quality.validate(data.documents(spark, d), data.elements(spark, d), data.layers(spark, d), data.nets(spark, d), data.members(spark, d), data.pages(spark, d))
 
 
-@query(f"""WITH {SQL_ELEMENTS}, {SQL_NETS} SELECT doc_id, net_id, name, count(*) AS elements, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom FROM elements JOIN nets USING (net_id) GROUP BY doc_id, net_id, name""")
+@query(f"""WITH {SQL_ISSUES} SELECT doc_id, bool_and(severity <> 'Error') AS valid, count(*) AS issues FROM issues GROUP BY doc_id""")
+def q_validity(spark, d):
+    return quality.is_valid(quality.validate(data.documents(spark, d), data.elements(spark, d), data.layers(spark, d), data.nets(spark, d), data.members(spark, d), data.pages(spark, d)))
+
+
+@query(f"""WITH {SQL_ELEMENTS}, {SQL_NETS}, asked AS (SELECT DISTINCT doc_id, lower(name) AS query FROM nets UNION SELECT doc_id, upper(net_id) FROM nets UNION SELECT doc_id, 'nothing' FROM nets),
+m AS (SELECT a.doc_id, query, count(DISTINCT net_id) AS matches, min(net_id) AS net_id, min(name) AS name FROM asked a LEFT JOIN nets n ON n.doc_id = a.doc_id AND (lower(n.name) = lower(query) OR lower(n.net_id) = lower(query)) GROUP BY a.doc_id, query),
+t AS (SELECT doc_id, net_id, count(*) AS elements, min("left") AS l, min(top) AS t, max("right") AS r, max(bottom) AS b FROM elements WHERE net_id IS NOT NULL GROUP BY doc_id, net_id)
+SELECT m.doc_id, query, matches, CASE WHEN matches = 1 THEN m.net_id END AS net_id, CASE WHEN matches = 1 THEN name END AS name, CASE WHEN matches = 1 THEN coalesce(elements, 0) END AS elements, l AS "left", t AS top, r AS "right", b AS bottom
+FROM m LEFT JOIN t ON matches = 1 AND t.doc_id = m.doc_id AND t.net_id = m.net_id""")
 def q_net_trace(spark, d):
-    return quality.net_trace(data.elements(spark, d), data.nets(spark, d))
+    nets = data.nets(spark, d)
+    asked = nets.select("doc_id", F.lower("name").alias("query")).union(nets.select("doc_id", F.upper("net_id"))).union(nets.select("doc_id", F.lit("nothing")))
+    return quality.net_trace(data.elements(spark, d), nets, asked)
 
 
 @query("""SELECT o_custkey AS doc_id, o_orderkey AS number, coalesce(sum((o_orderkey % 7) * 50e0 + 10e0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS offset_y, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 10 + 1)::INT AS first_layer_order FROM orders""")
@@ -447,21 +480,9 @@ def q_eagle_scan(spark, d):
     return boards.eagle(files)["components"].select("doc_id", "n", "reference", "x", "side", "rotation")
 
 
-@query(r"""SELECT page_id AS doc_id, lower(regexp_extract(url, '(\.[^./?#]+)(?:[?#].*)?$', 1)) AS extension, contains(html, 'Please wait') AS wait, contains(html, '/Encrypt') AS encrypted, greatest(1, len(regexp_extract_all(html, '<p>')))::INT AS paragraphs FROM pages""")
-def q_format_inspection(spark, d):
-    p = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url", F.col("html").alias("content"))
-    flags = boards.inspect(p)
-    return p.join(flags, "doc_id").select("doc_id", g.extension(F.col("url")).alias("extension"), "wait", "encrypted", F.greatest(F.lit(1), F.regexp_count("content", F.lit("<p>"))).alias("paragraphs"))
-
-
 @query(r"""SELECT doc_id, net_id, arg_min(name, n) AS name FROM (SELECT p_partkey % 20 AS doc_id, p_partkey AS n, p_brand || ' ' || p_type AS name, 'net-' || trim(regexp_replace(lower(p_brand || ' ' || p_type), '[^\p{L}\p{Nd}]', '-', 'g'), '-') AS net_id FROM part) GROUP BY doc_id, net_id""")
 def q_net_slugs(spark, d):
     return boards.nets(table(spark, d, "part").select((F.col("p_partkey") % 20).alias("doc_id"), F.col("p_partkey").alias("n"), F.concat_ws(" ", "p_brand", "p_type").alias("name")))
 
 
-@query(f"""WITH {SQL_ELEMENTS} SELECT doc_id, count(*) AS total, count(*) FILTER (kind = 'Pad') AS pads FROM elements GROUP BY doc_id""")
-def q_json_report(spark, d):
-    """The JSON report read back."""
-    e = data.elements(spark, d)
-    report = inventory.document_report(inventory.geometry_database(e), e.select("doc_id", F.col("layer_id").alias("semantic")))
-    return report.select("doc_id", F.get_json_object("report", "$.database.total").cast("long").alias("total"), F.get_json_object("report", "$.database.byKind.Pad").cast("long").alias("pads"))
+from planar import queries_documents  # noqa: E402, F401  registers its queries

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from planar.functions import geometry as g
 
-#: id -> (extensions, category); the first that fits wins.
-FORMATS = (("gerber", (".gbr", ".ger", ".gtl", ".gbl", ".gts", ".gbs", ".gto", ".gbo")), ("excellon", (".drl", ".xln")), ("kicad-pcb", (".kicad_pcb",)), ("eagle", (".brd",)), ("ipc-2581", (".xml", ".cvg")), ("odb", (".zip", ".tgz", ".tar")), ("legacy-pcb", (".pcb", ".pbr")), ("pdf", (".pdf",)))
 SKELETON = (("top-copper", "Copper", "Top", 10), ("bottom-copper", "Copper", "Bottom", 20), ("outline", "Outline", "Both", 30), ("drill", "Drill", "Both", 40))
 INCH = 25.4
 
@@ -22,15 +20,6 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("content"))
 
 
-def format_of(path: Column) -> Column:
-    """The format of a path by its last extension, without regard to case; null if none is known."""
-    ext = g.extension(path)
-    out = F.lit(None).cast("string")
-    for name, known in reversed(FORMATS):
-        out = F.when(ext.isin(*known), F.lit(name)).otherwise(out)
-    return out
-
-
 def skeleton(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The four layers of every board document."""
     rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("layer_id", "layer_type", "side", "ord"), r)]) for r in SKELETON])
@@ -59,14 +48,14 @@ def gerber(files: DataFrame) -> DataFrame:
     groups = lambda pattern, k: F.regexp_extract_all("content", F.lit(pattern), F.lit(k))
     ap = r"(?i)%ADD(\d+)C,([0-9.]+)"
     defs = f.select("doc_id", "metric", F.posexplode(F.arrays_zip(groups(ap, 1).alias("d"), groups(ap, 2).alias("s"))).alias("k", "a"))
-    defs = defs.groupBy("doc_id", F.col("a.d").cast("int").alias("aperture")).agg(F.max_by(F.col("a.s").cast("double") * F.when(F.col("metric"), 1.0).otherwise(INCH), "k").alias("size"))
+    defs = defs.groupBy("doc_id", F.col("a.d").try_cast("int").alias("aperture")).agg(F.max_by(F.col("a.s").try_cast("double") * F.when(F.col("metric"), 1.0).otherwise(INCH), "k").alias("size"))
     t = f.select("doc_id", F.when(F.col("metric"), 0.001).otherwise(0.0001 * INCH).alias("scale"), F.posexplode(F.split("content", r"\*")).alias("n", "token")).withColumn("token", F.trim(F.regexp_replace("token", r"^\s+|\s+$", ""))).where("token <> ''")
-    select = F.nullif(F.regexp_extract("token", r"(?i)(?:^|G54)D(\d+)$", 1), F.lit("")).cast("int")
+    select = F.nullif(F.regexp_extract("token", r"(?i)(?:^|G54)D(\d+)$", 1), F.lit("")).try_cast("int")
     coord = r"(?i)(?:X(-?\d+))?(?:Y(-?\d+))?(?:D0?([123]))"
     part = lambda k: F.when(F.col("select").isNull(), F.nullif(F.regexp_extract("token", coord, k), F.lit("")))
     order = Window.partitionBy("doc_id").orderBy("n")
     upto, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("select", select).withColumns({"op": part(3).cast("int"), "x": part(1).cast("double") * F.col("scale"), "y": part(2).cast("double") * F.col("scale")})
+    t = t.withColumn("select", select).withColumns({"op": part(3).try_cast("int"), "x": part(1).try_cast("double") * F.col("scale"), "y": part(2).try_cast("double") * F.col("scale")})
     now = lambda c, w: F.coalesce(F.last(c, True).over(w), F.lit(0.0))
     t = t.withColumns({"aperture": F.coalesce(F.last("select", True).over(upto), F.lit(0)), "x1": now("x", before), "y1": now("y", before), "x2": now("x", upto), "y2": now("y", upto)}).where("op IS NOT NULL")
     moved = (F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2"))
@@ -82,9 +71,9 @@ def excellon(files: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("n")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     got = lambda pattern, k: F.nullif(F.regexp_extract("line", pattern, k), F.lit(""))
-    inch = F.coalesce(F.max(F.col("line").rlike("(?i)^INCH").cast("int")).over(upto), F.lit(0)) == 1
+    inch = F.coalesce(F.max(F.col("line").rlike("(?i)^INCH").try_cast("int")).over(upto), F.lit(0)) == 1
     definition, select, point = r"(?i)^T(\d+)C([0-9.]+)", r"(?i)^T(\d+)$", r"(?i)^X(-?\d+)Y(-?\d+)"
-    l = l.withColumns({"inch": inch, "def": got(definition, 1).cast("int"), "size": got(definition, 2).cast("double"), "sel": got(select, 1).cast("int"), "px": got(point, 1).cast("double"), "py": got(point, 2).cast("double")})
+    l = l.withColumns({"inch": inch, "def": got(definition, 1).try_cast("int"), "size": got(definition, 2).try_cast("double"), "sel": got(select, 1).try_cast("int"), "px": got(point, 1).try_cast("double"), "py": got(point, 2).try_cast("double")})
     l = l.withColumn("tool", F.coalesce(F.last("sel", True).over(upto), F.lit(0))).withColumn("key", F.coalesce("def", "tool"))
     mm = F.col("size") * F.when(F.col("inch"), INCH).otherwise(1.0)
     l = l.withColumn("diameter", F.last(F.when(F.col("def").isNotNull(), mm), True).over(Window.partitionBy("doc_id", "key").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -108,16 +97,16 @@ KICAD_EDGE = rf'(?s)\(gr_line\s+\(start\s+{NUMBER}\s+{NUMBER}\).*?\(layer\s+"Edg
 
 def kicad(files: DataFrame) -> dict[str, DataFrame]:
     """tracks, components, nets and outlines."""
-    num = lambda c: F.col(c).cast("double").alias(c)
+    num = lambda c: F.col(c).try_cast("double").alias(c)
     s = matches(files, KICAD_SEGMENT, ["x1", "y1", "x2", "y2", "layer", "net", "width"])
     tracks = s.select("doc_id", F.col("n").alias("element_no"), F.when(F.col("layer") == "B.Cu", "bottom-copper").otherwise("top-copper").alias("layer_id"), num("x1"), num("y1"), num("x2"), num("y2"), num("width"), F.when(F.col("net").isNotNull(), g.slug(F.col("net"))).alias("net_id"))
-    parts = matches(files, KICAD_FOOTPRINT, ["reference", "value", "x", "y", "rotation"]).select("doc_id", "n", "reference", F.coalesce("value", F.lit("")).alias("value"), num("x"), num("y"), F.coalesce(F.col("rotation").cast("double"), F.lit(0.0)).alias("rotation"))
+    parts = matches(files, KICAD_FOOTPRINT, ["reference", "value", "x", "y", "rotation"]).select("doc_id", "n", "reference", F.coalesce("value", F.lit("")).alias("value"), num("x"), num("y"), F.coalesce(F.col("rotation").try_cast("double"), F.lit(0.0)).alias("rotation"))
     edge = matches(files, KICAD_EDGE, ["x", "y"]).select("doc_id", "n", num("x"), num("y"))
     return {"tracks": tracks, "components": parts, "nets": nets(s.where("net IS NOT NULL").select("doc_id", "n", F.col("net").alias("name"))), "outlines": outlines(edge)}
 
 
 def legacy(files: DataFrame) -> dict[str, DataFrame]:
-    num = lambda c: F.col(c).cast("double").alias(c)
+    num = lambda c: F.col(c).try_cast("double").alias(c)
     t = matches(files, r"Po\s+\d+\s+" + r"\s+".join([NUMBER] * 5), ["x1", "y1", "x2", "y2", "width"])
     m = matches(files, rf"(?s)\$MODULE\s+([^\s]+).*?Po\s+{NUMBER}\s+{NUMBER}", ["reference", "x", "y"])
     return {"tracks": t.select("doc_id", F.col("n").alias("element_no"), *map(num, ("x1", "y1", "x2", "y2", "width"))), "components": m.select("doc_id", "n", "reference", num("x"), num("y"))}
@@ -187,7 +176,9 @@ def odb_layers(archives: DataFrame) -> DataFrame:
 
 
 #: Tokens of a document's bytes that tell its kind.
-TOKENS = {"pdf": "%PDF-", "encrypted": "/Encrypt", "form": "/AcroForm", "xfa": "/XFA", "dynamic": "dynamicRender", "wait": "Please wait"}
+TOKENS = {"pdf": "%PDF-", "encrypted": "/Encrypt", "form": "/AcroForm", "xfa": "/XFA", "dynamic": "dynamicRender", "wait": "Please wait", "dot_ret": "/DotRet"}
+#: Types that the built-in viewer shows, and that can be analysed.
+VIEWABLE, ANALYSABLE = ("Standard", "ImageOnly", "Technical", "AcroForm"), ("Standard", "Technical", "AcroForm")
 
 
 def inspect(files: DataFrame, tokens: dict[str, str] = TOKENS) -> DataFrame:
@@ -198,6 +189,18 @@ def inspect(files: DataFrame, tokens: dict[str, str] = TOKENS) -> DataFrame:
 
 
 def document_type(vectors: Column, words: Column) -> Column:
-    """The type of an inspected document; the first that holds."""
+    """The type of an inspected document; the first that holds. A document with the malformed name that breaks decoders counts as standard, by its raw page count."""
     c = F.col
-    return F.when(~c("pdf"), "Corrupted").when(c("encrypted"), "Protected").when(c("xfa") & (c("dynamic") | c("wait")), "DynamicXfa").when(c("form"), "AcroForm").when(vectors > 0, "Technical").when(words > 0, "Standard").otherwise("ImageOnly")
+    known = F.when(~c("pdf"), "Corrupted").when(c("encrypted"), "Protected").when(c("xfa") & (c("dynamic") | c("wait")), "XfaDynamic")
+    known = known.when(c("xfa"), "XfaStatic").when(c("dot_ret"), "Standard")
+    return known.when(c("form"), "AcroForm").when(vectors > 0, "Technical").when(words > 0, "Standard").otherwise("ImageOnly")
+
+
+def viewable(kind: Column) -> Column:
+    return kind.isin(*VIEWABLE)
+
+
+def analysable(kind: Column, override: Column | None = None) -> Column:
+    """Whether a document can be analysed: by its type, unless the override (false for a malformed name) is given."""
+    by_type = kind.isin(*ANALYSABLE)
+    return by_type if override is None else F.coalesce(override, by_type)

@@ -23,14 +23,22 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f"`{c}`").alias(back[c.lower()]) for c in raw.columns if c.lower() in back])
 
 
-def annotate(project: DataFrame, reference: str, title: str, status: str) -> DataFrame:
-    """Appends an annotation to each project."""
-    new = F.struct(F.expr("uuid()").alias("id"), F.lit(reference).alias("reference"), F.lit(title).alias("title"), F.lit(status).alias("status"))
+def annotate(project: DataFrame, reference: str, title: str, status: str, at: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Appends an annotation at a position to each project; a title without text is an error."""
+    if not title.strip():
+        raise ValueError("an annotation has a text")
+    place = F.struct(F.lit(at[0]).alias("x"), F.lit(at[1]).alias("y"))
+    new = F.struct(
+        F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")).alias("id"), F.lit(reference).alias("reference"), F.lit(title.strip()).alias("title"), F.lit(status).alias("status"),
+        place.alias("position"), F.current_timestamp().alias("created_utc"),
+    )
     return project.withColumn("annotations", F.concat(F.coalesce("annotations", F.array()), F.array(new)) if "annotations" in project.columns else F.array(new))
 
 
-def remove_annotation(project: DataFrame, reference: str) -> DataFrame:
-    return project.withColumn("annotations", F.filter("annotations", lambda a: a["reference"] != reference))
+def remove_annotation(project: DataFrame, annotation_id: str) -> DataFrame:
+    """Without the annotation of this id; `removed` tells which projects had it."""
+    other = F.filter("annotations", lambda a: a["id"] != annotation_id)
+    return project.withColumn("removed", F.size("annotations") > F.size(other)).withColumn("annotations", other)
 
 
 def plugins(spark: SparkSession, folder: str) -> DataFrame:

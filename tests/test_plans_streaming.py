@@ -7,7 +7,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_analysis_chain(spark):
-    a = board.analyze(data.elements(spark, SMALL), data.layers(spark))
+    a = board.analyze(data.elements(spark, SMALL), data.layers(spark, SMALL))
     n = {k: getattr(a, k).count() for k in ("classified", "pads", "holes", "semantics", "footprints", "components")}
     assert n["semantics"] == data.elements(spark, SMALL).count() and 0 < n["footprints"] == n["components"] and n["pads"] < n["classified"]
 
@@ -26,7 +26,7 @@ def test_projects_round_trip(spark, tmp_path):
     back = projects.load(spark, f"{tmp_path}/p")
     r = back.first()
     assert (r.name, r.board_file, r.annotations[0].reference) == ("Trial", "board.pdf", "U100") and r.updated_utc
-    assert projects.remove_annotation(back, "U100").first().annotations == []
+    assert projects.remove_annotation(back, r.annotations[0].id).first().annotations == []
 
 
 def test_folders(spark, tmp_path):

@@ -84,7 +84,7 @@ def test_templates():
 
 def test_semantics(spark):
     e = board(spark, [("Pad", "cu", "Circle", False, True, (1.5, 1.5, 2.5, 2.5), None), ("Via", "cu", None, False, True, (3.5, 1.5, 4.5, 2.5), None), ("Text", "doc", None, False, False, (0, 0, 1, 1), "R1"), ("Rectangle", "cu", None, False, True, (8, 8, 9, 9), None), ("Arc", "doc", None, False, False, (0, 0, 20, 20), None)])
-    layers = spark.createDataFrame([("cu", "Copper"), ("doc", "Document")], "layer_id string, layer_type string")
+    layers = e.select("doc_id").distinct().join(spark.createDataFrame([("cu", "Copper"), ("doc", "Document")], "layer_id string, layer_type string"))
     limits, prims, j = judged(e)
     p = classify.distinct_pads(j.where("reason = 'None'"))
     got = {r.element_id: r.semantic for r in semantic.semantics(e, layers, p, classify.vias(p), classify.holes(e, p, limits), prims).collect()}

@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from planar.operators import history, quality, search
 
 
@@ -27,14 +31,80 @@ def test_cross_probe(spark):
     assert got == {"A": ("both", 3, 5), "B": ("board", 1, None)}
 
 
-def test_validation(spark):
-    e = spark.createDataFrame([(1, "a", "top", "n1", None, 0.0, 0.0, 1.0, 1.0), (1, "b", "none", "n9", "c9", 0.0, 0.0, 0.0, 1.0)], "doc_id int, element_id string, layer_id string, net_id string, component_id string, left double, top double, right double, bottom double")
-    f = lambda c, v: spark.createDataFrame([(v,)], f"{c} string")
-    pages = spark.createDataFrame([(1, 1, 0.0, 5.0, ["top", "gone"])], "doc_id int, number int, width double, height double, layer_ids array<string>")
-    issues = quality.validate(e, f("layer_id", "top"), f("net_id", "n1"), f("component_id", "c1"), pages)
-    assert sorted((r.code, r.subject) for r in issues.collect()) == [("CORE002", "b"), ("CORE003", "b"), ("CORE004", "b"), ("CORE005", "c9"), ("CORE006", "1"), ("CORE007", "1")]
-    assert not quality.is_valid(issues).first().valid
-    assert quality.without_layers(e.select("doc_id").distinct(), spark.createDataFrame([(2,)], "doc_id int")).first().code == "CORE001"
+def test_a_run_that_passes_the_reference_ends(spark):
+    """What two fragments and more give must begin the reference; empty fragments join; matches don't overlap."""
+    line = lambda page, texts: [(1, page, k, t, k * 4.0, 10.0, 3.0, 2.0) for k, t in enumerate(texts)]
+    w = words(spark, line(1, ["C", "1_", "E"]) + line(2, ["C", "-", "1"]) + line(3, ["C", "1", "C", "1"]) + line(4, ["A", "B", "A", "B", "A"]) + line(5, ["R605", "R", "6", "05"]) + line(6, list("ABCDEFGH")) + line(7, list("xABCDEFGHI")))
+    q = spark.createDataFrame([("C1",), ("ABA",), ("r605",), ("ABCDEFGH",), ("ABCDEFGHI",)], "query string")
+    got = {(r.page, r.query): r.occurrences for r in search.references(w, q).collect()}
+    assert got == {(2, "C1"): 1, (3, "C1"): 2, (4, "ABA"): 1, (5, "r605"): 2, (6, "ABCDEFGH"): 1, (7, "ABCDEFGH"): 1}
+
+
+def test_references_equal_a_scan(spark):
+    """Random fragments against the reading of a page word by word."""
+    rnd = random.Random(3)
+    pages = {p: [rnd.choice(["A", "B", "AB", "_E", "a1", "1", "-", "B_E", "\u00df"]) for _ in range(40)] for p in range(30)}
+    left, rows, ties = 0.0, [], {}
+    for p, texts in pages.items():
+        left, ties[p] = 0.0, []
+        for k, t in enumerate(texts):
+            near = rnd.random() < 0.8
+            left += 4.0 if near else 40.0
+            ties[p].append(near and k > 0)
+            rows.append((1, p, k, t, left, 10.0, 3.0, 2.0))
+    queries = ["AB", "ABA", "AB_E", "A1", "a1b", "BB_E", "AAAA", "\u00dfA"]
+    norm = lambda t: "".join(c if c == "\u00df" else c.upper() for c in t if c.isalnum() or c == "_")
+    bare = lambda t: t.removesuffix("_E")
+
+    def count(texts, tie, q):
+        n = i = 0
+        while i < len(texts):
+            size, all_ = 0, texts[i]
+            if norm(all_) and bare(norm(all_)) == bare(q):
+                size = 1
+            for j in range(i + 1, min(len(texts), i + 8)) if not size else ():
+                if not tie[j]:
+                    break
+                all_ += texts[j]
+                if norm(all_) and bare(norm(all_)) == bare(q):
+                    size = j - i + 1
+                    break
+                if not q.startswith(norm(all_)):
+                    break
+            n, i = n + bool(size), i + max(size, 1)
+        return n
+
+    want = {(p, x): count(t, ties[p], norm(x)) for p, t in pages.items() for x in queries}
+    got = {(r.page, r.query): r.occurrences for r in search.references(words(spark, rows), spark.createDataFrame([(x,) for x in queries], "query string")).collect()}
+    assert got == {k: n for k, n in want.items() if n}
+
+
+ELEMENT = "doc_id int, element_ord long, element_id string, layer_id string, net_id string, left double, top double, right double, bottom double"
+
+
+def test_validation_within_documents(spark):
+    """Two documents with the same keys: what one has doesn't help the other."""
+    e = spark.createDataFrame([(1, 0, "a", "top", "n1", 0.0, 0.0, 1.0, 1.0), (1, 1, "b", "low", "n9", 0.0, 0.0, 0.0, 1.0), (2, 0, "a", "top", "n1", 0.0, 0.0, 1.0, 1.0)], ELEMENT)
+    layers = spark.createDataFrame([(1, "top"), (2, "low")], "doc_id int, layer_id string")
+    nets = spark.createDataFrame([(1, "n1"), (2, "n9")], "doc_id int, net_id string")
+    parts = spark.createDataFrame([(1, "c1", 0, ["a", "zz", "yy"]), (2, "c1", 0, ["a", "b"])], "doc_id int, component_id string, ord int, element_ids array<string>")
+    pages = spark.createDataFrame([(1, 1, 0.0, 5.0, ["top", "gone"]), (2, 1, 1.0, 1.0, ["low"])], "doc_id int, number int, width double, height double, layer_ids array<string>")
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id int")
+    issues = quality.validate(docs, e, layers, nets, parts, pages)
+    got = {d: [(r.code, r.subject) for r in issues.where(f"doc_id = {d}").orderBy("issue_ord").collect()] for d in (1, 2, 3)}
+    assert got[1] == [("CORE006", "1"), ("CORE007", "1"), ("CORE002", "b"), ("CORE003", "b"), ("CORE004", "b"), ("CORE005", "c1"), ("CORE005", "c1")]
+    assert got[2] == [("CORE003", "a"), ("CORE004", "a"), ("CORE005", "c1")] and got[3] == [("CORE001", None)]
+    assert {r.doc_id: r.valid for r in quality.is_valid(issues).collect()} == {1: False, 2: False, 3: False}
+
+
+def test_net_trace_within_documents(spark):
+    e = spark.createDataFrame([(1, 0, "a", "t", "g", 0.0, 0.0, 1.0, 1.0), (2, 0, "a", "t", "g", 5.0, 5.0, 7.0, 7.0), (2, 1, "b", "t", "h", 0.0, 0.0, 1.0, 1.0)], ELEMENT)
+    nets = spark.createDataFrame([(1, "g", "GND"), (2, "g", "GND"), (2, "h", "gnd"), (2, "i", "VCC")], "doc_id int, net_id string, name string")
+    asked = spark.createDataFrame([(1, "gnd"), (2, "Gnd"), (2, "G"), (2, "vcc"), (2, "none")], "doc_id int, query string")
+    got = {(r.doc_id, r.query): (r.matches, r.net_id, r.elements, r.right) for r in quality.net_trace(e, nets, asked).collect()}
+    assert got == {(1, "gnd"): (1, "g", 1, 1.0), (2, "Gnd"): (2, None, None, None), (2, "G"): (1, "g", 1, 7.0), (2, "vcc"): (1, "i", 0, None), (2, "none"): (0, None, None, None)}
+    with pytest.raises(Exception, match="names 2 nets"):
+        quality.net_trace(e, nets, asked, strict=True).collect()
 
 
 def test_words_of_characters(spark):
