@@ -1,16 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are turned once into word ids of the benchmark's vocabulary (0: another word). Inverse document frequencies come
-from all their 16-word blocks. The benchmark's TF-IDF passages (32 words, every 16) are decomposed by a randomised SVD whose
-products A'(A X) Spark sums over the passages' partitions; hits carry the cosine of their window to the item's passages in that latent space.
-No cosine decides what is found. A hit needs 60 % of the item's words in their order within a stretch of STRETCH times the item, so at most 40 % of them are missing, and of the item's rarest RAREST share
-all but that many must be near: a window of blocks with fewer can't hold a hit. Every window of every document is counted against every item, and all windows that pass
-are checked: the longest common subsequence of words in every stretch that starts there, and for paraphrases the item's answer, its last
-words unless there is an `answer` column. Items are taken in blocks of ITEMS, which bounds vocabulary, space and broadcast; every block meets all documents.
+from all their 16-word blocks. The blocks' TF-IDF passages are decomposed by a randomised SVD, whose products A'(A X) Spark sums over all
+documents; hits carry the cosine of their window to the item's passages in that latent space.
+
+No cosine decides what is found. A hit needs 60 % of the item's words in their order within a stretch of STRETCH times the item, so at
+most `missing` of them are absent, and of its missing + RARE rarest words at least RARE (all of a short item's) are near. Inverted lists from these
+words to items give every window that holds as many; all such windows are checked: first whether 60 % of the item's words are there, then the
+longest common subsequence of words in every stretch that starts there, and for paraphrases the item's answer, its last words unless
+there is an `answer` column. Items are taken in blocks of ITEMS and VOCABULARY words, which bounds vocabulary, space and what the driver holds;
+every block meets all documents.
 
 Defined results: null and empty texts and items match nothing; repeated items are reported by each id; repeated rows are searched one by
-one and reported once for a doc_id; every item with a word is sought, however common or few its words are; a word is a run of letters or one of digits; ties don't matter, as every hit is checked; an empty table gives an
-empty result; other columns than doc_id, text, item_id, text and answer are not read.
+one and reported once for a doc_id; every item with a word is sought, however common or few its words are; a word is a run of letters
+or one of digits; ties don't matter, as every hit is checked; an empty table gives an empty result; other columns than doc_id, text,
+item_id, text and answer are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from pyspark.sql import functions as F
 from planar.llm.common import integer_key, stored, text_bytes
 from planar.llm.lm import packed, unpacked
 
-STEP, RANK, OVERSAMPLE, POWER = 16, 128, 16, 2
-RAREST, LEAST_IDF, SLAB_ITEMS, SLAB_WORDS = 0.7, 0.01, 256, 65_536
+STEP, RANK, OVERSAMPLE, POWER = 16, 24, 8, 1
+RARE, LEAST_IDF, SLAB_WORDS = 6, 0.01, 65_536
 SUBSEQUENCE, PARAPHRASE, ANSWER_WORDS, STRETCH = 0.8, 0.6, 5, 1.25
-ITEMS, CHUNK_WORDS = 20_000, 1_000_000
+ITEMS, VOCABULARY, CHUNK_WORDS = 20_000, 65_536, 1_000_000
 _PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _DIGITS = re.compile(rb"[0-9]+")
 
@@ -114,28 +118,39 @@ def passages_of(items: list[list[int]]) -> list[tuple[int, list[int]]]:
     return [(k, w[a : a + 2 * STEP]) for k, w in enumerate(items) for a in range(0, max(1, len(w) - STEP), STEP)]
 
 
-def latent_space(spark, passages: list[list[int]], idf):
-    """The projection (terms x rank) onto the leading right singular vectors of the passages' TF-IDF matrix."""
+def latent_space(chunks: DataFrame, idf):
+    """The projection (terms x rank) onto the leading right singular vectors of the TF-IDF matrix of all blocks of all documents.
+
+    A block is the sum of its words' idf vectors over the root of their squares' sum. At most VOCABULARY x (RANK + OVERSAMPLE) numbers come to the driver."""
     import numpy as np
 
-    size = len(idf)
-    rank = min(RANK, len(passages), size)
-    table = stored(spark.createDataFrame([(p,) for p in passages], "words array<int>").repartition(8), "passages")
-    slab = 512
+    size, slab = len(idf), 2048
 
     def product(x):
-        """A'(A X), summed over the partitions slab by slab of terms."""
+        """A'(A X), summed over the documents slab by slab of terms."""
+        x = x.astype(np.float32)
+        weight = idf.astype(np.float32)
 
         def partial(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             total = np.zeros((size, x.shape[1]))
             for b in batches:
-                for w in b.column(0).to_pylist():
-                    t, n = np.unique(np.array(w, np.int64), return_counts=True)
-                    v = n * idf[t]
-                    v /= max(np.sqrt(np.square(v).sum()), 1e-12)
-                    total[t] += v[:, None] * (v @ x[t])[None, :]
+                for row in b.to_pylist():
+                    c = Blocks(row)
+                    t, block = c.words[c.at], c.block
+                    cut = np.searchsorted(block, block[SLAB_WORDS - 1 :: SLAB_WORDS], "right")  # slabs of whole blocks
+                    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(t)]):
+                        if lo == hi:
+                            continue
+                        own, first = np.unique(block[lo:hi], return_index=True)
+                        w, v = t[lo:hi], weight[t[lo:hi]]
+                        norm = np.sqrt(np.maximum(np.add.reduceat(v * v, first), 1e-12))
+                        y = np.add.reduceat(v[:, None] * x[w], first, axis=0) / (norm * norm)[:, None]
+                        order = np.argsort(w, kind="stable")
+                        terms, at = np.unique(w[order], return_index=True)
+                        of = np.repeat(np.arange(len(own)), np.diff(np.append(first, hi - lo)))
+                        total[terms] += np.add.reduceat(v[order, None] * y[of[order]], at, axis=0)
             for s in range(0, size, slab):
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([total[s : s + slab].tobytes()], pa.binary())], names=["slab", "part"])
 
@@ -145,14 +160,17 @@ def latent_space(spark, passages: list[list[int]], idf):
             parts = [np.frombuffer(p) for p in group.column("part").to_pylist()]
             return pa.table({"slab": group.column("slab")[:1], "part": pa.array([np.sum(parts, 0).tobytes()], pa.binary())})
 
-        rows = table.mapInArrow(partial, "slab long, part binary").groupBy("slab").applyInArrow(add, "slab long, part binary").collect()
-        return np.concatenate([np.frombuffer(r["part"]).reshape(-1, x.shape[1]) for r in sorted(rows, key=lambda r: r["slab"])])
+        rows = chunks.mapInArrow(partial, "slab long, part binary").groupBy("slab").applyInArrow(add, "slab long, part binary").collect()
+        out = np.zeros((size, x.shape[1]))
+        for r in rows:
+            out[r["slab"] : r["slab"] + slab] = np.frombuffer(r["part"]).reshape(-1, x.shape[1])
+        return out
 
-    x = np.random.default_rng(1).standard_normal((size, min(rank + OVERSAMPLE, size)))
+    x = np.random.default_rng(1).standard_normal((size, min(RANK + OVERSAMPLE, size)))
     for _ in range(POWER):
         x = np.linalg.qr(product(x))[0]
     values, turn = np.linalg.eigh(x.T @ product(x))  # of A'A within the range found
-    return (x @ turn[:, ::-1][:, :rank]).astype(np.float32)
+    return (x @ turn[:, ::-1][:, :RANK]).astype(np.float32)
 
 
 def subsequence(item: list[int], region: list[int]) -> int:
@@ -183,15 +201,64 @@ def bounds(items: list[list[int]], df) -> tuple:
 
     rare, need, wide = [], [], []
     for w in items:
-        some = sorted(w, key=lambda x: (df[x], x))[: -int(-RAREST * len(w) // 1)]
         missing = len(w) - least_common(len(w))
-        some = some if len(some) > missing else w
+        some = sorted(w, key=lambda x: (df[x], x))[: missing + RARE]
         rare.append(sorted(set(some)))
         need.append(len(some) - missing)
         wide.append(-(-(stretch(len(w)) + STEP - 1) // STEP))
     return rare, np.array(need), np.array(wide)
 
 
+class Lists:
+    """Inverted lists from words to the items that have them among their rarest."""
+
+    def __init__(self, rare: list[list[int]], need, wide, size: int):
+        import numpy as np
+
+        word = np.concatenate([np.array(r, np.int64) for r in rare])
+        item = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+        order = np.argsort(word, kind="stable")
+        self.items, self.need, self.wide = item[order], need, wide
+        self.size = np.bincount(word, minlength=size)
+        self.first = np.cumsum(self.size) - self.size
+
+    def windows(self, c: Blocks) -> Iterator:
+        """(block, item) of the windows of a chunk that hold as many of an item's rarest words as a hit needs, document by document."""
+        import numpy as np
+
+        total = int(c.count.sum())
+        last = (c.first + c.count)[c.doc_of]  # the end of each block's document
+        t, block = c.words[c.at], c.block
+        on = self.size[t] > 0
+        t, block = t[on], block[on]
+        ends = np.searchsorted(block, np.unique(last[block[SLAB_WORDS - 1 :: SLAB_WORDS]]))  # slabs of whole documents
+        for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(t)]):
+            if lo == hi:
+                continue
+            n = self.size[t[lo:hi]]
+            item = self.items[np.repeat(self.first[t[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            key, count = np.unique(item * (total + 1) + np.repeat(block[lo:hi], n), return_counts=True)
+            upto = np.concatenate([[0], np.cumsum(count)])
+            item, blk = key // (total + 1), key % (total + 1)
+            # Windows that begin at a block with such a word: if these hold too few even over their whole reach back, so does every other.
+            reach = self.wide[item]
+            begin = np.searchsorted(key, key - reach + 1)
+            final = np.searchsorted(key, key + reach)
+            some = np.flatnonzero(upto[final] - upto[begin] >= self.need[item])
+            if not len(some):
+                continue
+            item, blk, reach = item[some], blk[some], reach[some]
+            start = np.repeat(blk - reach + 1, reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+            own, inside = np.repeat(item, reach), np.repeat(blk, reach)
+            start = np.maximum(start, c.first[c.doc_of[inside]])
+            asked = np.unique(own * (total + 1) + start)
+            own, start = asked // (total + 1), asked % (total + 1)
+            stop = np.minimum(start + self.wide[own], last[start])
+            held = upto[np.searchsorted(key, own * (total + 1) + stop)] - upto[np.searchsorted(key, asked)]
+            good = held >= self.need[own]
+            yield from zip(start[good].tolist(), own[good].tolist())
+
+
 def check(item: list[int], answer: list[int], doc: list[int], lo: int) -> tuple[float, bool]:
     """The greatest share of the item that is a subsequence of a stretch starting in the block at word lo (0 if too small for a hit), and whether the answer is near."""
     size, n = stretch(len(item)), len(item)
@@ -226,43 +293,17 @@ def search(docs: DataFrame, items: list[tuple[int, list[bytes], list[bytes]]]) -
     idf = np.maximum(np.log((blocks + 1) / (df + 1.0)), LEAST_IDF)
     idf[0] = 0.0
     owners, parts = zip(*passages_of(coded))
-    space = latent_space(spark, [list(p) for p in parts], idf)
+    space = latent_space(chunks, idf)
     latent = np.stack([(idf[p][:, None] * space[p]).sum(0) for p in map(np.array, parts)]).astype(np.float32)
     latent /= np.maximum(np.sqrt(np.square(latent).sum(1)), 1e-9)[:, None]
     first_part = np.searchsorted(owners, np.arange(len(coded) + 1))
-    rare, need, wide = bounds(coded, df)
+    lists = Lists(*bounds(coded, df), len(idf))
     weighted = (idf[:, None] * space).astype(np.float32)
     item_ids = [i for i, _, _ in items]
 
-    def near(c: Blocks):
-        """(block, item) of the windows that hold as many of the item's rarest words as a hit needs."""
-        total = int(c.count.sum())
-        last = (c.first + c.count)[c.doc_of]  # the end of each block's document
-        for lo in range(0, len(coded), SLAB_ITEMS):
-            hi = min(lo + SLAB_ITEMS, len(coded))
-            member = np.zeros((len(vocabulary) + 1, hi - lo), np.uint8)
-            for k in range(lo, hi):
-                member[rare[k], k - lo] = 1
-            on = member.any(1)[c.words[c.at]]
-            t, block = c.words[c.at][on], c.block[on]
-            sums = np.zeros((total + 1, hi - lo), np.int32)
-            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(t) else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], len(t))
-            for i in range(0, len(starts), SLAB_WORDS // STEP):
-                j = min(i + SLAB_WORDS // STEP, len(starts))
-                sums[block[starts[i:j]] + 1] = np.add.reduceat(member[t[starts[i] : ends[j - 1]]], starts[i:j] - starts[i], axis=0)  # at most STEP, which a byte holds
-            np.cumsum(sums, axis=0, out=sums)
-            for w in np.unique(wide[lo:hi]).tolist():
-                own = np.flatnonzero(wide[lo:hi] == w)
-                upto = np.minimum(np.arange(total) + w, last)
-                for i in range(0, total, SLAB_WORDS // STEP):
-                    z = slice(i, i + SLAB_WORDS // STEP)
-                    b, k = np.nonzero(sums[upto[z]][:, own] - sums[:-1][z][:, own] >= need[lo + own])
-                    yield from zip((b + i).tolist(), (lo + own[k]).tolist())
-
     def cosine(window, item: int) -> float:
         z = weighted[window].sum(0)
-        return float((latent[first_part[item] : first_part[item + 1]] @ z).max() / max(float(np.sqrt(np.square(z).sum())), 1e-9))
+        return round(float((latent[first_part[item] : first_part[item + 1]] @ z).max() / max(float(np.sqrt(np.square(z).sum())), 1e-9)), 4)
 
     bags = [Counter(w) for w in coded]
 
@@ -274,7 +315,7 @@ def search(docs: DataFrame, items: list[tuple[int, list[bytes], list[bytes]]]) -
                 c = Blocks(row)
                 found: dict = {}
                 held, at = [], -1
-                for blk, item in sorted(near(c)):
+                for blk, item in sorted(lists.windows(c)):
                     doc = int(c.doc_of[blk])
                     if found.get((doc, item), (0, 0, 0, 0))[3] == 1:
                         continue
@@ -300,7 +341,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer")).where("text IS NOT NULL")
     empty = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, subsequence double, answered boolean")
-    out, block = None, []
+    out, block, known = None, [], set()
 
     def searched(out, block):
         found = search(docs, block)
@@ -308,10 +349,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     for r in items.orderBy("item_id", "text").toLocalIterator():
         w = words(r["text"].encode())
-        if w:
-            block.append((r["item_id"], w, words(r["answer"].encode()) if r["answer"] else w[-ANSWER_WORDS:]))
-        if len(block) == ITEMS:
-            out, block = searched(out, block), []
+        if not w:
+            continue
+        answer = words(r["answer"].encode()) if r["answer"] else w[-ANSWER_WORDS:]
+        if block and (len(block) == ITEMS or len(known.union(w, answer)) > VOCABULARY):
+            out, block, known = searched(out, block), [], set()
+        block.append((r["item_id"], w, answer))
+        known.update(w, answer)
     if block:
         out = searched(out, block)
     if out is None:

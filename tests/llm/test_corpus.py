@@ -318,6 +318,61 @@ def test_paraphrases_with_their_rare_words_replaced(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, rows), b).collect()} == want
 
 
+def test_windows_equal_counts_of_every_window(monkeypatch):
+    """The inverted lists against all windows times all items, with slabs of few words."""
+    monkeypatch.setattr(decontamination, "SLAB_WORDS", 40)
+    rnd = random.Random(33)
+    for size in (30, 400):
+        items = [[rnd.randint(1, size) for _ in range(rnd.randint(1, 40))] for _ in range(25)]
+        sizes = [rnd.choice([0, 1, 15, 16, 17, 90, 400]) for _ in range(40)]
+        held = [rnd.randint(0, size) for _ in range(sum(sizes))]
+        at = 60
+        for k in range(0, len(held) - 50, 97):
+            held[k : k + len(items[k % 25])] = items[k % 25]
+        held = held[: sum(sizes)]
+        c = decontamination.Blocks({"words": lm.packed(np.array(held, np.uint64)), "sizes": sizes, "doc_ids": list(range(40))})
+        df = np.bincount(held, minlength=size + 1)
+        rare, need, wide = decontamination.bounds(items, df)
+        total, last, want = int(c.count.sum()), (c.first + c.count)[c.doc_of], set()
+        for k in range(25):
+            member = np.zeros(size + 1, int)
+            member[rare[k]] = 1
+            upto = np.concatenate([[0], np.cumsum(np.bincount(c.block, member[c.words[c.at]], total))])
+            want |= {(b, k) for b in range(total) if upto[min(b + wide[k], last[b])] - upto[b] >= need[k]}
+        assert set(decontamination.Lists(rare, need, wide, size + 1).windows(c)) == want and len(want) > at
+
+
+def test_answers_decide_between_60_and_80_percent(spark):
+    rnd = random.Random(34)
+    w = [prose(rnd, 1) for _ in range(30)]
+    kept = [x for k, x in enumerate(w) if k % 10 not in (0, 3, 6)]  # 70 %, the last five but one among them
+    items = spark.createDataFrame([(1, " ".join(w), "forty two"), (2, " ".join(reversed(w)), None)], "item_id long, text string, answer string")
+    rows = [(1, " ".join(kept)), (2, " ".join(kept) + " forty two"), (3, "forty two " + " ".join(kept[: len(kept) // 2])), (4, " ".join(w[:25])), (5, " ".join(reversed(w[:5])) + " " + " ".join(reversed(w)))]
+    got = {(r.doc_id, r.item_id, r.answered) for r in decontamination.contaminated(docs(spark, rows), items).collect()}
+    assert got == {(2, 1, True), (4, 1, False), (5, 2, True)}
+
+
+def test_the_space_is_that_of_the_whole_matrix(spark):
+    """Leading singular values and the span against a full decomposition of all documents' blocks."""
+    rnd = random.Random(35)
+    themes = [[f"t{k}w{j}" for j in range(20)] for k in range(5)]
+    rows = [(k, " ".join(rnd.choice(themes[k % 5]) for _ in range(rnd.randint(5, 60)))) for k in range(150)]
+    vocabulary = {x: n + 1 for n, x in enumerate(sorted({x for t in themes for x in t}))}
+    code = lambda t: [vocabulary[x] for x in t.split()]
+    blocks = [code(t)[a : a + 16] for _, t in rows for a in range(0, len(t.split()), 16)]
+    idf = np.linspace(0.5, 2, len(vocabulary) + 1)
+    idf[0] = 0
+    full = np.zeros((len(blocks), len(idf)))
+    for r, b in enumerate(blocks):
+        np.add.at(full[r], b, idf[b])
+        full[r] /= np.sqrt((idf[b] ** 2).sum())
+    made = spark.createDataFrame([([i for i, _ in rows[k::3]], [len(t.split()) for _, t in rows[k::3]], bytearray(lm.packed(np.array([x for _, t in rows[k::3] for x in code(t)], np.uint64)))) for k in range(3)], "doc_ids array<long>, sizes array<int>, words binary")
+    space = decontamination.latent_space(made, idf)
+    values = np.linalg.svd(full, compute_uv=False)[:5]
+    got = np.linalg.svd(full @ space, compute_uv=False)[:5]
+    assert space.shape == (len(idf), decontamination.RANK) and got == pytest.approx(values, rel=0.02)
+
+
 def test_widespread_numeric_and_common_items(spark):
     rnd = random.Random(32)
     spread, few = prose(rnd, 30), prose(rnd, 3)
