@@ -42,6 +42,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one with more underscores that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def integer_key(docs: DataFrame, name: str = "doc_id") -> Column:
     """The column as a long; keys of another kind than integers would lose their values, so they are an error."""
     kind = dict(docs.dtypes)[name]

@@ -10,7 +10,7 @@ follows from these rows.
 Defined results: null text has no words; a null source is a source of its own, after all others; documents without
 words get taken 0; an empty table gives an empty result; repeated rows count as documents of their own; a document's stream is drawn from
 its id and text, so null and repeated ids spread, and rows alike in both are ordered by row; a pass is one full permutation, and a
-target is at most twice a source's size, so that no block is taken more than twice. Texts of any length are cut whole. The names `planar_*` are taken.
+target is at most twice a source's size, so that no block is taken more than twice. Texts of any length are cut whole; columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planar.llm.common import WORD, stored
+from planar.llm.common import WORD, free_name, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE, CEILING, BLOCK_WORDS, STREAM_WORDS, SHARD_WORDS, RANKED = 1.5, 2, 64, 262_144, 4_194_304, 16_384
@@ -29,11 +29,12 @@ def drawn(key, *more):
     return F.conv(F.substring(F.md5(F.concat_ws("/", key, *more)), 1, 8), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of each row under a row number; written, as several jobs read it."""
+def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, source and size (words) of each row under a row number, or under the column that has one; written, as several jobs read it."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    row = F.col("planar_mix_row") if "planar_mix_row" in docs.columns else F.monotonically_increasing_id()
-    return stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tie"), row.alias("row")), "mix-sizes")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    tie = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), tie.alias("tie"), number.alias("row")), "mix-sizes")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING) -> DataFrame:
@@ -105,13 +106,13 @@ def permutations(sources: DataFrame, seed: int) -> DataFrame:
     return every.withColumn("rank", rank).join(ranges, ["key", "pass", "range"]).select("key", "pass", (F.col("base") + F.col("rank")).alias("place"), "block")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING, block_words: int = BLOCK_WORDS, stream_words: int = STREAM_WORDS, shard_words: int = SHARD_WORDS, seed: int = 1) -> dict[str, DataFrame]:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: float = CEILING, block_words: int = BLOCK_WORDS, stream_words: int = STREAM_WORDS, shard_words: int = SHARD_WORDS, seed: int = 1, row: str | None = None) -> dict[str, DataFrame]:
     """The mix as relations.
 
     sizes: row, doc_id, source, size. per: key, source_size, target. draw: key, shard, count, first. places: for each row with words the
     blocks that it lies in (key, block, first word, words). slots: key, shard, slot, block for each block of the mix.
     """
-    sizes = sized(docs).withColumn("key", source_key())
+    sizes = sized(docs, row).withColumn("key", source_key())
     per = targets(sizes, weights, share, ceiling).withColumn("key", source_key()).drop("source")
     per = stored(per.withColumn("streams", F.greatest(F.lit(1), F.ceil(F.col("source_size") / stream_words)).cast("long")), "mix-targets")
     # Streams bound what one window partition gets of a large source.
@@ -152,10 +153,11 @@ def piece_words() -> Column:
 
 def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: shard, slot (its place among the source's slots), source, doc_id and text of every piece that an output shard takes."""
-    numbered = stored(docs.withColumn("planar_mix_row", F.monotonically_increasing_id()), "mix-rows")
-    m = mix(numbered, **options)
+    number = free_name(docs, "mix_row")
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
+    m = mix(numbered, row=number, **options)
     taken = m["places"].join(m["slots"].hint("merge"), ["key", "block"]).groupBy("row").agg(F.collect_list(F.struct("shard", "slot", "first", "words")).alias("spans"))
-    rows = numbered.select(F.col("planar_mix_row").alias("row"), "doc_id", "source", piece_words().alias("pieces"))
+    rows = numbered.select(F.col(number).alias("row"), "doc_id", "source", piece_words().alias("pieces"))
     each = rows.join(taken.hint("merge"), "row").select("doc_id", "source", "pieces", F.explode("spans").alias("s"))
     return each.select("s.shard", "s.slot", "source", "doc_id", F.array_join(F.slice("pieces", (F.col("s.first") + 1).cast("int"), F.col("s.words").cast("int")), "").alias("text"))
 
@@ -165,12 +167,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Pieces are cut between words and keep the white space behind them. Rows of which nothing is taken go.
     """
-    names = docs.columns
-    numbered = stored(docs.withColumn("planar_mix_row", F.monotonically_increasing_id()), "mix-rows")
-    m = mix(numbered, **options)
+    names, number, parts, pieces = docs.columns, free_name(docs, "mix_row"), free_name(docs, "mix_spans"), free_name(docs, "mix_pieces")
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
+    m = mix(numbered, row=number, **options)
     spans = m["places"].join(m["slots"].hint("merge"), ["key", "block"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("shard", "slot", "first", "words"))).alias("spans"))
-    text = F.array_join(F.transform("planar_spans", lambda s: F.array_join(F.slice("planar_pieces", (s["first"] + 1).cast("int"), s["words"].cast("int")), "")), "")
+    text = F.array_join(F.transform(parts, lambda s: F.array_join(F.slice(pieces, (s["first"] + 1).cast("int"), s["words"].cast("int")), "")), "")
     text = F.when(F.col("text").rlike(r"[\x20\x09-\x0D]\z"), text).otherwise(F.regexp_replace(text, r"\n\z", ""))
-    spans = spans.withColumnsRenamed({"spans": "planar_spans", "row": "planar_mix_row"})
-    out = numbered.join(spans.hint("merge"), "planar_mix_row").withColumn("planar_pieces", piece_words()).withColumn("text", text)
+    spans = spans.withColumnsRenamed({"spans": parts, "row": number})
+    out = numbered.join(spans.hint("merge"), number).withColumn(pieces, piece_words()).withColumn("text", text)
     return out.select(*names)

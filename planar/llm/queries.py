@@ -61,7 +61,7 @@ SELECT g.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, (g.chars + coa
 FROM g JOIN n ON g.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN h ON g.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN y ON g.conv_id IS NOT DISTINCT FROM y.conv_id
 """
 
-RULES_SQL = r"""
+LEDGER_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i, len(w) AS total FROM d WHERE len(w) >= 8),
 b AS (SELECT doc_id, i, total, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS gram FROM u),
@@ -72,8 +72,12 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transfo
   FROM d LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, ((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > 2 * n_words)::INT + 8 * (n_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines)::INT
   + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 30 * n_words)::INT)::INT AS failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f
 """
+RULES_SQL = LEDGER_SQL + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f"
+ABLATION_SQL = LEDGER_SQL + "".join(
+    ("" if k == 0 else " UNION ALL ") + f"SELECT '{name}' AS rule, count(*) FILTER (failed & {1 << k} <> 0) AS fails, count(*) FILTER (failed = {1 << k}) AS only FROM f"
+    for k, (name, _) in enumerate(rules.RULES)
+)
 
 
 def op3_lm_scores(spark, sf_dir):
@@ -116,6 +120,11 @@ def op9_quality_rules(spark, sf_dir):
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", (~rules.passes(1)).alias("base_failed"), rules.passes().alias("kept"))
 
 
+def quality_rule_ablations(spark, sf_dir):
+    """What each rule of the current policy rejects, and what only it rejects, from the ledger's masks."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op10_source_mixing(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -130,11 +139,13 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
+    "quality_rule_ablations": quality_rule_ablations,
     "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES = {
     "op4_chat_format": CHAT_SQL,
     "op9_quality_rules": RULES_SQL,
+    "quality_rule_ablations": ABLATION_SQL,
     "op10_source_mixing": MIX_SQL,
 }

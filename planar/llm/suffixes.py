@@ -30,11 +30,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planar.llm.common import integer_key, stored, text_bytes
+from planar.llm.common import integer_key, partitions_for, stored, text_bytes
 from planar.llm.lm import packed, unpacked
 
 LENGTH, ORDER = 400, 17
-CHUNK_BYTES, BUCKET_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_BYTES, BLOCK_BYTES, TABLE_BYTES = 8 << 20, 16 << 20, 1 << 20, 256 << 20
 SAMPLE_BITS, NAME_BITS = 56, 96
 CHUNK = "chunk long, doc_ids array<long>, sizes array<int>, names array<binary>, texts binary"
 NOTE = "chunk long, level int, bucket int, blob binary"
@@ -336,7 +336,7 @@ def removal(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
     spark = docs.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, table = bucketed(pack_chunks(docs), shuffle)
+    name, table = bucketed(pack_chunks(docs), partitions_for(docs, TABLE_BYTES))
     size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     total = table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     buckets = max(shuffle, -(-total // BUCKET_BYTES))

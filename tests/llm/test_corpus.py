@@ -443,6 +443,24 @@ def test_chat_windows(spark):
 # Pipeline
 
 
+def test_stages_of_empty_and_clashing_tables(spark, tmp_path):
+    """No rows in, no rows out; columns with the names of helpers keep their values; a text of 60,000 words goes through whole."""
+    rnd = random.Random(17)
+    kind = "doc_id long, text string, lang string, source string, n_chars long, copy int, mix_row string, mix_spans int, mix_pieces int, component_id long, component string, score double, shard int"
+    rows = [(k, prose(rnd, 60_000 if k == 7 else 120), "en", None, 1, k, f"r{k}", -k, 5, 9, "c", 0.5, 3) for k in range(40)]
+    spark.createDataFrame([(k, 1, 0) for k in range(40)] + [(100 + k, 0, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(rnd, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for own in (rows, []):
+        d = spark.createDataFrame(own, kind)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:], 1):
+            d = stored(stage(spark, d, str(tmp_path)), "stage")
+            if k < 4:
+                assert d.columns == [c.split()[0] for c in kind.split(", ")]
+                assert {(r.doc_id, r.copy, r.mix_row, r.mix_spans) for r in d.collect()} <= {(r[0], r[5], r[6], r[7]) for r in own}
+        assert d.count() == len({r[0] for r in own})
+    assert corpus_pipeline.good_quality(spark, spark.createDataFrame([], kind), str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     rnd = random.Random(15)
     good = [(0, prose(rnd, 3000))] + [(k, prose(rnd, rnd.randint(80, 200))) for k in range(1, 120)]
