@@ -97,16 +97,18 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(batches, "doc_id long, fingerprint long")
 
 
-class BKTree:
-    """A BK-tree over distinct 64-bit values; building and searching go level by level over whole arrays."""
+class BKTrees:
+    """BK-trees over 64-bit values, one for each root: roots[k] is the place of the first value of k's tree. Values are distinct within a tree.
 
-    def __init__(self, values):
+    Building and searching go level by level over whole arrays, all trees at once."""
+
+    def __init__(self, values, roots):
         import numpy as np
 
         self.values = values
         n = len(values)
-        parent, edge = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        below = np.arange(1, n)  # values that still sink; the first of a parent's group becomes its child there
+        parent, edge = roots.copy(), np.zeros(n, np.int64)
+        below = inner = np.flatnonzero(np.arange(n) != roots)  # values that still sink; the first of a parent's group becomes its child there
         while len(below):
             d = np.bitwise_count(values[below] ^ values[parent[below]]).astype(np.int64)
             group = parent[below] * 65 + d
@@ -116,15 +118,15 @@ class BKTree:
             stays = child == below
             parent[below[~stays]] = child[~stays]
             below = below[~stays]
-        key = parent * 65 + edge
-        self.children = np.argsort(key[1:], kind="stable") + 1
-        self.keys = key[self.children]
+        key = parent[inner] * 65 + edge[inner]
+        order = np.argsort(key, kind="stable")
+        self.children, self.keys = inner[order], key[order]
 
-    def search(self, queries, radius: int):
-        """(query, place) pairs within the radius; only edges within the radius of a node's own distance are followed."""
+    def search(self, queries, roots, radius: int):
+        """(query, place) pairs within the radius, each query in the tree of its root; only edges within the radius of a node's own distance are followed."""
         import numpy as np
 
-        q, k = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        q, k = np.arange(len(queries)), roots
         found = []
         while len(q):
             d = np.bitwise_count(queries[q] ^ self.values[k]).astype(np.int64)
@@ -135,33 +137,35 @@ class BKTree:
             n = high - low
             at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             q, k = np.repeat(q, n), self.children[at]
-        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        return np.concatenate([x for x, _ in found] or [q]), np.concatenate([x for _, x in found] or [q])
 
 
-def forest(values, radius: int, step: int = 256) -> list[tuple[int, int]]:
-    """Links (places in values) that join what is within the radius, without cycles."""
+def steps(roots, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of queries whose trees have `most` members together, or single queries of larger trees' share."""
     import numpy as np
 
-    tree, root, links = BKTree(values), np.arange(len(values)), []
+    size = np.bincount(roots, minlength=len(roots))[roots]
+    group = (np.cumsum(size) - size) // most
+    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(roots) else np.zeros(1, np.int64)
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
 
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = int(root[k])
-        return k
+def forest(values, roots, radius: int):
+    """For each value the least place that steps within the radius lead to in its tree."""
+    import numpy as np
 
-    for lo in range(0, len(values), step):
-        q, k = tree.search(values[lo : lo + step], radius)
+    trees, label = BKTrees(values, roots), np.arange(len(values))
+    for lo, hi in steps(roots):
+        q, k = trees.search(values[lo:hi], roots[lo:hi], radius)
         q += lo
-        while not (root == root[root]).all():
-            root = root[root]
-        new = root[q] != root[k]
-        for x, y in zip(q[new].tolist(), k[new].tolist()):
-            a, b = top(x), top(y)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((x, y))
-    return links
+        while len(q):
+            a, b = label[q], label[k]
+            apart = a != b
+            q, k, a, b = q[apart], k[apart], a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label != label[label]).any():
+                label = label[label]
+    return label
 
 
 def blocks(width: int, count: int) -> list[tuple[int, int]]:
@@ -180,7 +184,8 @@ def shard_keys(value, radius: int, agree: int, level: int = 0):
 
 
 def shards(batches: Iterator, columns: int) -> Iterator:
-    """The columns of each shard with two rows or more; rows come sorted by their first column, the shard."""
+    """For runs of whole shards with two rows or more: the place of each row's first one in its shard, and the other columns. Rows come sorted by
+    their first column, the shard."""
     import numpy as np
 
     held: list = [np.zeros(0, np.int64)] * columns
@@ -189,12 +194,13 @@ def shards(batches: Iterator, columns: int) -> Iterator:
         if not len(cols[0]):
             continue
         last = len(cols[0]) if batch is None else int(np.searchsorted(cols[0], cols[0][-1]))  # the last shard waits for the next batch
-        shard = cols[0][:last]
-        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if last else np.zeros(1, np.int64)
-        big = np.flatnonzero(np.diff(cuts) > 1)
-        for lo, hi in zip(cuts[big].tolist(), cuts[big + 1].tolist()):
-            yield [c[lo:hi] for c in cols[1:]]
-        held = [c[last:] for c in cols]
+        shard, held = cols[0][:last], [c[last:] for c in cols]
+        new = np.concatenate([[True], shard[1:] != shard[:-1]]) if last else np.zeros(0, bool)
+        size = np.diff(np.append(np.flatnonzero(new), last))
+        on = np.flatnonzero(np.repeat(size > 1, size))
+        if len(on):
+            first = np.flatnonzero(new[on])
+            yield [np.repeat(first, size[size > 1]), *(c[:last][on] for c in cols[1:])]
 
 
 def pair_batches(pairs: Iterator, rows: int = 100_000) -> Iterator:
@@ -228,9 +234,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER)
         import numpy as np
 
         def linked():
-            for ids, prints in shards(batches, 3):
-                found = np.array(forest(prints.view(np.uint64), radius), np.int64).reshape(-1, 2)
-                yield ids[found[:, 0]], ids[found[:, 1]]
+            for roots, ids, prints in shards(batches, 3):
+                least = forest(prints.view(np.uint64), roots, radius)
+                linked_ = np.flatnonzero(least != np.arange(len(least)))
+                yield ids[linked_], ids[least[linked_]]
 
         yield from pair_batches(linked())
 
@@ -306,27 +313,31 @@ def candidates(nodes: DataFrame) -> DataFrame:
     def compared(batches: Iterator) -> Iterator:
         import numpy as np
 
-        def near(ids, one, two):
-            """Places (x, y) of a shard's members within the bounds, by its tree: every pair, or each member and the least that is near it."""
-            values, which, times = np.unique(one, return_inverse=True, return_counts=True)
-            tree, members, first = BKTree(values), np.argsort(which, kind="stable"), np.cumsum(times) - times
-            for lo in range(0, len(one), 256):
-                q, v = tree.search(one[lo : lo + 256], OWN_BITS)
+        def near(roots, ids, one, two):
+            """Places (x, y) of members of a shard within the bounds, by its tree: every pair, or each member and the least that is near it."""
+            order = np.lexsort((one, roots))
+            new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (roots[order][1:] != roots[order][:-1])])
+            first = np.flatnonzero(new)  # of the members with one value of a shard, in order
+            times, value = np.diff(np.append(first, len(order))), one[order[first]]
+            own = np.searchsorted(roots[order[first]], roots)  # the tree of each member, among distinct values
+            trees = BKTrees(value, own[order[first]])
+            for lo, hi in steps(roots):
+                q, v = trees.search(one[lo:hi], own[lo:hi], OWN_BITS)
                 n = times[v]
                 x = np.repeat(q + lo, n)
-                y = members[np.repeat(first[v] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                near = (x != y) & (np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= PAIR_BITS)
-                x, y = x[near], y[near]
+                y = order[np.repeat(first[v] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                close = (x != y) & (np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= PAIR_BITS)
+                x, y = x[close], y[close]
                 if every:
                     yield x[x < y], y[x < y]
                     continue
-                order = np.lexsort((ids[y], x))
-                x, at = np.unique(x[order], return_index=True)
-                yield x, y[order][at]
+                least = np.lexsort((ids[y], x))
+                x, at = np.unique(x[least], return_index=True)
+                yield x, y[least][at]
 
         def found():
-            for ids, one, two, *component in shards(batches, 5 if every else 4):
-                for x, y in near(ids, one.view(np.uint64), two.view(np.uint64)):
+            for roots, ids, one, two, *component in shards(batches, 5 if every else 4):
+                for x, y in near(roots, ids, one.view(np.uint64), two.view(np.uint64)):
                     if every:
                         unlike = component[0][x] != component[0][y]
                         x, y = x[unlike], y[unlike]

@@ -50,13 +50,28 @@ def components(ids, near):
         label = new
 
 
-def test_bk_tree_equals_a_scan():
+def test_bk_trees_equal_a_scan(monkeypatch):
+    """Searches and components of many trees at once, one of them of 200 values, against all pairs of a tree."""
     rnd = np.random.default_rng(1)
-    v = np.unique(rnd.integers(0, 2**63, 50, dtype=np.uint64) ^ rnd.integers(0, 1 << 12, 50, dtype=np.uint64))
-    v = np.unique(np.concatenate([v] + [v ^ np.uint64(1 << k) for k in (3, 17, 40)] + [np.array([0], np.uint64)]))
-    q, k = simhash.BKTree(v).search(v, 4)
-    far = np.bitwise_count(v[:, None] ^ v[None, :])
-    assert set(zip(q.tolist(), k.tolist())) == set(zip(*[x.tolist() for x in np.nonzero(far <= 4)]))
+    values, roots = [], []
+    for size in (1, 2, 5, 50, 200, 2, 30):
+        v = rnd.integers(0, 2**63, size // 4 + 1, dtype=np.uint64)
+        v = np.unique(np.concatenate([v, *[v ^ rnd.integers(0, 1 << 7, len(v), dtype=np.uint64) for _ in range(4)]]))[:size]
+        roots += [len(values)] * len(v)
+        values += v.tolist()
+    values, roots = np.array(values, np.uint64), np.array(roots)
+    far = np.bitwise_count(values[:, None] ^ values[None, :])
+    want = (far <= 4) & (roots[:, None] == roots[None, :])
+    q, k = simhash.BKTrees(values, roots).search(values, roots, 4)
+    assert sorted(zip(q.tolist(), k.tolist())) == sorted(zip(*[x.tolist() for x in np.nonzero(want)]))
+    label = components(list(range(len(values))), lambda i, j: want[i, j])
+    step = simhash.steps
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(simhash, "steps", lambda r, most=most: step(r, most))
+        assert simhash.forest(values, roots, 4).tolist() == label
+    assert step(roots, 50)[-1][1] == len(roots) and step(np.zeros(0, int)) == []
+    # A search that followed no edges would find the roots only.
+    assert len(set(k.tolist())) > len(set(roots.tolist()))
 
 
 @pytest.mark.parametrize("split_over", [4096, 3])
