@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from planar.functions import geometry as g
 from planar.operators.graph import written
 
+#: Fixed values, which results must equal.
 SIZE_TOLERANCE, ALIGNMENT, MAX_ASPECT = 0.12, 18.0, 6.0
 #: Confidence by kind of primitive before repetition and alignment.
 BASE = {"ExplicitPad": 1.0, "ExplicitHole": 1.0, "FilledRectangle": 0.90, "FilledEllipse": 0.92, "FilledPolygon": 0.82, "Donut": 0.90, "OutlineRectangle": 0.50, "OutlineEllipse": 0.54, "OutlinePolygon": 0.45}

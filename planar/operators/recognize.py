@@ -15,6 +15,8 @@ from planar.operators import graph
 from planar.operators.spatial import pad_neighbors
 from planar.sources.templates import TEMPLATES
 
+#: Fixed values, which results must equal: the greatest radius of a cluster, the scale of its radius and of low-level reach, the greatest ratio of sizes, the
+#: tolerance of a band, the weights of a score and the pattern of designators.
 MAX_RADIUS, SCALE, COMPATIBLE, AXIS = 3.5, 4.5, 2.75, 0.75
 #: Weights of the factors of a template's score, in the order of addition.
 WEIGHTS = (("pads", 2.2), ("rows", 1.3), ("columns", 1.3), ("pitch", 1.5), ("occupancy", 1.2), ("symmetry", 1.0), ("aspect", 0.8), ("topology", 2.2))
@@ -157,8 +159,17 @@ def components(found: DataFrame, texts: DataFrame) -> DataFrame:
 def low_level_footprints(pads: DataFrame, limits: DataFrame, most: int = 512, factor: float = SCALE) -> DataFrame:
     """Groups of pads grown from each unseen pad in order: neighbours of a like size, while the group's box stays within a span.
 
-    The growth depends on order, so it runs in one pass over a document's pads.
+    The growth depends on order, but never leaves the pads that are linked by steps within reach. So each such component, found by
+    a grid join and rounds of links, is grown by itself; median, reach and span are the document's, and the groups are numbered by their first pads.
     """
+    scale = pads.groupBy("doc_id").agg(F.percentile(F.greatest("w", "h"), F.lit(0.5)).alias("median")).join(limits.select("doc_id", "doc_w", "doc_h"), "doc_id")
+    short = F.least("doc_w", "doc_h")
+    scale = scale.withColumn("reach", F.greatest(F.col("median") * factor, short * 0.0015)).select("doc_id", "median", "reach", F.greatest(F.col("reach") * 12, short * 0.06).alias("span"))
+    own = pads.select("doc_id", "element_ord", "shape", "left", "top", "right", "bottom", "w", "h", "cx", "cy").join(scale, "doc_id")
+    own = graph.written(own, "footprint-pads")
+    wide = F.col("reach") * (1 + 1e-9)  # the distance is compared exactly while growing
+    near = pad_neighbors(own, wide, wide).where("element_ord < b_element_ord")
+    linked = graph.components(near.select(F.col("element_ord").alias("a"), F.col("b_element_ord").alias("b")))
 
     def grow(pdf):
         import math
@@ -167,14 +178,9 @@ def low_level_footprints(pads: DataFrame, limits: DataFrame, most: int = 512, fa
         import numpy as np
         import pandas as pd
 
-        columns = ["doc_id", "footprint_no", "class", "pads", "left", "top", "right", "bottom", "rotation", "confidence"]
+        columns = ["doc_id", "class", "pads", "left", "top", "right", "bottom", "rotation", "confidence", "cy", "cx", "element_ord"]
         p = pdf.sort_values(["cy", "cx", "element_ord"], kind="mergesort").reset_index(drop=True)
-        if len(p) < 2:
-            return pd.DataFrame([], columns=columns)
-        median = float(np.median(np.maximum(p.w, p.h)))
-        short = min(p.doc_w[0], p.doc_h[0])
-        reach = max(median * factor, short * 0.0015)
-        span = max(reach * 12, short * 0.06)
+        median, reach, span = float(p["median"][0]), float(p.reach[0]), float(p.span[0])
         x, y, root = p.cx.to_numpy(), p.cy.to_numpy(), np.sqrt(p.w * p.h).to_numpy()
         box = p[["left", "top", "right", "bottom"]].to_numpy()
         cells: dict = {}
@@ -207,7 +213,7 @@ def low_level_footprints(pads: DataFrame, limits: DataFrame, most: int = 512, fa
             dx, dy = x[group] - x[group].mean(), y[group] - y[group].mean()
             turn = math.atan2(2 * float((dx * dy).sum()), float((dx * dx).sum() - (dy * dy).sum())) * 90 / math.pi
             pad = max(0.02, median * 0.35)
-            out.append((p.doc_id[0], len(out) + 1, kind_of(p["shape"].to_numpy()[group], x[group], y[group]), len(group), own[0] - pad, own[1] - pad, own[2] + pad, own[3] + pad, turn, min(0.97, 0.68 + min(len(group), 12) * 0.018 + even * 0.12)))
+            out.append((p.doc_id[0], kind_of(p["shape"].to_numpy()[group], x[group], y[group]), len(group), own[0] - pad, own[1] - pad, own[2] + pad, own[3] + pad, turn, min(0.97, 0.68 + min(len(group), 12) * 0.018 + even * 0.12), y[seed], x[seed], p.element_ord[seed]))
         return pd.DataFrame(out, columns=columns)
 
     def lanes(v):
@@ -227,5 +233,7 @@ def low_level_footprints(pads: DataFrame, limits: DataFrame, most: int = 512, fa
         rows, columns = lanes(ys), lanes(xs)
         return f"ARRAY-{rows}x{columns}" if rows >= 3 and columns >= 3 and rows * columns >= n * 0.7 else f"MULTIPAD-{n}"
 
-    own = pads.select("doc_id", "element_ord", "shape", "left", "top", "right", "bottom", "w", "h", "cx", "cy")
-    return own.join(limits.select("doc_id", "doc_w", "doc_h"), "doc_id").groupBy("doc_id").applyInPandas(grow, "doc_id long, footprint_no int, class string, pads int, left double, top double, right double, bottom double, rotation double, confidence double")
+    grown = own.join(linked.withColumnRenamed("id", "element_ord"), "element_ord").groupBy("doc_id", "component").applyInPandas(
+        grow, "doc_id long, class string, pads int, left double, top double, right double, bottom double, rotation double, confidence double, cy double, cx double, element_ord long")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("cy", "cx", "element_ord"))
+    return grown.withColumn("footprint_no", number).drop("cy", "cx", "element_ord")

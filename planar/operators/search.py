@@ -61,20 +61,36 @@ def references(words: DataFrame, queries: DataFrame, fragments: int = FRAGMENTS)
     stay close on a line and what they give begins the reference. All joins are equalities: words on the reference, two fragments on the
     beginnings of references, and only what begins one on the fragments that follow it. Overlapping matches count once, the first from the left.
     """
-    q = queries.select("query", g.reference(F.col("query")).alias("wanted")).where("wanted <> ''").distinct().withColumn("key", g.without_side(F.col("wanted")))
+    q = queries.select("query", g.reference(F.col("query")).alias("wanted")).where("wanted <> ''").distinct()
+    d = q.select("wanted").distinct().withColumn("key", g.without_side(F.col("wanted")))
     w = graph.written(fragments_of(words), "fragments")
-    single = w.where("norm <> ''").select("file", "page", "pos", g.without_side(F.col("norm")).alias("key")).join(q, "key").select("file", "page", "query", "pos", F.lit(1).alias("size"))
+    single = w.where("norm <> ''").select("file", "page", "pos", g.without_side(F.col("norm")).alias("key")).join(d.select("key").distinct(), "key")
+    joined = graph.written(joined_hits(w, d, fragments), "joined-fragments")
+    # Matches of single words can't overlap: only where a run matches too, the positions are needed.
+    mixed = joined.select("file", "page", "wanted", "key").distinct()
+    plain = single.groupBy("file", "page", "key").agg(F.count(F.lit(1)).alias("occurrences")).join(d, "key").join(mixed, ["file", "page", "wanted"], "left_anti")
+    beside = single.join(mixed, ["file", "page", "key"]).select("file", "page", "wanted", "pos", F.lit(1).alias("size"))
+    hits = joined.select(*beside.columns).unionByName(beside).groupBy("file", "page", "wanted", "pos").agg(F.min("size").alias("size"))
+    per = hits.groupBy("file", "page", "wanted").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("hits"))  # the few hits of a page, from the left
+    start = F.struct(F.lit(0).cast("long").alias("count"), F.lit(-1).cast("long").alias("free"))
+    step = lambda s, h: F.when(h["pos"] >= s["free"], F.struct((s["count"] + 1).alias("count"), (h["pos"] + h["size"]).cast("long").alias("free"))).otherwise(s)
+    apart = per.select("file", "page", "wanted", F.aggregate("hits", start, step)["count"].alias("occurrences"))
+    return plain.select(*apart.columns).unionByName(apart).join(q, "wanted").select("file", "page", "query", "occurrences")
+
+
+def joined_hits(w: DataFrame, d: DataFrame, fragments: int) -> DataFrame:
+    """file, page, wanted, key, pos and size of the runs of two and more fragments that give a reference (wanted, key)."""
     order = Window.partitionBy("file", "page").orderBy("pos")
     two = w.withColumn("next", F.lead(F.struct("norm", "joined")).over(order)).where("norm <> '' AND next.joined").select("file", "page", "pos", F.concat("norm", "next.norm").alias("both"))
     # What two fragments may give: a beginning of the reference, or the whole of it with or without its side.
     begins = F.transform(F.sequence(F.lit(1), F.length("wanted")), lambda k: F.substring("wanted", 1, k))
-    starts = q.select("query", "wanted", "key", F.explode(F.array_distinct(F.concat(begins, F.array(F.concat("key", F.lit("_E")))))).alias("both"))
+    starts = d.select("wanted", "key", F.explode(F.array_distinct(F.concat(begins, F.array(F.concat("key", F.lit("_E")))))).alias("both"))
     pairs = graph.written(two.join(starts, "both"), "fragment-pairs")
     whole = g.without_side(F.col("both")) == F.col("key")
-    joined = pairs.where(whole).select("file", "page", "query", "pos", F.lit(2).alias("size"))
+    columns = ("file", "page", "wanted", "key", "pos", "size")
     more = pairs.where(~whole).withColumn("offset", F.explode(F.sequence(F.lit(2), F.lit(fragments - 1))))
     more = more.withColumn("start", F.col("pos")).withColumn("pos", F.col("pos") + F.col("offset")).join(w, ["file", "page", "pos"])
-    along = more.groupBy("file", "page", "query", "start", "both", "wanted", "key").agg(F.array_sort(F.collect_list(F.struct("offset", "norm", "joined"))).alias("ahead"))
+    along = more.groupBy("file", "page", "start", "both", "wanted", "key").agg(F.array_sort(F.collect_list(F.struct("offset", "norm", "joined"))).alias("ahead"))
     begun = F.struct(F.col("both").alias("all"), F.lit(2).alias("size"), F.lit(True).alias("open"), F.lit(False).alias("found"))
 
     def extend(s, f):
@@ -86,13 +102,8 @@ def references(words: DataFrame, queries: DataFrame, fragments: int = FRAGMENTS)
             (goes & ~hit & F.startswith(F.col("wanted"), text)).alias("open"), (s["found"] | hit).alias("found"),
         )
 
-    longer = along.withColumn("s", F.aggregate("ahead", begun, extend)).where("s.found").select("file", "page", "query", F.col("start").alias("pos"), "s.size")
-    hits = single.unionByName(joined).unionByName(longer).groupBy("file", "page", "query", "pos").agg(F.min("size").alias("size"))
-    # Non-overlapping from the left, over the few hits of a page.
-    per = hits.groupBy("file", "page", "query").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("hits"))
-    start = F.struct(F.lit(0).cast("long").alias("count"), F.lit(-1).cast("long").alias("free"))
-    step = lambda s, h: F.when(h["pos"] >= s["free"], F.struct((s["count"] + 1).alias("count"), (h["pos"] + h["size"]).cast("long").alias("free"))).otherwise(s)
-    return per.select("file", "page", "query", F.aggregate("hits", start, step)["count"].alias("occurrences"))
+    longer = along.withColumn("s", F.aggregate("ahead", begun, extend)).where("s.found").withColumn("pos", F.col("start")).withColumn("size", F.col("s.size"))
+    return pairs.where(whole).withColumn("size", F.lit(2)).select(*columns).unionByName(longer.select(*columns))
 
 
 def grouped(results: DataFrame, roles: tuple[str, ...] = ("board", "schematic")) -> DataFrame:

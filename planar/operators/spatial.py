@@ -2,8 +2,7 @@
 
 A join on space is an equality join on grid cells. Each side is exploded to the cells that it touches, and a pair is kept in
 the one cell that holds the upper left corner of its intersection, so that no distinct is needed. A box over more than `wide`
-cells on an axis is dealt to coarser cells of its own level, and windows look at every level that occurs, so
-neither side explodes without bound.
+cells on an axis is dealt to coarser cells, and a pair meets on the coarser level of its two boxes, so neither side explodes without bound.
 """
 
 from __future__ import annotations
@@ -74,24 +73,27 @@ def cells(left, top, right, bottom, size: float = CELL) -> tuple[Column, Column]
     return span(left, right), span(top, bottom)
 
 
-def with_level(df: DataFrame, size: float, wide: int) -> DataFrame:
-    """level: how often the cell is doubled until the box touches at most about `wide` cells on an axis."""
-    extent = F.greatest(g.width(), g.height(), F.lit(size)) / (size * wide)
-    return df.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(extent))).cast("int"))
+def level_of(width, height, size: float, wide: int) -> Column:
+    """How often the cell is doubled until a box of this size touches at most about `wide` cells on an axis."""
+    extent = F.greatest(width, height, F.lit(size)) / (size * wide)
+    return F.greatest(F.lit(0), F.ceil(F.log2(extent))).cast("int")
 
 
 def grid_join(queries: DataFrame, elements: DataFrame, size: float = CELL, wide: int = 8) -> DataFrame:
-    """Pairs of query boxes (query_id, ql, qt, qr, qb and more) and elements whose boxes intersect; both may carry doc_id, which then must agree."""
-    leveled = with_level(elements, size, wide)
+    """Pairs of query boxes (query_id, ql, qt, qr, qb and more) and elements whose boxes intersect; both may carry doc_id, which then must agree.
+
+    A pair meets on the coarser one of its two boxes' levels, so neither a large element nor a large query is dealt to many cells."""
+    e = elements.withColumn("e_level", level_of(g.width(), g.height(), size, wide))
+    q = queries.withColumn("q_level", level_of(F.col("qr") - F.col("ql"), F.col("qb") - F.col("qt"), size, wide))
+    levels = F.broadcast(e.select(F.col("e_level").alias("level")).union(q.select("q_level")).distinct())  # at most the binary logarithm of the extent
     at = F.pow(F.lit(2.0), F.col("level")) * size
     span = lambda a, b, c: F.sequence(F.floor(a / c), F.floor(b / c))
-    e = leveled.withColumn("cell_x", F.explode(span(F.col("left"), F.col("right"), at))).withColumn("cell_y", F.explode(span(F.col("top"), F.col("bottom"), at)))
-    levels = F.broadcast(leveled.select("level").distinct())  # at most the binary logarithm of the extent
-    q = queries.join(levels).withColumn("cell_x", F.explode(span(F.col("ql"), F.col("qr"), at))).withColumn("cell_y", F.explode(span(F.col("qt"), F.col("qb"), at)))
+    e = e.join(levels, F.col("level") >= F.col("e_level")).withColumn("cell_x", F.explode(span(F.col("left"), F.col("right"), at))).withColumn("cell_y", F.explode(span(F.col("top"), F.col("bottom"), at)))
+    q = q.join(levels, F.col("level") >= F.col("q_level")).withColumn("cell_x", F.explode(span(F.col("ql"), F.col("qr"), at))).withColumn("cell_y", F.explode(span(F.col("qt"), F.col("qb"), at)))
     keys = ["level", "cell_x", "cell_y"] + (["doc_id"] if "doc_id" in queries.columns and "doc_id" in elements.columns else [])
-    both = q.join(e, keys).where(g.intersects(F.col("ql"), F.col("qt"), F.col("qr"), F.col("qb")))
+    both = q.join(e, keys).where((F.col("level") == F.greatest("e_level", "q_level")) & g.intersects(F.col("ql"), F.col("qt"), F.col("qr"), F.col("qb")))
     own = (F.floor(F.greatest("left", "ql") / at) == F.col("cell_x")) & (F.floor(F.greatest("top", "qt") / at) == F.col("cell_y"))
-    return both.where(own).drop("cell_x", "cell_y", "level")
+    return both.where(own).drop("cell_x", "cell_y", "level", "e_level", "q_level")
 
 
 def radius_join(points: DataFrame, elements: DataFrame, radius: float, most: int | None = None, size: float = CELL) -> DataFrame:
@@ -104,8 +106,9 @@ def radius_join(points: DataFrame, elements: DataFrame, radius: float, most: int
     return found.drop("ql", "qt", "qr", "qb")
 
 
-def pad_neighbors(pads: DataFrame, radius, most_radius: float) -> DataFrame:
-    """Pairs a, b (pad and ordinals) of a document whose centres are within the radius (a Column of the pad a, at most most_radius), by a grid of cells of that size."""
+def pad_neighbors(pads: DataFrame, radius, most_radius: Column | float) -> DataFrame:
+    """Pairs a, b (pad and ordinals) of a document whose centres are within the radius (a Column of the pad a, at most most_radius), by a grid of
+    cells of that size, which may differ by document."""
     own = pads.withColumns({"ax": F.floor(F.col("cx") / most_radius), "ay": F.floor(F.col("cy") / most_radius)})
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     a = own.withColumn("d", F.explode(around)).withColumns({"ax": F.col("ax") + F.col("d.dx"), "ay": F.col("ay") + F.col("d.dy")}).drop("d").withColumn("r", radius)

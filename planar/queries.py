@@ -10,7 +10,7 @@ from planar.data import SQL_COMPONENTS, SQL_ELEMENTS, SQL_LAYERS, SQL_NETS, SQL_
 from planar.functions import geometry as g
 from planar.operators import classify, graph, history, inventory, quality, recognize, search, semantic, spatial, topology
 from planar.registry import ORACLES, QUERIES, query
-from planar.sources import boards
+from planar.sources import boards, templates
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -260,17 +260,69 @@ def solved(spark, d):
     return graph.written(recognize.metrics(recognize.clustered(pads(spark, d)[3])), "clusters")
 
 
-@query()
+SQL_SOLVED = f"""{SQL_PADS}, cp AS (SELECT *, greatest(w, h) AS size FROM pads),
+cr AS (SELECT doc_id, least(3.5e0, greatest(m * 4.5e0, m * 1.5e0)) AS radius FROM (SELECT doc_id, coalesce(median(size) FILTER (size > 0), 0.1e0) AS m FROM cp GROUP BY doc_id)),
+cl AS (SELECT a.element_ord AS a, b.element_ord AS b FROM cp a JOIN cr USING (doc_id) JOIN cp b ON a.doc_id = b.doc_id AND a.element_ord <> b.element_ord
+  AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= radius * radius AND greatest(a.size, b.size) / least(a.size, b.size) <= 2.75e0),
+ct AS (SELECT a, a AS b FROM cl UNION SELECT ct.a, cl.b FROM ct JOIN cl ON ct.b = cl.a), cc AS (SELECT a AS element_ord, min(b) AS cluster FROM ct GROUP BY a),
+cm AS (SELECT cp.*, cluster FROM cp JOIN cc USING (element_ord)),
+per AS (SELECT doc_id, cluster, count(*)::INT AS pads, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom, coalesce(median(size) FILTER (size > 0), 0.1e0) AS med, list(cx ORDER BY cx) AS vx, list(cy ORDER BY cy) AS vy,
+  min((cy, cx, element_ord)) AS first FROM cm GROUP BY doc_id, cluster),
+tol AS (SELECT *, greatest(med * 0.75e0, 0.03e0) AS tolerance, (row_number() OVER (PARTITION BY doc_id ORDER BY first))::INT AS number FROM per),
+bb AS (SELECT cluster, axis, v, tolerance, 1::BIGINT AS k, v[1] AS s, 1::BIGINT AS n, []::DOUBLE[] AS means FROM (SELECT cluster, 'x' AS axis, vx AS v, tolerance FROM tol UNION ALL SELECT cluster, 'y', vy, tolerance FROM tol)
+  UNION ALL SELECT cluster, axis, v, tolerance, k + 1, CASE WHEN abs(v[k + 1] - s / n) <= tolerance THEN s + v[k + 1] ELSE v[k + 1] END, CASE WHEN abs(v[k + 1] - s / n) <= tolerance THEN n + 1 ELSE 1 END,
+  CASE WHEN abs(v[k + 1] - s / n) <= tolerance THEN means ELSE list_append(means, s / n) END FROM bb WHERE k < len(v)),
+bands AS (SELECT cluster, axis, list_append(means, s / n) AS m FROM bb WHERE k = len(v)),
+gaps AS (SELECT cluster, axis, len(m)::INT AS n, list_filter(list_transform(range(1, len(m)), lambda i: m[i + 1] - m[i]), lambda x: x > 0) AS l FROM bands),
+pitches AS (SELECT cluster, axis, n, CASE WHEN n < 2 THEN 0e0 WHEN len(l) = 0 THEN 0.1e0 ELSE list_aggregate(l, 'median') END AS pitch FROM gaps),
+mirror AS (SELECT p.cluster, count(*) AS n FROM cm p JOIN tol USING (cluster) WHERE EXISTS (FROM cm q WHERE q.cluster = p.cluster AND abs(q.cx - (tol."left" + tol."right" - p.cx)) <= tolerance AND abs(q.cy - (tol.top + tol.bottom - p.cy)) <= tolerance) GROUP BY p.cluster),
+solved AS (SELECT tol.*, y.n AS rows, x.n AS columns, x.pitch AS pitch_x, y.pitch AS pitch_y, coalesce(mirror.n, 0) / pads AS symmetry, CASE WHEN "right" - "left" >= bottom - top THEN 0e0 ELSE 90e0 END AS rotation,
+  0.55e0 + least(1e0, greatest(0e0, pads * med * med / greatest(("right" - "left") * (bottom - top), 0.000001e0))) * 0.4e0 AS cluster_confidence
+  FROM tol JOIN pitches x ON x.cluster = tol.cluster AND x.axis = 'x' JOIN pitches y ON y.cluster = tol.cluster AND y.axis = 'y' LEFT JOIN mirror ON mirror.cluster = tol.cluster)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_SOLVED} SELECT doc_id, number, pads, rows, columns, round(pitch_x, 6) AS pitch_x, round(pitch_y, 6) AS pitch_y, round(symmetry, 6) AS symmetry, rotation, round(cluster_confidence, 6) AS confidence FROM solved""")
 def q_cluster_metrics(spark, d):
     return solved(spark, d).select("doc_id", "number", "pads", "rows", "columns", W6("pitch_x").alias("pitch_x"), W6("pitch_y").alias("pitch_y"), W6("symmetry").alias("symmetry"), "rotation", W6("cluster_confidence").alias("confidence"))
 
 
-@query()
+def sql_value(v) -> str:
+    return f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{float(v)}e0"
+
+
+def sql_range(value: str, name: str) -> str:
+    """1 within the template's range, less by how far it lies outside."""
+    low, high = f"min_{name}", f"max_{name}"
+    off = f"CASE WHEN {value} < {low} THEN {low} - {value} ELSE {value} - {high} END"
+    return f"CASE WHEN {value} BETWEEN {low} AND {high} THEN 1e0 ELSE greatest(0e0, least(1e0, 1e0 - ({off}) / greatest({high} - {low}, greatest(abs({high}), 1e0)))) END"
+
+
+SQL_FOUND = f"""{SQL_SOLVED}, templates({", ".join(templates.FIELDS)}) AS (VALUES {", ".join("(" + ", ".join(map(sql_value, row)) + ")" for row in templates.ROWS)}),
+shape AS (SELECT *, pads / greatest(1, rows * columns) AS occupancy, CASE WHEN pitch_x > 0 AND pitch_y > 0 THEN (pitch_x + pitch_y) / 2 ELSE greatest(pitch_x, pitch_y) END AS pitch, least(rows, columns) / greatest(rows, columns) AS side,
+  greatest("right" - "left", bottom - top) / greatest(0.000001e0, least("right" - "left", bottom - top)) AS aspect FROM solved),
+factors AS (SELECT shape.*, templates.*, {sql_range("pads", "pads")} AS f1, {sql_range("rows", "rows")} AS f2, {sql_range("columns", "columns")} AS f3,
+  CASE WHEN pitch <= 0 AND min_pitch > 0 THEN 0e0 ELSE {sql_range("pitch", "pitch")} END AS f4, {sql_range("occupancy", "occupancy")} AS f5, CASE WHEN min_symmetry <= 0 THEN 1e0 ELSE greatest(0e0, least(1e0, symmetry / min_symmetry)) END AS f6,
+  {sql_range("aspect", "aspect")} AS f7, CASE WHEN two_rows AND rows <> 2 AND columns <> 2 THEN 0e0 WHEN square AND (side < 0.7e0 OR occupancy < 0.5e0) THEN 0e0 WHEN four_sides AND (rows < 3 OR columns < 3) THEN 0e0
+  WHEN four_sides AND occupancy > 0.72e0 AND family <> 'Qfn' THEN 0.35e0 ELSE 1e0 END AS f8 FROM shape, templates),
+scored AS (SELECT *, greatest(0e0, least(1e0, ({" + ".join(f"f{k} * {w}e0" for k, (_, w) in enumerate(recognize.WEIGHTS, 1))}) / {sum(w for _, w in recognize.WEIGHTS)}e0)) AS score FROM factors),
+best AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, priority DESC, name) AS place, score >= acceptance AND f1 > 0 AND f8 > 0 AS accepted FROM scored),
+found AS (SELECT * EXCLUDE (name), CASE WHEN NOT accepted THEN 'UNRESOLVED-' || pads WHEN family = 'Chip2' THEN 'CHIP-2' ELSE CASE family WHEN 'Soic' THEN 'SOIC' WHEN 'Tssop' THEN 'TSSOP' WHEN 'Qfn' THEN 'QFN' WHEN 'Qfp' THEN 'QFP' WHEN 'Bga' THEN 'BGA'
+  WHEN 'Ffc' THEN 'FFC' WHEN 'SingleRowConnector' THEN 'CONN' WHEN 'DualRowConnector' THEN 'DUAL' ELSE 'ARRAY' END || '-' || pads END AS name, greatest(0e0, least(1e0, (cluster_confidence + score) / 2)) AS confidence FROM best WHERE place = 1)"""
+
+
+@query(f"WITH RECURSIVE {SQL_FOUND} SELECT doc_id, number, family, name, accepted, round(score, 6) AS score, round(confidence, 6) AS confidence FROM found")
 def q_template_match(spark, d):
     return recognize.footprints(solved(spark, d)).select("doc_id", "number", "family", "name", "accepted", W6("score").alias("score"), W6("confidence").alias("confidence"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {SQL_FOUND}, numbered AS (SELECT *, ("left" + "right") / 2 AS x, (top + bottom) / 2 AS y, (row_number() OVER (PARTITION BY doc_id ORDER BY top, "left", number))::INT AS component_no FROM found),
+texts AS (SELECT doc_id, element_ord AS text_ord, trim(text) AS said, ("left" + "right") / 2 AS tx, (top + bottom) / 2 AS ty FROM elements WHERE kind = 'Text' AND regexp_matches(trim(text), '(?i)^(?:R|C|L|D|Q|U|IC|J|P|CN|TP|XW|PP|F|Y|K|M)[0-9]+[A-Z0-9_-]*$')),
+near AS (SELECT n.doc_id, component_no, text_ord, said, sqrt((tx - x) * (tx - x) + (ty - y) * (ty - y)) AS distance, greatest("right" - "left", bottom - top) * 2.5e0 + 2 AS reach FROM numbered n JOIN texts t ON t.doc_id = n.doc_id),
+options AS (SELECT doc_id, component_no, list(text_ord ORDER BY distance, text_ord) AS l FROM near WHERE distance <= reach GROUP BY doc_id, component_no), last AS (SELECT doc_id, max(component_no) AS n FROM numbered GROUP BY doc_id),
+walk AS (SELECT doc_id, 0 AS k, []::BIGINT[] AS used, NULL::BIGINT AS own FROM last UNION ALL SELECT w.doc_id, w.k + 1, CASE WHEN len(free) > 0 THEN list_append(w.used, free[1]) ELSE w.used END, free[1]
+  FROM (SELECT w0.*, list_filter(coalesce(o.l, []), lambda t: NOT list_contains(w0.used, t)) AS free FROM walk w0 JOIN last ON last.doc_id = w0.doc_id AND w0.k < last.n LEFT JOIN options o ON o.doc_id = w0.doc_id AND o.component_no = w0.k + 1) w),
+given AS (SELECT w.doc_id, w.k AS component_no, said AS given FROM walk w JOIN texts t ON t.doc_id = w.doc_id AND t.text_ord = w.own)
+SELECT n.doc_id, printf('component-%04d', component_no) AS component_id, coalesce(given, printf('X%04d', component_no)) AS reference, name, pads, rotation, round(CASE WHEN given IS NULL THEN confidence * 0.8e0 ELSE least(1e0, confidence + 0.08e0) END, 6) AS confidence FROM numbered n LEFT JOIN given USING (doc_id, component_no)""")
 def q_components(spark, d):
     return recognize.components(recognize.footprints(solved(spark, d)), data.elements(spark, d).where("kind = 'Text'")).withColumn("confidence", W6("confidence"))
 
@@ -387,14 +439,26 @@ def q_rect_cycles(spark, d):
     return r.select("doc_id", "group_key", F.round(F.col("a.x") * 0.01).cast("long").alias("x"), F.round(F.col("a.y") * 0.01).cast("long").alias("y"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_SEGMENTS}, e AS (SELECT doc_id, group_key, x1, y1, x2, y2, min(seg_ord) AS o FROM segments GROUP BY ALL),
+sq AS (SELECT b.doc_id, b.group_key, list_sort([b.o, l.o, t.o, r.o]) AS ords FROM e b JOIN e l ON l.doc_id = b.doc_id AND l.group_key = b.group_key AND l.x1 = b.x1 AND l.y1 = b.y1 AND l.x2 = l.x1 AND b.y2 = b.y1
+JOIN e t ON t.doc_id = b.doc_id AND t.group_key = b.group_key AND t.x1 = b.x1 AND t.y1 = b.y1 + 1 AND t.y2 = t.y1 JOIN e r ON r.doc_id = b.doc_id AND r.group_key = b.group_key AND r.x1 = b.x1 + 1 AND r.y1 = b.y1 AND r.x2 = r.x1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, group_key ORDER BY ords) AS rk, count(*) OVER (PARTITION BY doc_id, group_key) AS n FROM sq), x AS (SELECT doc_id, group_key, rk, unnest(ords) AS o FROM ranked),
+rivals AS (SELECT a.doc_id, a.group_key, a.rk, list(DISTINCT b.rk) AS better FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.group_key = b.group_key AND a.o = b.o AND b.rk < a.rk GROUP BY ALL),
+steps AS (SELECT DISTINCT doc_id, group_key, n, 0::BIGINT AS k, []::BIGINT[] AS kept FROM ranked UNION ALL SELECT s.doc_id, s.group_key, s.n, s.k + 1, CASE WHEN r.better IS NOT NULL AND list_has_any(s.kept, r.better) THEN s.kept ELSE list_append(s.kept, s.k + 1) END
+  FROM steps s LEFT JOIN rivals r ON r.doc_id = s.doc_id AND r.group_key = s.group_key AND r.rk = s.k + 1 WHERE s.k < s.n),
+done AS (SELECT doc_id, group_key, len(kept) AS rectangles FROM steps WHERE k = n), total AS (SELECT doc_id, group_key, count(*) AS segments FROM segments GROUP BY ALL)
+SELECT t.doc_id, t.group_key, segments - 4 * coalesce(rectangles, 0) AS remaining, coalesce(rectangles, 0) AS rectangles FROM total t LEFT JOIN done USING (doc_id, group_key) WHERE segments > 4 * coalesce(rectangles, 0)""")
 def q_topology_kernel(spark, d):
     kept, rest = topology.kernel(data.segments(spark, d))
     left = rest.groupBy("doc_id", "group_key").agg(F.count(F.lit(1)).alias("remaining"))
     return left.join(kept.groupBy("doc_id", "group_key").agg(F.count(F.lit(1)).alias("rectangles")), ["doc_id", "group_key"], "left").na.fill(0, ["rectangles"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL_SEGMENTS}, ends AS (SELECT doc_id, group_key, seg_ord, x1 AS x, y1 AS y FROM segments UNION ALL SELECT doc_id, group_key, seg_ord, x2, y2 FROM segments),
+joints AS (SELECT doc_id, group_key, x, y, min(seg_ord) AS a, max(seg_ord) AS b FROM ends GROUP BY ALL HAVING count(*) = 2 AND min(seg_ord) <> max(seg_ord)), l AS (SELECT a, b FROM joints UNION SELECT b, a FROM joints),
+t AS (SELECT a, a AS b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a), c AS (SELECT a AS seg_ord, min(b) AS chain FROM t GROUP BY a), s AS (SELECT g.doc_id, g.group_key, g.seg_ord, coalesce(chain, g.seg_ord) AS chain FROM segments g LEFT JOIN c USING (seg_ord)),
+n AS (SELECT doc_id, group_key, chain, count(*) AS segments FROM s GROUP BY ALL), f AS (SELECT chain, count(*) AS free, count(DISTINCT (e.x, e.y)) AS nodes FROM ends e JOIN s USING (seg_ord) WHERE NOT EXISTS (FROM joints k WHERE k.doc_id = e.doc_id AND k.group_key = e.group_key AND k.x = e.x AND k.y = e.y) GROUP BY chain)
+SELECT doc_id, group_key, count(*) AS contours, count(*) FILTER ((free IS NULL OR (free = 2 AND nodes = 1)) AND segments > 2) AS closed, sum(segments)::BIGINT AS segments FROM n LEFT JOIN f USING (chain) GROUP BY doc_id, group_key""")
 def q_contours(spark, d):
     return topology.contours(data.segments(spark, d)).groupBy("doc_id", "group_key").agg(F.count(F.lit(1)).alias("contours"), F.count_if("is_closed").alias("closed"), F.sum("segments").alias("segments"))
 

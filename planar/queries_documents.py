@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from planar import data
-from planar.data import SQL_ELEMENTS, SQL_LAYERS, sql_words, table
+from planar.data import SQL_ELEMENTS, sql_words, table
 from planar.functions import geometry as g
-from planar.operators import classify, history, inventory, paths, recognize, search, semantic, spatial
-from planar.queries import SQL_JUDGED, SQL_MEANING, SQL_MUTATIONS, W6, judged, mutations, pads
+from planar.operators import classify, inventory, paths, recognize, search, semantic, spatial
+from planar.queries import SQL_JUDGED, SQL_MEANING, SQL_MUTATIONS, W6, mutations, pads, written_files
 from planar.registry import query
 from planar.sources import boards, formats
 
@@ -238,3 +238,71 @@ def q_properties(spark, d):
     m = F.create_map(F.when(F.col("p_partkey") % 2 == 0, " Title ").otherwise("TITLE"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_type")), F.lit("other"), F.lit("x"))
     after = g.with_property(m, "title", F.lit("set"))
     return p.select(F.col("p_partkey").alias("k"), g.looked_up(m, " tItle").alias("found"), g.looked_up(after, "Title").alias("after"), F.size(after).alias("n"))
+
+
+@query("""SELECT o_custkey // 50 AS doc_id, (row_number() OVER (PARTITION BY o_custkey // 50 ORDER BY o_orderkey))::INT AS n, 'R' || o_orderkey AS reference, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'v' || (o_orderkey % 5) END AS value,
+(o_orderkey % 90)::DOUBLE AS x, -(o_custkey % 70) - 0.5e0 AS y, CASE WHEN o_orderkey % 3 = 0 THEN 90e0 ELSE 0e0 END AS rotation FROM orders""")
+def q_kicad_components(spark, d):
+    k = F.col("o_orderkey")
+    turn = F.when(k % 3 == 0, " 90").otherwise("")
+    value = F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("v"), k % 5))
+    line = F.concat(F.lit('(footprint "p" (property "Reference" "R'), k, F.lit('") (property "Value" "'), value, F.lit('") (at '), k % 90, F.lit(" -"), F.col("o_custkey") % 70, F.lit(".5"), turn, F.lit("))"))
+    return boards.kicad(written_files(spark, d, line, "(kicad_pcb\n", "\n", ")"))["components"].select("doc_id", F.col("n").cast("int").alias("n"), "reference", "value", "x", "y", "rotation")
+
+
+@query("""WITH e AS (SELECT o_custkey // 50 AS doc_id, o_orderkey, (o_orderkey % 90)::DOUBLE AS x, (o_custkey % 70)::DOUBLE AS y FROM orders WHERE o_orderkey % 9 = 0)
+SELECT doc_id, count(*)::INT AS points, sum(x) AS xs, first(y ORDER BY o_orderkey) AS first_y FROM e GROUP BY doc_id HAVING count(*) >= 3""")
+def q_board_outlines(spark, d):
+    """Edge lines of a board as its outline polygon; other lines are no edges."""
+    k = F.col("o_orderkey")
+    layer = F.when(k % 9 == 0, "Edge.Cuts").otherwise("F.SilkS")
+    line = F.concat(F.lit("(gr_line (start "), k % 90, F.lit(" "), F.col("o_custkey") % 70, F.lit(') (end 0 0) (layer "'), layer, F.lit('")) (x "'), k, F.lit('")'))
+    only = written_files(spark, d, F.when(k % 9 == 0, line).otherwise(F.lit("(other)")), "(kicad_pcb\n", "\n", ")")
+    found = boards.kicad(only)["outlines"]
+    return found.select("doc_id", F.size("points").alias("points"), F.aggregate(F.transform("points", lambda p: p["x"]), F.lit(0.0), lambda a, x: a + x).alias("xs"), F.get("points", F.lit(0))["y"].alias("first_y"))
+
+
+@query("""WITH w AS (SELECT o_custkey // 50 AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey // 50 ORDER BY o_orderkey) AS k, count(*) FILTER (o_orderkey % 2 = 0) OVER (PARTITION BY o_custkey // 50 ORDER BY o_orderkey) AS even,
+count(*) FILTER (o_orderkey % 2 = 0) OVER (PARTITION BY o_custkey // 50) AS parts FROM orders)
+SELECT doc_id, (parts + k - even)::INT AS element_no, CASE WHEN o_orderkey % 3 = 0 THEN 'bottom-copper' ELSE 'top-copper' END AS layer_id, (o_orderkey % 80)::DOUBLE AS x1, CASE WHEN o_orderkey % 7 = 0 THEN 0.5e0 ELSE 0.15e0 END AS width FROM w WHERE o_orderkey % 2 = 1""")
+def q_eagle_tracks(spark, d):
+    """Wires, numbered behind the components of their file."""
+    k = F.col("o_orderkey")
+    wide = F.when(k % 7 == 0, '" width="0.5').otherwise("")
+    wire = F.concat(F.lit('<wire layer="'), F.when(k % 3 == 0, "16").otherwise("1"), F.lit('" x1="'), k % 80, F.lit('" y1="0" x2="1" y2="1'), wide, F.lit('"/>'))
+    line = F.when(k % 2 == 0, F.concat(F.lit('<element name="R'), k, F.lit('" x="1" y="2"/>'))).otherwise(wire)
+    files = written_files(spark, d, line, "<eagle><board>", "\n", "</board></eagle>")
+    return boards.eagle(files)["tracks"].select("doc_id", F.col("element_no").cast("int").alias("element_no"), "layer_id", "x1", "width")
+
+
+@query("""WITH s AS (SELECT o_custkey // 50 AS doc_id, o_orderkey AS k, sum(CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY o_custkey // 50 ORDER BY o_orderkey) AS n FROM orders)
+SELECT doc_id, n::INT AS n, CASE WHEN k % 5 = 0 THEN 'U' || (n - 1) WHEN k % 5 = 1 THEN 'N' || k ELSE 'C' || k END AS reference, CASE WHEN k % 2 = 0 THEN 'p&1' ELSE '' END AS value, (k % 60)::DOUBLE AS x, 0e0 AS y FROM s WHERE doc_id % 3 <> 0""")
+def q_ipc_components(spark, d):
+    """Components of files whose root is one of the format's; every third file has another root."""
+    k = F.col("o_orderkey")
+    name = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(F.lit(' name="N'), k, F.lit('"'))).otherwise(F.concat(F.lit(' refDes="C'), k, F.lit('"')))
+    line = F.concat(F.lit("<ns:Component"), name, F.when(k % 2 == 0, ' part="p&1"').otherwise(""), F.lit(' x="'), k % 60, F.lit('"/>'))
+    files = written_files(spark, d, line, "", "\n")
+    root = F.when(F.col("doc_id") % 3 == 0, "Other").otherwise("IPC-2581")
+    files = files.withColumn("content", F.concat(F.lit("<?xml version='1.0'?><"), root, F.lit(">"), "content", F.lit("</"), root, F.lit(">")))
+    return boards.ipc2581(files)["components"].select("doc_id", F.col("n").cast("int").alias("n"), "reference", "value", "x", "y")
+
+
+@query("""SELECT o_custkey // 50 AS doc_id, (row_number() OVER (PARTITION BY o_custkey // 50 ORDER BY o_orderkey))::INT AS element_no, (o_orderkey % 90)::DOUBLE AS x1, -(o_custkey % 30) - 0.25e0 AS y1, 2e0 AS x2, 3.5e0 AS y2, 0.3e0 AS width FROM orders""")
+def q_legacy_tracks(spark, d):
+    line = F.concat(F.lit("Po 0 "), F.col("o_orderkey") % 90, F.lit(" -"), F.col("o_custkey") % 30, F.lit(".25 2 3.5 0.3"))
+    t = boards.legacy(written_files(spark, d, line, "PCBNEW\n", "\n"))["tracks"]
+    return t.select("doc_id", F.col("element_no").cast("int").alias("element_no"), "x1", "y1", "x2", "y2", "width")
+
+
+@query("""WITH five(layer_id, layer_type, side, ord) AS (VALUES ('top-copper', 'Copper', 'Top', 10), ('bottom-copper', 'Copper', 'Bottom', 20), ('outline', 'Outline', 'Both', 30), ('drill', 'Drill', 'Both', 40))
+SELECT doc_id, layer_id, layer_type, side, ord FROM (SELECT DISTINCT user_id // 8 AS doc_id FROM events), five""")
+def q_board_skeleton(spark, d):
+    return boards.skeleton(spark, data.documents(spark, d))
+
+
+@query(f"""WITH {SQL_ELEMENTS} SELECT doc_id, layer_id, count(*) AS n, (row_number() OVER (PARTITION BY doc_id ORDER BY layer_id))::INT AS layer_no FROM elements GROUP BY doc_id, layer_id""")
+def q_document_layers(spark, d):
+    """The distinct layers of a document in order, with their elements."""
+    per = inventory.geometry_database(data.elements(spark, d)).groupBy("doc_id", "layer_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("layer_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("layer_id")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = ("name", "family", "min_pads", "max_pads", "min_rows", "max_rows", "min_columns", "max_columns", "min_pitch", "max_pitch", "min_occupancy", "max_occupancy", "min_symmetry", "min_aspect", "max_aspect", "square", "two_rows", "four_sides", "acceptance", "priority")
-#: Name, family, ranges of pads, rows, columns, pitch and occupancy, least symmetry, range of aspect, needs (square matrix, two rows, four sides), acceptance, priority.
+#: Fixed values, in the order of priority, which is that of the result: name, family, ranges of pads, rows, columns, pitch and occupancy, least symmetry, range of aspect, needs (square matrix, two rows, four sides), acceptance, priority.
 ROWS = (
     ("CHIP-2", "Chip2", 2, 2, 1, 2, 1, 2, 0.0, 10.0, 0.8, 1.0, 0.5, 0.0, 20.0, False, False, False, 0.75, 100),
     ("BGA", "Bga", 9, 2500, 3, 60, 3, 60, 0.3, 1.5, 0.55, 1.0, 0.7, 0.65, 1.55, True, False, False, 0.75, 95),

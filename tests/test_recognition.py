@@ -89,3 +89,51 @@ def test_semantics(spark):
     p = classify.distinct_pads(j.where("reason = 'None'"))
     got = {r.element_id: r.semantic for r in semantic.semantics(e, layers, p, classify.vias(p), classify.holes(e, p, limits), prims).collect()}
     assert got == {"e0": "Pad", "e1": "Via", "e2": "Text", "e3": "Copper", "e4": "Silkscreen"}
+
+
+def grown(p, limits, most=512):
+    """Groups of a whole document's pads (rows in order), each grown from its first unseen pad."""
+    import statistics
+
+    median = statistics.median(max(r.w, r.h) for r in p)
+    short = min(limits.doc_w, limits.doc_h)
+    reach = max(median * 4.5, short * 0.0015)
+    span, free, out = max(reach * 12, short * 0.06), set(range(len(p))), []
+    for seed in range(len(p)):
+        if seed not in free:
+            continue
+        free.discard(seed)
+        group, at, box = [seed], 0, [p[seed].left, p[seed].top, p[seed].right, p[seed].bottom]
+        while at < len(group) and len(group) < most:
+            k, at = group[at], at + 1
+            for c in range(len(p)):
+                if c not in free or ((p[c].cx - p[k].cx) ** 2 + (p[c].cy - p[k].cy) ** 2) ** 0.5 > reach:
+                    continue
+                new = [min(box[0], p[c].left), min(box[1], p[c].top), max(box[2], p[c].right), max(box[3], p[c].bottom)]
+                a, b = (p[seed].w * p[seed].h) ** 0.5, (p[c].w * p[c].h) ** 0.5
+                if new[2] - new[0] > span or new[3] - new[1] > span or max(a, b) / min(a, b) > 2.75:
+                    continue
+                free.discard(c)
+                group.append(c)
+                box = new
+        if len(group) > 1:
+            out.append((len(out) + 1, len(group), round(box[0], 6), round(box[3], 6)))
+    return median, out
+
+
+def test_low_level_footprints_equal_a_whole_document(spark):
+    """Grown by component, against a loop over all pads of a document."""
+    rnd = random.Random(9)
+    spots = [(rnd.uniform(0, 200), rnd.uniform(0, 200)) for _ in range(9)]
+    rows = []
+    for x, y in spots + [(150 + k * 0.4, 150) for k in range(60)]:
+        for _ in range(rnd.randint(1, 7)):
+            cx, cy, w = x + rnd.uniform(-5, 5), y + rnd.uniform(-5, 5), rnd.choice([1, 1, 1.2, 4])
+            rows.append(rect((cx - w / 2, cy - 0.5, cx + w / 2, cy + 0.5)))
+    limits, _, j = judged(board(spark, rows))
+    pads = classify.distinct_pads(j.where("reason = 'None'"))
+    own = sorted(pads.collect(), key=lambda r: (r.cy, r.cx, r.element_ord))
+    median, want = grown(own, limits.first())
+    pad = max(0.02, median * 0.35)
+    got = recognize.low_level_footprints(pads, limits).orderBy("footprint_no").collect()
+    assert [(r.footprint_no, r.pads, round(r.left + pad, 6), round(r.bottom - pad, 6)) for r in got] == want and len(want) > 5
