@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from planar.llm.common import integer_key, new_path, partitions_for, prefix_sums, stored, text_bytes
 
 END_ID = 1
-BLOCK_BYTES, SHARD_BYTES, TABLE_WORDS, RUN_BYTES = 4 << 20, 16 << 20, 2_000_000, 8 << 20
+BLOCK_BYTES, SHARD_BYTES, TABLE_WORDS, RUN_BYTES = 4 << 20, 16 << 20, 1_000_000, 4 << 20
 FILE = "shard int, block int, n_docs long, n_tokens long, width int, payload binary, ends binary, keys array<long>, seeds binary, prints binary, places binary, counts binary"
 DIRECTORY_KEYS = 1 << 16
 DIRECTORY = "bucket long, of long, seeds binary, prints binary, starts binary, shards binary, blocks binary"
