@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planar.llm import chat, decontamination, lm, mixing, quality, rules, simhash, suffixes, token_files, toxicity
+from planar.llm import chat, decontamination, lines, lm, mixing, negatives, phrases, quality, rules, simhash, suffixes, token_files, toxicity
 from planar.llm.common import stored, table
 
 MIX_SQL = r"""
@@ -79,6 +79,46 @@ ABLATION_SQL = LEDGER_SQL + "".join(
     for k, (name, _) in enumerate(rules.RULES)
 )
 
+LINES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT r, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM u),
+h AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+g AS (SELECT r, count(*) AS n, count(*) FILTER (key IN (SELECT key FROM h)) AS gone, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (SELECT key FROM h)), '') AS kept FROM k GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_lines, gone::BIGINT AS n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN g USING (r)
+"""
+
+NEGATIVES_SQL = r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, list_dot_product(a.v, e.v)::BIGINT AS score
+  FROM e AS a JOIN e ON a.vec_id <> e.vec_id AND len(a.v) = len(e.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
+"""
+
+PHRASES_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT row_number() OVER () AS piece, * FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?
+-]')) AS part FROM d)),
+l AS (SELECT piece, lang, regexp_extract_all(part, '[^ 	]+') AS w FROM p),
+g AS (SELECT lang, x.k AS size, list_slice(w, x.i, x.i + x.k - 1) AS phrase, count(*) AS f
+  FROM (SELECT *, unnest(flatten([[{'k': k, 'i': i} for i in range(1, len(w) - k + 2)] for k in range(1, 5)])) AS x FROM l) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE size = 1 GROUP BY lang),
+f AS (SELECT * FROM g WHERE f >= 30),
+c AS (SELECT lang, phrase, f AS a, size, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+s AS (SELECT c.*, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score FROM c
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = c.phrase[1:k] JOIN f AS r ON r.lang = c.lang AND r.phrase = c.phrase[k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, list_slice(phrase, x.i, x.i + x.k - 1) AS phrase, max(f) AS around
+  FROM (SELECT *, unnest(flatten([[{'k': k, 'i': i} for i in range(1, size - k + 2)] for k in range(2, size)])) AS x FROM f WHERE size > 2) GROUP BY ALL),
+t AS (SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN o USING (lang, phrase) WHERE around IS NULL OR 100 * around::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM t JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 
 def op3_lm_scores(spark, sf_dir):
     return lm.scores(table(spark, sf_dir, "documents"))
@@ -129,6 +169,20 @@ def op10_source_mixing(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lines.digests(docs, lines.keep_bitmaps(docs))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
@@ -141,6 +195,9 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "quality_rule_ablations": quality_rule_ablations,
     "op10_source_mixing": op10_source_mixing,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -148,4 +205,7 @@ ORACLES = {
     "op9_quality_rules": RULES_SQL,
     "quality_rule_ablations": ABLATION_SQL,
     "op10_source_mixing": MIX_SQL,
+    "op11_line_dedup": LINES_SQL,
+    "op12_hard_negatives": NEGATIVES_SQL,
+    "op13_collocations": PHRASES_SQL,
 }
