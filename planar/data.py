@@ -95,6 +95,19 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
                     a.cast("double").alias("x1"), b.cast("double").alias("y1"), F.when(along, a + 1).otherwise(a).cast("double").alias("x2"), F.when(along, b).otherwise(b + 1).cast("double").alias("y2"))
 
 
+def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lattice of segments() as drawn by hand: ends moved by up to 0.012, short strokes, and by document plain, turned, or sheared by 0.03 or 0.05."""
+    s, k = segments(spark, sf_dir), F.col("seg_ord")
+    turned, shear = F.col("doc_id") % 4 == 1, F.when(F.col("doc_id") % 4 == 2, 0.03).when(F.col("doc_id") % 4 == 3, 0.05).otherwise(0.0)
+    short = (k % 11 == 0) | (k % 13 == 0)
+    x2 = F.when(short, F.col("x1") + F.when(k % 11 == 0, 0.004).otherwise(0.0105)).otherwise(F.col("x2"))
+    y2 = F.when(short, F.col("y1")).otherwise(F.col("y2"))
+    moved = lambda x, y, by: F.when(turned, x * 0.6 - y * 0.8).otherwise(x + y * shear) + by * 0.004
+    along = lambda x, y: F.when(turned, x * 0.8 + y * 0.6).otherwise(y)
+    x1, y1 = F.col("x1"), F.col("y1")
+    return s.select("doc_id", "seg_ord", "segment_id", "group_key", moved(x1, y1, k % 4).alias("x1"), along(x1, y1).alias("y1"), moved(x2, y2, F.floor(k / 4) % 4).alias("x2"), along(x2, y2).alias("y2"))
+
+
 _list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
 #: The same relations for DuckDB.
 SQL_ELEMENTS = f"""
@@ -120,3 +133,39 @@ def sql_words(role: str = "board", name: str = "words") -> str:
 
 SQL_SEGMENTS = """g0 AS (SELECT o_custkey // 50 AS doc_id, o_orderkey AS seg_ord, 's' || o_orderkey AS segment_id, o_orderpriority AS group_key, o_orderkey % 8 AS a, floor(o_totalprice)::BIGINT % 8 AS b, (o_orderkey // 8) % 2 = 0 AS along FROM orders),
 segments AS (SELECT doc_id, seg_ord, segment_id, group_key, a::DOUBLE AS x1, b::DOUBLE AS y1, (CASE WHEN along THEN a + 1 ELSE a END)::DOUBLE AS x2, (CASE WHEN along THEN b ELSE b + 1 END)::DOUBLE AS y2 FROM g0)"""
+SQL_STROKES = SQL_SEGMENTS + """,
+g1 AS (SELECT *, seg_ord AS k, CASE doc_id % 4 WHEN 2 THEN 0.03e0 WHEN 3 THEN 0.05e0 ELSE 0e0 END AS shear, seg_ord % 11 = 0 OR seg_ord % 13 = 0 AS short FROM segments),
+g2 AS (SELECT * REPLACE (CASE WHEN short THEN x1 + CASE WHEN k % 11 = 0 THEN 0.004e0 ELSE 0.0105e0 END ELSE x2 END AS x2, CASE WHEN short THEN y1 ELSE y2 END AS y2) FROM g1),
+strokes AS (SELECT doc_id, seg_ord, segment_id, group_key, CASE WHEN doc_id % 4 = 1 THEN x1 * 0.6e0 - y1 * 0.8e0 ELSE x1 + y1 * shear END + (k % 4) * 0.004e0 AS x1, CASE WHEN doc_id % 4 = 1 THEN x1 * 0.8e0 + y1 * 0.6e0 ELSE y1 END AS y1,
+  CASE WHEN doc_id % 4 = 1 THEN x2 * 0.6e0 - y2 * 0.8e0 ELSE x2 + y2 * shear END + (k // 4 % 4) * 0.004e0 AS x2, CASE WHEN doc_id % 4 = 1 THEN x2 * 0.8e0 + y2 * 0.6e0 ELSE y2 END AS y2 FROM g2)"""
+
+
+def sql_kernel(source: str, snap: str = "0.01e0", edge: str = "0.01e0", area: str = "0.0001e0", angle: str = "0.035e0") -> str:
+    """The kernel of the segments of `source`: relations k_long, k_node, k_edge, k_cycle and k_kept (accepted rectangles, place: their order in the group)."""
+    length = lambda v: f"sqrt({v}x * {v}x + {v}y * {v}y)"
+    dot = lambda v, w: f"abs({v}x * {w}x + {v}y * {w}y) / ({length(v)} * {length(w)}) <= {angle}"
+    cross = lambda v, w: f"abs({v}x * {w}y - {v}y * {w}x) / ({length(v)} * {length(w)}) <= {angle}"
+    even = lambda v, w: f"abs({length(v)} - {length(w)}) <= greatest({snap}, greatest({length(v)}, {length(w)}) * {angle})"
+    flat, tall = (lambda v: f"abs({v}y) <= {snap}"), (lambda v: f"abs({v}x) <= {snap}")
+    return f"""k_long AS (SELECT * FROM {source} WHERE sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) >= {edge}),
+k_end AS (SELECT *, round_even(x / {snap}, 0)::BIGINT AS kx, round_even(y / {snap}, 0)::BIGINT AS ky, row_number() OVER (PARTITION BY doc_id, group_key ORDER BY seg_ord, side) AS i
+  FROM (SELECT doc_id, group_key, seg_ord, 1 AS side, x1 AS x, y1 AS y FROM k_long UNION ALL SELECT doc_id, group_key, seg_ord, 2, x2, y2 FROM k_long)),
+k_snap AS (SELECT doc_id, group_key, i, i AS node, [{{'kx': kx, 'ky': ky, 'i': i, 'x': x, 'y': y}}] AS nodes FROM k_end WHERE i = 1 UNION ALL
+  SELECT doc_id, group_key, i, coalesce(found.i, i), CASE WHEN found IS NULL THEN list_append(nodes, {{'kx': kx, 'ky': ky, 'i': i, 'x': x, 'y': y}}) ELSE nodes END FROM (
+    SELECT e.*, s.nodes, list_sort(list_filter(s.nodes, lambda n: abs(n.kx - e.kx) <= 1 AND abs(n.ky - e.ky) <= 1 AND sqrt((n.x - e.x) * (n.x - e.x) + (n.y - e.y) * (n.y - e.y)) <= {snap}))[1] AS found
+    FROM k_snap s JOIN k_end e ON e.doc_id = s.doc_id AND e.group_key = s.group_key AND e.i = s.i + 1)),
+k_node AS (SELECT doc_id, group_key, i, x, y FROM k_snap JOIN k_end USING (doc_id, group_key, i) WHERE node = i),
+k_edge AS (SELECT doc_id, group_key, seg_ord, min(node) AS a, max(node) AS b FROM k_snap JOIN k_end USING (doc_id, group_key, i) GROUP BY ALL HAVING min(node) <> max(node)),
+k_first AS (SELECT doc_id, group_key, a, b, min(seg_ord) AS o FROM k_edge GROUP BY ALL),
+k_both AS (SELECT * FROM k_first UNION ALL SELECT doc_id, group_key, b, a, o FROM k_first),
+k_path AS (SELECT f.doc_id, f.group_key, f.a, f.b AS m, s.b AS c, f.o AS o1, s.o AS o2 FROM k_first f JOIN k_both s ON s.doc_id = f.doc_id AND s.group_key = f.group_key AND s.a = f.b WHERE f.a < s.b),
+k_cycle AS (SELECT b.doc_id, b.group_key, b.a, b.m AS b, b.c, d.m AS d, b.o1 AS ab, b.o2 AS bc, d.o2 AS cd, d.o1 AS da FROM k_path b JOIN k_path d ON d.doc_id = b.doc_id AND d.group_key = b.group_key AND d.a = b.a AND d.c = b.c AND b.o1 < d.o1),
+k_side AS (SELECT k.*, q.x - p.x AS px, q.y - p.y AS py, r.x - q.x AS qx, r.y - q.y AS qy, s.x - r.x AS rx, s.y - r.y AS ry, p.x - s.x AS sx, p.y - s.y AS sy FROM k_cycle k
+  {" ".join(f"JOIN k_node {n} ON {n}.doc_id = k.doc_id AND {n}.group_key = k.group_key AND {n}.i = k.{c}" for n, c in zip("pqrs", "abcd"))}),
+k_valid AS (SELECT *, ({flat("p")} AND {tall("q")}) OR ({tall("p")} AND {flat("q")}) AS axis_aligned, row_number() OVER (PARTITION BY doc_id, group_key ORDER BY a, ab, da, bc) AS rk, count(*) OVER (PARTITION BY doc_id, group_key) AS n FROM k_side
+  WHERE least({", ".join(map(length, "pqrs"))}) >= {edge} AND {dot("p", "q")} AND {dot("q", "r")} AND {cross("p", "r")} AND {cross("q", "s")} AND {even("p", "r")} AND {even("q", "s")} AND abs(px * qy - py * qx) >= {area}),
+k_use AS (SELECT doc_id, group_key, rk, unnest([ab, bc, cd, da]) AS o FROM k_valid),
+k_rival AS (SELECT a.doc_id, a.group_key, a.rk, list(DISTINCT b.rk) AS better FROM k_use a JOIN k_use b ON a.doc_id = b.doc_id AND a.group_key = b.group_key AND a.o = b.o AND b.rk < a.rk GROUP BY ALL),
+k_step AS (SELECT DISTINCT doc_id, group_key, n, 0::BIGINT AS k, []::BIGINT[] AS kept FROM k_valid UNION ALL SELECT s.doc_id, s.group_key, s.n, s.k + 1, CASE WHEN r.better IS NOT NULL AND list_has_any(s.kept, r.better) THEN s.kept ELSE list_append(s.kept, s.k + 1) END
+  FROM k_step s LEFT JOIN k_rival r ON r.doc_id = s.doc_id AND r.group_key = s.group_key AND r.rk = s.k + 1 WHERE s.k < s.n),
+k_kept AS (SELECT v.*, list_position(kept, rk) AS place FROM k_valid v JOIN (SELECT * FROM k_step WHERE k = n) s ON s.doc_id = v.doc_id AND s.group_key = v.group_key WHERE list_contains(kept, rk))"""

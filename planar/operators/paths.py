@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planar.functions import geometry as g
+from planar.operators import graph, topology
 
 #: Points that differ by no more than this on both axes are one.
 SAME = 1e-4
@@ -23,8 +24,9 @@ def same(a, b):
 def contours(commands: DataFrame) -> DataFrame:
     """Contours (file, page, path, contour, points, is_closed, curves) of the commands of each path.
 
-    A move begins a contour; a close leads back to its first point, unless it is there already; a curve is kept with the point from which it
-    starts. A contour's commands are one row, as it is drawn by one hand; contours without points or curves go.
+    A move begins a contour; a close leads back to its first point, unless it is there already, and so does the end of a contour that has a close
+    anywhere; a curve is kept with the point from which it starts. A contour's commands are one row, as it is drawn by one hand; contours of fewer
+    than two points without curves go, and the others are numbered from 1.
     """
     order = Window.partitionBy(*KEY).orderBy("n")
     c = commands.withColumn("contour", F.sum(F.when(F.col("op") == "move", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -50,8 +52,11 @@ def contours(commands: DataFrame) -> DataFrame:
         now = F.when(o["op"] == "close", s["first"]).when((o["op"] != "curve") | drawn, o["at"]).otherwise(s["now"])
         return F.struct(points.alias("points"), F.when(drawn, F.array_append(s["curves"], curve)).otherwise(s["curves"]).alias("curves"), first.alias("first"), now.alias("now"), (s["closed"] | (o["op"] == "close")).alias("closed"))
 
-    done = per.withColumn("s", F.aggregate("ops", begin, step)).where("size(s.points) > 1 OR size(s.curves) > 0 OR (size(s.points) = 1 AND s.closed)")
-    return done.select(*KEY, "contour", "s.points", F.col("s.closed").alias("is_closed"), "s.curves")
+    s = F.col("s")
+    back = s["closed"] & (F.size(s["points"]) > 1) & s["first"].isNotNull() & ~same(F.try_element_at(s["points"], F.lit(-1)), s["first"])
+    done = per.withColumn("s", F.aggregate("ops", begin, step)).where("size(s.points) > 1 OR size(s.curves) > 0")
+    number = F.row_number().over(Window.partitionBy(*KEY).orderBy("contour")).cast("long")
+    return done.select(*KEY, number.alias("contour"), F.when(back, F.array_append(s["points"], s["first"])).otherwise(s["points"]).alias("points"), s["closed"].alias("is_closed"), s["curves"].alias("curves"))
 
 
 def contour_segments(found: DataFrame) -> DataFrame:
@@ -64,15 +69,100 @@ def contour_segments(found: DataFrame) -> DataFrame:
 
 
 def primitives(found: DataFrame) -> DataFrame:
-    """The kind of each contour: Bezier with curves, Rectangle along the axes, closed or open Polyline, Line."""
-    p, closed = F.col("points"), F.col("is_closed")
-    axis = lambda c: F.array_distinct(F.transform(p, lambda q: F.round(q[c] / SAME)))
-    straight = F.forall(F.sequence(F.lit(1), F.size(p) - 1), lambda k: (F.abs(F.get(p, k - 1)["x"] - F.get(p, k)["x"]) <= SAME) != (F.abs(F.get(p, k - 1)["y"] - F.get(p, k)["y"]) <= SAME))
-    rectangle = closed & (F.size(p) == 5) & (F.size(axis("x")) == 2) & (F.size(axis("y")) == 2) & straight
-    kind = F.when(F.size("curves") > 0, "Bezier").when(rectangle, "Rectangle").when(F.size(p) > 2, "Polyline").when(F.size(p) == 2, "Line").otherwise("None")
+    """The kind of each contour by itself: Circle or Bezier with curves, Rectangle along the axes, Line of two points, Polyline."""
+    p = F.col("points")
+    kind = F.when(F.size("curves") > 0, F.when(topology.circle_fit(_ends(F.col("curves"))).isNotNull(), "Circle").otherwise("Bezier"))
+    kind = kind.when(topology.axis_rectangle(p, F.col("is_closed")).isNotNull(), "Rectangle").when(F.size(_outline()) == 2, "Line").otherwise("Polyline")
     return found.withColumn("kind", kind)
 
 
+def _ends(curves):
+    return F.transform(curves, lambda c: F.struct(c["start"]["x"].alias("x1"), c["start"]["y"].alias("y1"), c["end"]["x"].alias("x2"), c["end"]["y"].alias("y2")))
+
+
+def _outline():
+    """A contour's points without the last of a closed one that is its first again."""
+    p = F.col("points")
+    return F.when(F.col("is_closed") & (F.size(p) > 1) & same(F.get(p, 0), F.try_element_at(p, F.lit(-1))), F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+
+
+#: What a path is drawn with.
+STYLE = ("width", "is_stroked", "is_filled", "stroke_color", "fill_color")
+#: Counters of a page's vectors.
+VECTORS = ("paths", "lines", "polylines", "rectangles", "circles", "beziers")
+POINTS = "array<struct<x:double,y:double>>"
+
+
+class PageVectors:
+    """The vector graphics of pages: `graphics`, and counters by kind.
+
+    commands: as for contours(). styles: file, page, path (its number on the page) and STYLE, a row for each path.
+
+    Contours without curves lose their shape: the segments of all contours of a page make one graph for each style, whose rectangles that share no
+    edge are found in it (topology.Kernel), those off the axes as closed polylines, and all segments that remain are lines. A contour with curves
+    is a circle if four of them close one; else each curve is one, and its points are a rectangle, a line or a polyline.
+    """
+
+    def __init__(self, commands: DataFrame, styles: DataFrame, limits: topology.Limits = topology.PAGE):
+        self.styles = styles
+        key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in STYLE])
+        found = graph.written(contours(commands), "contours")
+        self.curved = found.where("size(curves) > 0")
+        s = contour_segments(found.where("size(curves) = 0")).join(styles.select(*KEY, key.alias("group_key")), [*KEY])
+        segments = s.select(
+            F.struct("file", "page").alias("doc_id"), "group_key", F.struct("path", "contour", "segment").alias("seg_ord"),
+            F.concat(self._id(), F.lit("-segment-"), "segment").alias("segment_id"), "x1", "y1", "x2", "y2",
+        )
+        self.kernel = topology.Kernel(graph.written(segments, "segments"), limits)
+        self.graphics = graph.written(self._rectangles().unionByName(self._lines()).unionByName(self._curves()), "graphics")
+
+    @staticmethod
+    def _id():
+        return F.concat(F.lit("page-"), "page", F.lit("-path-"), "path", F.lit("-contour-"), "contour")
+
+    def _drawn(self, rows: DataFrame) -> DataFrame:
+        """file, page, graphic_id, kind, source, points, sources and the style of rows with the path that they are drawn as."""
+        points = F.col("points").cast(POINTS)
+        return rows.join(self.styles, [*KEY]).select("file", "page", "graphic_id", "kind", "source", points.alias("points"), F.col("sources").cast("array<string>").alias("sources"), *STYLE)
+
+    def _rectangles(self) -> DataFrame:
+        corner = [F.struct(F.col(f"{p}.x").alias("x"), F.col(f"{p}.y").alias("y")) for p in "abcd"]
+        low, high = lambda c: F.least(*[p[c] for p in corner]), lambda c: F.greatest(*[p[c] for p in corner])
+        box = F.array(F.struct(low("x").alias("x"), low("y").alias("y")), F.struct(high("x").alias("x"), high("y").alias("y")))
+        on = F.col("axis_aligned")
+        r = self.kernel.numbered().select("doc_id.*", F.col("edge_ords")[0]["path"].alias("path"), F.concat(F.lit("kernel-rectangle-"), "rectangle_no").alias("graphic_id"), F.when(on, "Rectangle").otherwise("Polyline").alias("kind"),
+                                          F.when(on, "rectangle").otherwise("rotated-rectangle").alias("source"), F.when(on, box).otherwise(F.array(*corner)).alias("points"), F.col("edge_ids").alias("sources"))
+        return self._drawn(r)
+
+    def _lines(self) -> DataFrame:
+        at = lambda k: F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+        r = self.kernel.remaining().select("doc_id.*", "seg_ord.path", F.col("segment_id").alias("graphic_id"), F.lit("Line").alias("kind"), F.lit("line").alias("source"), F.array(at(1), at(2)).alias("points"), F.lit(None).alias("sources"))
+        return self._drawn(r)
+
+    def _curves(self) -> DataFrame:
+        c = self.curved.withColumn("circle", topology.circle_fit(_ends(F.col("curves")))).withColumn("id", self._id())
+        circle = c.where("circle IS NOT NULL")
+        r = F.col("circle.radius")
+        box = F.array(F.struct((F.col("circle.x") - r).alias("x"), (F.col("circle.y") - r).alias("y")), F.struct((F.col("circle.x") + r).alias("x"), (F.col("circle.y") + r).alias("y")))
+        circles = circle.select(*KEY, F.col("id").alias("graphic_id"), F.lit("Circle").alias("kind"), F.lit("circle").alias("source"), box.alias("points"), F.lit(None).alias("sources"))
+        rest = c.where("circle IS NULL")
+        one = rest.select(*KEY, "id", F.posexplode("curves").alias("k", "c"))
+        beziers = one.select(*KEY, F.concat("id", F.lit("-bezier-"), F.col("k") + 1).alias("graphic_id"), F.lit("Bezier").alias("kind"), F.lit("bezier").alias("source"), F.array("c.start", "c.c1", "c.c2", "c.end").alias("points"), F.lit(None).alias("sources"))
+        left = rest.where("size(points) > 1").withColumn("box", topology.axis_rectangle(F.col("points"), F.col("is_closed"))).withColumn("outline", _outline())
+        corners = F.array(F.struct(F.col("box.left").alias("x"), F.col("box.top").alias("y")), F.struct(F.col("box.right").alias("x"), F.col("box.bottom").alias("y")))
+        boxed, two = F.col("box").isNotNull(), F.size("outline") == 2
+        shapes = left.select(
+            *KEY, F.col("id").alias("graphic_id"), F.when(boxed, "Rectangle").when(two, "Line").otherwise("Polyline").alias("kind"),
+            F.when(boxed, "rectangle").when(two, "line").when(F.col("is_closed"), "polygon").otherwise("polyline").alias("source"), F.when(boxed, corners).otherwise(F.col("outline")).alias("points"), F.lit(None).alias("sources"),
+        )
+        return self._drawn(circles).unionByName(self._drawn(beziers)).unionByName(self._drawn(shapes))
+
+    def counters(self) -> DataFrame:
+        """file, page and VECTORS: the paths of each page, those without graphics too, and its graphics by kind."""
+        kinds = self.graphics.groupBy("file", "page").agg(*[F.count_if(F.col("kind") == k).alias(f"{k.lower()}s") for k in ("Line", "Polyline", "Rectangle", "Circle", "Bezier")])
+        return self.styles.groupBy("file", "page").agg(F.count(F.lit(1)).alias("paths")).join(kinds, ["file", "page"], "left").na.fill(0)
+
+
 def text_graphics(words: DataFrame) -> DataFrame:
     """Texts in millimetres of a decoder's words (file, page, n, text, box in points): blank ones go, and `text_no` counts the rest of a page."""
     mm = lambda c: g.converted(F.col(c), F.lit("PdfPoint"), "Millimeter")
@@ -82,12 +172,12 @@ def text_graphics(words: DataFrame) -> DataFrame:
     return kept.withColumn("text_no", F.row_number().over(order)).withColumn("text_id", F.concat(F.lit("page-"), "page", F.lit("-text-"), "text_no"))
 
 
-def totals(pages: DataFrame, texts: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Graphics of each file: pages, texts, vectors (shapes that have a kind) by kind, and all."""
+def totals(pages: DataFrame, texts: DataFrame, counters: DataFrame) -> DataFrame:
+    """Of each file: pages, texts, vectors by kind (from PageVectors.counters) and all graphics."""
     count = lambda df, name: df.groupBy("file").agg(F.count(F.lit(1)).alias(name))
-    kinds = shapes.where("kind <> 'None'").groupBy("file").agg(*[F.count_if(F.col("kind") == k).alias(k.lower()) for k in ("Line", "Polyline", "Rectangle", "Bezier")])
+    kinds = counters.groupBy("file").agg(*[F.sum(c).alias(c) for c in VECTORS])
     out = count(pages, "pages").join(count(texts, "texts"), "file", "left").join(kinds, "file", "left").na.fill(0)
-    vectors = F.col("line") + F.col("polyline") + F.col("rectangle") + F.col("bezier")
+    vectors = F.col("lines") + F.col("polylines") + F.col("rectangles") + F.col("circles") + F.col("beziers")
     return out.withColumn("vectors", vectors).withColumn("graphics", vectors + F.col("texts"))
 
 

@@ -1,80 +1,170 @@
 """Segment graphs: rectangles as 4-cycles, contours as chains, circles of curves.
 
-Groups of segments (doc_id, group_key) never touch each other. Cycles are found by joins of edges; which of overlapping cycles is
-kept depends on their order, so a greedy pass runs over the valid cycles of a group, not over its segments.
+Groups of segments (doc_id, group_key) never touch each other. Cycles are found by joins of edges. Which ends are nodes and which of overlapping
+cycles are kept depends on the order of the segments; these choices are made by greedy.first_come.
 """
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SNAP, ANGLE, LEAST_EDGE, LEAST_AREA = 0.01, 0.035, 0.01, 0.0001
+from planar.operators import graph, greedy
+
+
+@dataclasses.dataclass(frozen=True)
+class Limits:
+    """Tolerances of the kernel: ends within `snap` are one node, angles and lengths may differ by `angle`, and the least edge and area."""
+
+    snap: float = 0.01
+    angle: float = 0.035
+    edge: float = 0.01
+    area: float = 0.0001
+
 
+#: Points that differ by no more than this on both axes are one.
+POINT = 1e-4
+#: The limits for the segments of a page.
+PAGE = Limits(edge=0.005, area=0.00005)
+GROUP = ("doc_id", "group_key")
 
-def edges(segments: DataFrame, snap: float = SNAP) -> DataFrame:
-    """Segments with the snapped keys of their ends (a <= b); those under the least length or with one key go, and of parallel ones the first stays."""
-    key = lambda x, y: F.struct(F.rint(F.col(x) / snap).cast("long").alias("x"), F.rint(F.col(y) / snap).cast("long").alias("y"))
-    s = segments.withColumns({"p": key("x1", "y1"), "q": key("x2", "y2")}).withColumns({"a": F.least("p", "q"), "b": F.greatest("p", "q")})
+
+def _long(limits: Limits) -> Column:
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    s = s.where((F.col("a") != F.col("b")) & (F.sqrt(dx * dx + dy * dy) >= LEAST_EDGE))
-    first = s.groupBy("doc_id", "group_key", "a", "b").agg(F.min(F.struct("seg_ord", "segment_id")).alias("s"))
-    return first.select("doc_id", "group_key", "a", "b", "s.seg_ord", "s.segment_id")
+    return F.sqrt(dx * dx + dy * dy) >= limits.edge
 
 
-def rectangles(segments: DataFrame, snap: float = SNAP) -> DataFrame:
-    """Valid rectangles (each once): corners in snapped units and the ids of the four edges, from three joins of edges.
+def nodes(segments: DataFrame, limits: Limits = Limits(), held: int = greedy.HELD) -> tuple[DataFrame, DataFrame]:
+    """Ends of segments snapped first come, first served: (nodes, ends).
 
-    A cycle is listed from its least corner a; b < d are a's neighbours in it, so each cycle occurs once. Paths a-b-c are joined on (a, c).
+    An end belongs to a node within `snap` in the cell of its own rounded key or one around it, to the first of these cells by x and then y;
+    where there is none it becomes a node. Only the first end at a point can become one, so the choice is made over distinct points that have others
+    within reach, and later ends follow what had become a node before them. nodes: group, node (seg_ord and side of its end), x, y. ends: group, seg_ord, side, node.
     """
-    e = edges(segments, snap)
-    both = e.union(e.select("doc_id", "group_key", F.col("b").alias("a"), F.col("a").alias("b"), "seg_ord", "segment_id"))
-    one = both.select("doc_id", "group_key", "a", F.col("b").alias("m"), F.struct("seg_ord", "segment_id").alias("s1")).where("a < m")
-    two = both.select("doc_id", "group_key", F.col("a").alias("m"), F.col("b").alias("c"), F.struct("seg_ord", "segment_id").alias("s2"))
-    path = one.join(two, ["doc_id", "group_key", "m"]).where("a < c")
-    x = lambda p: F.col(f"{p}.x").cast("double")
-    y = lambda p: F.col(f"{p}.y").cast("double")
-    # A corner of a rectangle is square: paths that bend otherwise go before the join.
-    ux, uy, vx, vy = x("m") - x("a"), y("m") - y("a"), x("c") - x("m"), y("c") - y("m")
-    norm = F.sqrt(ux * ux + uy * uy) * F.sqrt(vx * vx + vy * vy)
-    path = path.where(F.abs(ux * vx + uy * vy) / norm <= ANGLE)
-    b = path.select("doc_id", "group_key", "a", "c", F.col("m").alias("b"), "s1", "s2")
-    d = path.select("doc_id", "group_key", "a", "c", F.col("m").alias("d"), F.col("s1").alias("s4"), F.col("s2").alias("s3"))
-    cycle = b.join(d, ["doc_id", "group_key", "a", "c"]).where("b < d")
+    ends = segments.where(_long(limits)).select(*GROUP, F.explode(F.array(*[F.struct(F.struct("seg_ord", F.lit(k).alias("side")).alias("at"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)])).alias("e")).select(*GROUP, "e.*")
+    key = lambda c: F.rint(F.col(c) / limits.snap).cast("long")
+    points = graph.written(ends.groupBy(*GROUP, "x", "y").agg(F.min("at").alias("at")).withColumns({"kx": key("x"), "ky": key("y")}), "points")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    other = points.select(*GROUP, F.col("at").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "kx", "ky")
+    asked = points.select(*GROUP, "at", "x", "y", F.explode(around).alias("d"), "kx", "ky").withColumns({"kx": F.col("kx") + F.col("d.i"), "ky": F.col("ky") + F.col("d.j")})
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    near = asked.join(other, [*GROUP, "kx", "ky"]).where(F.sqrt(dx * dx + dy * dy) <= limits.snap).where("at <> other")
+    near = graph.written(near.select(*GROUP, "at", "other", (F.col("d.i") * 3 + F.col("d.j")).alias("cell")), "near")
+    pair = F.struct(F.least("at", "other").alias("a"), F.greatest("at", "other").alias("b"))
+    chosen = greedy.first_come(near.select(*GROUP, F.col("at").alias("rank"), pair.alias("resource")), [*GROUP], held)
+    lonely = points.join(near.select(*GROUP, "at").distinct(), [*GROUP, "at"], "left_anti").select(*GROUP, "at")
+    made = graph.written(lonely.unionByName(chosen.withColumnRenamed("rank", "at")), "nodes")
+    # What a point may meet, as it becomes a node: from then on, unless an earlier cell has one already.
+    reach = near.join(made.withColumnRenamed("at", "other"), [*GROUP, "other"]).select(*GROUP, "at", F.col("other").alias("node"), "cell")
+    reach = reach.unionByName(made.select(*GROUP, "at", F.col("at").alias("node"), F.lit(0).alias("cell")))
+    order = Window.partitionBy(*GROUP, "at").orderBy("node")
+    best = F.min(F.struct("cell", "node")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))["node"]
+    steps = reach.withColumn("best", best).withColumn("until", F.lead("node").over(order)).select(*GROUP, F.col("at").alias("point"), F.col("node").alias("since"), "until", "best")
+    named = ends.join(points.select(*GROUP, "x", "y", F.col("at").alias("point")), [*GROUP, "x", "y"]).join(steps, [*GROUP, "point"])
+    named = named.where("since <= at AND (until IS NULL OR at < until)").select(*GROUP, "at.seg_ord", "at.side", F.col("best").alias("node"))
+    placed = points.select(*GROUP, F.col("at").alias("node"), "x", "y").join(made.select(*GROUP, F.col("at").alias("node")), [*GROUP, "node"], "left_semi")
+    return placed, named
+
+
+def all_edges(segments: DataFrame, limits: Limits = Limits(), held: int = greedy.HELD) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): segments of the least length whose ends are two nodes: group, seg_ord, segment_id, p and q (a node with its place)."""
+    made, ends = nodes(segments, limits, held)
+    at = graph.written(ends.join(made, [*GROUP, "node"]).select(*GROUP, "seg_ord", "side", F.struct("node", "x", "y").alias("n")), "ends")
+    side = lambda k, name: at.where(F.col("side") == k).select(*GROUP, "seg_ord", F.col("n").alias(name))
+    e = side(1, "p").join(side(2, "q"), [*GROUP, "seg_ord"]).where("p.node <> q.node")
+    return made, graph.written(e.join(segments.select(*GROUP, "seg_ord", "segment_id"), [*GROUP, "seg_ord"]), "edges")
+
+
+def _paths(edges: DataFrame) -> DataFrame:
+    """Paths a-m-c of edges, of parallel ones the first, from a node a that comes before the other two; e1 and e2 are the edges' orders and ids."""
+    first = edges.withColumns({"a": F.least("p", "q"), "b": F.greatest("p", "q")}).groupBy(*GROUP, "a", "b").agg(F.min(F.struct("seg_ord", "segment_id")).alias("e"))
+    one = first.select(*GROUP, "a", F.col("b").alias("m"), F.col("e").alias("e1"))
+    two = first.select(*GROUP, F.col("a").alias("m"), F.col("b").alias("c"), F.col("e").alias("e2")).unionByName(first.select(*GROUP, F.col("b").alias("m"), F.col("a").alias("c"), F.col("e").alias("e2")))
+    return one.join(two, [*GROUP, "m"]).where("a.node < c.node")
+
+
+def _angles(limits: Limits):
+    x = lambda p: F.col(f"{p}.x")
+    y = lambda p: F.col(f"{p}.y")
     side = lambda p, q: (x(q) - x(p), y(q) - y(p))
-    ab, bc, cd, da = side("a", "b"), side("b", "c"), side("c", "d"), side("d", "a")
     length = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1])
     dot = lambda v, w: F.abs(v[0] * w[0] + v[1] * w[1]) / (length(v) * length(w))
     cross = lambda v, w: F.abs(v[0] * w[1] - v[1] * w[0]) / (length(v) * length(w))
-    even = lambda v, w: F.abs(length(v) - length(w)) <= F.greatest(F.lit(1.0), F.greatest(length(v), length(w)) * ANGLE)
-    size = F.abs(ab[0] * bc[1] - ab[1] * bc[0]) * snap * snap
-    valid = (dot(ab, bc) <= ANGLE) & (dot(bc, cd) <= ANGLE) & (cross(ab, cd) <= ANGLE) & (cross(bc, da) <= ANGLE) & even(ab, cd) & even(bc, da) & (size >= LEAST_AREA)
-    flat = lambda v: F.abs(v[1]) <= 1
-    tall = lambda v: F.abs(v[0]) <= 1
-    ids = F.array_sort(F.array("s1", "s2", "s3", "s4"))
-    return cycle.where(valid).select("doc_id", "group_key", "a", "b", "c", "d", ids["segment_id"].alias("edge_ids"), ids["seg_ord"].alias("edge_ords"), ((flat(ab) & tall(bc)) | (tall(ab) & flat(bc))).alias("axis_aligned"))
-
-
-def kernel(segments: DataFrame, snap: float = SNAP) -> tuple[DataFrame, DataFrame]:
-    """Rectangles that share no edge, first come in the order of their edges, and the segments that remain."""
-    found = rectangles(segments, snap)
-
-    def accept(pdf):
-        used, keep = set(), []
-        p = pdf.assign(order=[tuple(e) for e in pdf.edge_ords]).sort_values("order", kind="mergesort")
-        for e in p.edge_ids:
-            keep.append(used.isdisjoint(e))
-            if keep[-1]:
-                used.update(e)
-        return p[keep].drop(columns="order").assign(rectangle_no=range(1, sum(keep) + 1))
-
-    flat = found.select("doc_id", "group_key", *[F.col(f"{p}.{c}").alias(f"{p}{c}") for p in "abcd" for c in "xy"], "edge_ids", "edge_ords", "axis_aligned")
-    kept = flat.groupBy("doc_id", "group_key").applyInPandas(accept, T.StructType([*flat.schema.fields, T.StructField("rectangle_no", T.IntegerType())]))
-    consumed = kept.select("doc_id", "group_key", F.explode("edge_ids").alias("segment_id"))
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    remaining = segments.where(F.sqrt(dx * dx + dy * dy) >= LEAST_EDGE).join(consumed, ["doc_id", "group_key", "segment_id"], "left_anti")
-    return kept, remaining
+    return side, length, dot, cross
+
+
+def rectangles(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Valid rectangles of edges (all_edges), each once: corners a to d, edge ids and orders in that sequence, rank and axis_aligned.
+
+    A cycle is found at its first node a; b comes before d among a's neighbours by the first edge to each. rank says when it is met: by a, then
+    by the edges a-b, a-d and b-c. Paths a-b-c and a-d-c meet on (a, c); a path that bends by more than the other corners allow goes before that.
+    """
+    side, length, dot, cross = _angles(limits)
+    path = _paths(edges).where(dot(side("a", "m"), side("m", "c")) <= 4 * limits.angle)
+    b = path.select(*GROUP, "a", "c", F.col("m").alias("b"), F.col("e1").alias("ab"), F.col("e2").alias("bc"))
+    d = path.select(*GROUP, "a", "c", F.col("m").alias("d"), F.col("e1").alias("da"), F.col("e2").alias("cd"))
+    cycle = b.join(d, [*GROUP, "a", "c"]).where("ab.seg_ord < da.seg_ord")
+    ab, bc, cd, da = side("a", "b"), side("b", "c"), side("c", "d"), side("d", "a")
+    even = lambda v, w: F.abs(length(v) - length(w)) <= F.greatest(F.lit(limits.snap), F.greatest(length(v), length(w)) * limits.angle)
+    square = (dot(ab, bc) <= limits.angle) & (dot(bc, cd) <= limits.angle) & (cross(ab, cd) <= limits.angle) & (cross(bc, da) <= limits.angle)
+    long_ = F.least(*map(length, (ab, bc, cd, da))) >= limits.edge
+    valid = long_ & square & even(ab, cd) & even(bc, da) & (F.abs(ab[0] * bc[1] - ab[1] * bc[0]) >= limits.area)
+    flat = lambda v: F.abs(v[1]) <= limits.snap
+    tall = lambda v: F.abs(v[0]) <= limits.snap
+    each = lambda c: F.array(*[F.col(f"{e}.{c}") for e in ("ab", "bc", "cd", "da")])
+    rank = F.struct(F.col("a.node").alias("node"), F.col("ab.seg_ord").alias("ab"), F.col("da.seg_ord").alias("da"), F.col("bc.seg_ord").alias("bc"))
+    return cycle.where(valid).select(*GROUP, *"abcd", each("segment_id").alias("edge_ids"), each("seg_ord").alias("edge_ords"), rank.alias("rank"), ((flat(ab) & tall(bc)) | (tall(ab) & flat(bc))).alias("axis_aligned"))
+
+
+#: Counters of a kernel's run.
+COUNTERS = ("input", "discarded", "nodes", "edges", "cycles", "accepted", "rejected", "consumed", "remaining")
+
+
+class Kernel:
+    """Rectangles of the segments of each group that share no edge, first come; the segments that remain; counters of each document.
+
+    segments: doc_id, group_key, seg_ord (orderable, unique in a group), segment_id, x1 to y2.
+    """
+
+    def __init__(self, segments: DataFrame, limits: Limits = Limits(), held: int = greedy.HELD):
+        self.segments, self.limits = segments, limits
+        self.nodes, self.edges = all_edges(segments, limits, held)
+        found = graph.written(rectangles(self.edges, limits), "rectangles")
+        uses = found.select(*GROUP, "rank", F.explode("edge_ords").alias("resource"))
+        self.rectangles = graph.written(found.join(greedy.first_come(uses, [*GROUP], held), [*GROUP, "rank"], "left_semi"), "accepted")
+
+    def numbered(self) -> DataFrame:
+        """The rectangles with their number in the document: groups as their first segments come, in a group as met."""
+        n = self.rectangles.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).join(self.segments.groupBy(*GROUP).agg(F.min("seg_ord").alias("begin")), [*GROUP])
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("doc_id").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        inner = F.row_number().over(Window.partitionBy(*GROUP).orderBy("rank"))
+        return self.rectangles.withColumn("inner", inner).join(n.select(*GROUP, before.alias("before")), [*GROUP]).withColumn("rectangle_no", F.col("before") + F.col("inner")).drop("inner", "before")
+
+    def remaining(self) -> DataFrame:
+        consumed = self.rectangles.select(*GROUP, F.explode("edge_ords").alias("seg_ord"))
+        return self.segments.where(_long(self.limits)).join(consumed, [*GROUP, "seg_ord"], "left_anti")
+
+    def counters(self) -> DataFrame:
+        """doc_id and COUNTERS. Cycles are counted by the paths between two nodes, without listing them."""
+        count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+        pairs = _paths(self.edges).groupBy(*GROUP, "a", "c").agg(F.count(F.lit(1)).alias("n"))
+        cycles = pairs.groupBy("doc_id").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("cycles"))
+        out = count(self.segments, "input")
+        for df, name in ((self.nodes, "nodes"), (self.edges, "edges"), (self.rectangles, "accepted")):
+            out = out.join(count(df, name), "doc_id", "left")
+        out = out.join(cycles, "doc_id", "left").join(self.segments.where(_long(self.limits)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("long")), "doc_id", "left").na.fill(0)
+        return out.select(
+            "doc_id", "input", (F.col("input") - F.col("edges")).alias("discarded"), "nodes", "edges", "cycles", "accepted", (F.col("cycles") - F.col("accepted")).alias("rejected"),
+            (F.col("accepted") * 4).alias("consumed"), (F.col("long") - F.col("accepted") * 4).alias("remaining"),
+        )
+
+
+def kernel(segments: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+    """Accepted rectangles with their numbers, and the segments that remain."""
+    k = Kernel(segments, limits)
+    return k.numbered(), k.remaining()
 
 
 def path_segments(contours: DataFrame, least: float = 1e-4) -> DataFrame:
@@ -92,8 +182,6 @@ def contours(segments: DataFrame, tolerance: float = 0.001) -> DataFrame:
 
     Chains are components of the links between such ends; each is put in order by itself.
     """
-    from planar.operators import graph
-
     key = lambda x, y: F.struct(F.rint(F.col(x) / tolerance).cast("long").alias("kx"), F.rint(F.col(y) / tolerance).cast("long").alias("ky"))
     ends = segments.select("doc_id", "group_key", "seg_ord", F.explode(F.array(key("x1", "y1"), key("x2", "y2"))).alias("k"))
     joint = ends.groupBy("doc_id", "group_key", "k").agg(F.count(F.lit(1)).alias("n"), F.min("seg_ord").alias("a"), F.max("seg_ord").alias("b")).where("n = 2 AND a <> b")
@@ -123,33 +211,60 @@ def contours(segments: DataFrame, tolerance: float = 0.001) -> DataFrame:
     return s.groupBy("doc_id", "group_key", "chain").applyInPandas(order, "doc_id long, group_key string, chain long, segments long, is_closed boolean, points array<struct<x:double,y:double>>")
 
 
+def circle_fit(curves: Column) -> Column:
+    """x, y and radius of the circle that four curves (x1, y1 to x2, y2) close, or null: each begins where the one before ends, the box is square to 2 %,
+    and all ends have the radius to 3 %."""
+    near = lambda p, q: (F.abs(p["x2"] - q["x1"]) <= POINT) & (F.abs(p["y2"] - q["y1"]) <= POINT)
+    chained = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda k: near(F.get(curves, k), F.get(curves, (k + 1) % 4)))
+    ends = F.concat(F.transform(curves, lambda p: F.struct(p["x1"].alias("x"), p["y1"].alias("y"))), F.transform(curves, lambda p: F.struct(p["x2"].alias("x"), p["y2"].alias("y"))))
+    low, high = lambda c: F.array_min(F.transform(ends, lambda p: p[c])), lambda c: F.array_max(F.transform(ends, lambda p: p[c]))
+    w, h = high("x") - low("x"), high("y") - low("y")
+    cx, cy, r = (low("x") + high("x")) / 2, (low("y") + high("y")) / 2, (w + h) / 4
+    on = F.forall(ends, lambda p: F.abs(F.sqrt((p["x"] - cx) * (p["x"] - cx) + (p["y"] - cy) * (p["y"] - cy)) - r) <= F.greatest(F.lit(POINT), r * 0.03))
+    good = (F.size(curves) == 4) & (w > POINT) & (h > POINT) & (F.abs(w - h) <= F.greatest(w, h) * 0.02)
+    return F.when(good, F.when(chained & on, F.struct(cx.alias("x"), cy.alias("y"), r.alias("radius"))))
+
+
 def circle(curves: Column) -> Column:
-    """The radius of a chain of four curves (x1, y1, x2, y2) that close a circle: a square box to 2 %, radii to 3 %; else null."""
-    n = F.size(curves)
-    chained = F.forall(F.sequence(F.lit(1), n - 1), lambda k: (F.abs(F.element_at(curves, k)["x2"] - F.element_at(curves, k + 1)["x1"]) <= 1e-6) & (F.abs(F.element_at(curves, k)["y2"] - F.element_at(curves, k + 1)["y1"]) <= 1e-6))
-    low, high = lambda c: F.array_min(F.transform(curves, lambda p: p[c])), lambda c: F.array_max(F.transform(curves, lambda p: p[c]))
-    w, h = high("x1") - low("x1"), high("y1") - low("y1")
-    cx, cy, r = (high("x1") + low("x1")) / 2, (high("y1") + low("y1")) / 2, (w + h) / 4
-    on = F.forall(curves, lambda p: F.abs(F.sqrt((p["x1"] - cx) * (p["x1"] - cx) + (p["y1"] - cy) * (p["y1"] - cy)) - r) <= r * 0.03)
-    return F.when((n == 4) & chained & (F.abs(w - h) <= F.greatest(w, h) * 0.02) & on, r)
+    """The radius of circle_fit."""
+    return circle_fit(curves)["radius"]
 
 
-def axis_rectangle(points: Column) -> Column:
-    """left, top, right, bottom of a closed outline that is a rectangle along the axes, whatever collinear points it has; else null.
+def axis_rectangle(points: Column, is_closed: Column | None = None) -> Column:
+    """left, top, right, bottom of a closed outline that is a rectangle along the axes, or null.
 
-    Points are equal neighbours' firsts; each edge is horizontal or vertical, every point lies on the box, and the four corners occur.
+    An outline is closed if is_closed says so or if it ends where it began. Equal neighbours count once. While more than four points are left, the
+    first that lies between its neighbours on a line goes; the four that remain must be the corners of their box, joined along the axes.
     """
-    q = F.filter(F.transform(points, lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), i.alias("i"))), lambda p: (p["i"] == 0) | (F.greatest(F.abs(p["x"] - F.element_at(points, p["i"])["x"]), F.abs(p["y"] - F.element_at(points, p["i"])["y"])) > 1e-4))
-    side = lambda f, c: f(F.transform(points, lambda p: p[c]))
-    left, right, top, bottom = side(F.array_min, "x"), side(F.array_max, "x"), side(F.array_min, "y"), side(F.array_max, "y")
-    tol = F.greatest(F.lit(1e-4), F.least(right - left, bottom - top) * 0.015)
-    n = F.size(q)
-    nxt = lambda k: F.element_at(q, F.when(k < n, k + 1).otherwise(1).cast("int"))
-    straight = F.forall(F.sequence(F.lit(1), n), lambda k: (F.abs(F.element_at(q, k)["x"] - nxt(k)["x"]) <= tol) != (F.abs(F.element_at(q, k)["y"] - nxt(k)["y"]) <= tol))
-    closing = F.greatest(F.abs(F.element_at(q, -1)["x"] - F.element_at(q, 1)["x"]), F.abs(F.element_at(q, -1)["y"] - F.element_at(q, 1)["y"])) <= 1e-4
-    straight = F.when(closing, F.forall(F.sequence(F.lit(1), n - 1), lambda k: (F.abs(F.element_at(q, k)["x"] - F.element_at(q, k + 1)["x"]) <= tol) != (F.abs(F.element_at(q, k)["y"] - F.element_at(q, k + 1)["y"]) <= tol))).otherwise(straight)
-    near = lambda p, x, y: (F.abs(p["x"] - x) <= tol) & (F.abs(p["y"] - y) <= tol)
-    corner = lambda x, y: F.exists(q, lambda p: near(p, x, y))
-    border = F.forall(q, lambda p: (F.abs(p["x"] - left) <= tol) | (F.abs(p["x"] - right) <= tol) | (F.abs(p["y"] - top) <= tol) | (F.abs(p["y"] - bottom) <= tol))
-    good = (n >= 4) & (right > left) & (bottom > top) & straight & border & corner(left, top) & corner(right, top) & corner(left, bottom) & corner(right, bottom)
-    return F.when(good, F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
+    same = lambda p, q: (F.abs(p["x"] - q["x"]) <= POINT) & (F.abs(p["y"] - q["y"]) <= POINT)
+    end = lambda a: F.try_element_at(a, F.lit(-1))
+    closed = F.coalesce(same(F.get(points, 0), end(points)), F.lit(False))
+    closed = closed if is_closed is None else closed | is_closed
+    kept = F.aggregate(points, F.slice(points, 1, 0), lambda a, p: F.when((F.size(a) == 0) | ~same(end(a), p), F.array_append(a, p)).otherwise(a))
+    kept = F.when((F.size(kept) > 1) & same(F.get(kept, 0), end(kept)), F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+
+    def between(a, i):
+        p, q, r = F.get(a, (i + F.size(a) - 1) % F.size(a)), F.get(a, i), F.get(a, (i + 1) % F.size(a))
+        ux, uy, vx, vy = q["x"] - p["x"], q["y"] - p["y"], r["x"] - q["x"], r["y"] - q["y"]
+        size = F.greatest(F.lit(1.0), F.abs(ux) + F.abs(uy) + F.abs(vx) + F.abs(vy))
+        return (F.abs(ux * vy - uy * vx) <= POINT * size) & (-(ux * vx + uy * vy) <= POINT)
+
+    def fewer(a, _):
+        at = F.array_position(F.transform(a, lambda p, i: between(a, i)), F.lit(True)).cast("int")
+        return F.when((F.size(a) > 4) & (at > 0), F.concat(F.slice(a, 1, at - 1), F.slice(a, at + 1, F.size(a) - at))).otherwise(a)
+
+    four = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(kept) - 4, F.lit(1))), kept, fewer)
+    side = lambda a, f, c: f(F.transform(a, lambda p: p[c]))
+
+    def boxed(a):
+        left, right, top, bottom = side(a, F.array_min, "x"), side(a, F.array_max, "x"), side(a, F.array_min, "y"), side(a, F.array_max, "y")
+        tol = F.greatest(F.lit(POINT), F.least(right - left, bottom - top) * 0.015)
+        near = lambda v, w: F.abs(v - w) <= tol
+        edge = lambda i: (near(F.get(a, i)["y"], F.get(a, (i + 1) % 4)["y"])) != (near(F.get(a, i)["x"], F.get(a, (i + 1) % 4)["x"]))
+        corner = lambda p: F.when(near(p["x"], left) != near(p["x"], right), F.when(near(p["y"], top) != near(p["y"], bottom), near(p["x"], left).cast("int") * 2 + near(p["y"], top).cast("int")))
+        corners = F.array_distinct(F.transform(a, corner))
+        good = (F.size(a) == 4) & (right > left) & (bottom > top) & F.forall(F.sequence(F.lit(0), F.lit(3)), edge) & (F.size(corners) == 4) & F.forall(corners, lambda c: c.isNotNull())
+        return F.when(good, F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
+
+    # transform over one value names it once, so that the fold is not written out again for each use
+    return F.when(closed & (F.size(points) >= 4), F.get(F.transform(F.array(four), boxed), 0))

@@ -435,18 +435,13 @@ SELECT b.doc_id, b.group_key, b.x1::BIGINT AS x, b.y1::BIGINT AS y FROM e b JOIN
 JOIN e t ON t.doc_id = b.doc_id AND t.group_key = b.group_key AND t.x1 = b.x1 AND t.y1 = b.y1 + 1 AND t.y2 = t.y1 JOIN e r ON r.doc_id = b.doc_id AND r.group_key = b.group_key AND r.x1 = b.x1 + 1 AND r.y1 = b.y1 AND r.x2 = r.x1""")
 def q_rect_cycles(spark, d):
     """On this lattice of unit edges the rectangles are its unit squares."""
-    r = topology.rectangles(data.segments(spark, d))
-    return r.select("doc_id", "group_key", F.round(F.col("a.x") * 0.01).cast("long").alias("x"), F.round(F.col("a.y") * 0.01).cast("long").alias("y"))
-
-
-@query(f"""WITH RECURSIVE {SQL_SEGMENTS}, e AS (SELECT doc_id, group_key, x1, y1, x2, y2, min(seg_ord) AS o FROM segments GROUP BY ALL),
-sq AS (SELECT b.doc_id, b.group_key, list_sort([b.o, l.o, t.o, r.o]) AS ords FROM e b JOIN e l ON l.doc_id = b.doc_id AND l.group_key = b.group_key AND l.x1 = b.x1 AND l.y1 = b.y1 AND l.x2 = l.x1 AND b.y2 = b.y1
-JOIN e t ON t.doc_id = b.doc_id AND t.group_key = b.group_key AND t.x1 = b.x1 AND t.y1 = b.y1 + 1 AND t.y2 = t.y1 JOIN e r ON r.doc_id = b.doc_id AND r.group_key = b.group_key AND r.x1 = b.x1 + 1 AND r.y1 = b.y1 AND r.x2 = r.x1),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, group_key ORDER BY ords) AS rk, count(*) OVER (PARTITION BY doc_id, group_key) AS n FROM sq), x AS (SELECT doc_id, group_key, rk, unnest(ords) AS o FROM ranked),
-rivals AS (SELECT a.doc_id, a.group_key, a.rk, list(DISTINCT b.rk) AS better FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.group_key = b.group_key AND a.o = b.o AND b.rk < a.rk GROUP BY ALL),
-steps AS (SELECT DISTINCT doc_id, group_key, n, 0::BIGINT AS k, []::BIGINT[] AS kept FROM ranked UNION ALL SELECT s.doc_id, s.group_key, s.n, s.k + 1, CASE WHEN r.better IS NOT NULL AND list_has_any(s.kept, r.better) THEN s.kept ELSE list_append(s.kept, s.k + 1) END
-  FROM steps s LEFT JOIN rivals r ON r.doc_id = s.doc_id AND r.group_key = s.group_key AND r.rk = s.k + 1 WHERE s.k < s.n),
-done AS (SELECT doc_id, group_key, len(kept) AS rectangles FROM steps WHERE k = n), total AS (SELECT doc_id, group_key, count(*) AS segments FROM segments GROUP BY ALL)
+    r = topology.rectangles(topology.all_edges(data.segments(spark, d))[1])
+    low = lambda c: F.round(F.least(*[F.col(f"{p}.{c}") for p in "abcd"])).cast("long").alias(c)
+    return r.select("doc_id", "group_key", low("x"), low("y"))
+
+
+@query(f"""WITH RECURSIVE {SQL_SEGMENTS}, {data.sql_kernel("segments")},
+done AS (SELECT doc_id, group_key, count(*) AS rectangles FROM k_kept GROUP BY ALL), total AS (SELECT doc_id, group_key, count(*) AS segments FROM segments GROUP BY ALL)
 SELECT t.doc_id, t.group_key, segments - 4 * coalesce(rectangles, 0) AS remaining, coalesce(rectangles, 0) AS rectangles FROM total t LEFT JOIN done USING (doc_id, group_key) WHERE segments > 4 * coalesce(rectangles, 0)""")
 def q_topology_kernel(spark, d):
     kept, rest = topology.kernel(data.segments(spark, d))
@@ -454,6 +449,26 @@ def q_topology_kernel(spark, d):
     return left.join(kept.groupBy("doc_id", "group_key").agg(F.count(F.lit(1)).alias("rectangles")), ["doc_id", "group_key"], "left").na.fill(0, ["rectangles"])
 
 
+@query(f"""WITH RECURSIVE {data.SQL_STROKES}, {data.sql_kernel("strokes")}, g AS (SELECT doc_id, group_key, min(seg_ord) AS o FROM strokes GROUP BY ALL), c AS (SELECT doc_id, group_key, count(*) AS n FROM k_kept GROUP BY ALL),
+f AS (SELECT doc_id, group_key, sum(n) OVER (PARTITION BY doc_id ORDER BY o) - n AS before FROM g JOIN c USING (doc_id, group_key))
+SELECT doc_id, group_key, (before + place)::BIGINT AS rectangle_no, 's' || ab || ',s' || bc || ',s' || cd || ',s' || da AS edges, axis_aligned FROM k_kept JOIN f USING (doc_id, group_key)""")
+def q_kernel_rectangles(spark, d):
+    """Rectangles of the strokes, in the order in which they are met."""
+    k = topology.Kernel(data.strokes(spark, d))
+    return k.numbered().select("doc_id", "group_key", "rectangle_no", F.array_join("edge_ids", ",").alias("edges"), "axis_aligned")
+
+
+_counted = lambda name, alias: f"(SELECT doc_id, count(*) AS {alias} FROM {name} GROUP BY doc_id)"
+
+
+@query(f"""WITH RECURSIVE {data.SQL_STROKES}, {data.sql_kernel("strokes")}, t AS (SELECT doc_id, input, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, coalesce(cycles, 0) AS cycles, coalesce(accepted, 0) AS accepted, coalesce(long_, 0) AS long_
+FROM {_counted("strokes", "input")} {" ".join(f"LEFT JOIN {_counted(name, alias)} USING (doc_id)" for name, alias in (("k_node", "nodes"), ("k_edge", "edges"), ("k_cycle", "cycles"), ("k_kept", "accepted"), ("k_long", "long_")))})
+SELECT doc_id, input, input - edges AS discarded, nodes, edges, cycles, accepted, cycles - accepted AS rejected, 4 * accepted AS consumed, long_ - 4 * accepted AS remaining FROM t""")
+def q_kernel_counters(spark, d):
+    """The kernel's nine counters for each document."""
+    return topology.Kernel(data.strokes(spark, d)).counters()
+
+
 @query(f"""WITH RECURSIVE {SQL_SEGMENTS}, ends AS (SELECT doc_id, group_key, seg_ord, x1 AS x, y1 AS y FROM segments UNION ALL SELECT doc_id, group_key, seg_ord, x2, y2 FROM segments),
 joints AS (SELECT doc_id, group_key, x, y, min(seg_ord) AS a, max(seg_ord) AS b FROM ends GROUP BY ALL HAVING count(*) = 2 AND min(seg_ord) <> max(seg_ord)), l AS (SELECT a, b FROM joints UNION SELECT b, a FROM joints),
 t AS (SELECT a, a AS b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a), c AS (SELECT a AS seg_ord, min(b) AS chain FROM t GROUP BY a), s AS (SELECT g.doc_id, g.group_key, g.seg_ord, coalesce(chain, g.seg_ord) AS chain FROM segments g LEFT JOIN c USING (seg_ord)),

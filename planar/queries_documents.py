@@ -47,15 +47,15 @@ def q_format_inspection(spark, d):
 
 
 def commands(spark, d):
-    """A path for each order, a command for each of its lines in order: a second move in every third order, curves, closes; every fourth order draws a rectangle."""
+    """A path for each order, a command for each of its lines in order: a second move in every third order, curves, closes; every fourth order draws a rectangle, side by side."""
     lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(lines).alias("n"))
     k, n, p = F.col("l_orderkey"), F.col("n"), F.col("l_partkey")
     square = k % 4 == 0
     op = F.when(n == 1, "move").when(square, F.when(n == 5, "close").otherwise("line")).when((n == 4) & (k % 3 == 0), "move")
     op = op.when((n == 3) & (p % 3 == 0), "curve").when((n == 6) | ((n == 3) & (k % 5 == 0)), "close").otherwise("line")
-    x = F.when(square, F.when(n.isin(2, 3), 8.0).otherwise(0.0)).otherwise(p % 40 + n * 0.125)
-    y = F.when(square, F.when(n.isin(3, 4), 5.0).otherwise(0.0)).otherwise((p * 7) % 30 + n * 0.25)
+    x = F.when(square, F.when(n.isin(2, 3), 8.0).otherwise(0.0) + F.floor(k / 4) % 5 * 8).otherwise(p % 40 + n * 0.125)
+    y = F.when(square, F.when(n.isin(3, 4), 5.0).otherwise(0.0) + F.floor(k / 20) % 4 * 5).otherwise((p * 7) % 30 + n * 0.25)
     at = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     shifted = F.struct((at["x"] + 1).alias("x"), at["y"].alias("y"))
     points = F.when(op == "close", F.array().cast("array<struct<x:double,y:double>>")).when(op == "curve", F.array(shifted, shifted, at)).otherwise(F.array(at))
@@ -65,18 +65,20 @@ def commands(spark, d):
 SQL_CONTOURS = """cn AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity))::INT AS n FROM lineitem),
 c0 AS (SELECT l_orderkey AS path, n, l_partkey AS p, l_orderkey % 4 = 0 AS square, CASE WHEN n = 1 THEN 'move' WHEN l_orderkey % 4 = 0 THEN CASE WHEN n = 5 THEN 'close' ELSE 'line' END
   WHEN n = 4 AND l_orderkey % 3 = 0 THEN 'move' WHEN n = 3 AND l_partkey % 3 = 0 THEN 'curve' WHEN n = 6 OR (n = 3 AND l_orderkey % 5 = 0) THEN 'close' ELSE 'line' END AS op FROM cn),
-c1 AS (SELECT path, n, op, CASE WHEN square THEN CASE WHEN n IN (2, 3) THEN 8e0 ELSE 0e0 END ELSE p % 40 + n * 0.125e0 END AS x, CASE WHEN square THEN CASE WHEN n IN (3, 4) THEN 5e0 ELSE 0e0 END ELSE (p * 7) % 30 + n * 0.25e0 END AS y,
+c1 AS (SELECT path, n, op, CASE WHEN square THEN CASE WHEN n IN (2, 3) THEN 8e0 ELSE 0e0 END + path // 4 % 5 * 8 ELSE p % 40 + n * 0.125e0 END AS x, CASE WHEN square THEN CASE WHEN n IN (3, 4) THEN 5e0 ELSE 0e0 END + path // 20 % 4 * 5 ELSE (p * 7) % 30 + n * 0.25e0 END AS y,
   (sum((op = 'move')::INT) OVER (PARTITION BY path ORDER BY n))::BIGINT AS contour FROM c0),
 c2 AS (SELECT *, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy, lag(op) OVER w AS before, lag(x) OVER w AS bx, lag(y) OVER w AS "by" FROM c1 WINDOW w AS (PARTITION BY path, contour ORDER BY n)),
 c3 AS (SELECT path, contour, n, 0 AS k, bx AS x, "by" AS y FROM c2 WHERE op = 'line' AND before = 'curve' UNION ALL SELECT path, contour, n, 1, x, y FROM c2 WHERE op IN ('move', 'line') UNION ALL SELECT path, contour, n, 2, fx, fy FROM c2 WHERE op = 'close'),
 c4 AS (SELECT *, lag(x) OVER w AS lx, lag(y) OVER w AS ly, count(*) FILTER (k < 2) OVER w AS had FROM c3 WINDOW w AS (PARTITION BY path, contour ORDER BY n, k)),
 c5 AS (SELECT * FROM c4 WHERE k < 2 OR (had > 1 AND NOT (abs(lx - x) <= 1e-4 AND abs(ly - y) <= 1e-4))),
 c6 AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM c5 WINDOW w AS (PARTITION BY path, contour ORDER BY n, k)),
-pts AS (SELECT path, contour, count(*) AS points, list(x ORDER BY n, k) AS xs, list(y ORDER BY n, k) AS ys, count(*) FILTER (px IS NOT NULL AND NOT (abs(px - x) <= 1e-4 AND abs(py - y) <= 1e-4)) AS steps,
-  bool_and(px IS NULL OR (abs(px - x) <= 1e-4) <> (abs(py - y) <= 1e-4)) AS straight, coalesce(sum(sqrt(power(x - px, 2) + power(y - py, 2))) FILTER (px IS NOT NULL AND NOT (abs(px - x) <= 1e-4 AND abs(py - y) <= 1e-4)), 0) AS length FROM c6 GROUP BY path, contour),
+pts AS (SELECT path, contour, count(*) AS points, list(x ORDER BY n, k) AS xs, list(y ORDER BY n, k) AS ys FROM c6 GROUP BY path, contour),
 ops AS (SELECT path, contour, bool_or(op = 'close') AS is_closed, count(*) FILTER (op = 'curve') AS curves FROM c1 GROUP BY path, contour),
-con AS (SELECT path % 50 AS file, path, contour, points, is_closed, curves, steps, straight, length, xs, ys, CASE WHEN curves > 0 THEN 'Bezier' WHEN is_closed AND points = 5 AND len(list_distinct(xs)) = 2 AND len(list_distinct(ys)) = 2 AND straight THEN 'Rectangle' WHEN points > 2 THEN 'Polyline' WHEN points = 2 THEN 'Line' ELSE 'None' END AS kind,
-  is_closed AND NOT (abs(xs[1] - xs[-1]) <= 1e-4 AND abs(ys[1] - ys[-1]) <= 1e-4) AS gap FROM pts JOIN ops USING (path, contour) WHERE points > 1 OR curves > 0 OR is_closed)"""
+con0 AS (SELECT *, is_closed AND points > 1 AND NOT (abs(xs[1] - xs[-1]) <= 1e-4 AND abs(ys[1] - ys[-1]) <= 1e-4) AS gap FROM pts JOIN ops USING (path, contour) WHERE points > 1 OR curves > 0),
+con1 AS (SELECT path % 50 AS file, path, row_number() OVER (PARTITION BY path ORDER BY contour) AS contour, points + gap::INT AS points, is_closed, curves, CASE WHEN gap THEN list_append(xs, xs[1]) ELSE xs END AS xs, CASE WHEN gap THEN list_append(ys, ys[1]) ELSE ys END AS ys FROM con0),
+con2 AS (SELECT *, list_filter(range(2, points + 1), lambda i: NOT (abs(xs[i] - xs[i - 1]) <= 1e-4 AND abs(ys[i] - ys[i - 1]) <= 1e-4)) AS moves FROM con1),
+con AS (SELECT *, len(moves) AS steps, CASE WHEN curves > 0 THEN 'Bezier' WHEN is_closed AND len(moves) = 4 AND len(list_distinct(xs)) = 2 AND len(list_distinct(ys)) = 2 AND len(list_filter(moves, lambda i: (xs[i] = xs[i - 1]) = (ys[i] = ys[i - 1]))) = 0 THEN 'Rectangle'
+  WHEN points - (is_closed AND points > 1)::INT = 2 THEN 'Line' ELSE 'Polyline' END AS kind FROM con2)"""
 
 
 @query(f"""WITH {SQL_CONTOURS} SELECT file, path, contour, points::INT AS points, is_closed, curves::INT AS curves, kind FROM con""")
@@ -84,7 +86,7 @@ def q_path_contours(spark, d):
     return paths.primitives(paths.contours(commands(spark, d))).select("file", "path", F.col("contour").cast("long").alias("contour"), F.size("points").alias("points"), "is_closed", F.size("curves").alias("curves"), "kind")
 
 
-@query(f"""WITH {SQL_CONTOURS} SELECT path, contour, steps + (gap AND points > 1)::BIGINT AS segments, round(length + CASE WHEN gap AND points > 1 THEN sqrt(power(xs[1] - xs[-1], 2) + power(ys[1] - ys[-1], 2)) ELSE 0 END, 4) AS length FROM con WHERE steps + (gap AND points > 1)::BIGINT > 0""")
+@query(f"""WITH {SQL_CONTOURS} SELECT path, contour, steps AS segments, round(list_sum(list_transform(moves, lambda i: sqrt(power(xs[i] - xs[i - 1], 2) + power(ys[i] - ys[i - 1], 2)))), 4) AS length FROM con WHERE steps > 0""")
 def q_contour_segments(spark, d):
     s = paths.contour_segments(paths.contours(commands(spark, d)))
     long_ = g.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
@@ -98,14 +100,48 @@ def page_words(spark, d):
     return w.unionByName(blank).withColumn("file", F.col("file") % 50)
 
 
-@query(f"""WITH {sql_words()}, {SQL_CONTOURS}, t AS (SELECT file % 50 AS file, count(*) AS texts, count(DISTINCT page) AS pages FROM words GROUP BY file % 50),
-v AS (SELECT file, count(*) FILTER (kind = 'Line') AS line, count(*) FILTER (kind = 'Polyline') AS polyline, count(*) FILTER (kind = 'Rectangle') AS rectangle, count(*) FILTER (kind = 'Bezier') AS bezier FROM con WHERE kind <> 'None' GROUP BY file)
-SELECT t.file, pages, texts, coalesce(line, 0) AS line, coalesce(polyline, 0) AS polyline, coalesce(rectangle, 0) AS rectangle, coalesce(bezier, 0) AS bezier, coalesce(line + polyline + rectangle + bezier, 0) AS vectors,
-coalesce(line + polyline + rectangle + bezier, 0) + texts AS graphics FROM t LEFT JOIN v USING (file)""")
+def drawn(spark, d):
+    """Commands and styles of the paths: eight pages to a file, some styles to a page."""
+    page = (F.floor(F.col("path") / 50) % 8 + 1).cast("int")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    styles = table(spark, d, "orders").select(
+        (k % 50).alias("file"), (F.floor(k / 50) % 8 + 1).cast("int").alias("page"), k.alias("path"), (c % 2 * 0.25).alias("width"), F.lit(True).alias("is_stroked"), (c % 5 == 0).alias("is_filled"),
+        F.when(c % 3 == 0, "#FF0000").alias("stroke_color"), F.lit(None).cast("string").alias("fill_color"),
+    )
+    return paths.PageVectors(commands(spark, d).withColumn("page", page), styles)
+
+
+SQL_VECTORS = f"""{SQL_CONTOURS}, styles AS (SELECT o_orderkey AS path, o_orderkey % 50 * 10 + o_orderkey // 50 % 8 + 1 AS doc_id, (o_custkey % 2)::VARCHAR || (o_custkey % 5 = 0) || (o_custkey % 3 = 0) AS group_key FROM orders),
+lined AS (SELECT path, contour, unnest(moves) AS i, generate_subscripts(moves, 1) AS s, xs, ys FROM con WHERE curves = 0),
+lines AS (SELECT doc_id, group_key, path * 1000 + contour * 100 + s AS seg_ord, format('page-{{}}-path-{{}}-contour-{{}}-segment-{{}}', doc_id % 10, path, contour, s) AS segment_id, xs[i - 1] AS x1, ys[i - 1] AS y1, xs[i] AS x2, ys[i] AS y2 FROM lined JOIN styles USING (path)),
+{data.sql_kernel("lines", edge="0.005e0", area="0.00005e0")},
+shapes AS (SELECT doc_id, CASE WHEN points - (is_closed AND points > 1)::INT = 2 THEN 'Line' ELSE 'Polyline' END AS kind, 1 AS n FROM con JOIN styles USING (path) WHERE curves > 0 AND points > 1
+  UNION ALL SELECT doc_id, 'Bezier', curves FROM con JOIN styles USING (path) WHERE curves > 0 UNION ALL SELECT doc_id, CASE WHEN axis_aligned THEN 'Rectangle' ELSE 'Polyline' END, 1 FROM k_kept
+  UNION ALL SELECT doc_id, 'Line', 1 FROM k_long l WHERE NOT EXISTS (FROM k_kept k WHERE k.doc_id = l.doc_id AND l.seg_ord IN (k.ab, k.bc, k.cd, k.da))),
+vectors AS (SELECT doc_id // 10 AS file, (doc_id % 10)::INT AS page, paths, coalesce(lines, 0) AS lines, coalesce(polylines, 0) AS polylines, coalesce(rectangles, 0) AS rectangles, 0::BIGINT AS circles, coalesce(beziers, 0) AS beziers
+  FROM (SELECT doc_id, count(*) AS paths FROM styles GROUP BY doc_id) LEFT JOIN (SELECT doc_id, {", ".join(f"coalesce(sum(n) FILTER (kind = '{k}'), 0)::BIGINT AS {k.lower()}s" for k in ("Line", "Polyline", "Rectangle", "Bezier"))} FROM shapes GROUP BY doc_id) USING (doc_id))"""
+
+
+@query(f"""WITH RECURSIVE {SQL_VECTORS} SELECT * FROM vectors""")
+def q_page_vectors(spark, d):
+    """The vectors of each page by kind: rectangles and lines of its style graphs, curves and their outlines."""
+    return drawn(spark, d).counters()
+
+
+@query(f"""WITH RECURSIVE {SQL_VECTORS} SELECT doc_id // 10 AS file, (doc_id % 10)::INT AS page, segment_id AS graphic_id, x1, y1, x2, y2 FROM k_long l WHERE NOT EXISTS (FROM k_kept k WHERE k.doc_id = l.doc_id AND l.seg_ord IN (k.ab, k.bc, k.cd, k.da))""")
+def q_page_lines(spark, d):
+    """The lines of each page: segments of all contours that no rectangle has taken."""
+    at = lambda k, c: F.col("points")[k][c].alias(f"{c}{k + 1}")
+    return drawn(spark, d).graphics.where("kind = 'Line' AND graphic_id LIKE '%segment%'").select("file", "page", "graphic_id", at(0, "x"), at(0, "y"), at(1, "x"), at(1, "y"))
+
+
+@query(f"""WITH RECURSIVE {sql_words()}, {SQL_VECTORS}, t AS (SELECT file % 50 AS file, count(*) AS texts, count(DISTINCT page) AS pages FROM words GROUP BY file % 50),
+v AS (SELECT file, {", ".join(f"sum({c})::BIGINT AS {c}" for c in paths.VECTORS)} FROM vectors GROUP BY file),
+n AS (SELECT t.*, {", ".join(f"coalesce({c}, 0) AS {c}" for c in paths.VECTORS)} FROM t LEFT JOIN v USING (file))
+SELECT *, lines + polylines + rectangles + circles + beziers AS vectors, lines + polylines + rectangles + circles + beziers + texts AS graphics FROM n""")
 def q_technical_totals(spark, d):
     w = page_words(spark, d)
-    shapes = paths.primitives(paths.contours(commands(spark, d)))
-    return paths.totals(w.select("file", "page").distinct(), paths.text_graphics(w), shapes)
+    return paths.totals(w.select("file", "page").distinct(), paths.text_graphics(w), drawn(spark, d).counters())
 
 
 @query(f"""WITH {sql_words()}, t AS (SELECT file, page, n, row_number() OVER (PARTITION BY file, page ORDER BY n) AS k, "left" * (25.4e0 / 72e0) AS l, bottom * (25.4e0 / 72e0) AS b, width * (25.4e0 / 72e0) AS w FROM words)

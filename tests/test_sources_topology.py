@@ -20,7 +20,7 @@ def files(spark, text):
 def test_kernel(spark):
     kept, rest = topology.kernel(segs(spark, [(0, 0, 10, 0), (10, 0, 10, 5), (10, 5, 0, 5), (0, 5, 0, 0), (20, 0, 25, 0)]))
     got = kept.collect()
-    assert len(got) == 1 and sorted(got[0].edge_ids) == ["s0", "s1", "s2", "s3"] and got[0].axis_aligned
+    assert len(got) == 1 and got[0].rectangle_no == 1 and sorted(got[0].edge_ids) == ["s0", "s1", "s2", "s3"] and got[0].axis_aligned
     assert [r.segment_id for r in rest.collect()] == ["s4"]
 
 
