@@ -11,7 +11,7 @@ import dataclasses
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planar.operators import graph, greedy
+from planar.operators import assembly, graph, greedy
 
 
 @dataclasses.dataclass(frozen=True)
@@ -178,37 +178,10 @@ def path_segments(contours: DataFrame, least: float = 1e-4) -> DataFrame:
 
 
 def contours(segments: DataFrame, tolerance: float = 0.001) -> DataFrame:
-    """Chains of segments joined at ends that exactly two segments share, as contours (points and whether they close).
-
-    Chains are components of the links between such ends; each is put in order by itself.
-    """
-    key = lambda x, y: F.struct(F.rint(F.col(x) / tolerance).cast("long").alias("kx"), F.rint(F.col(y) / tolerance).cast("long").alias("ky"))
-    ends = segments.select("doc_id", "group_key", "seg_ord", F.explode(F.array(key("x1", "y1"), key("x2", "y2"))).alias("k"))
-    joint = ends.groupBy("doc_id", "group_key", "k").agg(F.count(F.lit(1)).alias("n"), F.min("seg_ord").alias("a"), F.max("seg_ord").alias("b")).where("n = 2 AND a <> b")
-    chain = graph.components(joint.select("a", "b"))
-    s = segments.join(chain.select(F.col("id").alias("seg_ord"), "component"), "seg_ord", "left").withColumn("chain", F.coalesce("component", "seg_ord"))
-
-    def order(pdf):
-        import pandas as pd
-
-        k = lambda x, y: (round(x / tolerance), round(y / tolerance))
-        rows = {r.seg_ord: ((r.x1, r.y1), (r.x2, r.y2)) for r in pdf.sort_values("seg_ord").itertuples()}
-        at: dict = {}
-        for i, (p, q) in rows.items():
-            at.setdefault(k(*p), []).append(i)
-            at.setdefault(k(*q), []).append(i)
-        start = next(((i, side) for i, e in rows.items() for side in (0, 1) if len(at[k(*e[side])]) != 2), (next(iter(rows)), 0))
-        i, side = start
-        points, left = [rows[i][side]], set(rows)
-        while i is not None:
-            left.discard(i)
-            side = 0 if k(*rows[i][0]) == k(*points[-1]) else 1
-            points.append(rows[i][1 - side])
-            i = next((j for j in at[k(*points[-1])] if j in left and len(at[k(*points[-1])]) == 2), None)
-        closed = len(points) > 3 and k(*points[0]) == k(*points[-1])
-        return pd.DataFrame({"doc_id": pdf.doc_id.iloc[:1], "group_key": pdf.group_key.iloc[:1], "chain": pdf.chain.iloc[:1], "segments": [len(rows)], "is_closed": [closed], "points": [[{"x": x, "y": y} for x, y in points]]})
-
-    return s.groupBy("doc_id", "group_key", "chain").applyInPandas(order, "doc_id long, group_key string, chain long, segments long, is_closed boolean, points array<struct<x:double,y:double>>")
+    """Chains of segments joined where the ends of exactly two meet, as contours: chain (its first seg_ord), segments, is_closed, points."""
+    p = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    each = segments.select(*GROUP, F.col("seg_ord").alias("ord"), p.alias("points"), F.lit(False).alias("is_closed"))
+    return assembly.outlines(assembly.chains(each, tolerance), tolerance).withColumnRenamed("contours", "segments")
 
 
 def circle_fit(curves: Column) -> Column:

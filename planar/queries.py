@@ -473,7 +473,7 @@ def q_kernel_counters(spark, d):
 joints AS (SELECT doc_id, group_key, x, y, min(seg_ord) AS a, max(seg_ord) AS b FROM ends GROUP BY ALL HAVING count(*) = 2 AND min(seg_ord) <> max(seg_ord)), l AS (SELECT a, b FROM joints UNION SELECT b, a FROM joints),
 t AS (SELECT a, a AS b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a), c AS (SELECT a AS seg_ord, min(b) AS chain FROM t GROUP BY a), s AS (SELECT g.doc_id, g.group_key, g.seg_ord, coalesce(chain, g.seg_ord) AS chain FROM segments g LEFT JOIN c USING (seg_ord)),
 n AS (SELECT doc_id, group_key, chain, count(*) AS segments FROM s GROUP BY ALL), f AS (SELECT chain, count(*) AS free, count(DISTINCT (e.x, e.y)) AS nodes FROM ends e JOIN s USING (seg_ord) WHERE NOT EXISTS (FROM joints k WHERE k.doc_id = e.doc_id AND k.group_key = e.group_key AND k.x = e.x AND k.y = e.y) GROUP BY chain)
-SELECT doc_id, group_key, count(*) AS contours, count(*) FILTER ((free IS NULL OR (free = 2 AND nodes = 1)) AND segments > 2) AS closed, sum(segments)::BIGINT AS segments FROM n LEFT JOIN f USING (chain) GROUP BY doc_id, group_key""")
+SELECT doc_id, group_key, count(*) AS contours, count(*) FILTER ((free IS NULL OR (free = 2 AND nodes = 1)) AND segments > 1) AS closed, sum(segments)::BIGINT AS segments FROM n LEFT JOIN f USING (chain) GROUP BY doc_id, group_key""")
 def q_contours(spark, d):
     return topology.contours(data.segments(spark, d)).groupBy("doc_id", "group_key").agg(F.count(F.lit(1)).alias("contours"), F.count_if("is_closed").alias("closed"), F.sum("segments").alias("segments"))
 
