@@ -127,7 +127,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
     ordered = lines.repartitionByRange(*HASH, *DOCUMENT).sortWithinPartitions(*HASH, *DOCUMENT, "pos")
     runs = stored(ordered.mapInArrow(lambda x: streamed(x, min_docs), STREAMED), "line-runs")
     totals = runs.where(F.col("kind") == COUNT).groupBy(*HASH).agg(F.sum("pos").alias("docs"), F.min("part").alias("least")).where(F.col("docs") >= min_docs)
-    waiting = runs.where(F.col("kind") == WAITS).join(totals.drop("docs"), [*HASH])
+    waiting = runs.where(F.col("kind") == WAITS).join(F.broadcast(totals.drop("docs")), [*HASH])  # two rows for each partition at most
     # the last run of a partition drops at once if it fills min_docs there; its first row is the first of all if no partition before has the hash
     decided = runs.where(F.col("kind") == DROP)
     if keep_first:
