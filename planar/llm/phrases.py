@@ -4,7 +4,8 @@ An occurrence relation R_k holds the occurrences of the frequent phrases of k wo
 words, as the sorted sequence of the chunk's words in which a zero ends a piece; so the merge join of R_k with R_1 by piece and
 adjacent position is a shift of that sequence. Each round joins a chunk's relation with the frequent phrases that occur in it (the
 semi-join), extends what is left by one word, counts within the chunk and groups the counts of all chunks; a phrase is a tuple of word ids, so no
-hash stands for it. A very common phrase has one row for each chunk that holds it. Only words and phrases of min_count or more are extended.
+hash stands for it. A very common phrase has one row for each chunk that holds it; as relations shrink from round to round, chunks are put together
+up to the same size, and so are their rows. Only words and phrases of min_count or more are extended.
 
 A word's id is the least (chunk, place in the chunk) of its rows: exact, and found without numbering all words.
 
@@ -35,7 +36,7 @@ ENDS = bytes(END[0] if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 CHUNKS_IN_PARTITION = 1 << 11
 RANK_SALTS = 64
 IDS = [f"w{j + 1}" for j in range(LONGEST)]
-#: A row of a round: a chunk's relation (words: its word ids, relation: numbers into them), or the word ids of a phrase and its count in the chunk.
+#: A row of a round: a chunk's relation (words: its word ids, relation: n numbers into them), or the word ids of a phrase and its count n in the chunk.
 ROUND = "chunk long, words binary, relation binary, " + ", ".join(f"{w} long" for w in IDS) + ", n long"
 
 
@@ -181,7 +182,7 @@ def _rows(chunk: int, words, relation, phrases, n):
     out = [pa.table([pa.array(np.full(len(n), chunk)), nulls, nulls, *ids, pa.array(n.astype(np.int64))], names=names)]
     if relation is not None:
         none = [pa.nulls(1, pa.int64())] * LONGEST
-        out.append(pa.table([pa.array([chunk]), pa.array([compressed(words)]), pa.array([compressed(relation)]), *none, pa.nulls(1, pa.int64())], names=names))
+        out.append(pa.table([pa.array([chunk]), pa.array([compressed(words)]), pa.array([compressed(relation)]), *none, pa.array([len(relation)], pa.int64())], names=names))
     return pa.concat_tables(out)
 
 
@@ -200,6 +201,15 @@ def first_round(chunks, frequent):
     return _rows(chunks.column("chunk")[0].as_py(), *extended(words, numbers[relation], lists, True))
 
 
+def together(words: list, relations: list):
+    """One (words, relation) of several."""
+    import numpy as np
+
+    every = np.unique(np.concatenate(words))
+    numbers = [np.concatenate([[0], np.searchsorted(every, w) + 1]).astype(np.int32) for w in words]
+    return every, np.concatenate([np.append(n[r], np.int32(0)) for n, r in zip(numbers, relations, strict=True)])
+
+
 def next_round(k: int, more: bool):
     """The round of the frequent phrases of k words."""
 
@@ -208,7 +218,7 @@ def next_round(k: int, more: bool):
 
         if not chunks.num_rows or not frequent.num_rows:
             return _rows(0, None, None, np.empty((0, k + 1), np.int64), np.empty(0, np.int64))
-        words, relation = expanded(chunks.column("words")[0].as_py(), "<i8"), expanded(chunks.column("relation")[0].as_py(), "<i4")
+        words, relation = together(*([expanded(b, kind) for b in chunks.column(c).to_pylist()] for c, kind in (("words", "<i8"), ("relation", "<i4"))))
         ids = np.stack([frequent.column(w).to_numpy() for w in IDS[:k]], axis=1)
         order = np.argsort(words)
         lists = order[np.searchsorted(words[order], ids)] + 1
@@ -218,8 +228,11 @@ def next_round(k: int, more: bool):
 
 
 def in_total(rows: DataFrame, by: list[str], min_count: int) -> DataFrame:
-    """Rows of the groups whose n has a sum of min_count or more, with that sum as f: one exchange, and no more rows of a group than chunks."""
-    return rows.withColumn("f", F.sum("n").over(Window.partitionBy(*by))).where(F.col("f") >= min_count)
+    """Of the groups whose n has a sum f of min_count or more the first row in each chunk, with f, and head: whether it is the group's first. One exchange, and
+    no more rows of a group than chunks."""
+    order = Window.partitionBy(*by).orderBy("chunk")
+    rows = rows.withColumns({"f": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "before": F.lag("chunk").over(order)})
+    return rows.where((F.col("f") >= min_count) & (F.col("before").isNull() | (F.col("before") != F.col("chunk")))).withColumn("head", F.col("before").isNull()).drop("before", "n")
 
 
 def mined(docs: DataFrame, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -229,19 +242,27 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_
     chunks = stored(texts.mapInArrow(lambda x: chunked(x, chunk_words), "chunk long, place long, lang string, word string, n long, relation binary"), "words")
     counts = chunks.where("relation IS NULL").select("chunk", "place", "lang", "word", "n")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    ref = F.min(F.col("chunk") * F.lit(2**31) + F.col("place")).over(Window.partitionBy("lang", "word"))
+    one = Window.partitionBy("lang", "word").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ref = F.first(F.col("chunk") * F.lit(2**31) + F.col("place")).over(one)
     frequent = stored(in_total(counts.withColumn("word_id", ref), ["lang", "word"], min_count), "frequent-1")
-    words = frequent.where(F.col("word_id") == F.col("chunk") * F.lit(2**31) + F.col("place")).select("lang", "word", "word_id", "f")
+    words = frequent.where("head").select("lang", "word", "word_id", "f")
     relations, phrases, of = chunks.where("relation IS NOT NULL").select("chunk", "relation"), None, first_round
     frequent = frequent.select("chunk", "place", "word_id")
     for k in range(1, LONGEST):
-        done = stored(relations.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(of, ROUND), f"round-{k}")
-        ids = IDS[: k + 1]
-        frequent = stored(in_total(done.where("relation IS NULL").select("chunk", *ids, "n"), ids, min_count).drop("n"), f"frequent-{k + 1}")
-        relations, of = done.where("relation IS NOT NULL").select("chunk", "words", "relation"), next_round(k + 1, k + 2 < LONGEST)
-        each = frequent.groupBy(*ids).agg(F.first("f").alias("f")).select(F.array(*ids).alias("phrase"), "f")
+        done, ids = stored(relations.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(of, ROUND), f"round-{k}"), IDS[: k + 1]
+        rows = done.where("relation IS NULL").select("chunk", *ids, "n")
+        if k + 1 < LONGEST:
+            # Chunks in their order, put together; a row of 16 bytes for each chunk of some million words is broadcast.
+            before = F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+            sizes = done.where("relation IS NOT NULL").select("chunk", "n")
+            new = F.broadcast(sizes.select("chunk", F.floor(F.coalesce(before, F.lit(0)) / chunk_words).alias("new")))
+            relations = done.where("relation IS NOT NULL").join(new, "chunk").select(F.col("new").alias("chunk"), "words", "relation")
+            frequent = stored(in_total(rows.join(new, "chunk").select(F.col("new").alias("chunk"), *ids, "n"), ids, min_count), f"frequent-{k + 1}")
+            each, of = frequent.where("head").select(F.array(*ids).alias("phrase"), "f"), next_round(k + 1, k + 2 < LONGEST)
+            frequent = frequent.select("chunk", *ids)
+        else:
+            each = rows.groupBy(*ids).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).select(F.array(*ids).alias("phrase"), "f")
         phrases = each if phrases is None else phrases.unionByName(each)
-        frequent = frequent.select("chunk", *ids)
     return words, stored(phrases, "phrases"), totals
 
 
