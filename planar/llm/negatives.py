@@ -4,7 +4,8 @@ A vector becomes integers, is rotated (sign flips and Hadamard transforms, padde
 alignment <v, b> beside the code; what b leaves of v is coded by its own signs again, LEVELS times in all. An anchor's rotated vector is
 cut into bit planes, so that the popcounts of planes and codes estimate its product with a row. By Cauchy-Schwarz the product lies within
 |anchor| * |residual of the row| + |planes' error| * |coded part of the row| of the estimate: an interval that holds for certain, so a
-row whose interval can't reach the best is passed over and all others are scored by integers. Nothing is lost: results equal a full scan.
+row whose interval can't reach the best is passed over and all others are scored by integers. What must be reached is known from the scores of the rows of
+the highest estimates. Nothing is lost: results equal a full scan.
 
 Anchors are the stated query set. They meet all rows in blocks of BLOCK anchors and BLOCK rows, in two passes: the best of the anchor's own label,
 then, for the bounds that each of these sets, the best of other labels. A block keeps a few rows of each anchor, which are ranked
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from planar.llm.common import integer_key, stored
 
-LEVELS, PLANES, BLOCK, STRIP = 4, 6, 1024, 128
+LEVELS, PLANES, BLOCK, STRIP = 5, 6, 1024, 128
 POSITIVES, NEGATIVES, SCALE = 5, 3, 256
 #: Percent of the positive's score that a negative must have at least and at most.
 LOWEST, HIGHEST = 50, 95
@@ -171,6 +172,18 @@ def kth(values, k: int):
     return np.partition(values, -k, axis=1)[:, -k, None]
 
 
+def first_guess(x: Side, k: int, y: Side, middle, fit, best: int, extra: int = 3):
+    """Of each anchor the best-th largest score among the rows of the highest estimates; fit(i, score): which count. Minus infinity where there are fewer."""
+    import numpy as np
+
+    n = min(best + extra, middle.shape[1])
+    j = np.argpartition(middle, -n, axis=1)[:, -n:].ravel()
+    i = np.repeat(np.arange(len(middle)), n)
+    score = x.scores(i + k, y, j)
+    counts = np.isfinite(middle[i, j]) & fit(i, score)
+    return kth(np.where(counts, score, -np.inf).reshape(len(middle), n), best)
+
+
 def sides(anchors, rows) -> Iterator:
     """The two blocks, by length of the vectors."""
     import numpy as np
@@ -196,8 +209,9 @@ def positive_rows(anchors, rows):
                 at = slice(k, k + STRIP)
                 lower, upper = intervals(x, y, at)
                 own = x.ids[at][:, None] == y.ids[None]
-                lower[own] = upper[own] = -np.inf
-                i, j = np.nonzero((upper >= kth(lower, POSITIVES)) & ~own)
+                middle = np.where(own, -np.inf, (lower + upper) / 2)
+                least = np.maximum(kth(np.where(own, -np.inf, lower), POSITIVES), first_guess(x, k, y, middle, lambda i, s: True, POSITIVES, 0))
+                i, j = np.nonzero((upper >= least) & ~own)
                 score = x.scores(i + k, y, j)
                 best = best_of(i, j, score, y.ids, POSITIVES)
                 found.append(np.stack([x.ids[i[best] + k], y.ids[j[best]], score[best]]))
@@ -224,7 +238,7 @@ def negative_rows(anchors, rows):
             lower, upper = intervals(x, y, at)
             other = x.labels[at][:, None] != y.labels[None]
             strip = lists[at]
-            wanted = np.zeros_like(other)
+            wanted, middle = np.zeros_like(other), (lower + upper) / 2
             bounds = []
             for n in range(max(map(len, strip), default=0)):
                 have = np.array([len(p) > n for p in strip])
@@ -233,7 +247,9 @@ def negative_rows(anchors, rows):
                 least, most = -(-LOWEST * score // 100), HIGHEST * score // 100
                 can = other & have[:, None] & (upper >= least[:, None]) & (lower <= most[:, None])
                 sure = can & (lower >= least[:, None]) & (upper <= most[:, None])
-                wanted |= can & (upper >= kth(np.where(sure, lower, -np.inf), NEGATIVES))
+                guess = np.where(can & (middle <= most[:, None]), middle, -np.inf)
+                guess = first_guess(x, k, y, guess, lambda i, s, a=least, b=most: (s >= a[i]) & (s <= b[i]), NEGATIVES)
+                wanted |= can & (upper >= np.maximum(kth(np.where(sure, lower, -np.inf), NEGATIVES), guess))
                 bounds.append((have, ids, score, least, most))
             i, j = np.nonzero(wanted)
             scored = x.scores(i + k, y, j)
