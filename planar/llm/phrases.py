@@ -5,7 +5,7 @@ words, as the sorted sequence of the chunk's words in which a zero ends a piece;
 adjacent position is a shift of that sequence. Each round joins a chunk's relation with the frequent phrases that occur in it (the
 semi-join), extends what is left by one word, counts within the chunk and groups the counts of all chunks; a phrase is a tuple of word ids, so no
 hash stands for it. A very common phrase has one row for each chunk that holds it; as relations shrink from round to round, chunks are put together
-up to the same size, and so are their rows. Only words and phrases of min_count or more are extended.
+up to TOGETHER times that size, and so are their rows. Only words and phrases of min_count or more are extended.
 
 A word's id is the least (chunk, place in the chunk) of its rows: exact, and found without numbering all words.
 
@@ -28,7 +28,7 @@ MIN_COUNT, LONGEST, TOP = 30, 4, 2000
 #: Percent of a phrase's count that a longer one around it must have to take its place.
 COVERED = 80
 SCALE = 2_000_000
-CHUNK_WORDS, PART_BYTES = 4_000_000, 1 << 24
+CHUNK_WORDS, TOGETHER, PART_BYTES = 4_000_000, 3, 1 << 24
 #: Bytes that end a piece become one of them; it stands as a word of its own, with number 0.
 END = b"."
 ENDS = bytes(END[0] if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -129,20 +129,19 @@ def codes_of(lists, sequence, size: int):
     """For each place of the sequence: the number, from 1, of the phrase of `lists` (rows of k word numbers) that begins there, or 0."""
     import numpy as np
 
-    k = lists.shape[1]
-    known, code = lists[:, 0], sequence.astype(np.int64)
+    k, n = lists.shape[1], len(sequence)
+    known, code = lists[:, 0].astype(np.int64), sequence
     for j in range(1, k):
         wanted = known * size + lists[:, j]
         keys = np.unique(wanted)
         known = np.searchsorted(keys, wanted) + 1
-        follows = np.zeros_like(code)
-        follows[: len(sequence) - j] = sequence[j:]
-        here = np.flatnonzero((code > 0) & (follows > 0))
-        asked = code[here] * size + follows[here]
+        here = np.flatnonzero((code[: max(n - j, 0)] > 0) & (sequence[j:] > 0))
+        asked = code[here].astype(np.int64) * size + sequence[here + j]
         at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-        code = np.zeros_like(code)
+        code = np.zeros(n, np.int32)
         if len(keys):
-            code[here] = np.where(keys[at] == asked, at + 1, 0)
+            hit = keys[at] == asked
+            code[here[hit]] = at[hit] + 1
     return code
 
 
@@ -154,8 +153,10 @@ def extended(words, relation, lists, more: bool):
     k, size = lists.shape[1], len(words) + 1
     code = codes_of(lists, relation, size)
     first = np.flatnonzero((code[:-1] > 0) & (code[1:] > 0)) if len(code) > 1 else np.empty(0, np.int64)  # the phrase, and the one a word later
-    last = relation[first + k].astype(np.int64)
-    keys, at, n = np.unique(code[first] * size + last, return_index=True, return_counts=True)
+    key = code[first].astype(np.int64)
+    key *= size
+    key += relation[first + k]
+    keys, at, n = np.unique(key, return_index=True, return_counts=True)
     found = np.stack([relation[first[at] + j] for j in range(k + 1)], axis=1) if len(keys) else np.empty((0, k + 1), np.int32)
     phrases = words[found.astype(np.int64) - 1] if len(found) else np.empty((0, k + 1), np.int64)
     if not more or not len(first):
@@ -255,7 +256,7 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_
             # Chunks in their order, put together; a row of 16 bytes for each chunk of some million words is broadcast.
             before = F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
             sizes = done.where("relation IS NOT NULL").select("chunk", "n")
-            new = F.broadcast(sizes.select("chunk", F.floor(F.coalesce(before, F.lit(0)) / chunk_words).alias("new")))
+            new = F.broadcast(sizes.select("chunk", F.floor(F.coalesce(before, F.lit(0)) / (TOGETHER * chunk_words)).alias("new")))
             relations = done.where("relation IS NOT NULL").join(new, "chunk").select(F.col("new").alias("chunk"), "words", "relation")
             frequent = stored(in_total(rows.join(new, "chunk").select(F.col("new").alias("chunk"), *ids, "n"), ids, min_count), f"frequent-{k + 1}")
             each, of = frequent.where("head").select(F.array(*ids).alias("phrase"), "f"), next_round(k + 1, k + 2 < LONGEST)
@@ -269,20 +270,20 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each lang's best phrases."""
     words, phrases, totals = mined(docs, min_count, chunk_words)
+    inner = F.filter(
+        F.flatten(F.transform(F.sequence(F.lit(2), F.size("phrase") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("phrase") - n + 1), lambda at: F.slice("phrase", at, n)))), lambda x: F.size(x) >= 2
+    )
+    longer = phrases.where(F.size("phrase") > 2).select(F.explode(inner).alias("phrase"), "f").groupBy("phrase").agg(F.max("f").alias("around"))
+    free = phrases.withColumnRenamed("f", "a").join(longer, "phrase", "left").where(f"around IS NULL OR 100 * CAST(around AS DECIMAL(20, 0)) < {COVERED} * CAST(a AS DECIMAL(20, 0))")
     known = words.select(F.array("word_id").alias("part"), "f").unionByName(phrases.select(F.col("phrase").alias("part"), "f"))
-    cuts = phrases.select("phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.size("phrase") - 1)).alias("k"))
+    cuts = free.select("phrase", "a", F.explode(F.sequence(F.lit(1), F.size("phrase") - 1)).alias("k"))
     halves = cuts.withColumns({"left": F.slice("phrase", F.lit(1), F.col("k")), "right": F.slice("phrase", F.col("k") + 1, F.size("phrase") - F.col("k"))})
     scored = (
         halves.join(known.select(F.col("part").alias("left"), F.col("f").alias("l")), "left")
         .join(known.select(F.col("part").alias("right"), F.col("f").alias("r")), "right")
         .withColumn("score", F.expr(f"CAST({SCALE} * CAST(a AS DECIMAL(20, 0)) DIV (CAST(l AS DECIMAL(20, 0)) + r) AS BIGINT)"))
     )
-    lowest = scored.groupBy("phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("c")).select("phrase", "c.score", "c.a", "c.l", "c.r")
-    inner = F.filter(
-        F.flatten(F.transform(F.sequence(F.lit(2), F.size("phrase") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("phrase") - n + 1), lambda at: F.slice("phrase", at, n)))), lambda x: F.size(x) >= 2
-    )
-    longer = phrases.where(F.size("phrase") > 2).select(F.explode(inner).alias("phrase"), "f").groupBy("phrase").agg(F.max("f").alias("around"))
-    left = lowest.join(longer, "phrase", "left").where(f"around IS NULL OR 100 * CAST(around AS DECIMAL(20, 0)) < {COVERED} * CAST(a AS DECIMAL(20, 0))")
+    left = scored.groupBy("phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("c")).select("phrase", "c.score", "c.a", "c.l", "c.r")
     spelled = (
         left.select("phrase", F.posexplode("phrase").alias("at", "word_id")).join(words.select("word_id", "lang", "word"), "word_id")
         .groupBy("phrase").agg(F.min("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"))
