@@ -76,14 +76,14 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str, role: str = "board") -> DataFrame:
-    """file, page, pos, text and box of the words of documents (board) or conversations (schematic), 200 to a page, in justified lines of ten; a wide gap follows every fourth word, so that
-    fragments join within the runs between."""
+    """file, page, pos, text and box of the words of documents (board) or conversations (schematic), 200 to a page, in justified lines of ten; on every other line a wide gap follows every
+    fourth word, so that fragments join within the runs between, and on the others all do."""
     if role == "board":
         texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
     else:
         texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("file"), "text")
     w = texts.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("n", "text"))
-    return w.select("file", (F.floor(F.col("n") / 200) + 1).cast("int").alias("page"), "n", "text", ((F.col("n") % 10) * 100.0).alias("left"), (F.floor(F.col("n") / 10) * 12.0).alias("bottom"), F.when(F.col("n") % 4 == 3, 75.0).otherwise(95.0).alias("width"), F.lit(10.0).alias("height"))
+    return w.select("file", (F.floor(F.col("n") / 200) + 1).cast("int").alias("page"), "n", "text", ((F.col("n") % 10) * 100.0).alias("left"), (F.floor(F.col("n") / 10) * 12.0).alias("bottom"), F.when((F.col("n") % 4 == 3) & (F.floor(F.col("n") / 10) % 2 == 0), 75.0).otherwise(95.0).alias("width"), F.lit(10.0).alias("height"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def sql_words(role: str = "board", name: str = "words") -> str:
     source = "SELECT doc_id AS file, text FROM documents" if role == "board" else "SELECT conv_id * 1000 + turn AS file, text FROM conversations"
     return rf"""{name}_t AS (SELECT file, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS l FROM ({source})),
 {name}_u AS (SELECT file, unnest(l) AS text, unnest(range(len(l))) AS n FROM {name}_t),
-{name} AS (SELECT file, (n // 200 + 1)::INT AS page, n, text, (n % 10) * 100e0 AS "left", (n // 10) * 12e0 AS bottom, CASE WHEN n % 4 = 3 THEN 75e0 ELSE 95e0 END AS width, 10e0 AS height FROM {name}_u)"""
+{name} AS (SELECT file, (n // 200 + 1)::INT AS page, n, text, (n % 10) * 100e0 AS "left", (n // 10) * 12e0 AS bottom, CASE WHEN n % 4 = 3 AND n // 10 % 2 = 0 THEN 75e0 ELSE 95e0 END AS width, 10e0 AS height FROM {name}_u)"""
 
 
 SQL_SEGMENTS = """g0 AS (SELECT o_custkey // 50 AS doc_id, o_orderkey AS seg_ord, 's' || o_orderkey AS segment_id, o_orderpriority AS group_key, o_orderkey % 8 AS a, floor(o_totalprice)::BIGINT % 8 AS b, (o_orderkey // 8) % 2 = 0 AS along FROM orders),

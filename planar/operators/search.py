@@ -42,80 +42,58 @@ def substring(words: DataFrame, term: str, pages: int = 8) -> DataFrame:
     return per.select("file", "occurrences", "pages", F.slice("all", 1, pages).alias("first_pages"))
 
 
-def fragments_of(words: DataFrame) -> DataFrame:
-    """Words as file, page, pos (from 1), norm, and whether each lies close behind the one before it on a line."""
-    order = Window.partitionBy("file", "page").orderBy("n")
-    w = words.where("text IS NOT NULL")
+def runs_of(words: DataFrame, by: tuple[str, ...], fragments: int, longest: int) -> DataFrame:
+    """What each word and the fragments close behind it on its line give together: by, pos (from 1), size, text and begun (the text before the last fragment).
+
+    One exchange and one sort put the words of a page side by side; runs that are longer than any reference can be are not made.
+    """
+    order = Window.partitionBy(*by).orderBy("n")
     middle = F.col("bottom") + F.col("height") / 2
     last = lambda c: F.lag(c).over(order)
     tall = F.greatest(F.lit(0.5), F.greatest(F.col("height"), last("height")))
     gap = F.col("left") - (last("left") + last("width"))
     close = (F.abs(middle - last(middle)) <= tall * 0.65) & (gap >= -(tall * 0.35)) & (gap <= tall * 1.75)
-    return w.select("file", "page", F.row_number().over(order).alias("pos"), g.reference(F.col("text")).alias("norm"), F.coalesce(close, F.lit(False)).alias("joined"))
+    w = words.where("text IS NOT NULL").select(*by, "n", F.row_number().over(order).alias("pos"), g.reference(F.col("text")).alias("norm"), F.coalesce(close, F.lit(False)).alias("joined"))
+    ahead = [F.when(F.lead("joined", k).over(order), F.lead("norm", k).over(order)).alias(f"t{k}") for k in range(1, fragments)]
+    w = w.select(*by, "pos", "norm", *ahead)
+    parts = ["norm", *[f"t{k}" for k in range(1, fragments)]]
+    text = lambda k: F.concat(*parts[:k])  # null where a fragment is not close
+    each = F.array(*[F.struct(F.lit(k).alias("size"), text(k).alias("text"), text(max(1, k - 1)).alias("begun")) for k in range(1, fragments + 1)])
+    each = F.filter(each, lambda r: r["text"].isNotNull() & (r["text"] != "") & (F.length(r["text"]) <= longest))
+    return w.select(*by, "pos", F.explode(each).alias("r")).select(*by, "pos", "r.*")
 
 
-def references(words: DataFrame, queries: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
+def references(words: DataFrame, queries: DataFrame, fragments: int = FRAGMENTS, by: tuple[str, ...] = ("file", "page")) -> DataFrame:
     """Occurrences of each query reference (query) by file and page.
 
     A word matches if it is the reference, a `_E` at the end of either aside. Else up to `fragments` neighbouring fragments are joined while they
-    stay close on a line and what they give begins the reference. All joins are equalities: words on the reference, two fragments on the
-    beginnings of references, and only what begins one on the fragments that follow it. Overlapping matches count once, the first from the left.
+    stay close on a line and what they give begins the reference. What a run gives is joined with the references by equality, so none of the
+    references' beginnings is listed. Overlapping matches count once, the first from the left.
     """
-    q = queries.select("query", g.reference(F.col("query")).alias("wanted")).where("wanted <> ''").distinct()
-    d = q.select("wanted").distinct().withColumn("key", g.without_side(F.col("wanted")))
-    w = graph.written(fragments_of(words), "fragments")
-    single = w.where("norm <> ''").select("file", "page", "pos", g.without_side(F.col("norm")).alias("key")).join(d.select("key").distinct(), "key")
-    joined = graph.written(joined_hits(w, d, fragments), "joined-fragments")
-    # Matches of single words can't overlap: only where a run matches too, the positions are needed.
-    mixed = joined.select("file", "page", "wanted", "key").distinct()
-    plain = single.groupBy("file", "page", "key").agg(F.count(F.lit(1)).alias("occurrences")).join(d, "key").join(mixed, ["file", "page", "wanted"], "left_anti")
-    beside = single.join(mixed, ["file", "page", "key"]).select("file", "page", "wanted", "pos", F.lit(1).alias("size"))
-    hits = joined.select(*beside.columns).unionByName(beside).groupBy("file", "page", "wanted", "pos").agg(F.min("size").alias("size"))
-    per = hits.groupBy("file", "page", "wanted").agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("hits"))  # the few hits of a page, from the left
+    q = graph.written(queries.select("query", g.reference(F.col("query")).alias("wanted")).where("wanted <> ''").distinct(), "queries")
+    d = graph.written(q.select("wanted", g.without_side(F.col("wanted")).alias("key")).distinct(), "wanted")  # of a known size, so that a small one is broadcast
+    longest = (d.agg(F.max(F.length("wanted"))).first()[0] or 0) + 2
+    hits = runs_of(words, by, fragments, longest).withColumn("key", g.without_side(F.col("text"))).join(d, "key")
+    hits = hits.where((F.col("size") < 3) | F.startswith("wanted", F.col("begun")))
+    per = hits.groupBy(*by, "wanted").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("most"), F.collect_list(F.struct("pos", "size")).alias("hits"))
     start = F.struct(F.lit(0).cast("long").alias("count"), F.lit(-1).cast("long").alias("free"))
     step = lambda s, h: F.when(h["pos"] >= s["free"], F.struct((s["count"] + 1).alias("count"), (h["pos"] + h["size"]).cast("long").alias("free"))).otherwise(s)
-    apart = per.select("file", "page", "wanted", F.aggregate("hits", start, step)["count"].alias("occurrences"))
-    return plain.select(*apart.columns).unionByName(apart).join(q, "wanted").select("file", "page", "query", "occurrences")
-
-
-def joined_hits(w: DataFrame, d: DataFrame, fragments: int) -> DataFrame:
-    """file, page, wanted, key, pos and size of the runs of two and more fragments that give a reference (wanted, key)."""
-    order = Window.partitionBy("file", "page").orderBy("pos")
-    two = w.withColumn("next", F.lead(F.struct("norm", "joined")).over(order)).where("norm <> '' AND next.joined").select("file", "page", "pos", F.concat("norm", "next.norm").alias("both"))
-    # What two fragments may give: a beginning of the reference, or the whole of it with or without its side.
-    begins = F.transform(F.sequence(F.lit(1), F.length("wanted")), lambda k: F.substring("wanted", 1, k))
-    starts = d.select("wanted", "key", F.explode(F.array_distinct(F.concat(begins, F.array(F.concat("key", F.lit("_E")))))).alias("both"))
-    pairs = graph.written(two.join(starts, "both"), "fragment-pairs")
-    whole = g.without_side(F.col("both")) == F.col("key")
-    columns = ("file", "page", "wanted", "key", "pos", "size")
-    more = pairs.where(~whole).withColumn("offset", F.explode(F.sequence(F.lit(2), F.lit(fragments - 1))))
-    more = more.withColumn("start", F.col("pos")).withColumn("pos", F.col("pos") + F.col("offset")).join(w, ["file", "page", "pos"])
-    along = more.groupBy("file", "page", "start", "both", "wanted", "key").agg(F.array_sort(F.collect_list(F.struct("offset", "norm", "joined"))).alias("ahead"))
-    begun = F.struct(F.col("both").alias("all"), F.lit(2).alias("size"), F.lit(True).alias("open"), F.lit(False).alias("found"))
-
-    def extend(s, f):
-        text = F.concat(s["all"], f["norm"])
-        goes = s["open"] & f["joined"] & (f["offset"] == s["size"])
-        hit = goes & (g.without_side(text) == F.col("key"))
-        return F.struct(
-            F.when(goes, text).otherwise(s["all"]).alias("all"), F.when(goes, s["size"] + 1).otherwise(s["size"]).alias("size"),
-            (goes & ~hit & F.startswith(F.col("wanted"), text)).alias("open"), (s["found"] | hit).alias("found"),
-        )
-
-    longer = along.withColumn("s", F.aggregate("ahead", begun, extend)).where("s.found").withColumn("pos", F.col("start")).withColumn("size", F.col("s.size"))
-    return pairs.where(whole).withColumn("size", F.lit(2)).select(*columns).unionByName(longer.select(*columns))
+    # Single words can't overlap. Of a place the shortest run comes first, and covers the others.
+    apart = F.when(F.col("most") == 1, F.col("n")).otherwise(F.aggregate(F.array_sort("hits"), start, step)["count"])
+    return per.select(*by, "wanted", apart.alias("occurrences")).join(q, "wanted").select(*by, "query", "occurrences")
 
 
 def grouped(results: DataFrame, roles: tuple[str, ...] = ("board", "schematic")) -> DataFrame:
     """Search results (role, page and more) in the order of roles and pages, with the number of results of their role."""
     rank = F.array_position(F.array(*map(F.lit, roles)), F.col("role"))
-    return results.withColumn("in_role", F.count(F.lit(1)).over(Window.partitionBy("role"))).orderBy(rank, "page")
+    counts = results.groupBy("role").agg(F.count(F.lit(1)).alias("in_role"))
+    return results.join(F.broadcast(counts), "role").orderBy(rank, "page")  # a row for each role
 
 
-def cross_probe(board: DataFrame, schematic: DataFrame) -> DataFrame:
-    """Both roles' occurrences of each query: totals, first pages and where it was found."""
-    total = lambda df, role: df.groupBy("query").agg(F.sum("occurrences").alias(f"{role}_occurrences"), F.min("page").alias(f"{role}_page"))
-    both = total(board, "board").join(total(schematic, "schematic"), "query", "full_outer")
-    b, s = F.col("board_occurrences").isNotNull(), F.col("schematic_occurrences").isNotNull()
-    both = both.withColumn("status", F.when(b & s, "both").when(b, "board").when(s, "schematic").otherwise("none"))
-    return both.na.fill(0, ["board_occurrences", "schematic_occurrences"])
+def cross_probe(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """For each query where it was found (role board or schematic, page, query, occurrences): totals, first pages (0 where it was not) and status; queries found nowhere too."""
+    of = lambda role, c: F.when(F.col("role") == role, F.col(c))
+    each = [f(of(role, c)).alias(f"{role}_{name}") for role in ("board", "schematic") for f, c, name in ((F.sum, "occurrences", "occurrences"), (F.min, "page", "page"))]
+    both = queries.select("query").distinct().join(found.groupBy("query").agg(*each), "query", "left").na.fill(0)
+    b, s = F.col("board_occurrences") > 0, F.col("schematic_occurrences") > 0
+    return both.withColumn("status", F.when(b & s, "both").when(b, "board").when(s, "schematic").otherwise("none"))

@@ -346,16 +346,21 @@ def q_substring_search(spark, d):
     return search.substring(data.words(spark, d), "tion").withColumn("first_pages", F.array_join("first_pages", ","))
 
 
+#: Words that are put together to one reference.
+TOGETHER = (1, 2, 3, 5, 8)
+
+
 def wanted(spark, d):
-    """References to look for: the items' words, and pairs of neighbouring words put together, which only joined fragments can give."""
+    """References to look for: the items' words, and some neighbouring words put together, which only joined fragments can give."""
     w = table(spark, d, "benchmark").select(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w")).where("w IS NOT NULL")
-    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.lit(0), F.size("w") - 1)), lambda a, b: F.concat(a, b))
-    return w.select(F.explode(F.concat("w", F.filter(pairs, lambda p: p.isNotNull()))).alias("query")).distinct()
+    put = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(k)), ""))
+    each = [put(k) for k in TOGETHER]
+    return w.select(F.explode(F.concat(*each)).alias("query")).distinct()
 
 
 SQL_NORM = r"upper(regexp_replace(trim({0}), '[^\p{{L}}\p{{Nd}}_]', '', 'g'))"
 SQL_WANTED = rf"""bw AS (SELECT regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL),
-wanted AS (SELECT query, q, regexp_replace(q, '_E$', '') AS k FROM (SELECT query, {SQL_NORM.format("query")} AS q FROM (SELECT DISTINCT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1])) AS query FROM bw)) WHERE q <> ''),
+wanted AS (SELECT query, q, regexp_replace(q, '_E$', '') AS k FROM (SELECT query, {SQL_NORM.format("query")} AS q FROM (SELECT DISTINCT unnest({" || ".join(f"list_transform(range(1, greatest(len(w) - {k} + 2, 2)), lambda i: array_to_string(w[i:i + {k - 1}], ''))" for k in TOGETHER)}) AS query FROM bw)) WHERE q <> ''),
 starts AS (SELECT DISTINCT query, q, k, unnest(list_transform(range(1, length(q) + 1), lambda i: q[1:i]) || [k || '_E']) AS two FROM wanted)"""
 
 
@@ -385,10 +390,13 @@ def q_reference_search(spark, d):
 
 @query(f"""WITH RECURSIVE {SQL_WANTED}, {sql_references('board', 'b')}, {sql_references('schematic', 's')}, x AS (SELECT query, sum(occurrences)::BIGINT AS n, min(page) AS p FROM b_r GROUP BY query),
 y AS (SELECT query, sum(occurrences)::BIGINT AS n, min(page) AS p FROM s_r GROUP BY query)
-SELECT query, coalesce(x.n, 0) AS board_occurrences, x.p AS board_page, coalesce(y.n, 0) AS schematic_occurrences, y.p AS schematic_page, CASE WHEN x.n IS NOT NULL AND y.n IS NOT NULL THEN 'both' WHEN x.n IS NOT NULL THEN 'board' ELSE 'schematic' END AS status FROM x FULL JOIN y USING (query)""")
+SELECT query, coalesce(x.n, 0) AS board_occurrences, coalesce(x.p, 0) AS board_page, coalesce(y.n, 0) AS schematic_occurrences, coalesce(y.p, 0) AS schematic_page,
+CASE WHEN x.n IS NOT NULL AND y.n IS NOT NULL THEN 'both' WHEN x.n IS NOT NULL THEN 'board' WHEN y.n IS NOT NULL THEN 'schematic' ELSE 'none' END AS status FROM (SELECT query FROM wanted UNION SELECT 'nowhere-' || i_id FROM (SELECT item_id AS i_id FROM benchmark)) LEFT JOIN x USING (query) LEFT JOIN y USING (query)""")
 def q_cross_probe(spark, d):
-    q = wanted(spark, d)
-    return search.cross_probe(search.references(data.words(spark, d), q), search.references(data.words(spark, d, "schematic"), q))
+    """Both roles in one search; a name for each item that is nowhere."""
+    q = wanted(spark, d).where(g.reference(F.col("query")) != "").unionByName(table(spark, d, "benchmark").select(F.concat(F.lit("nowhere-"), "item_id").alias("query")))
+    words = data.words(spark, d).withColumn("role", F.lit("board")).unionByName(data.words(spark, d, "schematic").withColumn("role", F.lit("schematic")))
+    return search.cross_probe(search.references(words, q, by=("role", "file", "page")), q)
 
 
 SQL_ISSUES = f"""{SQL_ELEMENTS}, {SQL_LAYERS}, {SQL_NETS}, docs AS (SELECT DISTINCT user_id // 8 AS doc_id FROM events),

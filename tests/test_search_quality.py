@@ -26,9 +26,10 @@ def test_joined_fragments(spark):
 
 
 def test_cross_probe(spark):
-    r = lambda rows: spark.createDataFrame(rows, "file long, page int, query string, occurrences long")
-    got = {x.query: (x.status, x.board_occurrences, x.schematic_page) for x in search.cross_probe(r([(1, 3, "A", 2), (1, 1, "A", 1), (1, 1, "B", 1)]), r([(1, 5, "A", 1)])).collect()}
-    assert got == {"A": ("both", 3, 5), "B": ("board", 1, None)}
+    found = spark.createDataFrame([("board", 3, "A", 2), ("board", 1, "A", 1), ("board", 1, "B", 1), ("schematic", 5, "A", 1), ("schematic", 7, "C", 4)], "role string, page int, query string, occurrences long")
+    asked = spark.createDataFrame([(x,) for x in "AABCD"], "query string")
+    got = {x.query: (x.status, x.board_occurrences, x.board_page, x.schematic_page) for x in search.cross_probe(found, asked).collect()}
+    assert got == {"A": ("both", 3, 1, 5), "B": ("board", 1, 1, 0), "C": ("schematic", 0, 0, 7), "D": ("none", 0, 0, 0)}
 
 
 def test_a_run_that_passes_the_reference_ends(spark):
