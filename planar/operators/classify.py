@@ -1,15 +1,18 @@
 """From elements to pads: shapes, donuts, size groups, aligned neighbours, confidence, acceptance, duplicates, vias and holes.
 
-Everything is a projection, a grid join or an aggregation within a document, but for two greedy steps: size groups, which
-run over a document's distinct sizes only, and duplicate suppression, which runs over pads with a rival only.
+Everything is a projection, a grid join or an aggregation within a document. Two choices depend on order, made by greedy.first_come: which sizes begin
+a group, among distinct sizes with alikes, and which duplicates go, among pads with a rival.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planar.functions import geometry as g
+from planar.operators import greedy
 from planar.operators.graph import written
 
 #: Fixed values, which results must equal.
@@ -71,23 +74,29 @@ def donuts(prims: DataFrame) -> DataFrame:
 
 
 def size_groups(prims: DataFrame, tolerance: float = SIZE_TOLERANCE) -> DataFrame:
-    """group: the number of the first size of a document, in ascending order of area, that a primitive's size is alike in both sides and shape."""
-    sizes = prims.groupBy("doc_id", "shape", "w", "h").agg(F.min("element_ord").alias("first"))
-
-    def assign(pdf):
-        pdf = pdf.assign(area=pdf.w * pdf.h).sort_values(["area", "first"], kind="mergesort")
-        alike = lambda a, b: min(a, b) / max(1e-6, max(a, b)) >= 1 - tolerance
-        heads: list = []
-        out = []
-        for shape, w, h in zip(pdf["shape"], pdf.w, pdf.h):
-            k = next((i for i, (s, a, b) in enumerate(heads) if s == shape and alike(a, w) and alike(b, h)), len(heads))
-            if k == len(heads):
-                heads.append((shape, w, h))
-            out.append(k)
-        return pdf.assign(group=out)[["doc_id", "shape", "w", "h", "group"]]
+    """group: the number of the first size of a document, in ascending order of area, that a primitive's size is alike in both sides and shape.
 
-    groups = sizes.groupBy("doc_id").applyInPandas(assign, "doc_id long, shape string, w double, h double, group long")
-    return prims.join(groups, ["doc_id", "shape", "w", "h"])
+    Sizes that can be alike lie in neighbouring cells of the logarithms of their sides. A size that no earlier group's first size is alike begins a
+    group; only sizes with alikes wait for each other in that choice.
+    """
+    sizes = prims.groupBy("doc_id", "shape", "w", "h").agg(F.min("element_ord").alias("first"))
+    sizes = written(sizes.withColumn("rank", F.struct((F.col("w") * F.col("h")).alias("area"), "first")), "sizes")
+    step = -math.log(1 - tolerance) * (1 + 1e-9)
+    cell = lambda c: F.floor(F.log(c) / step)
+    filed = sizes.where("w > 0 AND h > 0").withColumns({"cell_w": cell("w"), "cell_h": cell("h")})
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    asked = filed.withColumn("s", F.explode(steps)).withColumns({"cell_w": F.col("cell_w") + F.col("s.i"), "cell_h": F.col("cell_h") + F.col("s.j")}).drop("s")
+    other = filed.select("doc_id", "shape", "cell_w", "cell_h", F.col("w").alias("ow"), F.col("h").alias("oh"), F.col("rank").alias("other"))
+    alike = lambda a, b: F.least(a, b) / F.greatest(F.lit(1e-6), F.greatest(a, b)) >= 1 - tolerance
+    pairs = asked.join(other, ["doc_id", "shape", "cell_w", "cell_h"]).where((F.col("rank") != F.col("other")) & alike(F.col("w"), F.col("ow")) & alike(F.col("h"), F.col("oh")))
+    pairs = written(pairs.select("doc_id", "rank", "other"), "alike-sizes")
+    met = F.struct(F.least("rank", "other").alias("a"), F.greatest("rank", "other").alias("b"))
+    heads = greedy.first_come(pairs.select("doc_id", "rank", met.alias("resource")), ["doc_id"])
+    heads = heads.unionByName(sizes.join(pairs.select("doc_id", "rank").distinct(), ["doc_id", "rank"], "left_anti").select("doc_id", "rank"))
+    heads = written(heads.withColumn("group", (F.row_number().over(Window.partitionBy("doc_id").orderBy("rank")) - 1).cast("long")), "size-heads")
+    joined = pairs.join(heads.withColumnRenamed("rank", "other"), ["doc_id", "other"]).groupBy("doc_id", "rank").agg(F.min("group").alias("joined"))
+    groups = sizes.join(heads, ["doc_id", "rank"], "left").join(joined, ["doc_id", "rank"], "left")
+    return prims.join(groups.select("doc_id", "shape", "w", "h", F.coalesce("group", "joined").alias("group")), ["doc_id", "shape", "w", "h"])
 
 
 def aligned(grouped: DataFrame, factor: float = ALIGNMENT) -> DataFrame:
@@ -155,21 +164,13 @@ def distinct_pads(accepted: DataFrame) -> DataFrame:
     near = g.distance(F.col("cx"), F.col("cy"), F.col("bx"), F.col("by")) <= F.greatest(F.lit(0.005), F.least("w", "bw") * 0.18)
     rivals = around(own, size).join(b, ["doc_id", "level", "cell_x", "cell_y"]).where((F.col("element_ord") != F.col("b_ord")) & like & near).select("doc_id", F.col("element_ord").alias("a"), F.col("b_ord").alias("b")).distinct()
     rivals = rivals.union(rivals.select("doc_id", "b", "a")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), F.col("w") * F.col("h"), "cy", "cx", "layer_id", "top", "left", "element_ord")
-    ranked = accepted.withColumn("rank", F.row_number().over(order))
-    r = ranked.select("doc_id", F.col("element_ord").alias("a"), F.col("rank").alias("ra"))
-    edges = rivals.join(r, ["doc_id", "a"]).join(r.select("doc_id", F.col("a").alias("b"), F.col("ra").alias("rb")), ["doc_id", "b"])
-
-    def suppress(pdf):
-        better = pdf[pdf.rb < pdf.ra].groupby("ra").rb.apply(list).to_dict()
-        gone, ids = set(), dict(zip(pdf.ra, pdf.a))
-        for k in sorted(ids):
-            if any(x not in gone for x in better.get(k, ())):
-                gone.add(k)
-        return pdf.iloc[:0][["doc_id", "a"]] if not gone else pdf[pdf.ra.isin(gone)][["doc_id", "a"]].drop_duplicates()
-
-    gone = edges.groupBy("doc_id").applyInPandas(suppress, "doc_id long, a long").withColumnRenamed("a", "element_ord")
-    kept = ranked.join(gone, ["doc_id", "element_ord"], "left_anti").drop("rank")
+    rank = F.struct((-F.col("confidence")).alias("c"), (F.col("w") * F.col("h")).alias("area"), "cy", "cx", "layer_id", "top", "left", "element_ord")
+    ranked = accepted.select("doc_id", F.col("element_ord").alias("a"), rank.alias("rank"))
+    met = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    uses = written(rivals.join(ranked, ["doc_id", "a"]).select("doc_id", "rank", met.alias("resource")), "rival-pads")
+    stay = greedy.first_come(uses, ["doc_id"]).select("doc_id", F.col("rank.element_ord").alias("element_ord"))
+    gone = uses.select("doc_id", F.col("rank.element_ord").alias("element_ord")).distinct().join(stay, ["doc_id", "element_ord"], "left_anti")
+    kept = accepted.join(gone, ["doc_id", "element_ord"], "left_anti")
     return kept.withColumn("pad_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("cy", "cx", "element_ord")))
 
 

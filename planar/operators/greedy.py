@@ -47,10 +47,43 @@ def first_come(uses: DataFrame, within: list[str], held: int = HELD) -> DataFram
     return rest if taken is None else taken.unionByName(rest)
 
 
+def matched(pairs: DataFrame, within: list[str], held: int = HELD) -> DataFrame:
+    """(within, item, other) of items that choose in their order, each the best of its others that no earlier item took.
+
+    pairs: within, item (orderable), other, cost (orderable, unique for each item). A pair is certain if the other is the item's best and the
+    item the first of the other's; rounds take all such pairs at once and drop what they use. As soon as each group fits one task, the rest is walked.
+    """
+    left, taken = graph.written(pairs.select(*within, "item", "other", "cost"), "pairs"), None
+    while True:
+        most = left.groupBy(*within).count().agg(F.max("count")).first()[0] or 0
+        if most <= held:
+            break
+        best = left.groupBy(*within, "item").agg(F.min("cost").alias("cost"))
+        first = left.groupBy(*within, "other").agg(F.min("item").alias("item"))
+        sure = graph.written(left.join(best, [*within, "item", "cost"]).join(first, [*within, "other", "item"]).select(*within, "item", "other"), "matched")
+        left = graph.written(left.join(sure.select(*within, "item"), [*within, "item"], "left_anti").join(sure.select(*within, "other"), [*within, "other"], "left_anti"), "pairs")
+        taken = sure if taken is None else taken.unionByName(sure)
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+
+    def walked(pdf):
+        done, keep = (set(), set()), []
+        rows = [(_key(i), _key(c), _key(o)) for i, c, o in zip(pdf["item"], pdf["cost"], pdf["other"])]
+        for k in sorted(range(len(rows)), key=lambda k: rows[k][:2]):
+            item, _, other = rows[k]
+            if item not in done[0] and other not in done[1]:
+                done[0].add(item)
+                done[1].add(other)
+                keep.append(k)
+        return pdf.iloc[keep][[*within, "item", "other"]]
+
+    rest = left.groupBy(*within).applyInPandas(walked, ", ".join(f"{c} {kinds[c]}" for c in [*within, "item", "other"]))
+    return rest if taken is None else taken.unionByName(rest)
+
+
 def _key(value):
-    """A struct or a plain value as something that sorts and hashes."""
+    """A struct or a plain value as something that sorts, nulls first, and hashes."""
     if hasattr(value, "asDict"):
         return tuple(_key(v) for v in value)
     if isinstance(value, dict):
         return tuple(_key(v) for v in value.values())
-    return value
+    return (value is not None, value)

@@ -1,8 +1,8 @@
 """From pads to components: clusters, their metrics, template scores, reference texts; and the simpler low-level footprints.
 
 Clusters are connected components of the pads within a document's radius, by a grid join and rounds of links, so no document is held by one task.
-Metrics are folds over a cluster's sorted arrays. Only the assignment of texts and the growing of low-level
-footprints are greedy, over candidate pairs or the pads of a document.
+Bands are folds over a cluster's sorted centres. The assignment of texts is made by
+greedy.matched; only low-level footprints are grown in order, each component of the pads within reach by itself.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planar.functions import geometry as g
-from planar.operators import graph
+from planar.operators import graph, greedy
 from planar.operators.spatial import pad_neighbors
 from planar.sources.templates import TEMPLATES
 
@@ -63,7 +63,7 @@ def median_step(axis: Column) -> Column:
 def metrics(clusters: DataFrame) -> DataFrame:
     """One row for each cluster: box, counts, pitches, symmetry, rotation, confidence; numbered by first pad."""
     size = F.greatest("w", "h")
-    # A cluster is bounded by its parts' size on the board; its centres are collected once.
+    # A cluster's centres are collected once, for its bands.
     per = clusters.groupBy("doc_id", "cluster").agg(
         F.count(F.lit(1)).cast("int").alias("pads"), F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"),
         positive_median(size).alias("median"), F.collect_list(F.struct("cx", "cy")).alias("at"), F.min(F.struct("cy", "cx", "element_ord")).alias("first"),
@@ -72,15 +72,28 @@ def metrics(clusters: DataFrame) -> DataFrame:
     per = per.withColumn("tolerance", F.greatest(F.col("median") * AXIS, F.lit(0.03)))
     per = per.withColumn("xs", bands(F.col("at.cx"), F.col("tolerance"))).withColumn("ys", bands(F.col("at.cy"), F.col("tolerance")))
     compact = g.clamp(F.col("pads") * F.col("median") * F.col("median") / F.greatest(w * h, F.lit(0.000001)), 0.0, 1.0)
-    mx, my = g.center_x() * 2, g.center_y() * 2
-    mirrored = F.filter("at", lambda p: F.exists("at", lambda q: (F.abs(q["cx"] - (mx - p["cx"])) <= F.col("tolerance")) & (F.abs(q["cy"] - (my - p["cy"])) <= F.col("tolerance"))))
+    per = per.join(mirrored(clusters, per), ["doc_id", "cluster"], "left").na.fill(0, ["mirrored"])
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))
     return per.select(
         "doc_id", "cluster", number.alias("number"), "pads", "left", "top", "right", "bottom", F.size("ys").alias("rows"), F.size("xs").alias("columns"), median_step(F.col("xs")).alias("pitch_x"), median_step(F.col("ys")).alias("pitch_y"),
-        (F.size(mirrored) / F.greatest(F.lit(1), F.col("pads"))).alias("symmetry"), F.when(w >= h, 0.0).otherwise(90.0).alias("rotation"), (F.lit(0.55) + compact * 0.4).alias("cluster_confidence"),
+        (F.col("mirrored") / F.greatest(F.lit(1), F.col("pads"))).alias("symmetry"), F.when(w >= h, 0.0).otherwise(90.0).alias("rotation"), (F.lit(0.55) + compact * 0.4).alias("cluster_confidence"),
     )
 
 
+def mirrored(clusters: DataFrame, boxes: DataFrame) -> DataFrame:
+    """doc_id, cluster and mirrored: the pads that have one within the tolerance of their centre turned about the centre of the cluster's box (left, top, right, bottom,
+    tolerance). Centres meet in cells as wide as the tolerance, so a cluster of any number of pads is no row and no task of its own."""
+    cell = lambda v: F.floor(v / F.col("tolerance"))
+    box = boxes.select("doc_id", "cluster", (g.center_x() * 2).alias("mx"), (g.center_y() * 2).alias("my"), "tolerance")
+    own = clusters.select("doc_id", "cluster", "element_ord", "cx", "cy").join(box, ["doc_id", "cluster"])
+    filed = own.select("doc_id", "cluster", cell(F.col("cx")).alias("cell_x"), cell(F.col("cy")).alias("cell_y"), F.col("cx").alias("qx"), F.col("cy").alias("qy"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    turned = own.withColumns({"tx": F.col("mx") - F.col("cx"), "ty": F.col("my") - F.col("cy")}).withColumn("s", F.explode(steps))
+    turned = turned.select("doc_id", "cluster", "element_ord", "tx", "ty", "tolerance", (cell(F.col("tx")) + F.col("s.i")).alias("cell_x"), (cell(F.col("ty")) + F.col("s.j")).alias("cell_y"))
+    near = turned.join(filed, ["doc_id", "cluster", "cell_x", "cell_y"]).where((F.abs(F.col("qx") - F.col("tx")) <= F.col("tolerance")) & (F.abs(F.col("qy") - F.col("ty")) <= F.col("tolerance")))
+    return near.select("doc_id", "cluster", "element_ord").distinct().groupBy("doc_id", "cluster").agg(F.count(F.lit(1)).alias("mirrored"))
+
+
 def range_score(value: Column, low: Column, high: Column) -> Column:
     span = F.greatest(high - low, F.greatest(F.abs(high), F.lit(1.0)))
     off = F.when(value < low, low - value).otherwise(value - high)
@@ -127,7 +140,7 @@ def footprints(solved: DataFrame, templates: list[dict] = TEMPLATES) -> DataFram
 def components(found: DataFrame, texts: DataFrame) -> DataFrame:
     """A component for each footprint, named by the nearest designator text that no earlier footprint took.
 
-    Candidates are pairs within 2.5 times the greater side + 2, from a grid join; the greedy pass sees these pairs only.
+    Candidates are pairs within 2.5 times the greater side + 2, from a grid join; footprints choose among them in order (greedy.matched).
     """
     reach = F.greatest(g.width(), g.height()) * 2.5 + 2
     f = found.withColumns({"x": g.center_x(), "y": g.center_y(), "reach": reach}).withColumn("level", F.ceil(F.log2("reach")).cast("int"))
@@ -142,15 +155,8 @@ def components(found: DataFrame, texts: DataFrame) -> DataFrame:
     numbered = f.withColumn("component_no", F.row_number().over(order)).select("doc_id", "cluster", "component_no")
     pairs = looks.join(filed, ["doc_id", "level", "cell_x", "cell_y"]).withColumn("distance", dist).where(F.col("distance") <= F.col("reach")).join(numbered, ["doc_id", "cluster"]).select("doc_id", "component_no", "text_ord", "reference", "distance")
 
-    def assign(pdf):
-        taken, rows = set(), []
-        for r in pdf.sort_values(["component_no", "distance", "text_ord"], kind="mergesort").itertuples():
-            if r.text_ord not in taken and (not rows or rows[-1][1] != r.component_no):
-                taken.add(r.text_ord)
-                rows.append((r.doc_id, r.component_no, r.reference))
-        return pdf.iloc[: len(rows)][["doc_id", "component_no"]].assign(doc_id=[x[0] for x in rows], component_no=[x[1] for x in rows], reference=[x[2] for x in rows])
-
-    given = pairs.groupBy("doc_id").applyInPandas(assign, "doc_id long, component_no int, reference string")
+    pairs = pairs.select("doc_id", F.col("component_no").alias("item"), F.struct("text_ord", "reference").alias("other"), F.struct("distance", "text_ord").alias("cost"))
+    given = greedy.matched(pairs, ["doc_id"]).select("doc_id", F.col("item").alias("component_no"), F.col("other.reference").alias("reference"))
     out = found.join(numbered, ["doc_id", "cluster"]).join(given, ["doc_id", "component_no"], "left")
     conf = F.when(F.col("reference").isNull(), F.col("confidence") * 0.8).otherwise(F.least(F.lit(1.0), F.col("confidence") + 0.08))
     return out.select("doc_id", F.format_string("component-%04d", "component_no").alias("component_id"), F.coalesce("reference", F.format_string("X%04d", "component_no")).alias("reference"), "name", "pads", "rotation", conf.alias("confidence"))
