@@ -5,7 +5,7 @@ words, as the sorted sequence of the chunk's words in which a zero ends a piece;
 adjacent position is a shift of that sequence. Each round joins a chunk's relation with the frequent phrases that occur in it (the
 semi-join), extends what is left by one word, counts within the chunk and groups the counts of all chunks; a phrase is a tuple of word ids, so no
 hash stands for it. A very common phrase has one row for each chunk that holds it; as relations shrink from round to round, chunks are put together
-up to TOGETHER times that size, and so are their rows. Only words and phrases of min_count or more are extended.
+up to a few times that size, and so are their rows. Only words and phrases of min_count or more are extended.
 
 A word's id is the least (chunk, place in the chunk) of its rows: exact, and found without numbering all words.
 
@@ -28,7 +28,9 @@ MIN_COUNT, LONGEST, TOP = 30, 4, 2000
 #: Percent of a phrase's count that a longer one around it must have to take its place.
 COVERED = 80
 SCALE = 2_000_000
-CHUNK_WORDS, TOGETHER, PART_BYTES = 4_000_000, 3, 1 << 24
+CHUNK_WORDS, PART_BYTES = 4_000_000, 1 << 24
+#: Chunk sizes up to which relations are put together before the second and the third round, as fewer and fewer of their words begin a phrase.
+TOGETHER = (1, 3)
 #: Bytes that end a piece become one of them; it stands as a word of its own, with number 0.
 END = b"."
 ENDS = bytes(END[0] if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -256,7 +258,7 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_
             # Chunks in their order, put together; a row of 16 bytes for each chunk of some million words is broadcast.
             before = F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
             sizes = done.where("relation IS NOT NULL").select("chunk", "n")
-            new = F.broadcast(sizes.select("chunk", F.floor(F.coalesce(before, F.lit(0)) / (TOGETHER * chunk_words)).alias("new")))
+            new = F.broadcast(sizes.select("chunk", F.floor(F.coalesce(before, F.lit(0)) / (TOGETHER[k - 1] * chunk_words)).alias("new")))
             relations = done.where("relation IS NOT NULL").join(new, "chunk").select(F.col("new").alias("chunk"), "words", "relation")
             frequent = stored(in_total(rows.join(new, "chunk").select(F.col("new").alias("chunk"), *ids, "n"), ids, min_count), f"frequent-{k + 1}")
             each, of = frequent.where("head").select(F.array(*ids).alias("phrase"), "f"), next_round(k + 1, k + 2 < LONGEST)
