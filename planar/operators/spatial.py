@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planar.functions import geometry as g
+from planar.operators import graph
 
 CELL = 10.0
 
@@ -79,21 +80,56 @@ def level_of(width, height, size: float, wide: int) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(extent))).cast("int")
 
 
-def grid_join(queries: DataFrame, elements: DataFrame, size: float = CELL, wide: int = 8) -> DataFrame:
+#: Elements of a cell beyond which it is split, how often its side is halved at most, and the share of elements whose counts decide it.
+DENSE, HALVINGS, SAMPLED = 20_000, 12, 0.1
+
+
+def grid_join(queries: DataFrame, elements: DataFrame, size: float = CELL, wide: int = 8, dense: int = DENSE, halvings: int = HALVINGS, sampled: float = SAMPLED) -> DataFrame:
     """Pairs of query boxes (query_id, ql, qt, qr, qb and more) and elements whose boxes intersect; both may carry doc_id, which then must agree.
 
-    A pair meets on the coarser one of its two boxes' levels, so neither a large element nor a large query is dealt to many cells."""
+    A pair meets on the coarser one of its two boxes' levels, so neither a large element nor a large query is dealt to many cells. Cells with more
+    than `dense` elements become quadtrees: both sides go on to the quarters that they touch, until a cell holds fewer or is `halvings` deep; what
+    lies at one place even then is dealt by a salt. A pair is kept in the one leaf that holds the corner of its intersection.
+    """
     e = elements.withColumn("e_level", level_of(g.width(), g.height(), size, wide))
     q = queries.withColumn("q_level", level_of(F.col("qr") - F.col("ql"), F.col("qb") - F.col("qt"), size, wide))
-    levels = F.broadcast(e.select(F.col("e_level").alias("level")).union(q.select("q_level")).distinct())  # at most the binary logarithm of the extent
-    at = F.pow(F.lit(2.0), F.col("level")) * size
-    span = lambda a, b, c: F.sequence(F.floor(a / c), F.floor(b / c))
-    e = e.join(levels, F.col("level") >= F.col("e_level")).withColumn("cell_x", F.explode(span(F.col("left"), F.col("right"), at))).withColumn("cell_y", F.explode(span(F.col("top"), F.col("bottom"), at)))
-    q = q.join(levels, F.col("level") >= F.col("q_level")).withColumn("cell_x", F.explode(span(F.col("ql"), F.col("qr"), at))).withColumn("cell_y", F.explode(span(F.col("qt"), F.col("qb"), at)))
-    keys = ["level", "cell_x", "cell_y"] + (["doc_id"] if "doc_id" in queries.columns and "doc_id" in elements.columns else [])
-    both = q.join(e, keys).where((F.col("level") == F.greatest("e_level", "q_level")) & g.intersects(F.col("ql"), F.col("qt"), F.col("qr"), F.col("qb")))
-    own = (F.floor(F.greatest("left", "ql") / at) == F.col("cell_x")) & (F.floor(F.greatest("top", "qt") / at) == F.col("cell_y"))
-    return both.where(own).drop("cell_x", "cell_y", "level", "e_level", "q_level")
+    levels = sorted(r[0] for r in e.select("e_level").union(q.select("q_level")).distinct().collect())  # at most the binary logarithm of the extent
+    every = F.array(*map(F.lit, levels)).cast("array<int>")
+    doc = ["doc_id"] if "doc_id" in queries.columns and "doc_id" in elements.columns else []
+    node = ["level", "depth", "cell_x", "cell_y", *doc]
+    side = F.pow(F.lit(2.0), F.col("level") - F.col("depth")) * size
+    span = lambda a, b: F.sequence(F.floor(a / side), F.floor(b / side))
+
+    def filed(df, own, left, top, right, bottom):
+        df = df.withColumn("level", F.explode(F.filter(every, lambda x: x >= F.col(own)))).withColumn("depth", F.lit(0))
+        return df.withColumn("cell_x", F.explode(span(left, right))).withColumn("cell_y", F.explode(span(top, bottom)))
+
+    def quartered(df, split, left, top, right, bottom):
+        """Rows of split nodes at the quarters that they touch, beside the other rows."""
+        inner = df.join(split, node, "left_semi").withColumn("depth", F.col("depth") + 1)
+        part = lambda cell, a, b: F.explode(F.filter(F.array(F.col(cell) * 2, F.col(cell) * 2 + 1), lambda k: (k >= F.floor(a / side)) & (k <= F.floor(b / side))))
+        inner = inner.withColumn("cell_x", part("cell_x", left, right)).withColumn("cell_y", part("cell_y", top, bottom))
+        return df.join(split, node, "left_anti").unionByName(inner)
+
+    boxes = [[F.col(c) for c in names] for names in (("left", "top", "right", "bottom"), ("ql", "qt", "qr", "qb"))]
+    some = filed(e if sampled >= 1 else e.sample(sampled, 7), "e_level", *boxes[0])
+    e, q = filed(e, "e_level", *boxes[0]), filed(q, "q_level", *boxes[1])
+    while True:
+        counts = some.groupBy(*node).agg((F.count(F.lit(1)) / sampled).alias("n")).where(F.col("n") > dense)
+        counts = graph.written(counts, "dense-cells")
+        split = counts.where(F.col("depth") < halvings)
+        if split.isEmpty():
+            break
+        some, e, q = (graph.written(quartered(df, split, *box), "quartered") for df, box in ((some, boxes[0]), (e, boxes[0]), (q, boxes[1])))
+    salt = []
+    if not counts.isEmpty():  # at one place
+        salt = ["salt"]
+        many = counts.select(*node, F.ceil(F.col("n") / dense).cast("int").alias("parts"))
+        e = e.join(many, node, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("element_id"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+        q = q.join(many, node, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    both = q.join(e, [*node, *salt]).where((F.col("level") == F.greatest("e_level", "q_level")) & g.intersects(F.col("ql"), F.col("qt"), F.col("qr"), F.col("qb")))
+    own = (F.floor(F.greatest("left", "ql") / side) == F.col("cell_x")) & (F.floor(F.greatest("top", "qt") / side) == F.col("cell_y"))
+    return both.where(own).drop("cell_x", "cell_y", "level", "depth", "e_level", "q_level", *salt)
 
 
 def radius_join(points: DataFrame, elements: DataFrame, radius: float, most: int | None = None, size: float = CELL) -> DataFrame:
@@ -129,40 +165,42 @@ def index_statistics(elements: DataFrame, left: float, top: float, right: float,
     return items.join(per, "doc_id").join(hits, "doc_id", "left").na.fill(0, ["candidates", "hits"])
 
 
-def expanded_log(log: DataFrame) -> DataFrame:
-    """A log in which clear (without an element) removes every element that an operation before it names."""
-    named, clears = log.where("op <> 'clear'"), log.where("op = 'clear'").select("doc_id", F.col("seq").alias("at"))
-    first = named.groupBy("doc_id", "element_id").agg(F.min("seq").alias("first"))
-    gone = first.join(clears, "doc_id").where("first < at").select("doc_id", F.col("at").alias("seq"), F.lit("clear").alias("op"), "element_id")
-    return named.unionByName(gone, allowMissingColumns=True)
-
-
-def mutation_fold(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The state after a log (doc_id, seq, op, element_id, box) and each document's version.
+def mutation_log(log: DataFrame) -> DataFrame:
+    """What each operation of a log (doc_id, seq, op, element_id, box) does: before and after (boxes or null), done, and problem.
 
-    op is add, update, remove or clear. An add of a present id and a removal or update of an absent one have no effect; nor has an update to
-    the same box. A clear counts one version if it finds an element.
+    op is add, update, remove or clear. A removal or update of an absent id and an update to the same box do nothing; an add of a present id does
+    nothing and is a problem, `already indexed`. A clear ends an epoch of its document: epochs are numbered over the log, and within its epoch each
+    element's operations follow each other, so no clear meets elements.
     """
-    log = expanded_log(log)
+    epoch = F.sum(F.when(F.col("op") == "clear", 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     box = F.struct("left", "top", "right", "bottom")
-    step = log.withColumn("row", F.struct("seq", "op", box.alias("box")))
-    folded = step.groupBy("doc_id", "element_id").agg(F.array_sort(F.collect_list("row")).alias("ops"))
+    step = log.withColumn("epoch", F.coalesce(epoch, F.lit(0))).where("op <> 'clear'").withColumn("row", F.struct("seq", "op", box.alias("box")))
+    folded = step.groupBy("doc_id", "epoch", "element_id").agg(F.array_sort(F.collect_list("row")).alias("ops"))
     none = F.lit(None).cast("struct<left:double,top:double,right:double,bottom:double>")
-    start = F.struct(none.alias("box"), F.lit(0).cast("long").alias("changes"), F.array().cast("array<long>").alias("cleared"))
-
-    def apply(state, r):
-        effective = F.when(r["op"] == "add", state["box"].isNull()).when(r["op"].isin("remove", "clear"), state["box"].isNotNull()).otherwise(state["box"].isNotNull() & (state["box"] != r["box"]))
-        after = F.when(~effective, state["box"]).when(r["op"].isin("remove", "clear"), none).otherwise(r["box"])
-        cleared = F.when(effective & (r["op"] == "clear"), F.array_append(state["cleared"], r["seq"])).otherwise(state["cleared"])
-        own = F.when(effective & (r["op"] != "clear"), 1).otherwise(0)
-        return F.struct(after.alias("box"), (state["changes"] + own).alias("changes"), cleared.alias("cleared"))
-
-    done = folded.withColumn("s", F.aggregate("ops", start, apply))
-    state = done.where("s.box IS NOT NULL").select("doc_id", "element_id", "s.box.*")
-    clears = done.select("doc_id", F.explode("s.cleared").alias("seq")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("clears"))
-    per = done.groupBy("doc_id").agg(F.sum("s.changes").alias("changes"), F.count_if(F.col("s.box").isNotNull()).alias("items"))
-    per = per.join(clears, "doc_id", "left").select("doc_id", (F.col("changes") + F.coalesce("clears", F.lit(0))).alias("version"), "items")
-    return state, per
+    entry = lambda r, before, after, done: F.struct(r["seq"].alias("seq"), r["op"].alias("op"), before.alias("before"), after.alias("after"), done.alias("done"))
+
+    def apply(entries, r):
+        before = F.coalesce(F.try_element_at(entries, F.lit(-1))["after"], none)
+        done = F.when(r["op"] == "add", before.isNull()).when(r["op"] == "remove", before.isNotNull()).otherwise(before.isNotNull() & (before != r["box"]))
+        after = F.when(~done, before).when(r["op"] == "remove", none).otherwise(r["box"])
+        return F.array_append(entries, entry(r, before, after, done))
+
+    seq = log.schema["seq"].dataType.simpleString()
+    shape = f"array<struct<seq:{seq},op:string,before:{(b := 'struct<left:double,top:double,right:double,bottom:double>')},after:{b},done:boolean>>"
+    done = folded.withColumn("e", F.explode(F.aggregate("ops", F.array().cast(shape), apply))).select("doc_id", "epoch", "element_id", "e.*")
+    return done.withColumn("problem", F.when((F.col("op") == "add") & ~F.col("done"), "already indexed"))
+
+
+def mutation_fold(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The state after a log, and each document's version and items. A clear counts one version if it finds an element."""
+    steps = graph.written(mutation_log(log), "mutations")
+    last = steps.groupBy("doc_id", "epoch", "element_id").agg(F.max_by("after", "seq").alias("box"))
+    clears = log.where("op = 'clear'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("now"))
+    ended = last.join(clears, "doc_id", "left").withColumn("now", F.coalesce("now", F.lit(0)))
+    state = ended.where((F.col("epoch") == F.col("now")) & F.col("box").isNotNull()).select("doc_id", "element_id", "box.*")
+    found = ended.where((F.col("epoch") < F.col("now")) & F.col("box").isNotNull()).groupBy("doc_id").agg(F.count_distinct("epoch").alias("clears"))
+    per = steps.groupBy("doc_id").agg(F.count_if("done").alias("changes")).join(found, "doc_id", "left").join(state.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items")), "doc_id", "left").na.fill(0)
+    return state, per.select("doc_id", (F.col("changes") + F.col("clears")).alias("version"), "items")
 
 
 def add_range(state: DataFrame, versions: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:

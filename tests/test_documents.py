@@ -30,8 +30,8 @@ def test_contours(spark):
     rows += [(2, 0, "move", P((0, 0))), (2, 1, "curve", P((1, 1), (2, 1), (3, 0))), (2, 2, "line", P((5, 0))), (2, 3, "move", P((7, 7))), (2, 4, "move", P((8, 8))), (2, 5, "line", P((9, 8)))]
     c = spark.createDataFrame([(1, 1, *r) for r in rows], "file int, page int, path int, n int, op string, points array<struct<x:double,y:double>>")
     got = {(r.path, r.contour): ([tuple(p) for p in r.points], r.is_closed, len(r.curves), r.kind) for r in paths.primitives(paths.contours(c)).collect()}
-    assert got[1, 1] == (P((0, 0), (4, 0), (4, 2), (0, 2), (0, 0), (9, 9)), True, 0, "Polyline")
-    assert got[2, 1] == (P((0, 0), (3, 0), (5, 0)), False, 1, "Bezier") and got[2, 3] == (P((8, 8), (9, 8)), False, 0, "Line") and (2, 2) not in got
+    assert got[1, 1] == (P((0, 0), (4, 0), (4, 2), (0, 2), (0, 0), (9, 9), (0, 0)), True, 0, "Polyline")
+    assert got[2, 1] == (P((0, 0), (3, 0), (5, 0)), False, 1, "Bezier") and got[2, 2] == (P((8, 8), (9, 8)), False, 0, "Line") and (2, 3) not in got
     only = paths.contours(c.where("path = 1 AND n < 5"))
     assert paths.primitives(only).first().kind == "Rectangle"
     assert sorted((r.segment, r.x1, r.y1, r.x2, r.y2) for r in paths.contour_segments(only).collect()) == [(1, 0, 0, 4, 0), (2, 4, 0, 4, 2), (3, 4, 2, 0, 2), (4, 0, 2, 0, 0)]

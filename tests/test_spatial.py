@@ -19,6 +19,19 @@ def test_grid_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_dense_cells_become_quadtrees(spark):
+    """Half of a board in one cell, some of it at one place, with boxes over all of it; tasks of the join stay small."""
+    rnd = random.Random(9)
+    spots = [(rnd.uniform(2, 3), rnd.uniform(2, 3)) for _ in range(150)] + [(2.5, 2.5)] * 60 + [(rnd.uniform(-50, 50), rnd.uniform(-50, 50)) for _ in range(150)]
+    boxes = [(x, y, x + w, y + w) for x, y in spots for w in (rnd.choice([0, 0.01, 0.3]),)] + [(-60, -60, 60, 60), (2, 2, 3, 3), (0, 0, 10, 10)]
+    asked = [(k, x, y, x + w, y + w) for k in range(80) for x, y in (rnd.choice(spots),) for w in (rnd.choice([0, 0.02, 0.5, 90]),)]
+    q = spark.createDataFrame([tuple(map(float, b)) for b in asked], "query_id double, ql double, qt double, qr double, qb double")
+    want = sorted((k, f"e{i}") for k, l, t, r, b in asked for i, (a, c, d, e) in enumerate(boxes) if a <= r and d >= l and c <= b and e >= t)
+    for dense, halvings in ((30, 12), (30, 2), (10**6, 12)):
+        got = sorted((r.query_id, r.element_id) for r in spatial.grid_join(q, board(spark, boxes), dense=dense, halvings=halvings, sampled=1.0).collect())
+        assert got == want
+
+
 def test_nearest_and_filters(spark):
     e = board(spark, [(1, 1, 3, 3), (3, 1, 5, 3), (40, 40, 41, 41)])
     assert [r.element_id for r in spatial.near(e, 2.0, 2.0, 5.0, 1).collect()] == ["e0"]
@@ -44,6 +57,8 @@ def test_statistics(spark):
 def test_mutations(spark):
     log = [(1, 1, "add", "A", 0.0), (1, 2, "add", "A", 5.0), (1, 3, "update", "A", 10.0), (1, 4, "update", "A", 10.0), (1, 5, "remove", "B", 0.0), (1, 6, "add", "B", 1.0), (1, 7, "remove", "B", 0.0)]
     df = spark.createDataFrame([(d, s, o, i, x, x, x + 1, x + 1) for d, s, o, i, x in log], "doc_id int, seq int, op string, element_id string, left double, top double, right double, bottom double")
+    problems = [(r.seq, r.problem) for r in spatial.mutation_log(df).where("problem IS NOT NULL").collect()]
+    assert problems == [(2, "already indexed")]
     state, version = spatial.mutation_fold(df)
     assert [tuple(r) for r in state.collect()] == [(1, "A", 10.0, 10.0, 11.0, 11.0)]
     assert tuple(version.first()) == (1, 4, 1)
