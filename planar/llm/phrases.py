@@ -128,7 +128,7 @@ class Numbered(dict):
 
 
 def codes_of(lists, sequence, size: int):
-    """For each place of the sequence: the number, from 1, of the phrase of `lists` (rows of k word numbers) that begins there, or 0."""
+    """For each place of the sequence: the number, from 1, of the phrase of `lists` (rows of k word numbers) that begins there, or 0. And each row's number."""
     import numpy as np
 
     k, n = lists.shape[1], len(sequence)
@@ -137,14 +137,15 @@ def codes_of(lists, sequence, size: int):
         wanted = known * size + lists[:, j]
         keys = np.unique(wanted)
         known = np.searchsorted(keys, wanted) + 1
-        here = np.flatnonzero((code[: max(n - j, 0)] > 0) & (sequence[j:] > 0))
-        asked = code[here].astype(np.int64) * size + sequence[here + j]
-        at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-        code = np.zeros(n, np.int32)
-        if len(keys):
+        before, code = code, np.zeros(n, np.int32)
+        for begin in range(0, n - j if len(keys) else 0, 1 << 20):  # in blocks, so that what is looked up stays small
+            end = min(begin + (1 << 20), n - j)
+            here = begin + np.flatnonzero((before[begin:end] > 0) & (sequence[begin + j : end + j] > 0))
+            asked = before[here].astype(np.int64) * size + sequence[here + j]
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
             hit = keys[at] == asked
             code[here[hit]] = at[hit] + 1
-    return code
+    return code, known
 
 
 def extended(words, relation, lists, more: bool):
@@ -153,20 +154,23 @@ def extended(words, relation, lists, more: bool):
     import numpy as np
 
     k, size = lists.shape[1], len(words) + 1
-    code = codes_of(lists, relation, size)
+    code, known = codes_of(lists, relation, size)
     first = np.flatnonzero((code[:-1] > 0) & (code[1:] > 0)) if len(code) > 1 else np.empty(0, np.int64)  # the phrase, and the one a word later
     key = code[first].astype(np.int64)
     key *= size
     key += relation[first + k]
-    keys, at, n = np.unique(key, return_index=True, return_counts=True)
-    found = np.stack([relation[first[at] + j] for j in range(k + 1)], axis=1) if len(keys) else np.empty((0, k + 1), np.int32)
-    phrases = words[found.astype(np.int64) - 1] if len(found) else np.empty((0, k + 1), np.int64)
+    keys, n = np.unique(key, return_counts=True)
+    row = np.zeros(int(known.max(initial=0)) + 1, np.int64)
+    row[known] = np.arange(len(known))
+    found = np.concatenate([lists[row[keys // size]], (keys % size)[:, None]], axis=1)
+    del key, code
+    phrases = words[found - 1]
     if not more or not len(first):
         return None, None, phrases, n
     change = np.zeros(len(relation) + 1, np.int32)  # words of any extended phrase stay, runs of others become one zero
-    np.add.at(change, first, 1)
-    np.add.at(change, first + k + 1, -1)
-    left = np.where(np.cumsum(change[:-1]) > 0, relation, 0)
+    change[first] += 1
+    change[first + k + 1] -= 1
+    left = np.where(np.cumsum(change[:-1], dtype=np.int32) > 0, relation, 0)
     left = left[(left > 0) | np.concatenate([[True], left[:-1] > 0])]
     used = np.unique(left)
     used = used[used > 0]
