@@ -290,12 +290,15 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, ch
         .withColumn("score", F.expr(f"CAST({SCALE} * CAST(a AS DECIMAL(20, 0)) DIV (CAST(l AS DECIMAL(20, 0)) + r) AS BIGINT)"))
     )
     left = scored.groupBy("phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("c")).select("phrase", "c.score", "c.a", "c.l", "c.r")
+    # Of a lang only what can be among the best is spelled: by score and count, ties included, first within salted groups.
+    best = left.join(words.select(F.col("word_id").alias("w"), "lang"), F.col("phrase")[0] == F.col("w")).drop("w")
+    order = [F.col("score").desc(), F.col("a").desc()]
+    for salt in ([F.pmod(F.xxhash64("phrase"), F.lit(RANK_SALTS))], []):
+        best = best.withColumn("rank", F.rank().over(Window.partitionBy("lang", *salt).orderBy(*order))).where(F.col("rank") <= top)
     spelled = (
-        left.select("phrase", F.posexplode("phrase").alias("at", "word_id")).join(words.select("word_id", "lang", "word"), "word_id")
-        .groupBy("phrase").agg(F.min("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"))
+        best.select("phrase", F.posexplode("phrase").alias("at", "word_id")).join(words.select("word_id", "word"), "word_id")
+        .groupBy("phrase").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("text"))
     )
-    rows = left.join(spelled, "phrase").select("lang", F.col("text").alias("phrase"), "a", "l", "r", "score")
-    order = [F.col("score").desc(), F.col("a").desc(), "phrase"]
-    for salt in ([F.pmod(F.xxhash64("phrase"), F.lit(RANK_SALTS))], []):  # a lang's rows are cut within salted groups first
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *salt).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    rows = best.join(spelled, "phrase").select("lang", F.col("text").alias("phrase"), "a", "l", "r", "score")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long")).where(F.col("rank") <= top)
     return rows.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
