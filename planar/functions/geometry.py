@@ -205,4 +205,4 @@ def stem(path: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"(\.[^./?#]+)(?:[?#].*)?$", 1))
+    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))

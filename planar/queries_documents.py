@@ -19,7 +19,7 @@ _readers = ", ".join(f"('{e}', '{name}', {k})" for k, (name, all_) in enumerate(
 
 
 @query(rf"""WITH p AS (SELECT p_partkey AS file, 'dir.d/' || p_name || [{", ".join(f"'{e}'" for e in ENDINGS)}][p_partkey % {len(ENDINGS)} + 1] AS path FROM part),
-x AS (SELECT *, lower(regexp_extract(path, '(\.[^./?#]+)(?:[?#].*)?$', 1)) AS ending FROM p), k(ending, format, category, o) AS (VALUES {_known}), r(ending, reader, o) AS (VALUES {_readers})
+x AS (SELECT *, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS ending FROM p), k(ending, format, category, o) AS (VALUES {_known}), r(ending, reader, o) AS (VALUES {_readers})
 SELECT file, ending, k.format, k.category, r.reader, regexp_extract(path, '([^/]*?)(\.[^./]*)?$', 1) AS stem FROM x LEFT JOIN k USING (ending) LEFT JOIN r USING (ending)""")
 def q_format_detection(spark, d):
     """Formats and readers of paths; only readers know .gko and .exc, only the table of formats .gts, .pbr and .tar."""
@@ -28,6 +28,8 @@ def q_format_detection(spark, d):
     return p.select("file", g.extension(F.col("path")).alias("ending"), "found.format", "found.category", formats.reader(F.col("path")).alias("reader"), g.stem(F.col("path")).alias("stem"))
 
 
+#: Flags and pages of inspected documents.
+FLAGS = ("pdf", "encrypted", "form", "xfa", "dot_ret", "pages")
 MARKS = ("%PDF-1.7", "/AcroForm", "/XFA dynamicRender", "/Encrypt", "/XFA", "/Type /Page /Type /Pages /Type /Page", "/DotRet", "")
 
 
@@ -46,6 +48,17 @@ def q_format_inspection(spark, d):
     return found.select("doc_id", *flags, boards.viewable(F.col("type")).alias("viewable"), boards.analysable(F.col("type"), F.when(F.col("dot_ret"), False)).alias("analysable"))
 
 
+@query(rf"""WITH m AS (SELECT page_id AS doc_id, CASE WHEN page_id % 11 = 0 THEN '' ELSE '%PDF-' END || [{", ".join(f"'{m}'" for m in MARKS)}][page_id % 8 + 1] || html AS content FROM pages)
+SELECT doc_id, contains(content, '%PDF-') AS pdf, contains(content, '/Encrypt') AS encrypted, contains(content, '/AcroForm') AS form, contains(content, '/XFA') AS xfa, contains(content, '/DotRet') AS dot_ret,
+greatest(1, (length(content) - length(replace(content, '/Type /Page', ''))) // 11 - (length(content) - length(replace(content, '/Type /Pages', ''))) // 12)::INT AS pages FROM m""")
+def q_line_inspection(spark, d):
+    """The same flags from the lines of documents, as files that are split are read."""
+    key = F.col("page_id")
+    content = F.concat(F.when(key % 11 == 0, "").otherwise("%PDF-"), data.pick(MARKS, key % 8), "html")
+    lines = table(spark, d, "pages").select(key.alias("doc_id"), F.explode(F.split(content, "\n")).alias("content"))
+    return boards.inspect_lines(lines).select("doc_id", *FLAGS)
+
+
 def commands(spark, d):
     """A path for each order, a command for each of its lines in order: a second move in every third order, curves, closes; every fourth order draws a rectangle, side by side."""
     lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")

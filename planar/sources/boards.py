@@ -144,10 +144,18 @@ def eagle(files: DataFrame) -> dict[str, DataFrame]:
     return {"components": parts, "tracks": tracks}
 
 
+def _ipc_root() -> Column:
+    return F.contains(F.upper(F.regexp_extract("content", r"(?s)<(?![?!])(?:[\w.-]+:)?([\w.-]+)", 1)), F.lit("IPC"))
+
+
+def ipc2581_errors(files: DataFrame) -> DataFrame:
+    """doc_id and error of files whose root is another."""
+    return files.where(~F.coalesce(_ipc_root(), F.lit(False))).select("doc_id", F.lit("the root is not IPC-2581").alias("error"))
+
+
 def ipc2581(files: DataFrame) -> dict[str, DataFrame]:
     """Components and nets of files whose root's name holds IPC."""
-    root = F.regexp_extract("content", r"(?s)<(?![?!])(?:[\w.-]+:)?([\w.-]+)", 1)
-    own = files.where(F.contains(F.upper(root), F.lit("IPC")))
+    own = files.where(_ipc_root())
     a = lambda n: F.col("attributes")[n]
     c = tags(own, "Component|ComponentInstance").withColumn("no", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")))
     named = F.coalesce(a("refDes"), a("name"))
@@ -159,8 +167,8 @@ def ipc2581(files: DataFrame) -> dict[str, DataFrame]:
     return {"components": parts, "nets": nets(n)}
 
 
-def odb_layers(archives: DataFrame) -> DataFrame:
-    """Layers (doc_id, layer_id, name, ord) of zipped ODB++ jobs (doc_id, content binary); listing a zip has no built-in, so it is one small Python step."""
+def odb_entries(archives: DataFrame) -> DataFrame:
+    """doc_id, k and entry of zipped jobs (doc_id, content binary), or broken; listing a zip has no built-in, so it is one small Python step."""
 
     def entries(batches):
         import io
@@ -169,18 +177,39 @@ def odb_layers(archives: DataFrame) -> DataFrame:
         import pandas as pd
 
         for b in batches:
-            out = [(d, k, n) for d, c in zip(b.doc_id, b.content) for k, n in enumerate(zipfile.ZipFile(io.BytesIO(c)).namelist())]
-            yield pd.DataFrame(out, columns=["doc_id", "k", "entry"])
+            out = []
+            for d, c in zip(b.doc_id, b.content):
+                try:
+                    out += [(d, k, n, False) for k, n in enumerate(zipfile.ZipFile(io.BytesIO(c)).namelist())]
+                except zipfile.BadZipFile:
+                    out.append((d, 0, None, True))
+            yield pd.DataFrame(out, columns=["doc_id", "k", "entry", "broken"])
 
     kind = dict(archives.dtypes)["doc_id"]
-    e = archives.select("doc_id", "content").mapInPandas(entries, f"doc_id {kind}, k long, entry string").where(F.contains(F.lower("entry"), F.lit("/layers/")))
-    e = e.withColumn("name", F.regexp_extract("entry", r"(?i)(?:^|/)layers/([^/]*)", 1)).where(F.trim("name") != "")
-    first = e.groupBy("doc_id", F.lower("name").alias("low")).agg(F.min(F.struct("k", "name")).alias("f"))
+    return archives.select("doc_id", "content").mapInPandas(entries, f"doc_id {kind}, k long, entry string, broken boolean")
+
+
+def _layer_entries(archives: DataFrame) -> DataFrame:
+    e = odb_entries(archives).where(F.contains(F.lower("entry"), F.lit("/layers/")))
+    return e.withColumn("name", F.regexp_extract("entry", r"(?i)(?:^|/)layers/([^/]*)", 1)).where(F.trim("name") != "")
+
+
+def odb_layers(archives: DataFrame) -> DataFrame:
+    """Layers (doc_id, layer_id, name, ord) of zipped ODB++ jobs; names that differ by case only are one."""
+    first = _layer_entries(archives).groupBy("doc_id", F.lower("name").alias("low")).agg(F.min(F.struct("k", "name")).alias("f"))
     return first.select("doc_id", F.concat(F.lit("odb-"), "low").alias("layer_id"), F.col("f.name").alias("name"), (F.lit(99) + F.row_number().over(Window.partitionBy("doc_id").orderBy("f.k"))).alias("ord"))
 
 
+def odb_errors(archives: DataFrame) -> DataFrame:
+    """doc_id and error of archives that are broken or have no layers."""
+    broken = odb_entries(archives).where("broken").select("doc_id", F.lit(True).alias("broken"))
+    none = archives.select("doc_id").join(_layer_entries(archives).select("doc_id"), "doc_id", "left_anti").join(broken, "doc_id", "left")
+    return none.select("doc_id", F.when(F.col("broken"), "broken archive").otherwise("no layers in the archive").alias("error"))
+
+
 #: Tokens of a document's bytes that tell its kind.
 TOKENS = {"pdf": "%PDF-", "encrypted": "/Encrypt", "form": "/AcroForm", "xfa": "/XFA", "dynamic": "dynamicRender", "wait": "Please wait", "dot_ret": "/DotRet"}
+PAGE_MARK = r"/Type /Page(?!s)"
 #: Types that the built-in viewer shows, and that can be analysed.
 VIEWABLE, ANALYSABLE = ("Standard", "ImageOnly", "Technical", "AcroForm"), ("Standard", "Technical", "AcroForm")
 
@@ -188,10 +217,23 @@ VIEWABLE, ANALYSABLE = ("Standard", "ImageOnly", "Technical", "AcroForm"), ("Sta
 def inspect(files: DataFrame, tokens: dict[str, str] = TOKENS) -> DataFrame:
     """Flags of the tokens that content (string or binary) holds, and the page count: /Type /Page not followed by s, one at least."""
     text = F.decode("content", "ISO-8859-1") if dict(files.dtypes)["content"] == "binary" else F.col("content")
-    pages = F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"/Type /Page(?!s)")))
+    pages = F.greatest(F.lit(1), F.regexp_count(text, F.lit(PAGE_MARK)))
     return files.select("doc_id", *[F.contains(text, F.lit(t)).alias(n) for n, t in tokens.items()], pages.alias("pages"))
 
 
+def byte_lines(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id and content of the lines of files of any size and kind. Spark splits the files by ranges of bytes and takes a line to the split in which it
+    begins; its bytes stay as they are. No token holds a line's end, so no token is lost between splits."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("content"))
+
+
+def inspect_lines(lines: DataFrame, tokens: dict[str, str] = TOKENS) -> DataFrame:
+    """As inspect(), from the lines (doc_id, content) of each document: flags and counts are merged before and after one exchange."""
+    flags = [F.coalesce(F.bool_or(F.contains("content", F.lit(t))), F.lit(False)).alias(n) for n, t in tokens.items()]
+    pages = F.greatest(F.lit(1), F.sum(F.regexp_count("content", F.lit(PAGE_MARK)))).cast("int")
+    return lines.groupBy("doc_id").agg(*flags, pages.alias("pages"))
+
+
 def document_type(vectors: Column, words: Column) -> Column:
     """The type of an inspected document; the first that holds. A document with the malformed name that breaks decoders counts as standard, by its raw page count."""
     c = F.col
