@@ -28,9 +28,9 @@ MIN_COUNT, LONGEST, TOP = 30, 4, 2000
 #: Percent of a phrase's count that a longer one around it must have to take its place.
 COVERED = 80
 SCALE = 2_000_000
-CHUNK_WORDS, PART_BYTES = 4_000_000, 1 << 24
+CHUNK_WORDS, PART_BYTES = 2_000_000, 1 << 24
 #: Chunk sizes up to which relations are put together before the second and the third round, as fewer and fewer of their words begin a phrase.
-TOGETHER = (1, 3)
+TOGETHER = (2, 6)
 #: Bytes that end a piece become one of them; it stands as a word of its own, with number 0.
 END = b"."
 ENDS = bytes(END[0] if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -38,8 +38,12 @@ ENDS = bytes(END[0] if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 CHUNKS_IN_PARTITION = 1 << 11
 RANK_SALTS = 64
 IDS = [f"w{j + 1}" for j in range(LONGEST)]
-#: A row of a round: a chunk's relation (words: its word ids, relation: n numbers into them), or the word ids of a phrase and its count n in the chunk.
-ROUND = "chunk long, words binary, relation binary, " + ", ".join(f"{w} long" for w in IDS) + ", n long"
+
+
+def round_schema(k: int) -> str:
+    """A row of the round that makes phrases of k words: a chunk's relation (words: its word ids, relation: n numbers into them), or the word ids of a phrase
+    and its count n in the chunk."""
+    return "chunk long, words binary, relation binary, " + ", ".join(f"{w} long" for w in IDS[:k]) + ", n long"
 
 
 def compressed(x) -> bytes:
@@ -183,12 +187,14 @@ def _rows(chunk: int, words, relation, phrases, n):
     import numpy as np
     import pyarrow as pa
 
-    ids = [pa.array(np.ascontiguousarray(phrases[:, j])) if j < phrases.shape[1] else pa.nulls(len(n), pa.int64()) for j in range(LONGEST)]
-    names = ["chunk", "words", "relation", *IDS, "n"]
+    pa.default_memory_pool().release_unused()
+    k = phrases.shape[1]
+    ids = [pa.array(np.ascontiguousarray(phrases[:, j])) for j in range(k)]
+    names = ["chunk", "words", "relation", *IDS[:k], "n"]
     nulls = pa.nulls(len(n), pa.binary())
     out = [pa.table([pa.array(np.full(len(n), chunk)), nulls, nulls, *ids, pa.array(n.astype(np.int64))], names=names)]
     if relation is not None:
-        none = [pa.nulls(1, pa.int64())] * LONGEST
+        none = [pa.nulls(1, pa.int64())] * k
         out.append(pa.table([pa.array([chunk]), pa.array([compressed(words)]), pa.array([compressed(relation)]), *none, pa.array([len(relation)], pa.int64())], names=names))
     return pa.concat_tables(out)
 
@@ -256,7 +262,7 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_
     relations, phrases, of = chunks.where("relation IS NOT NULL").select("chunk", "relation"), None, first_round
     frequent = frequent.select("chunk", "place", "word_id")
     for k in range(1, LONGEST):
-        done, ids = stored(relations.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(of, ROUND), f"round-{k}"), IDS[: k + 1]
+        done, ids = stored(relations.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(of, round_schema(k + 1)), f"round-{k}"), IDS[: k + 1]
         rows = done.where("relation IS NULL").select("chunk", *ids, "n")
         if k + 1 < LONGEST:
             # Chunks in their order, put together; a row of 16 bytes for each chunk of some million words is broadcast.
