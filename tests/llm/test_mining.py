@@ -216,3 +216,19 @@ def test_registered(spark):
         own = [c[0] for c in found.description]
         assert sorted(own) == sorted(got.columns)
         assert sorted(repr(tuple(r[c] for c in own)) for r in got.collect()) == sorted(map(repr, found.fetchall()))
+
+
+def test_rows_without_an_id_are_decontaminated(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    items = [" ".join(word() for _ in range(20)) for _ in range(4)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    held = [f"{clean[k]} {items[k]} {clean[k + 1]}" for k in range(4)]
+    rows = [(None, held[0], "x"), (1, held[1], "x"), (None, held[2], "x"), (2, clean[0], "x"), (None, clean[1], "x"), (None, None, "x"), (None, "", "x"), (3, held[3], "x"), (None, clean[1], "x")]
+    d = docs(spark, rows).withColumn("key", F.lit("own"))
+    got = corpus_pipeline.without_benchmark(spark, d, str(tmp_path))
+    assert got.columns == d.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(2, clean[0]), (None, clean[1]), (None, clean[1]), (None, None), (None, "")])
