@@ -196,7 +196,8 @@ def _rows(chunk: int, words, relation, phrases, n):
     if relation is not None:
         none = [pa.nulls(1, pa.int64())] * k
         out.append(pa.table([pa.array([chunk]), pa.array([compressed(words)]), pa.array([compressed(relation)]), *none, pa.array([len(relation)], pa.int64())], names=names))
-    return pa.concat_tables(out)
+    batches = [b for t in out for b in t.to_batches(max_chunksize=1 << 16)]  # each is sent by itself, so that neither side holds the whole
+    return pa.Table.from_batches(batches, schema=out[0].schema)
 
 
 def first_round(chunks, frequent):
