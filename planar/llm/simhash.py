@@ -8,7 +8,8 @@ block is a shard key. Every shard with two members or more has a BK-tree in the
 forest of the shard, so that their number is bounded by its rows. A shard over `split_over` fingerprints is dealt on by pairs of radius + 2 blocks
 of the bits turned, again without a loss, before a tree is built.
 
-similar_groups, the pipeline's stage, takes several fingerprints of a text's set of shingles through such shards and verifies what they bring together by exact Jaccard similarity.
+similar_groups, the pipeline's stage, shards texts by bands of minimum hashes of their sets of shingles, searches the fingerprints of a shard by BK-trees where its members
+are not joined yet, and verifies what comes together by exact Jaccard similarity.
 
 Components are found by alternating rounds over links, each node towards the least doc_id it sees, checkpointed in the shared folder.
 
@@ -20,6 +21,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,9 +32,10 @@ from planar.llm.common import integer_key, stored, text_bytes
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 SPLIT_OVER = 4096
-#: similar_groups: texts at a Jaccard similarity of 0.8 differ in 15 % of the bits (9.7 of 64, deviation 2.9). One fingerprint's shards (2 of 8 blocks) bring such a pair
-#: together in 68 % of cases, PRINTS of them in over 99 %. Bounds: bits of one fingerprint, of two, of all; they lie over three deviations above the mean.
-PRINTS, BLOCK_RADIUS, OWN_BITS, PAIR_BITS, ALL_BITS, DEAL = 5, 6, 22, 38, 100, 8
+#: similar_groups: BANDS bands of ROWS minimum hashes. Sets at a Jaccard similarity of 0.8 share a band in all but 0.04 % of cases, (1 - 0.8^5)^20, and sets that share
+#: a tenth in 0.02 %. Large sets at 0.8 differ in 15 % of the bits of a fingerprint (9.7 of 64, deviation 2.9), sets of four and five shingles in 19 % (12, deviation 3.1): the
+#: bounds for one fingerprint and for all PRINTS lie over 3.8 deviations above both.
+BANDS, ROWS, PRINTS, OWN_BITS, ALL_BITS, DEAL, STARS = 20, 5, 2, 24, 42, 8, 2
 
 
 def shingle_hashes(text: bytes, shingle: int):
@@ -279,8 +282,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(named, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@functools.cache
+def multipliers():
+    """Odd numbers, one for each minimum hash."""
+    import numpy as np
+
+    return np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_hashes(hashes):
+    """A hash of each band of minimum hashes of a set of shingle hashes; zeros for an empty set."""
+    import numpy as np
+
+    if not len(hashes):
+        return np.zeros(BANDS, np.uint64)
+    by = multipliers()
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        for at in range(0, len(mixed), 1024):
+            least = np.minimum(least, (mixed[at : at + 1024, None] * by).min(axis=0))
+        out = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for column in least.reshape(BANDS, ROWS).T:
+            out = (out ^ column ^ (column >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+    return out
+
+
 def with_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row (a hash of id and text), node (a hash of the set of shingles) and prints (PRINTS fingerprints of the set)."""
+    """doc_id, row (a hash of id and text), node (a hash of the set of shingles), prints (PRINTS fingerprints of the set) and bands."""
     text = F.col("text").cast("string")
     rows = docs.select(integer_key(docs), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"))
 
@@ -293,59 +323,82 @@ def with_prints(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t, shingle)) for t in text_bytes(b.column(2))]
             node = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             prints = pa.array([seeded_fingerprints(x, PRINTS).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), prints], names=["doc_id", "row", "node", "prints"])
+            bands = pa.array([band_hashes(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), prints, bands], names=["doc_id", "row", "node", "prints", "bands"])
+
+    return rows.mapInArrow(batches, "doc_id long, row long, node long, prints array<long>, bands array<long>")
+
+
+def dealt_join(rows: DataFrame, shards_: DataFrame) -> DataFrame:
+    """rows (shard, id, ...) with the columns of shards_, one row a shard; a shard's rows are dealt by their ids."""
+    shards_ = shards_.withColumn("deal", F.explode(F.array(*[F.lit(k) for k in range(DEAL)])))
+    return rows.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(DEAL)).cast("int")).join(shards_, ["shard", "deal"]).drop("deal")
+
 
-    return rows.mapInArrow(batches, "doc_id long, row long, node long, prints array<long>")
+def unlike_shards(members: DataFrame) -> DataFrame:
+    """members (shard, band, id, component) of the shards with members of two components or more."""
+    kinds = members.groupBy("shard").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shard")
+    return dealt_join(members, kinds)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes (id, component, prints) of unlike components that share a shard of one of their fingerprints and lie
-    within OWN_BITS by it and within PAIR_BITS by it and the next one. Without a column `component`, large shards pair each node with the least near it only."""
-    every = "component" in nodes.columns
+def star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a < b) of each member of a shard and the shard's centre, the least by a hash that changes with `turn`, of unlike components."""
+    order = F.xxhash64("id", F.lit(turn))
+    centre = members.groupBy("shard").agg(F.min(F.struct(order.alias("h"), F.col("id").alias("centre"), F.col("component").alias("its"))).alias("c"), F.count(F.lit(1)).alias("n"))
+    pairs = dealt_join(members, centre.where("n > 1").select("shard", "c.centre", "c.its")).where("component <> its")
+    return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
-    def dealt_by(k: int):
-        one, two = F.col("prints")[k], F.col("prints")[(k + 1) % PRINTS]
-        return F.transform(shard_keys(one, BLOCK_RADIUS, 2), lambda x: F.struct(F.xxhash64(F.lit(k), x).alias("shard"), one.alias("one"), two.alias("two")))
 
-    keys = F.flatten(F.array(*[dealt_by(k) for k in range(PRINTS)]))
-    dealt = nodes.select("id", *(["component"] if every else []), F.explode(keys).alias("k")).select("k.shard", "id", "k.one", "k.two", *(["component"] if every else []))
+def tree_pairs(members: DataFrame, nodes: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
+    """Distinct pairs (a < b) of members of a shard of unlike components that lie within OWN_BITS by one fingerprint and ALL_BITS by all.
+
+    Such a pair has a member outside the shard's largest component, so these members alone search the BK-tree of the shard's fingerprints. A shard of over
+    `split_over` members has as many trees as keep each below that, and its searchers go to each of them in runs of that size.
+    """
+    sizes = stored(members.groupBy("shard", "component").agg(F.count(F.lit(1)).alias("n")), "shard-sizes")
+    whole = sizes.groupBy("shard").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"))
+    parts = lambda n: F.greatest(F.ceil(n / split_over), F.lit(1)).cast("int")
+    whole = whole.select("shard", F.col("most.component").alias("main"), parts(F.col("all")).alias("trees"), parts(F.col("all") - F.col("most.n")).alias("runs"))
+    rows = dealt_join(members, whole).join(nodes.select("id", "prints"), "id")
+    one = F.element_at("prints", (F.col("band") % PRINTS + 1).cast("int"))
+    two = F.element_at("prints", ((F.col("band") + 1) % PRINTS + 1).cast("int"))
+    rows = rows.select("shard", "id", "component", one.alias("one"), two.alias("two"), (F.col("component") != F.col("main")).alias("asks"), "trees", "runs")
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
+    cell = lambda tree, run: F.xxhash64("shard", tree, run).alias("cell")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = ("id", "component", "one", "two")
+    held = rows.withColumn("tree", own("trees")).withColumn("run", every("runs")).select(cell("tree", "run"), *rest, F.lit(0).cast("long").alias("asks"))
+    asked = rows.where("asks").withColumn("run", own("runs")).withColumn("tree", every("trees")).select(cell("tree", "run"), *rest, F.lit(1).cast("long").alias("asks"))
 
     def compared(batches: Iterator) -> Iterator:
         import numpy as np
 
-        def near(roots, ids, one, two):
-            """Places (x, y) of members of a shard within the bounds, by its tree: every pair, or each member and the least that is near it."""
-            order = np.lexsort((one, roots))
-            new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (roots[order][1:] != roots[order][:-1])])
-            first = np.flatnonzero(new)  # of the members with one value of a shard, in order
-            times, value = np.diff(np.append(first, len(order))), one[order[first]]
-            own = np.searchsorted(roots[order[first]], roots)  # the tree of each member, among distinct values
-            trees = BKTrees(value, own[order[first]])
-            for lo, hi in steps(roots):
-                q, v = trees.search(one[lo:hi], own[lo:hi], OWN_BITS)
-                n = times[v]
-                x = np.repeat(q + lo, n)
-                y = order[np.repeat(first[v] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                close = (x != y) & (np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= PAIR_BITS)
-                x, y = x[close], y[close]
-                if every:
-                    yield x[x < y], y[x < y]
-                    continue
-                least = np.lexsort((ids[y], x))
-                x, at = np.unique(x[least], return_index=True)
-                yield x, y[least][at]
-
         def found():
-            for roots, ids, one, two, *component in shards(batches, 5 if every else 4):
-                for x, y in near(roots, ids, one.view(np.uint64), two.view(np.uint64)):
-                    if every:
-                        unlike = component[0][x] != component[0][y]
-                        x, y = x[unlike], y[unlike]
+            for roots, ids, component, one, two, asks in shards(batches, 6):
+                one, two = one.view(np.uint64), two.view(np.uint64)
+                held_, q = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
+                if not len(held_) or not len(q):
+                    continue
+                order = held_[np.lexsort((one[held_], roots[held_]))]  # the members by cell and fingerprint
+                new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (roots[order][1:] != roots[order][:-1])])
+                first = np.flatnonzero(new)
+                times, value, cells = np.diff(np.append(first, len(order))), one[order[first]], roots[order[first]]
+                own_ = np.searchsorted(cells, cells)  # each value's tree: the first value of its cell
+                at = np.searchsorted(cells, roots[q])
+                has = (at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == roots[q])
+                q, at = q[has], at[has]
+                trees = BKTrees(value, own_)
+                for lo in range(0, len(q), 256):
+                    x, v = trees.search(one[q[lo : lo + 256]], at[lo : lo + 256], OWN_BITS)
+                    n = times[v]
+                    x, y = np.repeat(q[lo : lo + 256][x], n), order[np.repeat(first[v] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    close = (component[x] != component[y]) & (np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= ALL_BITS)
+                    x, y = x[close], y[close]
                     yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
 
         yield from pair_batches(found())
 
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(compared, "a long, b long").distinct()
+    return held.unionByName(asked).repartition("cell").sortWithinPartitions("cell").mapInArrow(compared, "a long, b long").distinct()
 
 
 def beside(pairs: DataFrame, rows: DataFrame, side: str) -> DataFrame:
@@ -394,23 +447,30 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return both.select("a", "b", "p", "q").mapInArrow(alike, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, shingle: int, similar: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int, similar: float = 0.8, split_over: int = SPLIT_OVER) -> DataFrame:
     """doc_id and component_id of each document: groups joined by pairs of texts whose shingle sets have a Jaccard similarity of `similar` or more.
 
-    Texts with one set are one node. Candidates are the pairs within a shard of any of PRINTS fingerprints, and each is verified with the sets themselves. So that a
-    large group doesn't meet in pairs, every node is linked to its least neighbours first; then only nodes that the verified links leave in
-    unlike groups are met in full.
+    Texts with one set are one node. Shards are the bands of a set's minimum hashes; they grow in number with the corpus, and a shard holds similar sets only. So that a
+    large group doesn't meet in pairs, the members of a shard meet its centre first, in STARS turns with other centres; what the verified links leave in unlike
+    groups is found by the shard's BK-trees. Each pair is verified with the sets themselves.
     """
     prints = stored(with_prints(docs, shingle), "prints")
-    nodes = prints.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.first("prints").alias("prints"))
+    nodes = prints.groupBy(F.col("node").alias("id")).agg(F.min("doc_id").alias("doc"), F.min("row").alias("row"), F.first("prints").alias("prints"), F.first("bands").alias("bands"))
     # A node whose documents all lack an id counts under a negative stand-in.
     nodes = stored(nodes.withColumn("doc", F.coalesce("doc", F.lit(-(2**62)) - F.abs(F.col("id") % 2**60))), "print-nodes")
-    pairs = stored(candidates(nodes), "candidates")
-    alike = stored(verified(pairs, nodes, docs, shingle, similar), "similar-pairs")
-    near = nodes.join(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "id", "left_semi")
-    near = stored(near.join(components(alike), "id", "left").select("id", "prints", F.coalesce("component", "id").alias("component")), "near-nodes")
-    rest = candidates(near).join(pairs, ["a", "b"], "left_anti")
-    alike = alike.union(verified(rest, nodes, docs, shingle, similar))
+    dealt = nodes.select("id", F.posexplode("bands").alias("band", "shard"))
+    many = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard")
+    dealt = stored(dealt_join(dealt, many), "shard-members")
+    members, alike, met = dealt.withColumn("component", F.col("id")), None, None
+    for turn in range(STARS + 1):
+        if turn:
+            groups = components(alike)
+            members = stored(unlike_shards(dealt.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))), "unlike-members")
+        pairs = star_pairs(members, turn) if turn < STARS else tree_pairs(members, nodes, split_over)
+        pairs = stored(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "candidates")
+        met = pairs if met is None else met.unionByName(pairs)
+        links_ = stored(verified(pairs, nodes, docs, shingle, similar), "similar-pairs")
+        alike = links_ if alike is None else alike.unionByName(links_)
     named = nodes.select("id", "doc")
     edges = alike.join(named.select(F.col("id").alias("a"), F.col("doc").alias("x")), "a").join(named.select(F.col("id").alias("b"), F.col("doc").alias("y")), "b")
     found = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))

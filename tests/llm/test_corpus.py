@@ -92,8 +92,11 @@ def test_near_duplicates(spark, split_over):
     assert simhash.near_duplicates(docs(spark, rows).where("false")).count() == 0
 
 
-def test_similar_groups_reach_080(spark):
-    """Pairs planted at a Jaccard similarity of 0.80 to 0.90, and under 0.8, against exact sets."""
+@pytest.mark.parametrize("stars, split_over", [(2, 4096), (0, 4096), (1, 7)])
+def test_similar_groups_reach_080(spark, monkeypatch, stars, split_over):
+    """Pairs planted at a Jaccard similarity of 0.80 to 0.90, and under 0.8, against exact sets: by centres and trees, by trees alone, and by trees of seven members."""
+    monkeypatch.setattr(simhash, "STARS", stars)
+    monkeypatch.setattr(simhash, "SPLIT_OVER", split_over)
     rnd = random.Random(21)
     rows, edits = list(EDGES), {100: 2, 200: 4, 300: 6, 1000: 19}
     for k in range(80):
@@ -111,10 +114,32 @@ def test_similar_groups_reach_080(spark):
     want = collections.Counter()
     for k, i in enumerate(ids):
         want[i, min((ids[j] for j in range(len(ids)) if label[j] == label[k] and ids[j] is not None), default=None)] += 1
-    got = simhash.similar_groups(docs(spark, rows), corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SIMILAR).collect()
+    got = simhash.similar_groups(docs(spark, rows), corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SIMILAR, split_over).collect()
     assert collections.Counter((r.doc_id, r.component_id) for r in got) == want
-    kept = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs(spark, rows), "").select("doc_id").collect()}
-    assert kept == {least if i is not None else None for i, least in want}
+    rows += [(None, rows[len(EDGES)][1]), (None, prose(rnd, 90))]  # a copy without an id, and a text of its own
+    kept = corpus_pipeline.one_of_each_group(spark, docs(spark, rows), "").collect()
+    assert {r.doc_id for r in kept} == {least if i is not None else None for i, least in want}
+    assert sorted(r.text for r in kept if r.doc_id is None) == sorted([EDGES[0][1], rows[-1][1]])
+
+
+def test_bands_tell_similarity(spark):
+    """Sets at 0.8 share a band, strangers none: what is compared does not grow with the number of strangers."""
+    rnd = np.random.default_rng(5)
+    shared = apart = 0
+    for _ in range(300):
+        base = rnd.integers(0, 2**63, 90, dtype=np.uint64)
+        a, b, c = base, np.concatenate([base[:80], rnd.integers(0, 2**63, 10, dtype=np.uint64)]), rnd.integers(0, 2**63, 90, dtype=np.uint64)
+        shared += bool((simhash.band_hashes(a) == simhash.band_hashes(b)).any())
+        apart += bool((simhash.band_hashes(a) == simhash.band_hashes(c)).any())
+    assert shared >= 298 and apart == 0 and not simhash.band_hashes(base[:0]).any()
+    pairs = []
+    for n in (100, 400):
+        texts = random.Random(8)
+        rows = [(k, prose(texts, 120)) for k in range(n)]
+        rows += [(1000 + k, edited(texts, t, 1)) for k, t in rows[:50]]
+        nodes = simhash.with_prints(docs(spark, rows), 5).select(F.col("node").alias("id"), F.posexplode("bands").alias("band", "shard"))
+        pairs.append(simhash.star_pairs(nodes.withColumn("component", F.col("id")), 0).count())
+    assert pairs[0] <= pairs[1] <= pairs[0] + 2 and pairs[0] >= 48
 
 
 def test_a_chain_is_one_component(spark):
