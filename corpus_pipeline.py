@@ -21,6 +21,17 @@ from planar.llm.common import free_name, stored, table
 SHINGLE_WORDS, SIMILAR = 5, 0.8
 
 
+#: Rows of an Arrow batch. A batch stands in Spark's and in the worker's memory at once, and 10,000 whole texts of 5 kB, Spark's own setting, make 50 MB several times over.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """The pipeline's session passes texts in small batches; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def named(sign: int) -> Column:
     """doc_id, and for rows without one a number from their text with the bit of `sign` set: above (2**62) or below (-(2**63)) usual ids."""
     own = F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(sign))
@@ -29,11 +40,13 @@ def named(sign: int) -> Column:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as label 1."""
+    small_batches(spark)
     return quality.kept(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near-duplicates."""
+    small_batches(spark)
     key, copy = free_name(docs, "key"), free_name(docs, "copy")
     rows = docs.withColumn(key, named(2**62))
     groups = simhash.similar_groups(rows.withColumn("doc_id", F.col(key)), SHINGLE_WORDS, SIMILAR)
@@ -44,6 +57,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     key = free_name(docs, "key")
     rows = docs.withColumn(key, named(-(2**63)))
     hit = decontamination.contaminated(rows.withColumn("doc_id", F.col(key)), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
@@ -52,12 +66,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents cut and repeated as the source weights ask; n_chars follows the text."""
+    small_batches(spark)
     out = mixing.mixed_documents(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files' digests, read back by key."""
+    small_batches(spark)
     return token_files.token_files(docs)
 
 

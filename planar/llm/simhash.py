@@ -36,6 +36,8 @@ SPLIT_OVER = 4096
 #: a tenth in 0.02 %. Large sets at 0.8 differ in 15 % of the bits of a fingerprint (9.7 of 64, deviation 2.9), sets of four and five shingles in 19 % (12, deviation 3.1): the
 #: bounds for one fingerprint and for all PRINTS lie over 3.8 deviations above both.
 BANDS, ROWS, PRINTS, OWN_BITS, ALL_BITS, DEAL, STARS = 20, 5, 2, 24, 42, 8, 2
+#: Pairs of a searcher and a member of its tree that a worker holds at once.
+PAIRS = 1 << 17
 
 
 def shingle_hashes(text: bytes, shingle: int):
@@ -143,16 +145,29 @@ class BKTrees:
         return np.concatenate([x for x, _ in found] or [q]), np.concatenate([x for _, x in found] or [q])
 
 
-def steps(roots, most: int = 1 << 20) -> list[tuple[int, int]]:
-    """Ranges of queries whose trees have `most` members together, or single queries of larger trees' share."""
+def within(size, most: int) -> list[tuple[int, int]]:
+    """Ranges of consecutive queries that meet `most` members together, or little more; size: the members that each meets."""
     import numpy as np
 
-    size = np.bincount(roots, minlength=len(roots))[roots]
     group = (np.cumsum(size) - size) // most
-    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(roots) else np.zeros(1, np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(size) else np.zeros(1, np.int64)
     return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
 
 
+def steps(roots, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of queries whose trees have `most` members together, or single queries of larger trees' share."""
+    import numpy as np
+
+    return within(np.bincount(roots, minlength=len(roots))[roots], most)
+
+
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches in slices of some rows, so that what a worker makes of their texts stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def forest(values, roots, radius: int):
     """For each value the least place that steps within the radius lead to in its tree."""
     import numpy as np
@@ -319,7 +334,7 @@ def with_prints(docs: DataFrame, shingle: int) -> DataFrame:
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        for b in it:
+        for b in slices(it):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in text_bytes(b.column(2))]
             node = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             prints = pa.array([seeded_fingerprints(x, PRINTS).view(np.int64) for x in sets], pa.list_(pa.int64()))
@@ -388,10 +403,10 @@ def tree_pairs(members: DataFrame, nodes: DataFrame, split_over: int = SPLIT_OVE
                 has = (at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == roots[q])
                 q, at = q[has], at[has]
                 trees = BKTrees(value, own_)
-                for lo in range(0, len(q), 256):
-                    x, v = trees.search(one[q[lo : lo + 256]], at[lo : lo + 256], OWN_BITS)
+                for lo, hi in within(np.bincount(roots[order])[roots[q]], PAIRS):
+                    x, v = trees.search(one[q[lo:hi]], at[lo:hi], OWN_BITS)
                     n = times[v]
-                    x, y = np.repeat(q[lo : lo + 256][x], n), order[np.repeat(first[v] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    x, y = np.repeat(q[lo:hi][x], n), order[np.repeat(first[v] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                     close = (component[x] != component[y]) & (np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= ALL_BITS)
                     x, y = x[close], y[close]
                     yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
@@ -401,11 +416,20 @@ def tree_pairs(members: DataFrame, nodes: DataFrame, split_over: int = SPLIT_OVE
     return held.unionByName(asked).repartition("cell").sortWithinPartitions("cell").mapInArrow(compared, "a long, b long").distinct()
 
 
-def beside(pairs: DataFrame, rows: DataFrame, side: str) -> DataFrame:
-    """pairs with the columns of rows whose id is the pair's `side`; an id with many pairs is dealt by its partners."""
-    other = "b" if side == "a" else "a"
-    rows = rows.withColumnRenamed("id", side).withColumn("deal", F.explode(F.array(*[F.lit(k) for k in range(DEAL)])))
-    return pairs.withColumn("deal", F.pmod(F.xxhash64(other), F.lit(DEAL)).cast("int")).join(rows, [side, "deal"]).drop("deal")
+def deals(pairs: DataFrame, side: str) -> DataFrame:
+    """pairs with the deal of their `side`: an id with many pairs is dealt by its partners."""
+    return pairs.withColumn("deal", F.pmod(F.xxhash64("b" if side == "a" else "a"), F.lit(DEAL)).cast("int"))
+
+
+def asked(pairs: DataFrame, rows: DataFrame, side: str) -> DataFrame:
+    """rows (id, ...) once for each deal of the id in which a pair has it as its `side`."""
+    return deals(pairs, side).select(F.col(side).alias("id"), "deal").distinct().join(rows, "id")
+
+
+def beside(pairs: DataFrame, rows: DataFrame, side: str, met: DataFrame | None = None) -> DataFrame:
+    """pairs with the columns of rows whose id is the pair's `side`. met: the pairs as stored, if more columns came to them since."""
+    own = asked(pairs if met is None else met, rows, side).withColumnRenamed("id", side)
+    return deals(pairs, side).join(own, [side, "deal"]).drop("deal")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similar: float) -> DataFrame:
@@ -413,7 +437,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     pairs = stored(pairs, "near-pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     ends = stored(nodes.join(ends, "id", "left_semi").select("id", "row", "prints"), "near-nodes")
-    both = beside(beside(pairs, ends.select("id", F.col("prints").alias("p")), "a"), ends.select("id", F.col("prints").alias("q")), "b")
+    half = lambda name: ends.select("id", F.col("prints").alias(name))
+    both = beside(beside(pairs, half("p"), "a"), half("q"), "b", pairs)
     apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     pairs = stored(both.where(apart <= ALL_BITS).select("a", "b"), "near-pairs")
     left = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -425,26 +450,19 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
         import numpy as np
         import pyarrow as pa
 
-        for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in text_bytes(b.column(1))], pa.binary())], names=["id", "set"])
-
-    sets = stored(texts.mapInArrow(as_sets, "id long, set binary"), "near-sets")
-
-    def alike(it: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for b in it:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similar * max(len(x), len(y)) else 0
-                keep.append(common >= similar * (len(x) + len(y) - common))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
-
-    both = beside(beside(pairs, sets.withColumnRenamed("set", "p"), "a"), sets.withColumnRenamed("set", "q"), "b")
-    return both.select("a", "b", "p", "q").mapInArrow(alike, "a long, b long")
+        for b in slices(it):
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in text_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+
+    # Both sets of a pair meet in Spark's own rows, never many pairs' sets in one batch for a Python worker.
+    sets = stored(texts.mapInArrow(as_sets, "id long, set array<long>").withColumn("size", F.size("set")), "near-sets")
+    own = lambda name, size: sets.select("id", F.col("set").alias(name), F.col("size").alias(size))
+    sizes = sets.select("id", "size")
+    both = beside(beside(pairs, sizes.withColumnRenamed("size", "m"), "a"), sizes.withColumnRenamed("size", "n"), "b", pairs)
+    pairs = stored(both.where(F.least("m", "n") >= similar * F.greatest("m", "n")).select("a", "b"), "near-pairs")
+    both = beside(beside(pairs, own("p", "m"), "a"), own("q", "n"), "b", pairs)
+    common = both.select("a", "b", (F.col("m") + F.col("n")).alias("sizes"), F.size(F.array_intersect("p", "q")).alias("common"))
+    return common.where(F.col("common") >= similar * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, shingle: int, similar: float = 0.8, split_over: int = SPLIT_OVER) -> DataFrame:

@@ -122,6 +122,17 @@ def test_similar_groups_reach_080(spark, monkeypatch, stars, split_over):
     assert sorted(r.text for r in kept if r.doc_id is None) == sorted([EDGES[0][1], rows[-1][1]])
 
 
+def test_pairs_bring_each_row_once_for_its_deals(spark):
+    """A row goes only to the deals in which a pair asks for it, and all pairs find theirs."""
+    pairs = [(1, 2)] + [(3, k) for k in range(10, 60)]
+    rows = spark.createDataFrame([(k, f"row {k}") for k in range(70)], "id long, of string")
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = collections.Counter(r["id"] for r in simhash.asked(df, rows, "a").collect())
+    assert got[1] == 1 and 1 < got[3] <= simhash.DEAL and set(got) == {1, 3}
+    both = simhash.beside(simhash.beside(df, rows.withColumnRenamed("of", "p"), "a"), rows.withColumnRenamed("of", "q"), "b", df)
+    assert sorted((r["a"], r["b"], r["p"], r["q"]) for r in both.collect()) == [(a, b, f"row {a}", f"row {b}") for a, b in pairs]
+
+
 def test_bands_tell_similarity(spark):
     """Sets at 0.8 share a band, strangers none: what is compared does not grow with the number of strangers."""
     rnd = np.random.default_rng(5)
@@ -501,6 +512,18 @@ def test_stages_of_empty_and_clashing_tables(spark, tmp_path):
     assert corpus_pipeline.good_quality(spark, spark.createDataFrame([], kind), str(tmp_path)).count() == 0
 
 
+def test_the_pipeline_passes_texts_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for asked, held in ((10_000, corpus_pipeline.BATCH_ROWS), (0, corpus_pipeline.BATCH_ROWS), (100, 100)):
+            spark.conf.set(key, asked)
+            corpus_pipeline.small_batches(spark)
+            assert int(spark.conf.get(key)) == held
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_pipeline_stages(spark, tmp_path):
     rnd = random.Random(15)
     good = [(0, prose(rnd, 3000))] + [(k, prose(rnd, rnd.randint(80, 200))) for k in range(1, 120)]
