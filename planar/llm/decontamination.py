@@ -4,9 +4,11 @@ Documents are turned once into word ids of the benchmark's vocabulary (0: anothe
 from all their 16-word blocks. The blocks' TF-IDF passages are decomposed by a randomised SVD, whose products A'(A X) Spark sums over all
 documents; hits carry the cosine of their window to the item's passages in that latent space.
 
-No cosine decides what is found. A hit needs 60 % of the item's words in their order within a stretch of STRETCH times the item, so at
+The latent space decides which windows are checked for an item. Window and item are their coordinates in the space and the norm of what lies outside it; the inner product of
+these is never less than that of the whole TF-IDF vectors, and a hit's is at least that of the item's commonest words that make 60 %. Windows below that can't hold a hit
+(Latent), so no hit is lost, as a bound on the cosine itself would lose paraphrases. A hit needs 60 % of the item's words in their order within a stretch of STRETCH times the item, so at
 most `missing` of them are absent, and of its missing + RARE rarest words at least RARE (all of a short item's) are near. Inverted lists from these
-words to items give every window that holds as many; all such windows are checked: first whether 60 % of the item's words are there, then the
+words to items give every window that holds as many, for the latent space to judge; the windows left are checked: first whether 60 % of the item's words are there, then the
 longest common subsequence of words in every stretch that starts there, and for paraphrases the item's answer, its last words unless
 there is an `answer` column. Items are taken in blocks of ITEMS and VOCABULARY words, which bounds vocabulary, space and what the driver holds;
 every block meets all documents.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -259,6 +262,52 @@ class Lists:
             yield from zip(start[good].tolist(), own[good].tolist())
 
 
+class Latent:
+    """The items in the latent space, and the inner product that a hit's window has with each at least."""
+
+    def __init__(self, space, idf, items: list[list[int]]):
+        import numpy as np
+
+        self.weighted, self.square = idf[:, None] * space.astype(np.float64), np.square(idf)
+        self.z = np.stack([self.weighted[w].sum(0) for w in items])
+        counts = [np.unique(w, return_counts=True) for w in items]
+        norm = np.array([(n * n * self.square[x]).sum() for x, n in counts])
+        self.norm, self.rest = np.sqrt(norm), np.sqrt(np.maximum(norm - np.square(self.z).sum(1), 0))
+        self.least = np.array([np.sort(self.square[w])[: least_common(len(w))].sum() for w in items])
+        self.span = np.array([STEP - 1 + stretch(len(w)) for w in items])
+
+    def bounds(self, c: Blocks, blk, item):
+        """An upper bound of the inner product of each window, as the set of its words, and item; and what rounding may take from it."""
+        import numpy as np
+
+        doc = c.doc_of[blk]
+        lo = c.starts[doc] + (blk - c.first[doc]) * STEP
+        n = np.minimum(self.span[item], c.starts[doc] + c.sizes[doc] - lo)
+        region, of = np.unique(np.stack([lo, n], axis=1), axis=0, return_inverse=True)
+        of = of.reshape(-1)
+        lo, n = region[:, 0], np.maximum(region[:, 1], 0)
+        word = c.words[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        own = np.repeat(np.arange(len(lo)), n)
+        size = len(self.square)
+        key = np.unique((own * size + word)[word > 0])
+        own, word = key // size, key % size
+        z, norm = np.zeros((len(lo), self.z.shape[1])), np.bincount(own, self.square[word], len(lo))
+        some, first = np.unique(own, return_index=True)
+        if len(some):
+            z[some] = np.add.reduceat(self.weighted[word], first, axis=0)
+        rest = np.sqrt(np.maximum(norm - np.square(z).sum(1), 0))
+        return (z[of] * self.z[item]).sum(1) + rest[of] * self.rest[item], 1e-4 * np.sqrt(norm)[of] * self.norm[item]
+
+    def retrieved(self, c: Blocks, windows: Iterator, slab: int = 2048) -> Iterator:
+        """Of the (block, item) windows those whose inner product can be a hit's."""
+        import numpy as np
+
+        while some := list(islice(windows, slab)):
+            blk, item = np.array(some, np.int64).T
+            bound, slack = self.bounds(c, blk, item)
+            yield from (w for w, near in zip(some, (bound + slack >= self.least[item] * (1 - 1e-6)).tolist()) if near)
+
+
 def check(item: list[int], answer: list[int], doc: list[int], lo: int) -> tuple[float, bool]:
     """The greatest share of the item that is a subsequence of a stretch starting in the block at word lo (0 if too small for a hit), and whether the answer is near."""
     size, n = stretch(len(item)), len(item)
@@ -298,6 +347,7 @@ def search(docs: DataFrame, items: list[tuple[int, list[bytes], list[bytes]]]) -
     latent /= np.maximum(np.sqrt(np.square(latent).sum(1)), 1e-9)[:, None]
     first_part = np.searchsorted(owners, np.arange(len(coded) + 1))
     lists = Lists(*bounds(coded, df), len(idf))
+    gate = Latent(space, idf, coded)
     weighted = (idf[:, None] * space).astype(np.float32)
     item_ids = [i for i, _, _ in items]
 
@@ -315,7 +365,7 @@ def search(docs: DataFrame, items: list[tuple[int, list[bytes], list[bytes]]]) -
                 c = Blocks(row)
                 found: dict = {}
                 held, at = [], -1
-                for blk, item in sorted(lists.windows(c)):
+                for blk, item in sorted(gate.retrieved(c, lists.windows(c))):
                     doc = int(c.doc_of[blk])
                     if found.get((doc, item), (0, 0, 0, 0))[3] == 1:
                         continue

@@ -436,6 +436,32 @@ def test_widespread_numeric_and_common_items(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, rows), b).collect()} == want
 
 
+def test_the_latent_space_retrieves_every_hit_and_not_all_windows():
+    """Of all windows and items: the bound holds for the whole inner product, no hit is lost, and windows are left out."""
+    rnd = random.Random(8)
+    items = [[rnd.randint(1, 60) for _ in range(rnd.choice((12, 25)))] for _ in range(6)]
+    texts = [[x if rnd.random() < 0.08 else 0 for x in (rnd.randint(1, 60) for _ in range(120))] for _ in range(40)]
+    for k, t in enumerate(texts[:12]):  # with six to nine tenths of an item
+        w = [x if rnd.random() < (0.65, 0.9)[k % 2] else 0 for x in items[k % 6]]
+        t[40 : 40 + len(w)] = w
+    c = decontamination.Blocks({"words": lm.packed(np.array(sum(texts, []), np.uint64)), "sizes": [len(t) for t in texts]})
+    idf = np.concatenate([[0.0], np.random.default_rng(4).uniform(0.01, 6, 60)])
+    space = np.linalg.qr(np.random.default_rng(5).standard_normal((61, 8)))[0].astype(np.float32)
+    gate = decontamination.Latent(space, idf, items)
+    windows = [(b, i) for b in range(len(c.doc_of)) for i in range(len(items))]
+    bound, slack = gate.bounds(c, *np.array(windows).T)
+    left, hits = set(gate.retrieved(c, iter(windows), 100)), 0
+    for (blk, i), most in zip(windows, bound + slack):
+        doc = int(c.doc_of[blk])
+        lo = (blk - int(c.first[doc])) * decontamination.STEP
+        there = set(texts[doc][lo : lo + decontamination.STEP - 1 + decontamination.stretch(len(items[i]))])
+        assert sum(idf[x] ** 2 for x in items[i] if x in there) <= most + 1e-9
+        if decontamination.check(items[i], [], texts[doc], lo)[0]:
+            hits += 1
+            assert (blk, i) in left
+    assert hits > 5 and len(left) < 0.8 * len(windows)
+
+
 def test_subsequence_equals_the_table():
     rnd = random.Random(12)
     for _ in range(50):
