@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +36,10 @@ SPLIT_OVER = 4096
 #: a tenth in 0.02 %. Large sets at 0.8 differ in 15 % of the bits of a fingerprint (9.7 of 64, deviation 2.9), sets of four and five shingles in 19 % (12, deviation 3.1): the
 #: bounds for one fingerprint and for all PRINTS lie over 3.8 deviations above both.
 BANDS, ROWS, PRINTS, OWN_BITS, ALL_BITS, DEAL, STARS = 20, 5, 2, 24, 42, 8, 2
-#: Pairs of a searcher and a member of its tree that a worker holds at once.
+#: Pairs of a searcher and a member of its tree, or hashes of the sets of pairs, that a worker holds at once.
 PAIRS = 1 << 17
+#: Buckets in which a set's hashes are counted, the largest size for which counts fit, and the hashes of the sets that one tree holds, or that search it together.
+BUCKETS, COUNTED, SPLIT_SETS = 256, 1 << 22, 1 << 21
 
 
 def shingle_hashes(text: bytes, shingle: int):
@@ -207,7 +209,7 @@ def shards(batches: Iterator, columns: int) -> Iterator:
     import numpy as np
 
     held: list = [np.zeros(0, np.int64)] * columns
-    for batch in (*batches, None):
+    for batch in chain(batches, [None]):
         cols = held if batch is None else [np.concatenate([h, batch.column(k).to_numpy()]) for k, h in enumerate(held)]
         if not len(cols[0]):
             continue
@@ -364,56 +366,164 @@ def star_pairs(members: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def tree_pairs(members: DataFrame, nodes: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
-    """Distinct pairs (a < b) of members of a shard of unlike components that lie within OWN_BITS by one fingerprint and ALL_BITS by all.
+def tree_cells(members: DataFrame, sets: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
+    """Rows (cell, id, component, one, two, asks, size, counts): the members of each shard with a BK-tree, and those that search it (asks is 1).
 
-    Such a pair has a member outside the shard's largest component, so these members alone search the BK-tree of the shard's fingerprints. A shard of over
-    `split_over` members has as many trees as keep each below that, and its searchers go to each of them in runs of that size.
+    Two unlike members of a shard have one outside the shard's largest component, so these members alone search the tree of the shard's fingerprints. A shard of over
+    `split_over` members, or of sets of over SPLIT_SETS hashes, has as many trees as keep each below that, and its searchers go to each of them in runs of that size.
     """
-    sizes = stored(members.groupBy("shard", "component").agg(F.count(F.lit(1)).alias("n")), "shard-sizes")
-    whole = sizes.groupBy("shard").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"))
-    parts = lambda n: F.greatest(F.ceil(n / split_over), F.lit(1)).cast("int")
-    whole = whole.select("shard", F.col("most.component").alias("main"), parts(F.col("all")).alias("trees"), parts(F.col("all") - F.col("most.n")).alias("runs"))
-    rows = dealt_join(members, whole).join(nodes.select("id", "prints"), "id")
+    sizes = members.join(sets.select("id", "size"), "id").groupBy("shard", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("of"))
+    whole = stored(sizes, "shard-sizes").groupBy("shard").agg(F.sum("n").alias("all"), F.sum("of").alias("sizes"), F.max(F.struct("n", "of", "component")).alias("most"))
+    parts = lambda n, of: F.greatest(F.ceil(n / split_over), F.ceil(of / SPLIT_SETS), F.lit(1)).cast("int")
+    rest = parts(F.col("all") - F.col("most.n"), F.col("sizes") - F.col("most.of"))
+    whole = whole.select("shard", F.col("most.component").alias("main"), parts(F.col("all"), F.col("sizes")).alias("trees"), rest.alias("runs"))
+    rows = dealt_join(members, whole).join(sets.select("id", "prints", "size", "counts"), "id")
     one = F.element_at("prints", (F.col("band") % PRINTS + 1).cast("int"))
     two = F.element_at("prints", ((F.col("band") + 1) % PRINTS + 1).cast("int"))
-    rows = rows.select("shard", "id", "component", one.alias("one"), two.alias("two"), (F.col("component") != F.col("main")).alias("asks"), "trees", "runs")
     own = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.col(n)).cast("int")
-    cell = lambda tree, run: F.xxhash64("shard", tree, run).alias("cell")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = ("id", "component", "one", "two")
-    held = rows.withColumn("tree", own("trees")).withColumn("run", every("runs")).select(cell("tree", "run"), *rest, F.lit(0).cast("long").alias("asks"))
-    asked = rows.where("asks").withColumn("run", own("runs")).withColumn("tree", every("trees")).select(cell("tree", "run"), *rest, F.lit(1).cast("long").alias("asks"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda tree, run, asks: F.struct(F.xxhash64("shard", tree, run).alias("cell"), F.lit(asks).cast("long").alias("asks"))
+    held = F.transform(each("runs"), lambda run: at(own("trees"), run, 0))
+    asked_ = F.when(F.col("component") != F.col("main"), F.transform(each("trees"), lambda tree: at(tree, own("runs"), 1))).otherwise(F.array().cast("array<struct<cell:bigint,asks:bigint>>"))
+    rows = rows.select("id", "component", one.alias("one"), two.alias("two"), "size", "counts", F.explode(F.concat(held, asked_)).alias("at"))
+    return rows.select("at.cell", "id", "component", "one", "two", "at.asks", "size", "counts")
 
-    def compared(batches: Iterator) -> Iterator:
+
+def whole_cells(batches: Iterator) -> Iterator:
+    """Arrow tables of whole cells; rows come sorted by their first column, the cell."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is None:
+            last = 0
+        else:
+            cell = batch.column(0).to_numpy()
+            last = int(np.searchsorted(cell, cell[-1])) if not held or held[-1].column(0)[0].as_py() != cell[-1] else -1
+        if last >= 0 and (held or last):  # cells have ended: the batch's last one waits
+            t = pa.Table.from_batches([*held, *([batch.slice(0, last)] if last else [])]).combine_chunks()
+            held = []
+            if t.num_rows:
+                yield t.to_batches()[0]
+        if batch is not None:
+            held.append(batch.slice(max(last, 0)))
+
+
+def at_least(common, m, n, similar: float):
+    """Whether sets of m and n hashes with so many in common have a Jaccard similarity of `similar` or more."""
+    return common >= similar * (m + n - common)
+
+
+def close_pairs(cells, similar: float) -> Iterator:
+    """(x, y) places of searchers and members of their cell's tree, of unlike components, that lie within OWN_BITS by one fingerprint and ALL_BITS by all, and whose
+    sizes and counts leave `similar` possible."""
+    import numpy as np
+
+    cell, component, asks, size = (cells.column(k).to_numpy() for k in (0, 2, 5, 6))
+    one, two = (cells.column(k).to_numpy().view(np.uint64) for k in (3, 4))
+    counts = cells.column(7).flatten().to_numpy().reshape(-1, BUCKETS)
+    held, q = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
+    if not len(held) or not len(q):
+        return
+    order = held[np.lexsort((one[held], cell[held]))]  # the members by cell and fingerprint
+    new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (cell[order][1:] != cell[order][:-1])])
+    first = np.flatnonzero(new)
+    times, value, cells_ = np.diff(np.append(first, len(order))), one[order[first]], cell[order[first]]
+    at = np.searchsorted(cells_, cell[q])
+    has = cells_[np.minimum(at, len(cells_) - 1)] == cell[q]
+    q, at = q[has], at[has]
+    trees = BKTrees(value, np.searchsorted(cells_, cells_))  # each value's tree: the first value of its cell
+    members_ = np.searchsorted(cell[order], cell[q], "right") - np.searchsorted(cell[order], cell[q])
+    for lo, hi in within(members_, PAIRS):
+        x, v = trees.search(one[q[lo:hi]], at[lo:hi], OWN_BITS)
+        n = times[v]
+        x, y = np.repeat(q[lo:hi][x], n), order[np.repeat(first[v] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        m, n = size[x], size[y]
+        close = (component[x] != component[y]) & (np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= ALL_BITS) & at_least(np.minimum(m, n), m, n, similar)
+        x, y = x[close], y[close]
+        for at_ in range(0, len(x), PAIRS // 8):
+            i, j = x[at_ : at_ + PAIRS // 8], y[at_ : at_ + PAIRS // 8]
+            most = np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.int64)
+            m, n = size[i], size[j]
+            able = at_least(most, m, n, similar) | (np.maximum(m, n) > COUNTED)
+            yield i[able], j[able]
+
+
+def common_hashes(codes, begin, size, x, y, keys, width: int):
+    """How many hashes the sets of the pairs (x, y) have in common; keys: place * width + code of every set's hashes, sorted."""
+    import numpy as np
+
+    n = size[x]
+    pair = np.repeat(np.arange(len(x)), n)
+    asked_ = np.repeat(y, n) * width + codes[np.repeat(begin[x] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    hit = keys[np.minimum(np.searchsorted(keys, asked_), len(keys) - 1)] == asked_
+    return np.bincount(pair[hit], minlength=len(x))
+
+
+def cell_links(cells, similar: float) -> Iterator:
+    """(a, b) ids of similar pairs of each cell that join its components as all similar pairs there do: no more than the cell has rows."""
+    import numpy as np
+
+    ids, cell, component, size = (cells.column(k).to_numpy() for k in (1, 0, 2, 6))
+    codes = np.unique(cells.column(8).flatten().to_numpy(), return_inverse=True)[1]
+    width, begin = int(codes.max(initial=0)) + 1, np.cumsum(size) - size
+    keys = np.sort(np.repeat(np.arange(len(size)), size) * width + codes)
+    label = np.unique(np.stack([cell, component], axis=1), axis=0, return_inverse=True)[1].reshape(-1)  # rows of one component are one already
+    above = list(range(int(label.max(initial=-1)) + 1))
+
+    def top(k: int) -> int:
+        while above[k] != k:
+            above[k] = k = above[above[k]]
+        return k
+
+    for x, y in close_pairs(cells, similar):
+        x, y = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
+        todo = within(size[x], PAIRS)
+        for lo, hi in todo:
+            tops = np.array([top(k) for k in range(len(above))])
+            i, j = x[lo:hi], y[lo:hi]
+            apart = tops[label[i]] != tops[label[j]]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                continue
+            alike = at_least(common_hashes(codes, begin, size, i, j, keys, width), size[i], size[j], similar)
+            for p, r in zip(i[alike].tolist(), j[alike].tolist()):
+                u, v = top(label[p]), top(label[r])
+                if u != v:
+                    above[max(u, v)] = min(u, v)
+                    yield np.array([min(ids[p], ids[r])]), np.array([max(ids[p], ids[r])])
+
+
+CELL = "cell long, id long, component long, one long, two long, asks long, size long"
+
+
+def tree_links(members: DataFrame, sets: DataFrame, similar: float, split_over: int = SPLIT_OVER) -> DataFrame:
+    """Similar pairs (a < b) of members of a shard of unlike components that join these as all of their similar pairs do.
+
+    The trees are searched twice: first without the sets, for the rows that have a partner at all, then by these rows with their sets, which are compared in the worker, so that
+    pairs which are not similar never become rows, however many they are.
+    """
+
+    def partnered(batches: Iterator) -> Iterator:
         import numpy as np
 
-        def found():
-            for roots, ids, component, one, two, asks in shards(batches, 6):
-                one, two = one.view(np.uint64), two.view(np.uint64)
-                held_, q = np.flatnonzero(asks == 0), np.flatnonzero(asks == 1)
-                if not len(held_) or not len(q):
-                    continue
-                order = held_[np.lexsort((one[held_], roots[held_]))]  # the members by cell and fingerprint
-                new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (roots[order][1:] != roots[order][:-1])])
-                first = np.flatnonzero(new)
-                times, value, cells = np.diff(np.append(first, len(order))), one[order[first]], roots[order[first]]
-                own_ = np.searchsorted(cells, cells)  # each value's tree: the first value of its cell
-                at = np.searchsorted(cells, roots[q])
-                has = (at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == roots[q])
-                q, at = q[has], at[has]
-                trees = BKTrees(value, own_)
-                for lo, hi in within(np.bincount(roots[order])[roots[q]], PAIRS):
-                    x, v = trees.search(one[q[lo:hi]], at[lo:hi], OWN_BITS)
-                    n = times[v]
-                    x, y = np.repeat(q[lo:hi][x], n), order[np.repeat(first[v] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    close = (component[x] != component[y]) & (np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= ALL_BITS)
-                    x, y = x[close], y[close]
-                    yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
-
-        yield from pair_batches(found())
-
-    return held.unionByName(asked).repartition("cell").sortWithinPartitions("cell").mapInArrow(compared, "a long, b long").distinct()
+        for cells in whole_cells(batches):
+            has = np.zeros(cells.num_rows, bool)
+            for x, y in close_pairs(cells, similar):
+                has[x] = has[y] = True
+            if has.any():
+                yield cells.select(CELL.replace(" long", "").split(", ")).take(np.flatnonzero(has))
+
+    def linked(batches: Iterator) -> Iterator:
+        yield from pair_batches(pair for cells in whole_cells(batches) for pair in cell_links(cells, similar))
+
+    dealt = tree_cells(members, sets, split_over).repartition("cell").sortWithinPartitions("cell")
+    rows = stored(dealt.mapInArrow(partnered, CELL), "partnered")
+    rows = rows.join(sets.select("id", "counts", "set"), "id").select(*CELL.replace(" long", "").split(", "), "counts", "set")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(linked, "a long, b long").distinct()
 
 
 def deals(pairs: DataFrame, side: str) -> DataFrame:
@@ -432,37 +542,38 @@ def beside(pairs: DataFrame, rows: DataFrame, side: str, met: DataFrame | None =
     return deals(pairs, side).join(own, [side, "deal"]).drop("deal")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """The pairs (a, b) of nodes (id, row, prints) whose shingle sets have a Jaccard similarity of `similar` or more."""
-    pairs = stored(pairs, "near-pairs")
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ends = stored(nodes.join(ends, "id", "left_semi").select("id", "row", "prints"), "near-nodes")
-    half = lambda name: ends.select("id", F.col("prints").alias(name))
-    both = beside(beside(pairs, half("p"), "a"), half("q"), "b", pairs)
-    apart = F.aggregate(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    pairs = stored(both.where(apart <= ALL_BITS).select("a", "b"), "near-pairs")
-    left = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ends = ends.join(left, "id", "left_semi")  # sets only for what the fingerprints leave
+def with_sets(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The nodes (id, row, prints) with their set of shingle hashes, its size, and the counts of its hashes in BUCKETS buckets."""
     text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text")).join(ends.select("row", "id"), "row").dropDuplicates(["id"]).select("id", "text")
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text")).join(nodes, "row").dropDuplicates(["row"]).select("id", "prints", "text")
 
     def as_sets(it: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for b in slices(it):
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in text_bytes(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
-
-    # Both sets of a pair meet in Spark's own rows, never many pairs' sets in one batch for a Python worker.
-    sets = stored(texts.mapInArrow(as_sets, "id long, set array<long>").withColumn("size", F.size("set")), "near-sets")
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in text_bytes(b.column(2))]
+            counts = [np.minimum(np.bincount(x & (BUCKETS - 1), minlength=BUCKETS), 2**15 - 1).astype(np.int16) for x in sets]
+            columns = [pa.array([len(x) for x in sets], pa.int64()), pa.array(counts, pa.list_(pa.int16())), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["id", "prints", "size", "counts", "set"])
+
+    return texts.mapInArrow(as_sets, "id long, prints array<long>, size long, counts array<smallint>, set array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b), stored, of ids of `sets` whose sets have a Jaccard similarity of `similar` or more."""
+    known = lambda *names: sets.select("id", *[F.col(c).alias(n) for c, n in zip(("prints", "counts", "size"), names)])
+    both = beside(beside(pairs, known("p", "c", "m"), "a"), known("q", "d", "n"), "b", pairs)
+    total = lambda values: F.aggregate(values, F.lit(0), lambda n, x: n + x)
+    apart = total(F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+    able = lambda common: common >= similar * (F.col("m") + F.col("n") - common)
+    most = total(F.zip_with("c", "d", lambda x, y: F.least(x, y).cast("int")))  # no two sets have more in common
+    both = both.where((apart <= ALL_BITS) & able(F.least("m", "n"))).where((F.greatest("m", "n") > COUNTED) | able(most))
+    pairs = stored(both.select("a", "b"), "near-pairs")  # sets only for what these leave
     own = lambda name, size: sets.select("id", F.col("set").alias(name), F.col("size").alias(size))
-    sizes = sets.select("id", "size")
-    both = beside(beside(pairs, sizes.withColumnRenamed("size", "m"), "a"), sizes.withColumnRenamed("size", "n"), "b", pairs)
-    pairs = stored(both.where(F.least("m", "n") >= similar * F.greatest("m", "n")).select("a", "b"), "near-pairs")
+    # Both sets of a pair meet in Spark's own rows, never many pairs' sets in one batch for a Python worker.
     both = beside(beside(pairs, own("p", "m"), "a"), own("q", "n"), "b", pairs)
-    common = both.select("a", "b", (F.col("m") + F.col("n")).alias("sizes"), F.size(F.array_intersect("p", "q")).alias("common"))
-    return common.where(F.col("common") >= similar * (F.col("sizes") - F.col("common"))).select("a", "b")
+    return both.withColumn("common", F.size(F.array_intersect("p", "q"))).where(able(F.col("common"))).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, shingle: int, similar: float = 0.8, split_over: int = SPLIT_OVER) -> DataFrame:
@@ -479,15 +590,17 @@ def similar_groups(docs: DataFrame, shingle: int, similar: float = 0.8, split_ov
     dealt = nodes.select("id", F.posexplode("bands").alias("band", "shard"))
     many = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("shard")
     dealt = stored(dealt_join(dealt, many), "shard-members")
+    sets = stored(with_sets(nodes.join(dealt.select("id").distinct(), "id", "left_semi").select("id", "row", "prints"), docs, shingle), "near-sets")
     members, alike, met = dealt.withColumn("component", F.col("id")), None, None
     for turn in range(STARS + 1):
         if turn:
             groups = components(alike)
             members = stored(unlike_shards(dealt.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))), "unlike-members")
-        pairs = star_pairs(members, turn) if turn < STARS else tree_pairs(members, nodes, split_over)
-        pairs = stored(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "candidates")
-        met = pairs if met is None else met.unionByName(pairs)
-        links_ = stored(verified(pairs, nodes, docs, shingle, similar), "similar-pairs")
+        if turn < STARS:
+            pairs = star_pairs(members, turn)
+            pairs = stored(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "candidates")
+            met = pairs if met is None else met.unionByName(pairs)
+        links_ = stored(verified(pairs, sets, similar) if turn < STARS else tree_links(members, sets, similar, split_over), "similar-pairs")
         alike = links_ if alike is None else alike.unionByName(links_)
     named = nodes.select("id", "doc")
     edges = alike.join(named.select(F.col("id").alias("a"), F.col("doc").alias("x")), "a").join(named.select(F.col("id").alias("b"), F.col("doc").alias("y")), "b")

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,49 @@ def test_similar_groups_reach_080(spark, monkeypatch, stars, split_over):
     assert sorted(r.text for r in kept if r.doc_id is None) == sorted([EDGES[0][1], rows[-1][1]])
 
 
+def test_unlike_near_copies_never_become_pairs(spark, monkeypatch):
+    """Near copies under 0.8 meet in workers only: no relation holds more of them than the members of shards."""
+    rnd = random.Random(22)
+    hub = prose(rnd, 150)
+    rows = [(k, edited(rnd, hub, 3)) for k in range(300)]
+    counts, stored = collections.Counter(), simhash.stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        counts[label] = max(counts[label], out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    simhash.similar_groups(docs(spark, rows), corpus_pipeline.SHINGLE_WORDS, corpus_pipeline.SIMILAR).collect()
+    assert counts["shard-members"] > 300 and max(counts.values()) <= simhash.BANDS * len(rows), counts
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_cells_link_what_is_similar(step):
+    """The links of a cell join its components as all similar pairs of searchers and members do, in fewer links than rows, however the rows come in batches."""
+    rnd = np.random.default_rng(6)
+    rows = []
+    for cell in range(12):
+        base = rnd.integers(-(2**63), 2**63, (30, 8, 60, 1)[cell % 4])
+        for k in range((1, 2, 25)[cell % 3]):
+            own = np.unique(np.where(rnd.random(len(base)) < rnd.choice([0.02, 0.06, 0.2]), rnd.integers(-(2**63), 2**63, len(base)), base))
+            one, two = simhash.seeded_fingerprints(own.view(np.uint64), 2).view(np.int64).tolist()
+            count = np.bincount(own & (simhash.BUCKETS - 1), minlength=simhash.BUCKETS).astype(np.int16)
+            rows += [(cell, 100 * cell + k, 100 * cell + k // 2, one, two, asks, len(own), count, own) for asks in ((0, 1) if k % 3 else (0,))]
+    kinds = [pa.int64()] * 7 + [pa.list_(pa.int16()), pa.list_(pa.int64())]
+    names = ["cell", "id", "component", "one", "two", "asks", "size", "counts", "set"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[at : at + step]), kinds)], names=names) for at in range(0, len(rows), step)]
+    tables = list(simhash.whole_cells(iter(batches)))
+    assert [x for t in tables for x in t.column("id").to_pylist()] == [r[1] for r in rows]
+    assert sum(len(set(t.column("cell").to_pylist())) for t in tables) == 12
+    got = [(int(a[0]), int(b[0])) for t in tables for a, b in simhash.cell_links(t, 0.8)]
+    similar = {(min(x[1], y[1]), max(x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[5] > y[5] and x[2] != y[2] and 5 * len(np.intersect1d(x[8], y[8])) >= 4 * len(np.union1d(x[8], y[8]))}
+    assert similar > set(got) and 5 < len(got) < len(rows)
+    ids, component = sorted({r[1] for r in rows}), {r[1]: r[2] for r in rows}
+    joined = [components(ids, lambda i, j, s=pairs: component[ids[i]] == component[ids[j]] or (min(ids[i], ids[j]), max(ids[i], ids[j])) in s) for pairs in (similar, set(got))]
+    assert joined[0] == joined[1]
+
+
 def test_pairs_bring_each_row_once_for_its_deals(spark):
     """A row goes only to the deals in which a pair asks for it, and all pairs find theirs."""
     pairs = [(1, 2)] + [(3, k) for k in range(10, 60)]
