@@ -4,8 +4,9 @@ An occurrence relation R_k holds the occurrences of the frequent phrases of k wo
 words, as the sorted sequence of the chunk's words in which a zero ends a piece; so the merge join of R_k with R_1 by piece and
 adjacent position is a shift of that sequence. Each round joins a chunk's relation with the frequent phrases that occur in it (the
 semi-join), extends what is left by one word, counts within the chunk and groups the counts of all chunks; a phrase is a tuple of word ids, so no
-hash stands for it. A very common phrase has one row for each chunk that holds it; as relations shrink from round to round, chunks are put together
-up to a few times that size, and so are their rows. Only words and phrases of min_count or more are extended.
+hash stands for it. The counts of a chunk are dealt by their phrases into parts, each sent as one compressed row, and a part of all chunks is added up
+in one task. A very common phrase has one count for each chunk that holds it; as relations shrink from round to round, chunks are put together
+up to a few times that size. Only words and phrases of min_count or more are extended.
 
 A word's id is the least (chunk, place in the chunk) of its rows: exact, and found without numbering all words.
 
@@ -40,10 +41,8 @@ RANK_SALTS = 64
 IDS = [f"w{j + 1}" for j in range(LONGEST)]
 
 
-def round_schema(k: int) -> str:
-    """A row of the round that makes phrases of k words: a chunk's relation (words: its word ids, relation: n numbers into them), or the word ids of a phrase
-    and its count n in the chunk."""
-    return "chunk long, words binary, relation binary, " + ", ".join(f"{w} long" for w in IDS[:k]) + ", n long"
+#: A row of a round: a chunk's relation (words: its word ids, relation: n numbers into them), or a part of its phrases: their word ids and counts, n rows packed.
+ROUND = "chunk long, words binary, relation binary, part int, phrases binary, n long"
 
 
 def compressed(x) -> bytes:
@@ -60,6 +59,23 @@ def expanded(blob: bytes, kind: str):
     return np.frombuffer(pa.decompress(blob[8:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
+def packed(columns: list) -> bytes:
+    """Columns of as many whole numbers, the first ascending, by its differences and byte planes, which compress well."""
+    import numpy as np
+
+    m = np.stack([np.diff(columns[0], prepend=0), *columns[1:]]).astype("<i8")
+    return compressed(np.ascontiguousarray(m.view(np.uint8).reshape(*m.shape, 8).transpose(0, 2, 1)).ravel())
+
+
+def unpacked(blob: bytes, count: int):
+    """The `count` columns of packed()."""
+    import numpy as np
+
+    m = expanded(blob, "u1").reshape(count, 8, -1).transpose(0, 2, 1).copy().view("<i8")[:, :, 0]
+    m[0] = np.cumsum(m[0])
+    return m
+
+
 def parts(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text, with END between pieces, in parts of about PART_BYTES."""
     begin = 0
@@ -183,36 +199,54 @@ def extended(words, relation, lists, more: bool):
     return words[used - 1], renumbered[left], phrases, n
 
 
-def _rows(chunk: int, words, relation, phrases, n):
+def part_of(phrases, count: int):
+    """The part of each phrase, rows of word ids, of `count`."""
+    import numpy as np
+
+    h = np.zeros(len(phrases), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(phrases.shape[1]):
+            h = (h ^ phrases[:, j].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+    return (h % np.uint64(count)).astype(np.int32)
+
+
+def _rows(chunk: int, words, relation, phrases, n, count: int):
     import numpy as np
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
-    k = phrases.shape[1]
-    ids = [pa.array(np.ascontiguousarray(phrases[:, j])) for j in range(k)]
-    names = ["chunk", "words", "relation", *IDS[:k], "n"]
-    nulls = pa.nulls(len(n), pa.binary())
-    out = [pa.table([pa.array(np.full(len(n), chunk)), nulls, nulls, *ids, pa.array(n.astype(np.int64))], names=names)]
+    columns = [np.ascontiguousarray(phrases[:, j]) for j in range(phrases.shape[1])]
+    part = part_of(np.stack(columns, axis=1), count)
+    order = np.argsort(part, kind="stable")  # phrases come in the order of their ids and keep it
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist()
+    rows = [(chunk, None, None, int(part[order[a]]), packed([c[order[a:b]] for c in (*columns, n)]), b - a) for a, b in zip(cuts, [*cuts[1:], len(order)])]
     if relation is not None:
-        none = [pa.nulls(1, pa.int64())] * k
-        out.append(pa.table([pa.array([chunk]), pa.array([compressed(words)]), pa.array([compressed(relation)]), *none, pa.array([len(relation)], pa.int64())], names=names))
-    batches = [b for t in out for b in t.to_batches(max_chunksize=1 << 16)]  # each is sent by itself, so that neither side holds the whole
-    return pa.Table.from_batches(batches, schema=out[0].schema)
+        rows.append((chunk, compressed(words), compressed(relation), None, None, len(relation)))
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+    names = ["chunk", "words", "relation", "part", "phrases", "n"]
+    schema = pa.schema(list(zip(names, kinds)))
+    # Each is sent by itself, so that neither side holds the whole.
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(r, kinds)], schema=schema) for r in rows], schema=schema)
 
 
-def first_round(chunks, frequent):
-    """Relations by numbers of all words of a chunk, and its frequent words: R_1, and pairs."""
-    import numpy as np
+def first_round(count: int):
+    """Relations by numbers of all words of a chunk, and its frequent words: R_1, and pairs, in `count` parts."""
+
+    def of(chunks, frequent):
+        import numpy as np
 
-    if not chunks.num_rows or not frequent.num_rows:
-        return _rows(0, None, None, np.empty((0, 2), np.int64), np.empty(0, np.int64))
-    relation = expanded(chunks.column("relation")[0].as_py(), "<i4")
-    places, ids = frequent.column("place").to_numpy(), frequent.column("word_id").to_numpy()
-    order = np.argsort(ids)
-    numbers = np.zeros(int(relation.max()) + 1, np.int32)
-    numbers[places[order]] = np.arange(1, len(ids) + 1)
-    words, lists = ids[order], np.arange(1, len(ids) + 1).reshape(-1, 1)
-    return _rows(chunks.column("chunk")[0].as_py(), *extended(words, numbers[relation], lists, True))
+        if not chunks.num_rows or not frequent.num_rows:
+            return _rows(0, None, None, np.empty((0, 2), np.int64), np.empty(0, np.int64), count)
+        relation = expanded(chunks.column("relation")[0].as_py(), "<i4")
+        places, ids = frequent.column("place").to_numpy(), frequent.column("word_id").to_numpy()
+        order = np.argsort(ids)
+        numbers = np.zeros(int(relation.max()) + 1, np.int32)
+        numbers[places[order]] = np.arange(1, len(ids) + 1)
+        words, lists = ids[order], np.arange(1, len(ids) + 1).reshape(-1, 1)
+        return _rows(chunks.column("chunk")[0].as_py(), *extended(words, numbers[relation], lists, True), count)
+
+    return of
 
 
 def together(words: list, relations: list):
@@ -224,19 +258,19 @@ def together(words: list, relations: list):
     return every, np.concatenate([np.append(n[r], np.int32(0)) for n, r in zip(numbers, relations, strict=True)])
 
 
-def next_round(k: int, more: bool):
-    """The round of the frequent phrases of k words."""
+def next_round(k: int, more: bool, count: int):
+    """The round of the frequent phrases of k words, its phrases in `count` parts."""
 
     def of(chunks, frequent):
         import numpy as np
 
         if not chunks.num_rows or not frequent.num_rows:
-            return _rows(0, None, None, np.empty((0, k + 1), np.int64), np.empty(0, np.int64))
+            return _rows(0, None, None, np.empty((0, k + 1), np.int64), np.empty(0, np.int64), count)
         words, relation = together(*([expanded(b, kind) for b in chunks.column(c).to_pylist()] for c, kind in (("words", "<i8"), ("relation", "<i4"))))
-        ids = np.stack([frequent.column(w).to_numpy() for w in IDS[:k]], axis=1)
+        ids = np.concatenate([unpacked(b, k) for b in frequent.column("phrases").to_pylist()], axis=1).T
         order = np.argsort(words)
         lists = order[np.searchsorted(words[order], ids)] + 1
-        return _rows(chunks.column("chunk")[0].as_py(), *extended(words, relation, lists, more))
+        return _rows(chunks.column("chunk")[0].as_py(), *extended(words, relation, lists, more), count)
 
     return of
 
@@ -249,6 +283,37 @@ def in_total(rows: DataFrame, by: list[str], min_count: int) -> DataFrame:
     return rows.where((F.col("f") >= min_count) & (F.col("before").isNull() | (F.col("before") != F.col("chunk")))).withColumn("head", F.col("before").isNull()).drop("before", "n")
 
 
+def added_up(rows: DataFrame, k: int, min_count: int, more: bool) -> DataFrame:
+    """The phrases of k words in rows (chunk, part, phrases) whose counts have a sum f of min_count or more, with f; and, if more, a row with those of each chunk in
+    each part, packed."""
+
+    def of(part):
+        import numpy as np
+        import pyarrow as pa
+
+        found = [unpacked(b, k + 1) for b in part.column("phrases").to_pylist()]
+        chunk = np.repeat(part.column("chunk").to_numpy(), [m.shape[1] for m in found])
+        *ids, n = np.concatenate(found, axis=1)
+        order = np.lexsort((chunk, *ids[::-1]))
+        ids, chunk, n = [c[order] for c in ids], chunk[order], n[order]
+        head = np.zeros(len(order), bool)
+        head[0] = True
+        for c in ids:
+            head[1:] |= c[1:] != c[:-1]
+        f = np.add.reduceat(n, np.flatnonzero(head))[np.cumsum(head) - 1]
+        first, some = head & (f >= min_count), int((head & (f >= min_count)).sum())
+        names = ["chunk", "phrases", *IDS[:k], "f"]
+        out = [pa.table([pa.nulls(some, pa.int64()), pa.nulls(some, pa.binary()), *(pa.array(c[first]) for c in ids), pa.array(f[first])], names=names)]
+        keep = np.flatnonzero((f >= min_count) & (head | np.concatenate([[True], chunk[1:] != chunk[:-1]]))) if more else np.empty(0, np.int64)
+        keep = keep[np.argsort(chunk[keep], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(chunk[keep]) != 0])).tolist() if len(keep) else []
+        blobs = [packed([c[keep[x:y]] for c in ids]) for x, y in zip(cuts, [*cuts[1:], len(keep)])]
+        out.append(pa.table([pa.array(chunk[keep[cuts]]), pa.array(blobs, pa.binary()), *[pa.nulls(len(cuts), pa.int64())] * (k + 1)], names=names))
+        return pa.concat_tables(out)
+
+    return rows.select("chunk", "part", "phrases").groupBy("part").applyInArrow(of, f"chunk long, phrases binary, {', '.join(f'{w} long' for w in IDS[:k])}, f long")
+
+
 def mined(docs: DataFrame, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, phrases, totals): frequent words (lang, word, word_id, f), frequent phrases of 2 to LONGEST words (phrase as word ids, f), and
     the number n of all words of each lang."""
@@ -260,22 +325,26 @@ def mined(docs: DataFrame, min_count: int = MIN_COUNT, chunk_words: int = CHUNK_
     ref = F.first(F.col("chunk") * F.lit(2**31) + F.col("place")).over(one)
     frequent = stored(in_total(counts.withColumn("word_id", ref), ["lang", "word"], min_count), "frequent-1")
     words = frequent.where("head").select("lang", "word", "word_id", "f")
-    relations, phrases, of = chunks.where("relation IS NOT NULL").select("chunk", "relation"), None, first_round
+    relations, phrases, of = chunks.where("relation IS NOT NULL").select("chunk", "relation"), None, None
+    # Parts of about as many words as a chunk: what a chunk counts is at most its words.
+    size = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // chunk_words))
+    of = first_round(count)
     frequent = frequent.select("chunk", "place", "word_id")
     for k in range(1, LONGEST):
-        done, ids = stored(relations.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(of, round_schema(k + 1)), f"round-{k}"), IDS[: k + 1]
-        rows = done.where("relation IS NULL").select("chunk", *ids, "n")
+        done, ids = stored(relations.groupBy("chunk").cogroup(frequent.groupBy("chunk")).applyInArrow(of, ROUND), f"round-{k}"), IDS[: k + 1]
+        rows = done.where("relation IS NULL").select("chunk", "part", "phrases")
         if k + 1 < LONGEST:
             # Chunks in their order, put together; a row of 16 bytes for each chunk of some million words is broadcast.
             before = F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
             sizes = done.where("relation IS NOT NULL").select("chunk", "n")
             new = F.broadcast(sizes.select("chunk", F.floor(F.coalesce(before, F.lit(0)) / (TOGETHER[k - 1] * chunk_words)).alias("new")))
             relations = done.where("relation IS NOT NULL").join(new, "chunk").select(F.col("new").alias("chunk"), "words", "relation")
-            frequent = stored(in_total(rows.join(new, "chunk").select(F.col("new").alias("chunk"), *ids, "n"), ids, min_count), f"frequent-{k + 1}")
-            each, of = frequent.where("head").select(F.array(*ids).alias("phrase"), "f"), next_round(k + 1, k + 2 < LONGEST)
-            frequent = frequent.select("chunk", *ids)
+            frequent = stored(added_up(rows.join(new, "chunk").select(F.col("new").alias("chunk"), "part", "phrases"), k + 1, min_count, True), f"frequent-{k + 1}")
+            each, of = frequent.where("phrases IS NULL").select(F.array(*ids).alias("phrase"), "f"), next_round(k + 1, k + 2 < LONGEST, count)
+            frequent = frequent.where("phrases IS NOT NULL").select("chunk", "phrases")
         else:
-            each = rows.groupBy(*ids).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).select(F.array(*ids).alias("phrase"), "f")
+            each = added_up(rows, k + 1, min_count, False).select(F.array(*ids).alias("phrase"), "f")
         phrases = each if phrases is None else phrases.unionByName(each)
     return words, stored(phrases, "phrases"), totals
 

@@ -199,6 +199,24 @@ def test_phrases_equal_a_loop(spark, min_count, top, chunk_words, monkeypatch):
     assert got == plain_phrases(rows, min_count, top) and got
 
 
+def test_counts_of_phrases_are_few_rows(spark, monkeypatch):
+    """A round sends a row for each part of a chunk's phrases, not one for each phrase; what is packed comes back."""
+    rnd, counts, stored = random.Random(9), {}, phrases.stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(phrases, "stored", counted)
+    rows = [(k, " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)), "x") for k in range(20)]
+    phrases.collocations(docs(spark, rows).repartition(2), 2).collect()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < counts["round-1"] <= 2 * (parts + 1) and counts["phrases"] > 500
+    columns = [np.array([-5, 2, 2, 2**40]), np.array([7, -(2**62), 0, 1]), np.array([1, 1, 30, 2])]
+    assert (phrases.unpacked(phrases.packed(columns), 3) == np.stack(columns)).all()
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(docs(spark, []).where("false")).count() == 0
     assert phrases.collocations(docs(spark, [(1, None, "x"), (2, "a b", "x")])).count() == 0
