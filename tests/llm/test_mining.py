@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -217,6 +219,46 @@ def test_counts_of_phrases_are_few_rows(spark, monkeypatch):
     assert (phrases.unpacked(phrases.packed(columns), 3) == np.stack(columns)).all()
 
 
+def test_counts_of_words_are_few_rows(spark, monkeypatch):
+    """A chunk sends a row for each part of its words, not one for each word, and gets its frequent words back as few."""
+    rnd, counts, stored = random.Random(10), {}, phrases.stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(phrases, "stored", counted)
+    rows = [(k, " ".join(f"é{rnd.randrange(300)}" for _ in range(400)), rnd.choice(("x", "y", None))) for k in range(40)]
+    words, _, totals = phrases.mined(docs(spark, rows).repartition(2), 3)
+    parts, plain = int(spark.conf.get("spark.sql.shuffle.partitions")), collections.Counter((g or "und", w) for _, t, g in rows for w in t.split())
+    assert sorted((r.lang, r.word, r.f) for r in words.collect()) == sorted((g, w, f) for (g, w), f in plain.items() if f >= 3)
+    assert {r.lang: r.n for r in totals.collect()} == {g: sum(f for (h, _), f in plain.items() if h == g) for g, _ in plain}
+    assert counts["words"] <= 2 * (parts + 1 + 3) and counts["frequent-1"] <= sum(f >= 3 for f in plain.values()) + 2 * parts
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_a_round_holds_few_copies_of_its_relation(k, monkeypatch):
+    """Beside the relation (4 bytes a place) a round holds its codes (4) and keys (8) and some flags; its phrases are those of a loop."""
+    rnd, n = np.random.default_rng(k), 400_000
+    words, relation = np.arange(100, 110), rnd.integers(0, 11, n).astype(np.int32)
+    lists = np.array([x for x in itertools.product(range(1, 11), repeat=k) if k == 1 or sum(x) % 3])  # all words of a relation are frequent
+    monkeypatch.setattr(phrases, "BLOCK", 1 << 12, raising=False)
+    tracemalloc.start()
+    found = phrases.extended(words, relation, lists, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * n
+    ids, left, columns, count = phrases.extended(words, relation, lists, True)
+    sequence, frequent = relation.tolist(), set(map(tuple, lists.tolist()))
+    first = [i for i in range(n - k) if tuple(sequence[i : i + k]) in frequent and tuple(sequence[i + 1 : i + k + 1]) in frequent]
+    plain = collections.Counter(tuple(99 + x for x in sequence[i : i + k + 1]) for i in first)
+    assert dict(zip(zip(*(c.tolist() for c in columns)), count.tolist())) == plain and (found[3] == count).all()
+    kept = {i + j for i in first for j in range(k + 1)}
+    pieces = lambda seq: [x for x in "".join(chr(w) if w else " " for w in seq).split(" ") if x]
+    assert pieces([int(ids[w - 1]) if w else 0 for w in left.tolist()]) == pieces([99 + w if i in kept else 0 for i, w in enumerate(sequence)])
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(docs(spark, []).where("false")).count() == 0
     assert phrases.collocations(docs(spark, [(1, None, "x"), (2, "a b", "x")])).count() == 0
