@@ -59,10 +59,13 @@ def q_line_inspection(spark, d):
     return boards.inspect_lines(lines).select("doc_id", *FLAGS)
 
 
-def commands(spark, d):
-    """A path for each order, a command for each of its lines in order: a second move in every third order, curves, closes; every fourth order draws a rectangle, side by side."""
-    lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.row_number().over(lines).alias("n"))
+def commands(spark, d, page=lambda k: F.lit(1)):
+    """A path for each order, a command for each of its lines in order: a second move in every third order, curves, closes; every fourth order draws a rectangle, side by side.
+
+    Lines that the SQL orders by further columns are alike in all that a command is made of. The window is by the path's key, which what follows is dealt by too."""
+    key = F.col("l_orderkey")
+    lines = table(spark, d, "lineitem").select((key % 50).alias("file"), page(key).alias("page"), "l_orderkey", "l_partkey", "l_linenumber")
+    rows = lines.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey", "file", "page").orderBy("l_linenumber", "l_partkey")))
     k, n, p = F.col("l_orderkey"), F.col("n"), F.col("l_partkey")
     square = k % 4 == 0
     op = F.when(n == 1, "move").when(square, F.when(n == 5, "close").otherwise("line")).when((n == 4) & (k % 3 == 0), "move")
@@ -72,7 +75,7 @@ def commands(spark, d):
     at = F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     shifted = F.struct((at["x"] + 1).alias("x"), at["y"].alias("y"))
     points = F.when(op == "close", F.array().cast("array<struct<x:double,y:double>>")).when(op == "curve", F.array(shifted, shifted, at)).otherwise(F.array(at))
-    return rows.select((k % 50).alias("file"), F.lit(1).alias("page"), k.alias("path"), n.alias("n"), op.alias("op"), points.alias("points"))
+    return rows.select("file", "page", k.alias("path"), n.alias("n"), op.alias("op"), points.alias("points"))
 
 
 SQL_CONTOURS = """cn AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity))::INT AS n FROM lineitem),
@@ -115,13 +118,13 @@ def page_words(spark, d):
 
 def drawn(spark, d):
     """Commands and styles of the paths: eight pages to a file, some styles to a page."""
-    page = (F.floor(F.col("path") / 50) % 8 + 1).cast("int")
+    page = lambda k: (F.floor(k / 50) % 8 + 1).cast("int")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     styles = table(spark, d, "orders").select(
-        (k % 50).alias("file"), (F.floor(k / 50) % 8 + 1).cast("int").alias("page"), k.alias("path"), (c % 2 * 0.25).alias("width"), F.lit(True).alias("is_stroked"), (c % 5 == 0).alias("is_filled"),
+        (k % 50).alias("file"), page(k).alias("page"), k.alias("path"), (c % 2 * 0.25).alias("width"), F.lit(True).alias("is_stroked"), (c % 5 == 0).alias("is_filled"),
         F.when(c % 3 == 0, "#FF0000").alias("stroke_color"), F.lit(None).cast("string").alias("fill_color"),
     )
-    return paths.PageVectors(commands(spark, d).withColumn("page", page), styles)
+    return paths.PageVectors(commands(spark, d, page), styles)
 
 
 SQL_VECTORS = f"""{SQL_CONTOURS}, styles AS (SELECT o_orderkey AS path, o_orderkey % 50 * 10 + o_orderkey // 50 % 8 + 1 AS doc_id, (o_custkey % 2)::VARCHAR || (o_custkey % 5 = 0) || (o_custkey % 3 = 0) AS group_key FROM orders),
@@ -144,8 +147,7 @@ def q_page_vectors(spark, d):
 @query(f"""WITH RECURSIVE {SQL_VECTORS} SELECT doc_id // 10 AS file, (doc_id % 10)::INT AS page, segment_id AS graphic_id, x1, y1, x2, y2 FROM k_long l WHERE NOT EXISTS (FROM k_kept k WHERE k.doc_id = l.doc_id AND l.seg_ord IN (k.ab, k.bc, k.cd, k.da))""")
 def q_page_lines(spark, d):
     """The lines of each page: segments of all contours that no rectangle has taken."""
-    at = lambda k, c: F.col("points")[k][c].alias(f"{c}{k + 1}")
-    return drawn(spark, d).graphics.where("kind = 'Line' AND graphic_id LIKE '%segment%'").select("file", "page", "graphic_id", at(0, "x"), at(0, "y"), at(1, "x"), at(1, "y"))
+    return drawn(spark, d).lines().select("file", "page", "graphic_id", "x1", "y1", "x2", "y2")
 
 
 @query(f"""WITH RECURSIVE {sql_words()}, {SQL_VECTORS}, t AS (SELECT file % 50 AS file, count(*) AS texts, count(DISTINCT page) AS pages FROM words GROUP BY file % 50),
