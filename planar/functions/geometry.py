@@ -94,7 +94,8 @@ _MEANWHILE = "".join(chr(0xE000 + k) for k in range(len(NO_CAPITAL)))
 def reference(text: Column) -> Column:
     """A designator with letters, digits and underscores only, in upper case, letter by letter."""
     kept = F.regexp_replace(F.trim(text), r"[^\p{L}\p{Nd}_]", "")
-    return F.translate(F.upper(F.translate(kept, NO_CAPITAL, _MEANWHILE)), _MEANWHILE, NO_CAPITAL)
+    any_ = F.translate(F.upper(F.translate(kept, NO_CAPITAL, _MEANWHILE)), _MEANWHILE, NO_CAPITAL)
+    return F.when(text.rlike(r"^[A-Za-z0-9_]*\z"), F.upper(text)).otherwise(any_)
 
 
 def without_side(text: Column) -> Column:

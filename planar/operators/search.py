@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planar.functions import geometry as g
+from planar.operators import fragments as fragments_
 from planar.operators import graph
 
 #: The most fragments that are joined to one reference.
 FRAGMENTS = 8
+#: Characters of references that every task may hold.
+LISTED = 16_000_000
 
 
 def keyword(components: DataFrame, nets: DataFrame, layers: DataFrame, elements: DataFrame, term: str, field: str = "Any", at: tuple[float, float] | None = None, tolerance: float = 0.0) -> DataFrame:
@@ -63,14 +66,34 @@ def runs_of(words: DataFrame, by: tuple[str, ...], fragments: int, longest: int)
     return w.select(*by, "pos", F.explode(each).alias("r")).select(*by, "pos", "r.*")
 
 
-def references(words: DataFrame, queries: DataFrame, fragments: int = FRAGMENTS, by: tuple[str, ...] = ("file", "page")) -> DataFrame:
+def references(words: DataFrame, queries: DataFrame, fragments: int = FRAGMENTS, by: tuple[str, ...] = ("file", "page"), listed: int = LISTED) -> DataFrame:
     """Occurrences of each query reference (query) by file and page.
 
     A word matches if it is the reference, a `_E` at the end of either aside. Else up to `fragments` neighbouring fragments are joined while they
-    stay close on a line and what they give begins the reference. What a run gives is joined with the references by equality, so none of the
-    references' beginnings is listed. Overlapping matches count once, the first from the left.
+    stay close on a line and what they give begins the reference. Up to `listed` characters of references go to every task. What a run gives of more of them is joined with the
+    references by equality, so none of their beginnings is listed. Overlapping matches count once, the first from the left.
     """
     q = graph.written(queries.select("query", g.reference(F.col("query")).alias("wanted")).where("wanted <> ''").distinct(), "queries")
+    listed_ = q.agg(F.coalesce(F.sum(F.length("query") + F.length("wanted")), F.lit(0))).first()[0] <= listed
+    whole = dict(words.dtypes)["n"] in ("tinyint", "smallint", "int", "bigint")
+    return _listed(words, q, fragments, by) if listed_ and whole else _met(words, q, fragments, by)
+
+
+def _listed(words: DataFrame, q: DataFrame, fragments: int, by: tuple[str, ...]) -> DataFrame:
+    """references() where each task has all of them: a page's words are packed, exchanged once and read side by side, and only the page's counts come back."""
+    spark = words.sparkSession
+    shared = spark.sparkContext.broadcast(fragments_.References([tuple(r) for r in q.collect()]))
+    kinds = dict(words.dtypes)
+    types = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    w = words.where("text IS NOT NULL").select(*by, F.coalesce(F.col("n").cast("long"), F.lit(-(2**62))).alias("n"), g.reference(F.col("text")).alias("norm"), *[F.col(c).cast("double").alias(c) for c in fragments_.BOX])
+    w = w.mapInArrow(fragments_.packed(by), f"{types}, n long, words int, size int, data binary")
+    # a sort compares most rows by the first column alone
+    w = w.withColumn("row", F.row_number().over(Window.partitionBy(*sorted(by, key=lambda c: kinds[c] == "string")).orderBy("n")))
+    return w.mapInArrow(fragments_.found(shared, by, fragments), f"{types}, query string, occurrences long")
+
+
+def _met(words: DataFrame, q: DataFrame, fragments: int, by: tuple[str, ...]) -> DataFrame:
+    """references() by a join of runs and references."""
     d = graph.written(q.select("wanted", g.without_side(F.col("wanted")).alias("key")).distinct(), "wanted")  # of a known size, so that a small one is broadcast
     longest = (d.agg(F.max(F.length("wanted"))).first()[0] or 0) + 2
     hits = runs_of(words, by, fragments, longest).withColumn("key", g.without_side(F.col("text"))).join(d, "key")

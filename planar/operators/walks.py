@@ -18,17 +18,14 @@ CURVE = pa.struct([(c, POINT) for c in ("start", "c1", "c2", "end")])
 PATHS = 1_000_000
 
 
-def whole_paths(batches):
-    """Tables of whole paths from batches of sorted rows, whose `row` is 1 where a path begins."""
+def whole_paths(batches, least: int = 1):
+    """Tables of whole paths, or pages, of `least` rows or more from batches of sorted rows, whose `row` is 1 where one begins."""
     held = []
     for batch in batches:
         starts = np.flatnonzero(batch.column("row").to_numpy(zero_copy_only=False) == 1)
-        if len(starts):
-            ready = [*held, batch.slice(0, starts[-1])]
-            held = []
-            if any(b.num_rows for b in ready):
-                yield pa.Table.from_batches(ready)
-            batch = batch.slice(starts[-1])
+        if len(starts) and sum(b.num_rows for b in held) + starts[-1] >= least:
+            yield pa.Table.from_batches([*held, batch.slice(0, starts[-1])])
+            held, batch = [], batch.slice(starts[-1])
         held.append(batch)
     if any(b.num_rows for b in held):
         yield pa.Table.from_batches(held)
