@@ -44,3 +44,14 @@ def test_no_references_and_no_words(spark):
     none = spark.createDataFrame([("-",)], "query string")
     assert search.references(w, none, by=("role", "file", "page")).count() == 0
     assert search.references(w.where("false"), spark.createDataFrame([("A",)], "query string"), by=("role", "file", "page")).count() == 0
+
+
+def test_cross_probe_of_listed_references(spark):
+    """Both roles in one exchange of packed words; the comparison is that of the joined references."""
+    w = scattered(spark).withColumn("role", F.when(F.col("role") == "a", "board").otherwise("schematic"))
+    q = spark.createDataFrame([(x,) for x in ("AB", "ABA", "xy", "É", "AAAA", "nowhere")], "query string")
+    by = ("role", "file", "page")
+    listed = search.references(w, q, by=by)
+    got, want = (sorted(map(tuple, search.cross_probe(f, q).collect())) for f in (listed, search.references(w, q, by=by, listed=0)))
+    assert got == want and {r[-1] for r in got} >= {"both", "none"}
+    assert "Explode" not in (plan := listed._jdf.queryExecution().executedPlan().toString()) and "explode" not in plan  # no row for each run
